@@ -31,7 +31,7 @@ from .wordhash import shingles, spaced, words_of
 
 WORDS = 5
 #: One hash in so many is kept.
-SCALE = 8
+SCALE = 4
 SLICE = 1 << 22
 #: Stands for a null doc_id in the order: before all others.
 FIRST = -(2**63)

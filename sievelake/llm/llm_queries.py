@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, html_main, jaccard_join, langid, quality
+from . import bpe, chat_threads, decontaminate, fingerprint, html_main, jaccard_join, langid, licences, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,21 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op3_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_threads.threads(table(spark, sf_dir, "conversations"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.withColumn("licences", F.concat_ws(",", "licences"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -58,7 +67,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_main_text": op2_main_text,
+    "op3_chat_threads": op3_chat_threads,
     "op4_decontaminate": op4_decontaminate,
+    "op5_licences": op5_licences,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_fingerprint": op8_fingerprint,
     "op9_bpe": op9_bpe,
