@@ -119,43 +119,66 @@ def nodes_of(docs: DataFrame, sent, text: str, doc_id: str, k: int, num: int, de
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n int, node long, prefix_hash long, central int, prefix array<long>")
 
 
-def star_pairs(nodes: DataFrame) -> DataFrame:
-    """(x, p): every member x of a bucket with the bucket's pivot p."""
-    groups = nodes.groupBy("n", "prefix_hash").agg(F.min("node").alias("g"), F.count("*").alias("members"), F.max("central").alias("central"), F.first("prefix").alias("prefix"))
-    index = groups.select(F.explode("prefix").alias("token"), "g", "central", "members")
-    shared = index.groupBy("token").agg(F.sum("members").alias("c"), F.count("*").alias("groups")).where("groups > 1").select("token")
-    index = index.select("token", "g", "central").join(shared, "token")
-    top = index.groupBy("token").agg(F.max("central").alias("top"))
-    pivot = index.join(top, "token").where("central = top").groupBy("token").agg(F.min("g").alias("p"))
-    pairs = index.select("token", "g").join(pivot, "token").select("g", "p").distinct()
-    member = nodes.select("node", "n", "prefix_hash").join(groups.select("n", "prefix_hash", "g", "members"), ["n", "prefix_hash"])
-    own = member.where("members > 1").select(F.col("node").alias("x"), F.col("g").alias("p"))
-    return pairs.join(member.select("node", "g"), "g").select(F.col("node").alias("x"), "p").union(own).where("x <> p").distinct()
-
-
-def _needed(spark, wanted: DataFrame) -> np.ndarray:
-    """Filter bits of the wanted documents: FILTER_BITS whatever their number."""
-    slot = wanted.select((F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1).alias("h"))
+def _filter(slots: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, packed, with those of the slots set; the size doesn't depend on the rows."""
+    slot = slots.toDF("h").select((F.col("h") + 1).alias("h"))
     rows = slot.groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS, bool)
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows:  # bucket b has the positive numbers from (b - 1) * 32768 + 1 on
-        bits[np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")) + (r["b"] - 1) * 32768] = True
-    return np.packbits(bits)
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)[:4096]
+    return out
+
+
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def shared_index(groups: DataFrame) -> DataFrame:
+    """(token, g, central) of the prefix shingles that more than one group has."""
+    spark = groups.sparkSession
+    tokens = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token").checkpoint()
+    sent = spark.sparkContext.broadcast(_filter(tokens.select(F.col("token").bitwiseAND(FILTER_BITS - 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Prefixes less most of the shingles that no other group has, so that these aren't shuffled again."""
+        bits = sent.value
+        for b in batches:
+            prefix = b.column(2)
+            flat = prefix.flatten().to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(len(prefix)), np.diff(prefix.offsets.to_numpy()))
+            hit = _passes(bits, flat & (FILTER_BITS - 1))
+            at = pa.array(at[hit])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(flat[hit])], names=["g", "central", "token"])
+
+    index = groups.select("g", "central", "prefix").mapInArrow(run, "g long, central int, token long")
+    return index.join(tokens, "token").select("token", "g", "central")
+
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """(x, p): every member x of a bucket with the bucket's pivot p."""
+    groups = rows.groupBy("n", "prefix_hash").agg(F.min("node").alias("g"), (F.min("node") < F.max("node")).alias("several"), F.max("central").alias("central"), F.first("prefix").alias("prefix")).checkpoint()
+    index = shared_index(groups).checkpoint()
+    top = index.groupBy("token").agg(F.max("central").alias("central"))
+    pivot = index.join(top, ["token", "central"]).groupBy("token").agg(F.min("g").alias("p"))
+    pairs = index.select("token", "g").join(pivot, "token").select("g", "p").distinct()
+    member = rows.select("node", "n", "prefix_hash").distinct().join(groups.select("n", "prefix_hash", "g", "several"), ["n", "prefix_hash"]).select("node", "g", "several").checkpoint()
+    own = member.where("several").select(F.col("node").alias("x"), F.col("g").alias("p"))
+    return pairs.join(member, "g").select(F.col("node").alias("x"), "p").union(own).where("x <> p").distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
     """(node, set) of the wanted (node, doc_id)."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(_needed(spark, wanted))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).alias("h"))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    sent = spark.sparkContext.broadcast(_filter(wanted.select(slot("doc_id"))))
+    rows = docs.select(F.col(text).alias("text"), slot(doc_id).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for b in batches:
-            h = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (bits[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1
+            hit = _passes(bits, b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
             nodes, sets = [], []
-            for _, s in _sets(b.column(1).filter(pa.array(hit.astype(bool))), k):
+            for _, s in _sets(b.column(0).filter(pa.array(hit)), k):
                 if len(s):
                     nodes.append(_signed(xxhash.xxh3_64_intdigest(s.tobytes())))
                     sets.append(s.tobytes())
@@ -230,8 +253,7 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "te
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(frequencies(docs, text, k))
     rows = nodes_of(docs, sent, text, doc_id, k, num, den).checkpoint()
-    some = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix_hash").alias("prefix_hash"), F.first("central").alias("central"), F.first("prefix").alias("prefix"))
-    pairs = star_pairs(some.select("node", "n", "prefix_hash", "central", "prefix")).checkpoint()
+    pairs = star_pairs(rows.where("n > 0")).checkpoint()
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = least.join(pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct(), "node", "left_semi")
     sets = sets_of(docs, wanted, text, doc_id, k).checkpoint()
