@@ -23,10 +23,12 @@ replaced; other columns stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUOTE = r"^[ \t]*(?:>[ \t]?)+"
+QUOTED = r"(?m)^[ \t]*>"
+SIGNS = r"^[ \t]*(?:>[ \t]?)*"
+CUT = r"(?m)^[ \t]*>.*(?:\r?\n|\z)"
 PATH = "array<bigint>"
 
 
@@ -34,45 +36,33 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
-def _lines(text: Column) -> Column:
-    """(level, body) of each line."""
+def _keys(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with the hash and size of the normalised text t, without blank ones."""
+    rows = rows.withColumn("t", _normal(F.col("t"))).where("t <> ''")
+    return rows.select(*columns, F.sha2(F.col("t").cast("binary"), 256).alias("hash"), F.length("t").alias("size"))
 
-    def line(x: Column) -> Column:
-        signs = F.regexp_extract(x, QUOTE, 0)
-        return F.struct(F.length(F.regexp_replace(signs, "[^>]", "")).alias("level"), F.substring(x, F.length(signs) + 1, F.length(x)).alias("body"))
 
-    return F.transform(F.split(text, r"\r?\n"), line)
-
-
-def _passages(lines: Column) -> Column:
-    """(level, bodies) of each run of lines of one level."""
-    level = lambda i: F.get(lines, i)["level"]
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0))), lambda i: (i == 0) | (level(i) != level(i - 1)))
-    return F.transform(
-        starts,
-        lambda i, k: F.struct(level(i).alias("level"), F.transform(F.slice(lines, i + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - i), lambda x: x["body"]).alias("bodies")),
-    )
-
-
-def _keys(passage: Column) -> Column:
-    """(level, hash, size) of a passage as a whole and of its lines; blank ones are left out."""
-    texts = F.concat(F.array(F.array_join(passage["bodies"], "\n")), passage["bodies"])
-    keyed = F.transform(F.array_distinct(F.transform(texts, _normal)), lambda t: F.struct(passage["level"].alias("level"), F.sha2(t.cast("binary"), 256).alias("hash"), F.length(t).alias("size")))
-    return F.filter(keyed, lambda k: k["size"] > 0)
-
-
-def _parsed(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
-    return messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), _lines(F.col(text)).alias("lines")).withColumn("passages", _passages(F.col("lines")))
+def _quoting_lines(quoting: DataFrame) -> DataFrame:
+    """(conv, turn, h, pos, level, t, run) of each line of the messages with quotes; run numbers the passages of a message."""
+    lines = quoting.select("conv", "turn", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
+    lines = lines.withColumn("signs", F.when(F.col("line").rlike(QUOTED), F.regexp_extract("line", SIGNS, 0)).otherwise(""))
+    lines = lines.select("conv", "turn", "h", "pos", F.length(F.regexp_replace("signs", "[^>]", "")).alias("level"), F.expr("substring(line, length(signs) + 1)").alias("t"))
+    order = Window.partitionBy("conv", "turn", "h").orderBy("pos")  # one message's lines
+    return lines.withColumn("new", F.coalesce((F.col("level") != F.lag("level").over(order)).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(order)).drop("new")
 
 
 def quote_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """(conv, turn, parent, n_linked): the turn that each message with linked quotes answers, and how many distinct quoted passages and lines link."""
-    parsed = _parsed(messages.where(F.col(conv).isNotNull() & F.col(turn).isNotNull() & F.col(text).isNotNull()), conv, turn, text)
-    keys = parsed.select("conv", "turn", F.explode("passages").alias("p")).select("conv", "turn", F.explode(_keys(F.col("p"))).alias("k")).select("conv", "turn", "k.level", "k.hash", "k.size")
-    whole = parsed.select("conv", "turn", _normal(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")).alias("t")).where("t <> ''")
-    own = keys.where("level = 0").select("conv", "hash", "turn").union(whole.select("conv", F.sha2(F.col("t").cast("binary"), 256), "turn"))
-    quotes = keys.where("level > 0").groupBy("conv", "turn", "hash").agg(F.min("level").alias("level"), F.max("size").alias("size"))
-    first = own.groupBy("conv", "hash").agg(F.min("turn").alias("parent"))
+    rows = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(text).alias("text")).where("conv is not null and turn is not null and text is not null")
+    quoting = rows.where(F.col("text").rlike(QUOTED)).distinct()
+    lines = _quoting_lines(quoting)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n")
+    runs = lines.groupBy("conv", "turn", "h", "run", "level").agg(joined.alias("t"))
+    passages = lines.select("conv", "turn", "level", "t").union(runs.select("conv", "turn", "level", "t"))
+    own = rows.select("conv", "turn", F.regexp_replace("text", CUT, "").alias("t"))
+    own = own.union(own.select("conv", "turn", F.explode(F.split("t", r"\r?\n")).alias("t"))).union(passages.where("level = 0").select("conv", "turn", "t"))
+    first = _keys(own, "conv", "turn").groupBy("conv", "hash").agg(F.min("turn").alias("parent"))
+    quotes = _keys(passages.where("level > 0"), "conv", "turn", "level").groupBy("conv", "turn", "hash").agg(F.min("level").alias("level"), F.max("size").alias("size"))
     linked = quotes.join(first, ["conv", "hash"]).where("parent < turn")
     by_parent = linked.groupBy("conv", "turn", "parent").agg(F.min("level").alias("level"), F.sum("size").alias("size"), F.count("*").alias("n"))
     best = F.max(F.struct((-F.col("level")).alias("outer"), "size", "parent"))
@@ -92,26 +82,26 @@ def reply_paths(links: DataFrame) -> DataFrame:
 
 
 def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """messages without quotes, with parent_turn (null: opens a thread), thread_turn, depth, reply_path, n_quotes, n_linked and chat.
+    """messages without quotes, with parent_turn (null: opens a thread), thread_turn, depth, reply_path, n_quotes (quoted lines), n_linked and chat.
 
     Rows of a conversation sorted by reply_path are in reply order. chat is the
     message as a chat turn: the role between bars, a line feed and the text.
     """
-    links = quote_links(messages, conv, turn, text)
-    paths = links.join(reply_paths(links), ["conv", "turn"], "left").select("conv", F.col("turn").alias("t"), F.col("parent").alias("parent_turn"), "path", F.col("n_linked").alias("linked"))
+    links = quote_links(messages, conv, turn, text).checkpoint()
+    paths = links.join(reply_paths(links), ["conv", "turn"], "left").select(F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), F.col("parent").alias("parent_turn"), F.col("path").alias("_path"), F.col("n_linked").alias("_linked"))
     new = ["parent_turn", "thread_turn", "depth", "reply_path", "n_quotes", "n_linked", "chat"]
     rows = messages.select(*[messages[c] for c in messages.columns if c not in new])
     kept = rows.columns
-    lines = _lines(rows[text])
-    rows = rows.withColumn("_lines", lines).withColumn("n_quotes", F.coalesce(F.size(F.filter(_passages(F.col("_lines")), lambda p: p["level"] > 0)).cast("long"), F.lit(0).cast("long")))
+    rows = rows.withColumn("n_quotes", F.coalesce(F.regexp_count(text, F.lit(QUOTED)), F.lit(0)).cast("long"))
     # messages without quotes have no links, so only the others go through the join
-    quoted = rows.where("n_quotes > 0").join(paths, (F.col(conv) == F.col("conv")) & (F.col(turn) == F.col("t")), "left")
-    plain = rows.where("n_quotes = 0").withColumns({"parent_turn": F.lit(None).cast("long"), "path": F.lit(None).cast(PATH), "linked": F.lit(0).cast("long")})
-    every = [*kept, "_lines", "n_quotes", "parent_turn", "path", "linked"]
+    quoted = rows.where("n_quotes > 0")
+    quoted = quoted.join(paths, (quoted[conv] == paths["_conv"]) & (quoted[turn] == paths["_turn"]), "left")
+    plain = rows.where("n_quotes = 0").withColumns({"parent_turn": F.lit(None).cast("long"), "_path": F.lit(None).cast(PATH), "_linked": F.lit(0).cast("long")})
+    every = [*kept, "n_quotes", "parent_turn", "_path", "_linked"]
     out = quoted.select(*every).unionByName(plain.select(*every))
-    body = F.when(F.col(text).isNotNull(), F.regexp_replace(F.regexp_replace(F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n"), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+\z", ""))
+    body = F.regexp_replace(F.regexp_replace(text, CUT, ""), r"(?U)^\s+|\s+\z", "")
     out = out.withColumn("_body", F.when(F.col("n_quotes") > 0, body).otherwise(F.col(text)))
-    path = F.coalesce("path", F.array(F.col(turn).cast("long")))
+    path = F.coalesce("_path", F.array(F.col(turn).cast("long")))
     return out.select(
         *[F.col("_body").alias(text) if c == text else F.col(c) for c in kept],
         "parent_turn",
@@ -119,6 +109,6 @@ def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role
         (F.size(path) - 1).alias("depth"),
         path.alias("reply_path"),
         "n_quotes",
-        F.coalesce("linked", F.lit(0)).alias("n_linked"),
+        F.coalesce("_linked", F.lit(0)).alias("n_linked"),
         F.concat(F.lit("<|"), F.coalesce(F.col(role), F.lit("")), F.lit("|>\n"), F.coalesce("_body", F.lit(""))).alias("chat"),
     )
