@@ -8,8 +8,10 @@ nodes with equal prefixes and sizes become one group; groups that share a
 prefix shingle are paired; pairs of groups are expanded to members and
 verified on whole sets.
 
-A bucket is the groups that share a prefix shingle. Its pairs are not listed.
-The bucket's most central group P is verified against every member x, which
+A bucket is the groups of like size that share a prefix shingle. The pairs of a
+small bucket are listed as far as their counts of shingles in parts of the hash
+range allow the threshold. Those of a larger bucket are not listed. Its most
+central group P is verified against every member x, which
 gives what x lacks of P and has beside it: x's difference from P. Of two members
 x and y whose differences share no shingle, the overlap is |P| less what each
 lacks, so x and y can reach the threshold only if both reach it with P, and
@@ -26,6 +28,7 @@ has one shingle, the whole. Sets are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,10 @@ from .wordhash import U, shingles, spaced, words_of
 
 #: Counters of the sketch that orders shingles, and how many go in a row of it.
 COUNTERS, STRIP = 1 << 20, 1 << 12
+#: Parts of the hash range whose shingles are counted for each set.
+PARTS = 128
+#: Buckets of so many groups have their pairs listed; larger ones go by a pivot.
+FEW = 4
 #: Bits of the filter that tells which documents' sets are needed for verification.
 FILTER_BITS = 1 << 23
 
@@ -68,18 +75,18 @@ def frequencies(docs: DataFrame, text: str, k: int) -> np.ndarray:
         yield strips(n.reshape(-1, STRIP))
 
     def strips(n: np.ndarray, at: list[int] | None = None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(range(len(n)) if at is None else at, pa.int32()), pa.array([x.tobytes() for x in n], pa.binary())], names=["strip", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(range(len(n)) if at is None else at, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in n], pa.binary())], names=["strip", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for at, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[at] = total.get(at, 0) + np.frombuffer(n, np.int64)
+                total[at] = total.get(at, 0) + np.frombuffer(zlib.decompress(n), np.int64)
         yield strips(np.array(list(total.values())).reshape(-1, STRIP), list(total))
 
     out = np.zeros((COUNTERS // STRIP, STRIP), np.int64)
     for r in docs.select(text).mapInArrow(count, "strip int, n binary").repartition("strip").mapInArrow(add, "strip int, n binary").collect():  # COUNTERS counts
-        out[r["strip"]] = np.frombuffer(r["n"], np.int64)
+        out[r["strip"]] = np.frombuffer(zlib.decompress(r["n"]), np.int64)
     return np.minimum(out.ravel(), 2**31 - 1)
 
 
@@ -97,26 +104,33 @@ def _signed(x: int) -> int:
 
 
 def nodes_of(docs: DataFrame, sent, text: str, doc_id: str, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, node, prefix_hash, central, prefix) of each row; node stands for the set, 0 if it is empty."""
+    """(doc_id, n, node, prefix_hash, central, unit, parts, prefix) of each row; node stands for the set, 0 if it is empty.
+
+    parts has a byte for each part of the hash range: the shingles there over unit, rounded up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for b in batches:
-            n, node, prefix_hash, central, prefix = [], [], [], [], []
+            n, node, prefix_hash, central, unit, parts, prefix = [], [], [], [], [], [], []
             for _, s in _sets(b.column(1), k):
                 first = _first(s, counts, len(s) - -(-num * len(s) // den) + 1) if len(s) else s
                 n.append(len(s))
                 node.append(_signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else 0)
                 prefix_hash.append(_signed(xxhash.xxh3_64_intdigest(first.tobytes())))
                 central.append(int(1000 * np.log2(1 + counts[_counter(s)]).mean()) if len(s) else 0)
+                count = np.bincount((s >> U(57)).astype(np.int64), minlength=PARTS)
+                u = max(1, -(-int(count.max()) // 255))
+                unit.append(u)
+                parts.append((-(-count // u)).astype(np.uint8).tobytes())
                 prefix.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(prefix_hash, pa.int64()), pa.array(central, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "prefix_hash", "central", "prefix"],
+                [b.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(prefix_hash, pa.int64()), pa.array(central, pa.int32()), pa.array(unit, pa.int32()), pa.array(parts, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "node", "prefix_hash", "central", "unit", "parts", "prefix"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n int, node long, prefix_hash long, central int, prefix array<long>")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n int, node long, prefix_hash long, central int, unit int, parts binary, prefix array<long>")
 
 
 def _filter(slots: DataFrame) -> np.ndarray:
@@ -134,7 +148,7 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def shared_index(groups: DataFrame) -> DataFrame:
-    """(token, g, central) of the prefix shingles that more than one group has."""
+    """(token, g, n, central, several) of the prefix shingles that more than one group has."""
     spark = groups.sparkSession
     tokens = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token").checkpoint()
     sent = spark.sparkContext.broadcast(_filter(tokens.select(F.col("token").bitwiseAND(FILTER_BITS - 1))))
@@ -143,57 +157,87 @@ def shared_index(groups: DataFrame) -> DataFrame:
         """Prefixes less most of the shingles that no other group has, so that these aren't shuffled again."""
         bits = sent.value
         for b in batches:
-            prefix = b.column(2)
+            prefix = b.column(4)
             flat = prefix.flatten().to_numpy(zero_copy_only=False)
             at = np.repeat(np.arange(len(prefix)), np.diff(prefix.offsets.to_numpy()))
             hit = _passes(bits, flat & (FILTER_BITS - 1))
             at = pa.array(at[hit])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(flat[hit])], names=["g", "central", "token"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(4)), pa.array(flat[hit])], names=["g", "n", "central", "several", "token"])
+
+    index = groups.select("g", "n", "central", "several", "prefix").mapInArrow(run, "g long, n int, central int, several boolean, token long")
+    return index.join(tokens, "token").select("token", "g", "n", "central", "several")
 
-    index = groups.select("g", "central", "prefix").mapInArrow(run, "g long, central int, token long")
-    return index.join(tokens, "token").select("token", "g", "central")
 
+def _possible(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (g, p) of single-set groups that the counts in parts of the hash range allow the threshold: the overlap is at most the sum of the lesser counts."""
+    side = groups.select("g", "n", "unit", "parts")
+    both = pairs.join(side, "g").join(side.toDF("p", "n2", "unit2", "parts2"), "p").where(den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
 
-def star_pairs(rows: DataFrame) -> DataFrame:
-    """(x, p): every member x of a bucket with the bucket's pivot p."""
-    groups = rows.groupBy("n", "prefix_hash").agg(F.min("node").alias("g"), (F.min("node") < F.max("node")).alias("several"), F.max("central").alias("central"), F.first("prefix").alias("prefix")).checkpoint()
-    index = shared_index(groups).checkpoint()
-    top = index.groupBy("token").agg(F.max("central").alias("central"))
-    pivot = index.join(top, ["token", "central"]).groupBy("token").agg(F.min("g").alias("p"))
-    pairs = index.select("token", "g").join(pivot, "token").select("g", "p").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, u, n2, u2 = (b.column(c).to_numpy().astype(np.int64) for c in (2, 3, 5, 6))
+            at, to = (np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in b.column(c)], np.int64).reshape(-1, PARTS) for c in (4, 7))
+            most = np.minimum(at * u[:, None], to * u2[:, None]).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0)], names=["g", "p"]).filter(pa.array((num + den) * most >= num * (n + n2)))
+
+    return both.mapInArrow(run, "g long, p long")
+
+
+def candidate_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, p): of large buckets every member x with the bucket's pivot p; of small ones the pairs that counts allow.
+
+    A bucket is of one token and of sizes within two neighbouring bands, each a
+    factor den / num wide: sets that reach the threshold are in one such pair
+    of bands, so each set is in two buckets of a token.
+    """
+    groups = rows.groupBy("n", "prefix_hash").agg(F.min("node").alias("g"), (F.min("node") < F.max("node")).alias("several"), F.max("central").alias("central"), F.first("unit").alias("unit"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix")).checkpoint()
+    band = F.floor(F.log("n") / (np.log(den / num) * (1 + 1e-9)))
+    index = shared_index(groups).withColumn("band", F.explode(F.array(band, band + 1)))
+    bucket = ["token", "band"]
+    size = index.groupBy(*bucket).agg(F.max("central").alias("top"), F.count("*").alias("c"), F.max("several").alias("any_several")).where("c > 1")
+    index = index.join(size.withColumn("few", (F.col("c") <= FEW) & ~F.col("any_several")).drop("c", "any_several"), bucket).select(*bucket, "g", "few", (F.col("central") == F.col("top")).alias("top")).checkpoint()
+    few, many = index.where("few").select(*bucket, "g"), index.where("not few")
+    listed = few.join(few.select(*bucket, F.col("g").alias("p")), bucket).where("g < p").select("g", "p").distinct()
+    listed = _possible(listed, groups, num, den).select(F.col("g").alias("x"), "p")
+    pivot = many.where("top").groupBy(*bucket).agg(F.min("g").alias("p"))
+    pairs = many.select(*bucket, "g").join(pivot, bucket).select("g", "p").distinct()
     member = rows.select("node", "n", "prefix_hash").distinct().join(groups.select("n", "prefix_hash", "g", "several"), ["n", "prefix_hash"]).select("node", "g", "several").checkpoint()
     own = member.where("several").select(F.col("node").alias("x"), F.col("g").alias("p"))
-    return pairs.join(member, "g").select(F.col("node").alias("x"), "p").union(own).where("x <> p").distinct()
+    return pairs.join(member, "g").select(F.col("node").alias("x"), "p").union(own).union(listed).where("x <> p").distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
-    """(node, set) of the wanted (node, doc_id)."""
-    spark = docs.sparkSession
+    """(node, set, pivot) of the wanted (doc_id, pivot), and of few others; a set can come more than once."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    sent = spark.sparkContext.broadcast(_filter(wanted.select(slot("doc_id"))))
+    sent = docs.sparkSession.sparkContext.broadcast((_filter(wanted.select(slot("doc_id"))), _filter(wanted.where("pivot").select(slot("doc_id")))))
     rows = docs.select(F.col(text).alias("text"), slot(doc_id).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        bits, pivot_bits = sent.value
+        seen: set[int] = set()
         for b in batches:
-            hit = _passes(bits, b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
-            nodes, sets = [], []
-            for _, s in _sets(b.column(0).filter(pa.array(hit)), k):
-                if len(s):
-                    nodes.append(_signed(xxhash.xxh3_64_intdigest(s.tobytes())))
+            h = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = _passes(bits, h)
+            pivot = _passes(pivot_bits, h[hit]).tolist()
+            nodes, sets, pivots = [], [], []
+            for r, s in _sets(b.column(0).filter(pa.array(hit)), k):
+                node = _signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else 0
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+                    pivots.append(pivot[r])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(pivots, pa.bool_())], names=["node", "set", "pivot"])
 
-    found = rows.mapInArrow(run, "node long, set binary")
-    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, set binary, pivot boolean")
 
 
 VERIFIED = "x long, p long, linked boolean, n long, n_p long, lacks long, has long, has_first array<long>, lacks_first array<long>"
 
 
-def verify(pairs: DataFrame, sets: DataFrame, sent, num: int, den: int, differences: bool) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, pivots: DataFrame, sent, num: int, den: int, differences: bool) -> DataFrame:
     """Overlap of the whole sets of each pair (x, p); with differences, the first shingles that x has beside p and that it lacks of p."""
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("node").alias("p"), F.col("set").alias("sp")), "p").select("x", "p", "sx", "sp")
+    both = pairs.join(pivots.select(F.col("node").alias("p"), F.col("set").alias("sp")), "p").join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x").select("x", "p", "sx", "sp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value if differences else None
@@ -218,7 +262,7 @@ def verify(pairs: DataFrame, sets: DataFrame, sent, num: int, den: int, differen
             kinds = [pa.bool_(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["x", "p", "linked", "n", "n_p", "lacks", "has", "has_first", "lacks_first"])
 
-    return both.mapInArrow(run, VERIFIED)
+    return both.mapInArrow(run, VERIFIED).dropDuplicates(["x", "p"])
 
 
 def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
@@ -232,7 +276,7 @@ def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int)
     )
     index = rows.select("p", "x", "root", "linked", "n", "n_p", "lacks", "has", F.explode(tokens).alias("t")).select("p", "x", "root", "linked", "n", "n_p", "lacks", "has", "t.token", "t.beside")
     mixed = index.groupBy("p", "token", "beside").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.col("linked").cast("int")).alias("all_linked")).where("r0 <> r1 and all_linked = 0")
-    index = index.join(mixed.select("p", "token", "beside"), ["p", "token", "beside"])
+    index = index.join(mixed.select("p", "token", "beside"), ["p", "token", "beside"]).checkpoint()
     a, b = index.where("not linked").alias("a"), index.alias("b")
     overlap = F.col("a.n_p") - F.greatest("a.lacks", "b.lacks") + F.when(F.col("a.beside"), F.least("a.has", "b.has")).otherwise(0)
     can = (
@@ -253,14 +297,14 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "te
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(frequencies(docs, text, k))
     rows = nodes_of(docs, sent, text, doc_id, k, num, den).checkpoint()
-    pairs = star_pairs(rows.where("n > 0")).checkpoint()
+    pairs = candidate_pairs(rows.where("n > 0"), num, den).checkpoint()
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = least.join(pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct(), "node", "left_semi")
-    sets = sets_of(docs, wanted, text, doc_id, k).checkpoint()
-    verified = verify(pairs, sets, sent, num, den, True).checkpoint()
+    ends = pairs.select(F.col("x").alias("node"), F.lit(False).alias("pivot")).union(pairs.select("p", F.lit(True))).groupBy("node").agg(F.max("pivot").alias("pivot"))
+    sets = sets_of(docs, least.join(ends, "node").select("doc_id", "pivot"), text, doc_id, k).checkpoint()
+    verified = verify(pairs, sets, sets.where("pivot"), sent, num, den, True).checkpoint()
     links = verified.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
     more = difference_pairs(verified, components(links), num, den).checkpoint()
-    links = links.union(verify(more, sets, sent, num, den, False).where("linked").select("x", "p"))
+    links = links.union(verify(more, sets, sets, sent, num, den, False).where("linked").select("x", "p"))
     roots = components(links)
     of = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
