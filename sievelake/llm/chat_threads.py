@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 QUOTED = r"(?m)^[ \t]*>"
 SIGNS = r"^[ \t]*(?:>[ \t]?)*"
 CUT = r"(?m)^[ \t]*>.*(?:\r?\n|\z)"
@@ -72,13 +74,13 @@ def quote_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 def reply_paths(links: DataFrame) -> DataFrame:
     """(conv, turn, path): the turns from a thread's opening to each message that answers another, by pointer doubling."""
     # up: the ancestor not yet on the path; path: the turns below it, down to the message
-    step = links.select("conv", "turn", F.col("parent").alias("up"), F.array("turn").cast(PATH).alias("path")).checkpoint()
+    step = cut(links.select("conv", "turn", F.col("parent").alias("up"), F.array("turn").cast(PATH).alias("path")))
     while True:
         above = step.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
         joined = step.join(above, ["conv", "up"], "left")
         if not joined.where("up2 is not null").limit(1).count():
             return step.select("conv", "turn", F.concat(F.array("up").cast(PATH), "path").alias("path"))
-        step = joined.select("conv", "turn", F.coalesce("up2", "up").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path")).checkpoint()
+        step = cut(joined.select("conv", "turn", F.coalesce("up2", "up").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path")))
 
 
 def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -87,7 +89,7 @@ def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     Rows of a conversation sorted by reply_path are in reply order. chat is the
     message as a chat turn: the role between bars, a line feed and the text.
     """
-    links = quote_links(messages, conv, turn, text).checkpoint()
+    links = cut(quote_links(messages, conv, turn, text))
     paths = links.join(reply_paths(links), ["conv", "turn"], "left").select(F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), F.col("parent").alias("parent_turn"), F.col("path").alias("_path"), F.col("n_linked").alias("_linked"))
     new = ["parent_turn", "thread_turn", "depth", "reply_path", "n_quotes", "n_linked", "chat"]
     rows = messages.select(*[messages[c] for c in messages.columns if c not in new])

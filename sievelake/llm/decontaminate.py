@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import text_bytes, with_arrow_columns
+from .shared import cut
 from .wordhash import U, alphanumeric, runs, words_of
 
 MOST_BYTES = 8 << 20
@@ -145,7 +146,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
             return run
 
         if more:
-            df = df.checkpoint()  # one block's windows in memory at a time
+            df = cut(df)  # one block's windows in memory at a time
         df = with_arrow_columns(df, [text, *(["n_words", "hit_spans", "item_ids"] if more else [])], STATE, make)
     ends = F.aggregate("hit_spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")), lambda a: a["sum"])
     return df.withColumn("n_hit", ends).withColumn("contaminated", F.col("n_hit") > 0).drop("hit_spans")
@@ -189,6 +190,6 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
 
             df = with_arrow_columns(df, [text], T.StructType([T.StructField(text, T.StringType())]), make).select(*docs.columns)
             if again:
-                df = df.checkpoint()
+                df = cut(df)
         if not again or not scan(df, benchmark, n, text, item, item_text, most_bytes).where("contaminated").limit(1).count():
             return df

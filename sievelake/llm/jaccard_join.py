@@ -36,9 +36,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .arrow import text_bytes
+from .arrow import text_bytes, with_arrow_columns
 from .components import components
+from .shared import cut
 from .wordhash import U, shingles, spaced, words_of
 
 #: Counters of the sketch that orders shingles, and how many go in a row of it.
@@ -150,7 +152,7 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def shared_index(groups: DataFrame) -> DataFrame:
     """(token, g, n, central, several) of the prefix shingles that more than one group has."""
     spark = groups.sparkSession
-    tokens = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token").checkpoint()
+    tokens = cut(groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
     sent = spark.sparkContext.broadcast(_filter(tokens.select(F.col("token").bitwiseAND(FILTER_BITS - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,18 +192,18 @@ def candidate_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     factor den / num wide: sets that reach the threshold are in one such pair
     of bands, so each set is in two buckets of a token.
     """
-    groups = rows.groupBy("n", "prefix_hash").agg(F.min("node").alias("g"), (F.min("node") < F.max("node")).alias("several"), F.max("central").alias("central"), F.first("unit").alias("unit"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix")).checkpoint()
+    groups = cut(rows.groupBy("n", "prefix_hash").agg(F.min("node").alias("g"), (F.min("node") < F.max("node")).alias("several"), F.max("central").alias("central"), F.first("unit").alias("unit"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix")))
     band = F.floor(F.log("n") / (np.log(den / num) * (1 + 1e-9)))
     index = shared_index(groups).withColumn("band", F.explode(F.array(band, band + 1)))
     bucket = ["token", "band"]
     size = index.groupBy(*bucket).agg(F.max("central").alias("top"), F.count("*").alias("c"), F.max("several").alias("any_several")).where("c > 1")
-    index = index.join(size.withColumn("few", (F.col("c") <= FEW) & ~F.col("any_several")).drop("c", "any_several"), bucket).select(*bucket, "g", "few", (F.col("central") == F.col("top")).alias("top")).checkpoint()
+    index = cut(index.join(size.withColumn("few", (F.col("c") <= FEW) & ~F.col("any_several")).drop("c", "any_several"), bucket).select(*bucket, "g", "few", (F.col("central") == F.col("top")).alias("top")))
     few, many = index.where("few").select(*bucket, "g"), index.where("not few")
     listed = few.join(few.select(*bucket, F.col("g").alias("p")), bucket).where("g < p").select("g", "p").distinct()
     listed = _possible(listed, groups, num, den).select(F.col("g").alias("x"), "p")
     pivot = many.where("top").groupBy(*bucket).agg(F.min("g").alias("p"))
     pairs = many.select(*bucket, "g").join(pivot, bucket).select("g", "p").distinct()
-    member = rows.select("node", "n", "prefix_hash").distinct().join(groups.select("n", "prefix_hash", "g", "several"), ["n", "prefix_hash"]).select("node", "g", "several").checkpoint()
+    member = cut(rows.select("node", "n", "prefix_hash").distinct().join(groups.select("n", "prefix_hash", "g", "several"), ["n", "prefix_hash"]).select("node", "g", "several"))
     own = member.where("several").select(F.col("node").alias("x"), F.col("g").alias("p"))
     return pairs.join(member, "g").select(F.col("node").alias("x"), "p").union(own).union(listed).where("x <> p").distinct()
 
@@ -276,7 +278,7 @@ def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int)
     )
     index = rows.select("p", "x", "root", "linked", "n", "n_p", "lacks", "has", F.explode(tokens).alias("t")).select("p", "x", "root", "linked", "n", "n_p", "lacks", "has", "t.token", "t.beside")
     mixed = index.groupBy("p", "token", "beside").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.col("linked").cast("int")).alias("all_linked")).where("r0 <> r1 and all_linked = 0")
-    index = index.join(mixed.select("p", "token", "beside"), ["p", "token", "beside"]).checkpoint()
+    index = cut(index.join(mixed.select("p", "token", "beside"), ["p", "token", "beside"]))
     a, b = index.where("not linked").alias("a"), index.alias("b")
     overlap = F.col("a.n_p") - F.greatest("a.lacks", "b.lacks") + F.when(F.col("a.beside"), F.least("a.has", "b.has")).otherwise(0)
     can = (
@@ -296,14 +298,14 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "te
     num, den = percent, 100
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(frequencies(docs, text, k))
-    rows = nodes_of(docs, sent, text, doc_id, k, num, den).checkpoint()
-    pairs = candidate_pairs(rows.where("n > 0"), num, den).checkpoint()
+    rows = cut(nodes_of(docs, sent, text, doc_id, k, num, den))
+    pairs = cut(candidate_pairs(rows.where("n > 0"), num, den))
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ends = pairs.select(F.col("x").alias("node"), F.lit(False).alias("pivot")).union(pairs.select("p", F.lit(True))).groupBy("node").agg(F.max("pivot").alias("pivot"))
-    sets = sets_of(docs, least.join(ends, "node").select("doc_id", "pivot"), text, doc_id, k).checkpoint()
-    verified = verify(pairs, sets, sets.where("pivot"), sent, num, den, True).checkpoint()
+    sets = cut(sets_of(docs, least.join(ends, "node").select("doc_id", "pivot"), text, doc_id, k))
+    verified = cut(verify(pairs, sets, sets.where("pivot"), sent, num, den, True))
     links = verified.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
-    more = difference_pairs(verified, components(links), num, den).checkpoint()
+    more = cut(difference_pairs(verified, components(links), num, den))
     links = links.union(verify(more, sets, sets, sent, num, den, False).where("linked").select("x", "p"))
     roots = components(links)
     of = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -311,3 +313,26 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "te
     classes = of.select("node", "root").join(smallest, "root").select("node", "component_id")
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(classes, "node", "left")
     return out.select(F.col("doc_id").alias(doc_id), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_class(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each class: that of the smallest doc_id. Rows with null doc_id or without words stay.
+
+    A broadcast bit table of fixed size, of the ids that go or repeat, tells
+    which rows can be affected; only those are shuffled and joined exactly.
+    """
+    classes = cut(near_classes(docs, k, percent, text, doc_id).where(F.col(doc_id).isNotNull()))
+    gone = classes.where((F.col("n_shingles") > 0) & (F.col(doc_id) != F.col("component_id"))).select(doc_id).distinct()
+    again = classes.where("n_shingles > 0").groupBy(doc_id).agg(F.count("*").alias("c")).where("c > 1").select(doc_id)
+    slot = F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(gone.union(again).select(slot)))
+
+    def make():
+        return lambda h: [pa.array(_passes(sent.value, h.to_numpy(zero_copy_only=False).astype(np.int64)))]
+
+    rows = with_arrow_columns(docs.withColumn("_slot", slot), ["_slot"], T.StructType([T.StructField("_maybe", T.BooleanType())]), make)
+    rows = rows.withColumn("_maybe", F.col("_maybe") & F.col(doc_id).isNotNull())
+    maybe = rows.where("_maybe").join(gone, doc_id, "left_anti").join(again.withColumn("_again", F.lit(True)), doc_id, "left")
+    once = maybe.where("_again is null").select(*docs.columns)
+    first = maybe.where("_again").dropDuplicates([doc_id, text]).select(*docs.columns)
+    return rows.where("not _maybe").select(*docs.columns).unionByName(once).unionByName(first)

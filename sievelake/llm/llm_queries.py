@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_threads, decontaminate, fingerprint, html_main, jaccard_join, langid, licences, quality
+from . import bpe, chat_threads, decontaminate, fingerprint, html_main, jaccard_join, langid, licences, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("licences", F.concat_ws(",", "licences"))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of(table(spark, sf_dir, "pages"), "2026-01-01T00:00:00Z"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_threads": op3_chat_threads,
     "op4_decontaminate": op4_decontaminate,
     "op5_licences": op5_licences,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_fingerprint": op8_fingerprint,
     "op9_bpe": op9_bpe,
