@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_threads, decontaminate, fingerprint, html_main, jaccard_join, langid, licences, quality, warc
+from .llm_sql import ORACLE_SQL as ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,5 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
 }
-
-ORACLE_SQL: dict[str, str] = {}
