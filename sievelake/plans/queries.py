@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import text as t
 from sievelake.functions import values as v
-from sievelake.operators import classify, consolidate, dedup, grounding, merge
+from sievelake.operators import chunk, classify, consolidate, dedup, grounding, json_repair, locate, merge, records
 from sievelake.operators import relational as r
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,9 +304,44 @@ def number_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(v.numbers(F.col("text"))).cast("long").alias("n_numbers"))
 
 
+@query()
+def document_chunks(spark, d):
+    return chunk.chunked(table(spark, d, "documents"), "text", ["doc_id"], budget=400).select("doc_id", "chunk_index", "total_chunks", "content")
+
+
+# extraction records
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k from events")
+def json_repaired(spark, d):
+    """Every other object lacks its closing bracket."""
+    loose = F.when(F.col("event_id") % 2 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    rows = json_repair.repair(table(spark, d, "events").select("event_id", loose.alias("raw")), "raw")
+    return rows.select("event_id", F.get_json_object("json", "$.k").alias("k"))
+
+
+@query("select event_id, 'k' as field, 0 as pos, json_extract_string(props, '$.k') as value, 0.5::double as confidence from events")
+def extraction_items(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.col("props").alias("data"), F.lit(1).alias("data_version"), F.lit(None).cast("double").alias("confidence"), F.col("event_id").alias("ord"))
+    return records.items(rows, ["event_id"]).select("event_id", "field", "pos", "value", "confidence")
+
+
+@query("select c_nationkey, lower(trim(c_mktsegment)) as entity_key, min(c_custkey) as first, min_by(c_name, c_custkey) as c_name from customer group by all")
+def entity_merge(spark, d):
+    c = table(spark, d, "customer")
+    rows = c.select("c_nationkey", F.create_map(F.lit("name"), "c_mktsegment", F.lit("c_name"), "c_name").alias("entity"), F.col("c_custkey").alias("ord"))
+    return records.merged_entities(rows, ["c_nationkey"]).select("c_nationkey", "entity_key", "first", F.col("entity")["c_name"].alias("c_name"))
+
+
 # grounding, search
 
 
+@query("select item_id, instr(text, q) - 1 as start, instr(text, q) - 1 + length(q) as end, 1 as tier from (select item_id, text, trim(substr(text, 11, 60), ' ' || chr(10)) as q from benchmark) where length(q) > 0")
+def quote_locations(spark, d):
+    quotes = table(spark, d, "benchmark").select("item_id", "text", F.trim(F.substring("text", 11, 60)).alias("quote")).where("quote <> ''")
+    return locate.located(quotes, "quote", "text").select("item_id", "found.start", "found.end", "found.tier")
+
+
 @query(f"select item_id, doc_id, 1.0::double as score from benchmark b, documents d where contains({NORMAL.format('d.text')}, {NORMAL.format('b.text')})")
 def quote_in_source(spark, d):
     """Quotes meet the documents that share their first five words, so no pair is made in vain."""
