@@ -216,7 +216,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, pivot_bits = sent.value
-        seen: set[int] = set()
+        seen: dict[int, bool] = {}
         for b in batches:
             h = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = _passes(bits, h)
@@ -224,8 +224,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int)
             nodes, sets, pivots = [], [], []
             for r, s in _sets(b.column(0).filter(pa.array(hit)), k):
                 node = _signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else 0
-                if len(s) and node not in seen:
-                    seen.add(node)
+                # a copy that passes the filter by chance can come before the pivot's row
+                if len(s) and (node not in seen or pivot[r] and not seen[node]):
+                    seen[node] = pivot[r]
                     nodes.append(node)
                     sets.append(s.tobytes())
                     pivots.append(pivot[r])

@@ -187,6 +187,24 @@ def test_jaccard_classes_against_brute_force(spark, k, percent, seed):
     assert len([i for i in ids if texts[i].strip()]) == len({i for i in want if (texts[i] or "").strip()}) if all(texts[i] is not None for i in ids) else True
 
 
+def test_pivots_whose_copies_come_first_and_pass_the_filter(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 300)}" for _ in range(150)]
+    texts = list(dict.fromkeys(family(rng, base, 40, 4)))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows[::-1], DOC).coalesce(1)
+    of, wanted_rows = jaccard_join.sets_of, []
+
+    def all_pass(docs, wanted, text, doc_id, k):
+        wanted_rows.extend(wanted.collect())
+        return of(docs, wanted.union(docs.select(doc_id, F.lit(False))), text, doc_id, k)
+
+    monkeypatch.setattr(jaccard_join, "sets_of", all_pass)
+    got = sorted(map(tuple, jaccard_join.near_classes(df, 5, 80).collect()))
+    assert any(x["pivot"] for x in wanted_rows)
+    assert got == sorted(classes(rows, 5, 80))
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert not jaccard_join.near_classes(spark.createDataFrame([], DOC)).collect()
 
