@@ -1,12 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Method: markup is stripped so that each block element's text is a line. Lines
-outside the page's article or main element where it has one, lines of page
-furniture (by element, role, class or id) and, on pages without either
-element, lines that are mostly links, count as empty. Text lengths are summed
-over sliding windows of lines; a run of text that surges (a window sum over
-``SURGE``) is kept from its first line up to the point where the sums dive to
-zero. A page without surge keeps its largest run.
+Method: markup is stripped so that each block element's text is a line. Page
+furniture (by element, role, class or id) is left out; furniture blocks in a
+row are one empty line. A page with article or main elements keeps every line
+inside them. On other pages lines that are mostly links count as empty, and text
+lengths are summed over sliding windows of lines; a run of text that surges (a
+window sum over ``SURGE``) is kept from its first line up to the point where the
+sums dive to zero, and so are the runs between two that surge. Lines mostly of
+links stay if words outside their links, and text lines on both sides, show that
+they are part of the run. A page without surge keeps its largest run.
 
 Results: null and empty pages, and pages without text, give the empty string.
 White space inside a block becomes one space, blocks are joined by a line
@@ -57,28 +59,31 @@ def _furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(html: str, keep_furniture: bool = False) -> list[tuple[str, bool, int]]:
-    """(text, in article or main, characters inside links) of each block in page order; furniture leaves empty lines."""
-    out: list[tuple[str, bool, int]] = []
+def lines(html: str, keep_furniture: bool = False) -> list[tuple[str, bool, int, bool]]:
+    """(text, in article or main, characters inside links, words outside links) of each block in page order; furniture leaves an empty line."""
+    out: list[tuple[str, bool, int, bool]] = []
     words: list[str] = []
     inside = linked = in_link = at = 0
+    free = False
     tag = TAG
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, free
         text = " ".join("".join(words).split())
         if text:
-            out.append((text, inside > 0, linked))
+            out.append((text, inside > 0, linked, free))
         words.clear()
-        linked = 0
+        linked, free = 0, False
 
     def say(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, free
         if raw:
             text = unescape(raw) if "&" in raw else raw
             words.append(text)
             if in_link:
                 linked += len(text.strip())
+            elif not free:
+                free = any(map(str.isalnum, text))
 
     n = len(html)
     while at < n:
@@ -113,8 +118,8 @@ def lines(html: str, keep_furniture: bool = False) -> list[tuple[str, bool, int]
             if name in BLOCKS:
                 end()
             at = _after(html, at, name, tag)
-            if name in BLOCKS and not keep_furniture and not inside:
-                out.extend([("", False, 0)] * WINDOW)
+            if name in BLOCKS and not keep_furniture and not inside and out and out[-1][0]:
+                out.append(("", False, 0, False))
             continue
         if name in BLOCKS:
             end()
@@ -148,8 +153,9 @@ def _after(html: str, at: int, name: str, tag: re.Pattern) -> int:
 def main_text(html: str | None) -> str:
     """The blocks between surge and dive points, joined by line feeds."""
     found = lines(html) if html else []
-    article = any(inside and text for text, inside, _ in found)
-    size = [len(text) if text and (inside if article else 2 * linked <= len(text)) else 0 for text, inside, linked in found]
+    if any(inside for _, inside, *_ in found):
+        return "\n".join(text for text, inside, *_ in found if inside)
+    size = [len(text) if 2 * linked <= len(text) else 0 for text, _, linked, _ in found]
     sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
     runs, start = [], None
     for i, s in enumerate([*sums, 0]):
@@ -158,8 +164,13 @@ def main_text(html: str | None) -> str:
         elif start is not None and not s:
             runs.append((start, i))
             start = None
-    kept = [r for r in runs if max(sums[r[0] : r[1]]) > SURGE] or sorted(runs, key=lambda r: -sum(size[r[0] : r[1]]))[:1]
-    return "\n".join(found[i][0] for a, b in kept for i in range(a, b) if size[i])
+    surge = [k for k, r in enumerate(runs) if max(sums[r[0] : r[1]]) > SURGE]
+    kept = runs[surge[0] : surge[-1] + 1] if surge else sorted(runs, key=lambda r: -sum(size[r[0] : r[1]]))[:1]
+    out = []
+    for a, b in kept:
+        text = [i for i in range(a, b) if size[i]]
+        out += [found[i][0] for i in range(text[0], text[-1] + 1) if size[i] or found[i][3]]
+    return "\n".join(out)
 
 
 def visible_text(html: str | None) -> str:

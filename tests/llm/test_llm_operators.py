@@ -351,6 +351,24 @@ def test_main_text(page, want):
     assert html_main.main_text(page) == want
 
 
+AD = "<div class=ad><p>Buy!</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<h1>Short title</h1><div class=share><p>Share</p></div><p>{LONG}</p>", f"Short title\n{LONG}"),
+        (f"<p>{LONG}</p>{AD}<p>A short one.</p>{AD}<p>{LONG}</p>", f"{LONG}\nA short one.\n{LONG}"),
+        (f"<p>{LONG}</p>{AD * 4}<p>A short one.</p>{AD * 4}<p>{LONG}</p>{AD}<p>The end.</p>", f"{LONG}\nA short one.\n{LONG}\nThe end."),
+        (f"<article><p>{LONG}</p></article><aside><p>x</p></aside><p>1</p><p>2</p><p>3</p><article><p>Short.</p></article>", f"{LONG}\nShort."),
+        (f"<p>{LONG}</p><p>See <a href=/>the report of the committee on the use of water</a></p><p>{LONG}</p>", f"{LONG}\nSee the report of the committee on the use of water\n{LONG}"),
+        (f"<p><a href=/>Home</a> | <a href=/>About</a></p><p>{LONG}</p><ul>" + "<li><a href=/>Other page</a>" * 3 + f"</ul><p>Short.</p><ul>" + "<li><a href=/>Other page</a>" * 3 + f"</ul><p>{LONG}</p>", f"{LONG}\nShort.\n{LONG}"),
+    ],
+)
+def test_main_text_of_pages_in_several_runs(page, want):
+    assert html_main.main_text(page) == want
+
+
 def test_main_text_of_a_very_long_page():
     assert html_main.main_text("<article>" + f"<p>{LONG}</p>" * 20_000) == "\n".join([LONG] * 20_000)
     html_main.main_text('<a href="' * 20_000)
