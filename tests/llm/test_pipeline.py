@@ -1,6 +1,8 @@
 """The pipeline's stages against what each must keep, and the queries' SQL against DuckDB."""
 
+import base64
 import hashlib
+import random
 import re
 
 import duckdb
@@ -73,6 +75,21 @@ def test_stages_over_odd_documents(spark):
         assert not stage(spark, both.where("false"), DIR).collect()
 
 
+def test_language_stage_drops_noise_and_other_languages(spark):
+    docs = llm_queries.table(spark, DIR, "documents")
+    rng = random.Random(7)
+    dutch = "De zon scheen over de daken van de stad en de mensen liepen langzaam door de smalle straten. Op het plein verkochten boeren hun groenten en bloemen, terwijl kinderen tussen de kramen speelden. Een oude man zat op een bankje en las de krant, zonder op te kijken van het lawaai om hem heen."
+    turkish = "Güneş şehrin çatılarının üzerinde parlıyordu ve insanlar dar sokaklarda yavaşça yürüyorlardı. Meydanda çiftçiler sebze ve çiçek satıyor, çocuklar tezgahların arasında oynuyordu."
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (80, 400, 4000)]
+    noise += [base64.b64encode(rng.randbytes(n)).decode() for n in (80, 1500)] + ["x" * 300, "".join(rng.choice("asdfjkl qwe") for _ in range(300)), dutch, turkish]
+    clean = ["Is and of the", "Bonjour le monde", "Das ist gut", "The cat sat."] + [x["text"][:100] for x in docs.where("n_chars > 1000").orderBy("doc_id").limit(20).collect()]
+    planted = spark.createDataFrame([(-1 - k, t, None, "s", len(t)) for k, t in enumerate(noise + clean)], docs.schema)
+    kept = {x["doc_id"] for x in corpus_pipeline.language_stage(spark, docs.unionByName(planted), DIR).collect()}
+    assert not kept & {-1 - k for k in range(len(noise))}
+    assert {-1 - len(noise) - k for k in range(len(clean))} <= kept
+    assert {x["doc_id"] for x in docs.select("doc_id").collect()} <= kept
+
+
 @pytest.mark.parametrize("name", sorted(llm_queries.ORACLE_SQL))
 def test_equals_sql(spark, name):
     c = duckdb.connect()
