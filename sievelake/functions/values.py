@@ -5,18 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"\d{1,3}(?:[.,  ]\d{3})+|\d+(?:\.\d+)?"
+# A number as it stands in a text; three digits after a dot, a comma or white space go on with it.
+SPACE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+NUMBER = rf"-?(?:\d{{1,3}}(?:[,.{SPACE}]\d{{3}})+|\d+(?:\.\d+)?)"
+
+
+def parsed_number(raw: Column) -> Column:
+    """A number as written, as a double; commas, blanks and dots before each three digits group thousands. Null where separators mix."""
+    x = F.regexp_replace(raw, "[ \\x{A0}]", "")
+    plain = x.rlike(r"^-?\d+$") | (x.rlike(r"^-?\d+\.\d+$") & ~x.rlike(r"^-?\d{1,3}\.\d{3}$"))
+    grouped = x.rlike(r"^-?\d+(?:,\d{3})+$") | x.rlike(r"^-?\d{1,3}\.\d{3}$") | x.rlike(r"^-?\d+(?:\.\d{3}){2,}$")
+    return F.when(plain, x).when(grouped, F.regexp_replace(x, "[.,]", "")).try_cast("double")
 
 
 def numbers(text: Column) -> Column:
-    """All numbers of a text as doubles; a dot, comma or space before each three digits groups thousands."""
+    """All numbers of a text as doubles, in order."""
     found = F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1)
-    return F.transform(found, lambda x: F.when(x.rlike(r"^\d{1,3}(?:[.,  ]\d{3})+$"), F.regexp_replace(x, r"[.,  ]", "")).otherwise(x).try_cast("double"))
+    return F.filter(F.transform(found, parsed_number), lambda x: x.isNotNull())
+
+
+def to_number(s: Column) -> Column:
+    """A number spelled without separators: digits with a sign, or anything with a dot that reads as a double; else null."""
+    t = F.trim(s)
+    return F.when(t.rlike(r"^[+-]?\d+$") | F.contains(t, F.lit(".")), t.try_cast("double"))
 
 
-def number_matches(a: Column, b: Column) -> Column:
-    """Equal, or apart by less than a millionth of the larger."""
-    return (a == b) | (F.abs(a - b) < 1e-6 * F.greatest(F.abs(a), F.abs(b)))
+def number_matches(wanted: Column, found: Column) -> Column:
+    """Equal, or apart by less than a millionth of the wanted one."""
+    return (wanted == found) | (F.abs(wanted - found) < 1e-6 * F.abs(wanted))
+
+
+def half_even(x: Column, places: int) -> Column:
+    """Rounded, halves to the even digit."""
+    return F.bround(x, places)
 
 
 def effective_weight(confidence: Column, grounding: Column, mode: Column) -> Column:
@@ -53,3 +74,8 @@ def to_enum(s: Column, values: list[str]) -> Column:
     """The value of the same spelling, else of the same letters in any case, else null."""
     exact = F.when(s.isin(values), s)
     return F.coalesce(exact, *[F.when(F.lower(s) == v.lower(), v) for v in values])
+
+
+def to_list(s: Column) -> Column:
+    """A JSON array's items as strings; any other value as the only item; null for null."""
+    return F.when(F.startswith(F.trim(s), F.lit("[")), F.coalesce(F.from_json(s, "array<string>"), F.array(s))).otherwise(F.when(s.isNotNull(), F.array(s)))

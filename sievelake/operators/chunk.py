@@ -7,6 +7,7 @@ no chunks.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
@@ -38,6 +39,12 @@ def tokens(text: str) -> int:
     return Size(text).tokens()
 
 
+def cost(text: str) -> float:
+    """Tokens before they are rounded down."""
+    size = Size(text)
+    return size.other / 4 + size.dense / 1.5
+
+
 def header_path(text: str) -> list[str]:
     """The headers that stand above a text's end; a header of level n replaces all from level n on."""
     path: list[str] = []
@@ -90,19 +97,16 @@ def divided(section: str, budget: int) -> list[str]:
 
 
 def tail(text: str, budget: int) -> str:
-    """A text's last paragraphs within the budget, or the end of the last one."""
-    paragraphs = [p for p in text.split("\n\n") if p.strip()]
-    if not paragraphs or budget <= 0:
+    """The longest ending of whole paragraphs within the budget; if the last one alone is beyond it, as much of its end as fits."""
+    if budget <= 0:
         return ""
-    kept, used = [], 0
-    for p in reversed(paragraphs):
-        used += tokens(p)
-        if kept and used > budget:
-            break
-        kept.insert(0, p)
-    dense = Size(text).dense / len(text)
-    most = int(budget * (4.0 * (1 - dense) + 1.5 * dense))
-    return "\n\n".join(kept)[-most:] if most else ""
+    starts = [0, *(m.end() for m in re.finditer("\n\n", text))]
+    first = bisect.bisect_left(starts, 1, key=lambda at: cost(text[at:]) <= budget)  # endings only get smaller
+    ending = text[starts[first] :].strip("\n") if first < len(starts) else ""
+    if ending.strip():
+        return ending
+    most = bisect.bisect_right(range(1, len(text) + 1), budget, key=lambda n: cost(text[-n:]))
+    return text[len(text) - most :]
 
 
 def chunks(markdown: str | None, budget: int = 5000, overlap: int = 0) -> list[str]:

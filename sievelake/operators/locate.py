@@ -20,11 +20,45 @@ from pyspark.sql import types as T
 LEAST = 0.6
 # Dashes that count as hyphens.
 DASHES = {ord(c): "-" for c in "–—―−"}
-SHOWN = [re.compile(p, m) for p, m in ((r"!\[(?P<t>[^\]]*)\]\([^)]*\)", 0), (r"\[(?P<t>[^\]]*)\]\([^)]*\)", 0), (r"(\*{1,3}|_{1,3})(?P<t>.+?)\1", 0), (r"^\|[\s\-:]+\|[\s\-:|]*$(?P<t>)", re.M), (r"`(?P<t>[^`]+)`", 0))]
+LABELLED = re.compile(r"!?\[(?P<label>[^\]]*)\]\([^)]*\)")
+CODE = re.compile(r"(`+)(?!`)(?P<label>.+?)(?<!`)\1(?!`)")
+RULE = re.compile(r"^(?=.*\|)(?=.*--)[|: \t-]+$", re.M)
+#: A run of emphasis signs, or the end of a paragraph, which ends all emphasis.
+RUN = re.compile(r"\*{1,3}|_{1,3}|\n[ \t]*\n")
 FOUND = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("span", T.StringType()), T.StructField("tier", T.IntegerType())])
 NOTHING = (0.0, None, None, None, 0)
 
 
+def hidden(text: str) -> bytearray:
+    """1 for each character that is Markdown's own: link targets, brackets, code ticks, paired emphasis signs, rules of tables."""
+    mask = bytearray(len(text))
+
+    def hide(a: int, b: int) -> None:
+        mask[a:b] = b"\1" * (b - a)
+
+    for pattern in (LABELLED, CODE):
+        for m in pattern.finditer(text):
+            hide(m.start(), m.start("label"))
+            hide(m.end("label"), m.end())
+    for m in RULE.finditer(text):
+        hide(*m.span())
+    opened: dict[str, int] = {}
+    for m in RUN.finditer(text):
+        run, a, b = m[0], *m.span()
+        if run[0] == "\n":
+            opened.clear()
+        elif not mask[a]:
+            before, after = text[a - 1 : a], text[b : b + 1]
+            inner = run[0] == "_" and before.isalnum() and after.isalnum()  # as in snake_case
+            if run in opened and before.strip() and not inner:
+                start = opened.pop(run)
+                hide(start, start + len(run))
+                hide(a, b)
+            elif after.strip() and not inner:
+                opened[run] = a
+    return mask
+
+
 class Traced:
     """A text and, for each of its characters, the place in the source that it comes from."""
 
@@ -33,16 +67,9 @@ class Traced:
 
     def shown(self) -> Traced:
         """What Markdown shows; bars become spaces."""
-        out = self
-        for pattern in SHOWN:
-            keep, start = [], 0
-            for m in pattern.finditer(out.text):
-                keep += [*range(start, m.start()), *range(*m.span("t"))]
-                start = m.end()
-            if start:
-                keep += range(start, len(out.text))
-                out = Traced("".join(out.text[i] for i in keep), [out.at[i] for i in keep])
-        return Traced(out.text.replace("|", " "), out.at)
+        hide = hidden(self.text)
+        keep = [i for i in range(len(self.text)) if not hide[i]]
+        return Traced("".join(" " if self.text[i] == "|" else self.text[i] for i in keep), [self.at[i] for i in keep])
 
     def normal(self, drop_punctuation: bool = False) -> Traced:
         """Lower case, hyphens for dashes, one space for white space, none at the ends."""
@@ -83,7 +110,10 @@ def _fullest(parts: list[str], gap: int, wanted: set[str]) -> tuple[float, int,
 
 def locate(quote: str | None, source: str | None) -> tuple:
     """(score, start, end, span, tier); tier 0 without a match."""
-    tidy = re.sub(r"\.{2,}$|…$", "", (quote or "").strip()).strip()
+    tidy = (quote or "").strip()
+    bare_end = tidy.rstrip(".…")
+    if "…" in tidy[len(bare_end) :] or len(tidy) - len(bare_end) > 1:
+        tidy = bare_end.strip()  # a quote that breaks off
     wanted, bare = Traced(tidy).normal().text, Traced(tidy).normal(True).text
     if not wanted or not source:
         return NOTHING
@@ -101,7 +131,7 @@ def locate(quote: str | None, source: str | None) -> tuple:
     line_share, line_at, line = _fullest(block.split("\n"), 1, terms)
     if line_share >= LEAST:
         return line_share, at + line_at, at + line_at + len(line), line, 4
-    return share, at, at + len(block), block[:200], 4
+    return share, at, at + len(block), block, 4
 
 
 def located(df: DataFrame, quote: str, source: str, out: str = "found") -> DataFrame:
