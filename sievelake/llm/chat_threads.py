@@ -6,13 +6,16 @@ one level are a passage. Quoted passages and their single lines are normalised
 the unquoted texts, passages and lines of the same conversation; of several
 messages with one passage, the earliest turn is its original. A message answers
 the earlier turn of which its outermost quotes hold most characters (the later
-turn on ties). Messages without such a link open a thread. The path of turns
-from a thread's opening to a message, found by pointer doubling, puts the
-messages of a conversation in reply order; quotes are cut from the texts.
+turn on ties). Messages without such a link open a thread. Each thread's tour,
+down to a message and up from it again, is ranked by pointer doubling, which
+gives every message its place in reply order and its depth; quotes are cut from
+the texts.
 
-Originals are pre-aggregated by conversation and hash, so a passage that is
-repeated in very many messages costs one row on that side of the join, and no
-conversation is gathered into one task: the result is one row per message.
+Partitioning: only conversations in which a message quotes have their lines
+hashed. Originals are pre-aggregated by conversation and hash, so a passage
+that is repeated in very many messages costs one row on that side of the join.
+No conversation, thread or group of answers is gathered into one task, and a
+row's size doesn't depend on its thread's: the result is one row per message.
 
 Results: null text stays null and has no quotes. Messages without conv_id or
 turn have no links. Repeated rows of one (conv_id, turn) count as one message
@@ -26,12 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, unused
 
 QUOTED = r"(?m)^[ \t]*>"
 SIGNS = r"^[ \t]*(?:>[ \t]?)*"
 CUT = r"(?m)^[ \t]*>.*(?:\r?\n|\z)"
-PATH = "array<bigint>"
+#: Answers to one message are put in order in groups of so many turns.
+NEAR = 1024
 
 
 def _normal(text: Column) -> Column:
@@ -61,6 +65,8 @@ def quote_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n")
     runs = lines.groupBy("conv", "turn", "h", "run", "level").agg(joined.alias("t"))
     passages = lines.select("conv", "turn", "level", "t").union(runs.select("conv", "turn", "level", "t"))
+    # what nobody can quote from isn't hashed
+    rows = rows.join(quoting.select("conv").distinct(), "conv", "left_semi")
     own = rows.select("conv", "turn", F.regexp_replace("text", CUT, "").alias("t"))
     own = own.union(own.select("conv", "turn", F.explode(F.split("t", r"\r?\n")).alias("t"))).union(passages.where("level = 0").select("conv", "turn", "t"))
     first = _keys(own, "conv", "turn").groupBy("conv", "hash").agg(F.min("turn").alias("parent"))
@@ -71,46 +77,73 @@ def quote_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     return by_parent.groupBy("conv", "turn").agg(best.alias("best"), F.sum("n").alias("n_linked")).select("conv", "turn", F.col("best.parent").alias("parent"), "n_linked")
 
 
-def reply_paths(links: DataFrame) -> DataFrame:
-    """(conv, turn, path): the turns from a thread's opening to each message that answers another, by pointer doubling."""
-    # up: the ancestor not yet on the path; path: the turns below it, down to the message
-    step = cut(links.select("conv", "turn", F.col("parent").alias("up"), F.array("turn").cast(PATH).alias("path")))
-    while True:
-        above = step.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        joined = step.join(above, ["conv", "up"], "left")
-        if not joined.where("up2 is not null").limit(1).count():
-            return step.select("conv", "turn", F.concat(F.array("up").cast(PATH), "path").alias("path"))
-        step = cut(joined.select("conv", "turn", F.coalesce("up2", "up").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path")))
+def _siblings(links: DataFrame) -> DataFrame:
+    """links with prev: the turn before that answers the same message. Windows are over groups of at most NEAR turns, then over the groups."""
+    rows = links.select("conv", "turn", "parent", F.floor(F.col("turn") / NEAR).alias("part"))
+    inner, outer = Window.partitionBy("conv", "parent", "part").orderBy("turn"), Window.partitionBy("conv", "parent").orderBy("part")
+    tops = rows.groupBy("conv", "parent", "part").agg(F.max("turn").alias("top")).select("conv", "parent", "part", F.lag("top").over(outer).alias("top"))
+    rows = rows.withColumn("prev", F.lag("turn").over(inner))
+    return rows.join(tops, ["conv", "parent", "part"]).select("conv", "turn", "parent", F.coalesce("prev", "top").alias("prev"))
+
+
+def reply_order(links: DataFrame) -> DataFrame:
+    """(conv, turn, thread_turn, reply_order, depth) of each message of a thread with answers; links: (conv, turn, parent), a row for each answer.
+
+    reply_order counts the thread's messages before this one, answers following
+    what they answer in order of their turns. A thread is a list of steps, one
+    down to each message and one up from it; each round of pointer doubling
+    joins every step to the one that its pointer shows.
+    """
+    child = cut(_siblings(links))
+    last = child.groupBy("conv", F.col("parent").alias("turn")).agg(F.max("turn").alias("last"))
+    opening = last.select("conv", "turn").join(child, ["conv", "turn"], "left_anti")
+    none = F.lit(None).cast("long")
+    # (t, up): the step; (to, to_up): the step before it
+    down = child.select("conv", F.col("turn").alias("t"), F.lit(False).alias("up"), F.coalesce("prev", "parent").alias("to"), F.col("prev").isNotNull().alias("to_up"))
+    down = down.union(opening.select("conv", "turn", F.lit(False), none, F.lit(None).cast("boolean")))
+    nodes = child.select("conv", "turn").union(opening).join(last, ["conv", "turn"], "left")
+    up = nodes.select("conv", F.col("turn").alias("t"), F.lit(True).alias("up"), F.coalesce("last", "turn").alias("to"), F.col("last").isNotNull().alias("to_up"))
+    step = down.union(up).select("*", F.when(F.col("to").isNull(), F.col("t")).alias("head"), F.when(F.col("up"), 0).otherwise(1).cast("long").alias("n"), F.when(F.col("up"), -1).otherwise(1).cast("long").alias("deep"))
+    step = cut(step)
+    while not step.where("to is not null").isEmpty():
+        before = step.select("conv", F.col("t").alias("to"), F.col("up").alias("to_up"), F.col("to").alias("to2"), F.col("to_up").alias("to_up2"), F.col("head").alias("head2"), F.col("n").alias("n2"), F.col("deep").alias("deep2"))
+        moved = step.where("to is not null").join(before, ["conv", "to", "to_up"]).select("conv", "t", "up", F.col("to2").alias("to"), F.col("to_up2").alias("to_up"), F.col("head2").alias("head"), (F.col("n") + F.col("n2")).alias("n"), (F.col("deep") + F.col("deep2")).alias("deep"))
+        step = cut(step.where("to is null").unionByName(moved))
+    return step.where("not up").select("conv", F.col("t").alias("turn"), F.col("head").alias("thread_turn"), (F.col("n") - 1).alias("reply_order"), (F.col("deep") - 1).alias("depth"))
 
 
 def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """messages without quotes, with parent_turn (null: opens a thread), thread_turn, depth, reply_path, n_quotes (quoted lines), n_linked and chat.
+    """messages without quotes, with parent_turn (null: opens a thread), thread_turn, reply_order, depth, n_quotes (quoted lines), n_linked and chat.
 
-    Rows of a conversation sorted by reply_path are in reply order. chat is the
-    message as a chat turn: the role between bars, a line feed and the text.
+    Rows of a conversation sorted by thread_turn and reply_order are in reply
+    order. chat is the message as a chat turn: the role between bars, a line
+    feed and the text.
     """
     links = cut(quote_links(messages, conv, turn, text))
-    paths = links.join(reply_paths(links), ["conv", "turn"], "left").select(F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), F.col("parent").alias("parent_turn"), F.col("path").alias("_path"), F.col("n_linked").alias("_linked"))
-    new = ["parent_turn", "thread_turn", "depth", "reply_path", "n_quotes", "n_linked", "chat"]
+    order = reply_order(links).join(links, ["conv", "turn"], "left")
+    new = ["parent_turn", "thread_turn", "reply_order", "depth", "n_quotes", "n_linked", "chat"]
     rows = messages.select(*[messages[c] for c in messages.columns if c not in new])
     kept = rows.columns
-    rows = rows.withColumn("n_quotes", F.coalesce(F.regexp_count(text, F.lit(QUOTED)), F.lit(0)).cast("long"))
-    # messages without quotes have no links, so only the others go through the join
+    own = {c: unused(rows, f"_{c}") for c in ("conv", "turn", "parent", "thread", "order", "depth", "linked", "body")}
+    order = order.select(F.col("conv").alias(own["conv"]), F.col("turn").alias(own["turn"]), F.col("parent").alias(own["parent"]), F.col("thread_turn").alias(own["thread"]), F.col("reply_order").alias(own["order"]), F.col("depth").alias(own["depth"]), F.col("n_linked").alias(own["linked"]))
+    quotes = F.coalesce(F.regexp_count(text, F.lit(QUOTED)), F.lit(0)).cast("long")
+    rows = rows.select(*kept, quotes.alias("n_quotes"))
+    # messages without quotes answer nothing, so only the others go through the join
     quoted = rows.where("n_quotes > 0")
-    quoted = quoted.join(paths, (quoted[conv] == paths["_conv"]) & (quoted[turn] == paths["_turn"]), "left")
-    plain = rows.where("n_quotes = 0").withColumns({"parent_turn": F.lit(None).cast("long"), "_path": F.lit(None).cast(PATH), "_linked": F.lit(0).cast("long")})
-    every = [*kept, "n_quotes", "parent_turn", "_path", "_linked"]
-    out = quoted.select(*every).unionByName(plain.select(*every))
+    quoted = quoted.join(order, (quoted[conv] == order[own["conv"]]) & (quoted[turn].cast("long") == order[own["turn"]]), "left")
+    found = [own[c] for c in ("parent", "thread", "order", "depth", "linked")]
+    plain = rows.where("n_quotes = 0").select(*kept, "n_quotes", *[F.lit(None).cast("long").alias(c) for c in found])
+    out = quoted.select(*kept, "n_quotes", *[F.col(c).cast("long").alias(c) for c in found]).unionByName(plain)
     body = F.regexp_replace(F.regexp_replace(text, CUT, ""), r"(?U)^\s+|\s+\z", "")
-    out = out.withColumn("_body", F.when(F.col("n_quotes") > 0, body).otherwise(F.col(text)))
-    path = F.coalesce("_path", F.array(F.col(turn).cast("long")))
+    out = out.withColumn(own["body"], F.when(F.col("n_quotes") > 0, body).otherwise(F.col(text)))
+    zero = lambda c: F.coalesce(F.col(own[c]), F.lit(0)).cast("long")
     return out.select(
-        *[F.col("_body").alias(text) if c == text else F.col(c) for c in kept],
-        "parent_turn",
-        F.get(path, F.lit(0)).alias("thread_turn"),
-        (F.size(path) - 1).alias("depth"),
-        path.alias("reply_path"),
+        *[F.col(own["body"]).alias(text) if c == text else F.col(c) for c in kept],
+        F.col(own["parent"]).alias("parent_turn"),
+        F.coalesce(F.col(own["thread"]), F.col(turn).cast("long")).alias("thread_turn"),
+        zero("order").alias("reply_order"),
+        zero("depth").cast("int").alias("depth"),
         "n_quotes",
-        F.coalesce("_linked", F.lit(0)).alias("n_linked"),
-        F.concat(F.lit("<|"), F.coalesce(F.col(role), F.lit("")), F.lit("|>\n"), F.coalesce("_body", F.lit(""))).alias("chat"),
+        zero("linked").alias("n_linked"),
+        F.concat(F.lit("<|"), F.coalesce(F.col(role), F.lit("")), F.lit("|>\n"), F.coalesce(own["body"], F.lit(""))).alias("chat"),
     )

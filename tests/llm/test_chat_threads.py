@@ -1,5 +1,7 @@
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sievelake.llm import chat_threads
@@ -29,8 +31,7 @@ def threads(spark, rows=ROWS, schema=SCHEMA):
 def test_links_follow_the_outermost_quotes(spark):
     got = threads(spark)
     assert [got[1, t]["parent_turn"] for t in range(6)] == [None, 0, 0, 1, None, 3]
-    assert got[1, 3]["reply_path"] == [0, 1, 3]
-    assert got[1, 5]["reply_path"] == [0, 1, 3, 5]
+    assert [got[1, t]["reply_order"] for t in (0, 1, 3, 5, 2)] == [0, 1, 2, 3, 4]
     assert [got[1, t]["depth"] for t in range(6)] == [0, 1, 1, 2, 0, 3]
     assert got[1, 5]["thread_turn"] == 0
 
@@ -76,14 +77,79 @@ def test_empty_table_and_long_text(spark):
     assert got[1, 1]["text"] == "ok"
 
 
-def test_paths_against_brute_force(spark):
-    rows = [(1, t, "user", (f"> message {t // 2}\n" if t else "") + f"message {t}") for t in range(40)]
+def brute(links):
+    """Place in reply order, depth and opening of each turn, by a walk over the threads."""
+    answers, out = {}, {}
+    for t, p in sorted(links.items()):
+        if p is not None:
+            answers.setdefault(p, []).append(t)
+
+    def walk(opening):
+        todo, n = [(opening, 0)], 0
+        while todo:
+            t, deep = todo.pop()
+            out[t] = (n, deep, opening)
+            n += 1
+            todo += [(x, deep + 1) for x in reversed(answers.get(t, []))]
+
+    for t, p in links.items():
+        if p is None:
+            walk(t)
+    return out
+
+
+@pytest.mark.parametrize("parent", [lambda t, rng: t // 2, lambda t, rng: t - 1, lambda t, rng: 0, lambda t, rng: rng.randrange(t) if rng.random() < 0.9 else None])
+def test_order_against_brute_force(spark, monkeypatch, parent):
+    monkeypatch.setattr(chat_threads, "NEAR", 5)
+    rng = random.Random(2)
+    links = {(c, t): parent(t, rng) if t else None for c in (1, 2) for t in range(60)}
+    links[1, 7] = None
+    text = lambda c, t: (f"> message {c} {links[c, t]}\n" if links[c, t] is not None else "") + f"message {c} {t}"
+    got = threads(spark, [(c, t, "user", text(c, t)) for c, t in links])
+    for c in (1, 2):
+        want = brute({t: p for (k, t), p in links.items() if k == c})
+        for t, (order, deep, opening) in want.items():
+            r = got[c, t]
+            assert (r["parent_turn"], r["reply_order"], r["depth"], r["thread_turn"]) == (links[c, t], order, deep, opening)
+
+
+def test_links_against_brute_force(spark):
+    rng = random.Random(5)
+    say = [f"Say {i} of the day" for i in range(12)]
+    rows = []
+    for t in range(80):
+        lines = [f"> {x}" if rng.random() < 0.7 else f">> {x}" for x in rng.sample(say, rng.randrange(3))] + rng.sample(say, rng.randrange(3))
+        rows.append((1, t, "user", "\n".join(lines)))
+
+    def key(lines):
+        return " ".join("\n".join(lines).lower().split())
+
+    own = {}
+    for _, t, _, text in rows:
+        lines = [x for x in text.split("\n") if not x.startswith(">")]
+        for part in [lines, *([x] for x in lines)]:
+            if key(part):
+                own.setdefault(key(part), t)
     got = threads(spark, rows)
-    for t in range(40):
-        path = [t]
-        while path[0]:
-            path.insert(0, path[0] // 2)
-        assert got[1, t]["reply_path"] == path
+    for _, t, _, text in rows:
+        runs = []
+        for x in text.split("\n"):
+            level = len(x) - len(x.lstrip(">"))
+            if not runs or runs[-1][0] != level:
+                runs.append((level, []))
+            runs[-1][1].append(x.lstrip("> "))
+        quotes = {}
+        for level, lines in runs:
+            for part in [lines, *([x] for x in lines)]:
+                if level and key(part):
+                    quotes[key(part)] = min(level, quotes.get(key(part), level))
+        by_parent = {}
+        for k, level in quotes.items():
+            if own.get(k, t) < t:
+                had = by_parent.get(own[k], (level, 0))
+                by_parent[own[k]] = (min(had[0], level), had[1] + len(k))
+        best = max(((-level, size, p) for p, (level, size) in by_parent.items()), default=(0, 0, None))[2]
+        assert got[1, t]["parent_turn"] == best, text
 
 
 def test_no_python_in_the_plan(spark):
