@@ -1,34 +1,53 @@
 """WARC derivative builder: metadata and plain-text conversion records of response records.
 
-Each response gives two WARC/1.1 records that name it in WARC-Refers-To: a
-metadata record (application/warc-fields: status, the source's HTTP headers,
-digests, sizes) and a conversion record (text/plain: the page's visible text).
-Both carry the source's target URI and date and say the source's digests.
-Record ids are name-based UUIDs of the source's id and the kind, so that a run
-that is repeated gives the same records.
+Each response gives a metadata record (application/warc-fields: status, the
+source's HTTP headers, digests, sizes) and, if its payload is text, a
+conversion record (text/plain: the page's visible text). Both name the
+response in WARC-Refers-To and carry its target URI and date. Digests that the
+source states (columns block_digest, payload_digest) are said as they are,
+others are computed. Record ids are name-based UUIDs of the source's id and
+the kind, so that a run that is repeated gives the same records.
+
+``read_warc`` is a source of WARC files, plain or in gzip members: Spark's text
+reader splits them between records and reads them from any store, so no file
+is held whole. ``write_warc`` is the sink.
 
 Results: a null block counts as empty. A block without an HTTP status line is
-all payload and has no status. Null URIs and dates are left out of headers.
-Text is decoded by the charset of Content-Type, else as UTF-8, with
-replacement of undecodable bytes. Repeated responses give repeated records.
+all payload and has no status. Chunked bodies are joined and gzip and deflate
+bodies unpacked, as far as they go; other codings give no conversion record,
+nor do content types that aren't text, nor a payload of no stated type with a
+zero byte. Null URIs and dates are left out of headers. Text is decoded by the
+byte order mark, else the charset of Content-Type, else that of the page's
+meta element, else as UTF-8, with replacement of undecodable bytes. Repeated
+responses give repeated records, and columns other than those named are left
+out. In a WARC file, a block that itself holds the start of a record ends the
+record there; ``whole`` says whether a record has its stated length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html_main import visible_text
+from .shared import bound_batches
 
 VERSION = b"WARC/1.1"
-DERIVED = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, source_payload_digest string, block_digest string, content_length long, record binary"
-RESPONSES = "page_id, record_id, target_uri, warc_date, block"
+DERIVED = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, source_payload_digest string, block_digest string, content_length long, record binary"
+RESPONSES = ("record_id", "target_uri", "warc_date", "block")
+#: Content types besides text/* that are text.
+TEXT = frozenset("application/xhtml+xml application/xml application/json application/ld+json application/rss+xml application/atom+xml application/javascript".split())
+META = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([a-zA-Z0-9_.:-]+)", re.I)
+#: What lies between two records, up to the version of the next.
+BETWEEN = "\r\n\r\nWARC/"
 
 
 def digest(data: bytes) -> str:
@@ -86,25 +105,80 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return first.decode("utf-8", "replace").strip(), _fields(rest), payload
 
 
-def _text(headers: list[tuple[str, str]], payload: bytes) -> str:
-    kind = next((v.lower() for k, v in headers if k.lower() == "content-type"), "text/html")
-    charset = kind.partition("charset=")[2].split(";")[0].strip(" \"'") or "utf-8"
+def _said(headers: list[tuple[str, str]], name: str) -> str:
+    return next((v for k, v in headers if k.lower() == name), "")
+
+
+def unchunked(body: bytes) -> bytes:
+    """The body of a chunked transfer; what doesn't follow the form ends it."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,8}", size) or not (n := int(size, 16)):
+            # archives often keep the header of a body that they joined
+            return b"".join(out) if at else body
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def unpacked(body: bytes, coding: str) -> bytes | None:
+    """The body without its content coding, as far as it goes; None for a coding that isn't known."""
+    for name in reversed([c.strip().lower() for c in coding.split(",") if c.strip()]):
+        if name in ("identity", "none"):
+            continue
+        if name in ("gzip", "x-gzip"):
+            if body.startswith(b"\x1f\x8b"):  # else it was unpacked before
+                body = _inflated(body, 31)
+        elif name == "deflate":
+            body = _inflated(body, 15) or _inflated(body, -15) or body
+        else:
+            return None
+    return body
+
+
+def _inflated(body: bytes, bits: int) -> bytes:
+    out = []
+    while body:
+        reader = zlib.decompressobj(bits)
+        try:
+            out.append(reader.decompress(body))
+        except zlib.error:
+            break
+        body = reader.unused_data if bits == 31 and reader.unused_data.startswith(b"\x1f\x8b") else b""
+    return b"".join(out)
+
+
+def text_of(headers: list[tuple[str, str]], payload: bytes) -> str | None:
+    """The text that a payload shows; None if it isn't text."""
+    content = _said(headers, "content-type").lower()
+    kind = content.split(";")[0].strip()
+    body = unpacked(unchunked(payload) if "chunked" in _said(headers, "transfer-encoding").lower() else payload, _said(headers, "content-encoding"))
+    if body is None or kind and not kind.startswith("text/") and kind not in TEXT or not kind and b"\0" in body:
+        return None
+    meta = META.search(body[:4096])
+    stated = re.search(r"charset\s*=\s*[\"']?([^\s;\"']+)", content)
+    mark = next((c for m, c in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")) if body.startswith(m)), None)
+    charset = mark or (stated[1] if stated else meta[1].decode() if meta else "utf-8")
     try:
-        text = payload.decode(charset, "replace")
-    except LookupError:
-        text = payload.decode("utf-8", "replace")
-    return text if kind.startswith("text/plain") else visible_text(text)
+        text = body.decode(charset, "replace")
+    except (LookupError, UnicodeError):
+        text = body.decode("utf-8", "replace")
+    return visible_text(text) if kind in ("", "text/html", "application/xhtml+xml") else text
 
 
-def derivatives(source: str, uri: str | None, date: str | None, block: bytes) -> Iterator[tuple]:
+def derivatives(source: str, uri: str | None, date: str | None, block: bytes, block_digest: str | None = None, payload_digest: str | None = None) -> Iterator[tuple]:
     """(type, id, content type, payload digest of the source, block digest, length, record) of the derived records."""
     status, http, payload = split_http(block)
-    payload_digest = digest(payload)
-    facts = [("source-status", status), ("source-block-digest", digest(block)), ("source-payload-digest", payload_digest), ("source-payload-length", str(len(payload))), *((f"source-header-{k.lower()}", v) for k, v in http)]
-    text = _text(http, payload).encode()
-    facts.append(("conversion-record-id", record_id(source, "conversion")))
-    fields = b"".join(f"{k}: {' '.join(v.split())}\r\n".encode() for k, v in facts)
-    for kind, content, data in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", text)):
+    payload_digest = payload_digest or digest(payload)
+    facts = [("source-status", status), ("source-block-digest", block_digest or digest(block)), ("source-payload-digest", payload_digest), ("source-payload-length", str(len(payload))), *((f"source-header-{k.lower()}", v) for k, v in http)]
+    text = text_of(http, payload)
+    parts = []
+    if text is not None:
+        facts.append(("conversion-record-id", record_id(source, "conversion")))
+        parts = [("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))]
+    fields = b"".join(f"{k}: {' '.join(v.split())}\r\n".encode("utf-8", "replace") for k, v in facts)
+    for kind, content, data in (("metadata", "application/warc-fields", fields), *parts):
         own, said = record_id(source, kind), digest(data)
         headers = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source)]
         headers += [(k, v) for k, v in (("WARC-Target-URI", uri), ("WARC-Date", date)) if v is not None]
@@ -114,28 +188,35 @@ def derivatives(source: str, uri: str | None, date: str | None, block: bytes) ->
         yield kind, own, content, payload_digest, said, len(data), write_record(headers, data)
 
 
-def derive(responses: DataFrame) -> DataFrame:
-    """Two derived records for each row of responses (page_id, record_id, target_uri, warc_date, block); other columns are left out."""
+def derive(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The derived records of each row of responses (record_id, target_uri, warc_date, block; block_digest and payload_digest where the columns exist), with the columns ``keep`` ahead, page_id if there is one."""
+    bound_batches(responses.sparkSession)
+    keep = [c for c in ("page_id",) if c in responses.columns] if keep is None else keep
+    states = [F.col(c).cast("string") if c in responses.columns else F.lit(None).cast("string").alias(c) for c in ("block_digest", "payload_digest")]
+    rows = responses.select(*[responses[c] for c in keep], *RESPONSES, *states)
+    rows = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    n = len(keep)
+    kinds = [pa.string()] * 8 + [pa.int64(), pa.binary()]
+    names = [*keep, *(x.split()[0] for x in DERIVED.split(", "))]
+
+    def batch(b: pa.RecordBatch, of: list[int], found: list[tuple]) -> pa.RecordBatch:
+        at = pa.array(of, pa.int64())
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(n)), *(pa.array([r[c] for r in found], t) for c, t in enumerate(kinds))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, size = [], 0
-            for page, source, uri, date, block in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                for kind, own, content, payload, said, n, record in derivatives(source or "", uri, date, bytes(block or b"")):
-                    rows.append((page, kind, own, source, uri, date, content, payload, said, n, record))
-                    size += n
+            of, found, size = [], [], 0
+            for r, (source, uri, date, block, *stated) in enumerate(zip(*(b.column(c).to_pylist() for c in range(n, n + 6)), strict=True)):
+                for kind, own, content, payload, said, length, record in derivatives(source or "", uri, date, bytes(block or b""), *stated):
+                    of.append(r)
+                    found.append((kind, own, source, uri, date, content, payload, said, length, record))
+                    size += length
                 if size > 1 << 23:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            yield _batch(rows)
-
-    return responses.select(*RESPONSES.split(", ")).mapInArrow(run, DERIVED)
+                    yield batch(b, of, found)
+                    of, found, size = [], [], 0
+            yield batch(b, of, found)
 
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.string()] * 8, pa.int64(), pa.binary()]
-    names = [x.split()[0] for x in DERIVED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=names)
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {responses.schema[c].dataType.simpleString()}" for c in keep), DERIVED]))
 
 
 def responses_of(pages: DataFrame, date: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -144,4 +225,36 @@ def responses_of(pages: DataFrame, date: str, page_id: str = "page_id", url: str
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     name = F.sha2(F.concat_ws("\0", F.lit(date), F.coalesce(F.col(page_id).cast("string"), F.lit("")), F.coalesce(F.col(url), F.lit(""))).cast("binary"), 256)
     urn = F.format_string("<urn:uuid:%s-%s-%s-%s-%s>", *(F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    return pages.select(F.col(page_id).cast("long").alias("page_id"), urn.alias("record_id"), F.col(url).alias("target_uri"), F.lit(date).alias("warc_date"), F.concat(head.cast("binary"), body).alias("block"))
+    return pages.select(F.col(page_id).alias("page_id"), urn.alias("record_id"), F.col(url).alias("target_uri"), F.lit(date).alias("warc_date"), F.concat(head.cast("binary"), body).alias("block"))
+
+
+RECORDS = "warc_type string, record_id string, target_uri string, warc_date string, refers_to string, content_type string, block_digest string, payload_digest string, whole boolean, block binary"
+
+
+def read_warc(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The records of WARC files: RECORDS, a row each, in the order of a file within its splits."""
+    bound_batches(spark)
+    parts = spark.read.option("lineSep", BETWEEN).text(path).select(F.col("value").cast("binary").alias("raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for raw in b.column(0).to_pylist():
+                raw = raw.removeprefix(b"WARC/")  # the first record of a file
+                head, gap, rest = raw.partition(b"\r\n\r\n")
+                if not re.match(rb"\d+\.\d+\r\n", head):
+                    continue
+                said = {k.lower(): v for k, v in reversed(_fields(head.split(b"\r\n", 1)[1]))}
+                size = int(said["content-length"]) if said.get("content-length", "").isdigit() else 0
+                rows.append((said.get("warc-type"), said.get("warc-record-id"), said.get("warc-target-uri"), said.get("warc-date"), said.get("warc-refers-to"), said.get("content-type"), said.get("warc-block-digest"), said.get("warc-payload-digest"), len(rest) >= size, rest[:size]))
+            kinds = [pa.string()] * 8 + [pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
+
+    return parts.mapInArrow(run, RECORDS)
+
+
+def write_warc(records: DataFrame, path: str, record: str = "record", compression: str = "gzip") -> None:
+    """Writes records, one after the other, as WARC files in the folder ``path``, one file for each partition."""
+    end = "\r\n\r\n"
+    body = F.expr(f"cast(substring(`{record}`, 1, octet_length(`{record}`) - {len(end)}) as string)")  # the writer adds the end again
+    records.select(body.alias("value")).write.option("lineSep", end).option("compression", compression).text(path)
