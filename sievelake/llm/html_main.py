@@ -1,25 +1,35 @@
 """Main text of web pages by line-block distribution.
 
-Method: markup is stripped so that each block element's text is a line. Page
-furniture (by element, role, class or id) is left out; furniture blocks in a
-row are one empty line. A page with article or main elements keeps every line
-inside them. On other pages lines that are mostly links count as empty, and text
-lengths are summed over sliding windows of lines; a run of text that surges (a
-window sum over ``SURGE``) is kept from its first line up to the point where the
-sums dive to zero, and so are the runs between two that surge. Lines mostly of
-links stay if words outside their links, and text lines on both sides, show that
-they are part of the run. A page without surge keeps its largest run.
+Method: markup is stripped so that each block element's text is a line. The
+lengths of the text outside links are summed over sliding windows of lines.
+The lines under one container form a region; the region in which the sums are
+densest is the page's main text. The sums of its windows give the page's own
+level: other regions whose sums surge over a share of it (``LEVEL``) belong to
+the text too, and those that don't are beside it. The text goes from the first
+surge to the last dive, moved out to the bounds of the regions they lie in, so
+that short titles and last paragraphs stay; paragraphs between the two stay
+too, bare short blocks don't.
+
+Tags are hints to this. Page furniture (by element, role, class or id, or by a
+heading that announces comments) counts as empty lines. Sums inside article
+and main elements weigh ``WEIGHT`` times as much; if the densest region is in
+one, every line of that article is kept, as are articles beside it whose text
+isn't mostly links, and a first heading before them. List items, table cells
+and quotations belong to the region around their list, table or quotation.
 
 Results: null and empty pages, and pages without text, give the empty string.
 White space inside a block becomes one space, blocks are joined by a line
-feed, character references are decoded, and nothing in a kept run is dropped.
-Unclosed elements end with the page; unclosed quotes in tags end at the next >.
+feed, character references are decoded, and nothing in a kept region is
+dropped but lines of links only outside articles. Of regions equally dense
+the first wins. Unclosed elements end with the page; unclosed quotes in tags
+end at the next >. Repeated rows give equal results.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,22 +38,48 @@ from pyspark.sql import types as T
 from .arrow import with_arrow_columns
 
 WINDOW = 3
-SURGE = 86
+#: Share of the main region's middle window sum over which another region surges.
+LEVEL = 0.3
+#: What a character inside an article or main element counts.
+WEIGHT = 3
 
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody tfoot thead title tr ul".split())
 CELLS = frozenset(("td", "th"))
+#: Blocks that stand for the text around them: their lines belong to the region above.
+WITHIN = frozenset("blockquote caption dd details dl dt figcaption figure li ol pre summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold running text.
+SPOKEN = HEADINGS | frozenset("p li blockquote pre dd figcaption".split())
+VOID = frozenset("br hr".split())
 #: Their content is no text of the page.
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea select button datalist map".split())
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NAMES = "ads? advert(?:s|isement)? sponsor(?:ed|s)? promo(?:tion)?s? banner cookies? consent gdpr notice popup modal overlay newsletter subscri(?:be|ption) sidebar menu nav navbar navigation breadcrumbs? footer header masthead topbar comments? disqus repl(?:y|ies) respond share sharing social related recommended pagination pager login signup widget toolbar skip"
-NAMED = re.compile(rf"(?!(?:with|has|no|without)[-_])(?:[a-z0-9]+[-_])?(?:{'|'.join(NAMES.split())})(?:[-_](?:box|block|wrap|wrapper|container|list|section|area|bar|inner|content|left|right|top|bottom|main|links?|item|form|\d+))*", re.I)
+NAMES = "ads? advert(?:s|isement)? sponsor(?:ed|s)? promo(?:tion)?s? banner cookies? consent gdpr notice popup modal overlay newsletter subscri(?:be|ption) sidebar menu nav navbar navigation breadcrumbs? footer header masthead topbar comments? disqus discussion discuss feedback repl(?:y|ies) respond share sharing social related recommended pagination pager login signup widget toolbar skip"
+NAMED = re.compile(rf"(?!(?:with|has|no|without)[-_])(?:[a-z0-9]+[-_])?(?:{'|'.join(NAMES.split())})(?:[-_](?:box|block|wrap|wrapper|container|list|section|area|bar|inner|content|left|right|top|bottom|main|links?|item|form|thread|\d+))*", re.I)
+#: A heading after which readers speak.
+READERS = re.compile(r"(?:\d+\s+)?(?:(?:reader|user|leave a|add a|post a|your)\s+)?(?:comments?|discussion|replies|responses|kommentare?|commentaires?|comentarios?)(?:\s*[(:]?\s*\d*\s*\)?)", re.I)
 WHOLE = frozenset("html body main article".split())
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+class Line(NamedTuple):
+    text: str
+    tag: str
+    #: Number of the container that the line belongs to, and of the article or main element around it (0: none).
+    region: int
+    article: int
+    #: The element that is the region's container.
+    holder: str
+    #: How many article elements are around it.
+    depth: int
+    #: Characters inside links, and whether any word is outside of them.
+    linked: int
+    free: bool
+
+
 def _furniture(name: str, attributes: str, in_article: bool) -> bool:
     if name in FURNITURE or name == "header" and not in_article:
         return True
@@ -59,19 +95,59 @@ def _furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(html: str, keep_furniture: bool = False) -> list[tuple[str, bool, int, bool]]:
-    """(text, in article or main, characters inside links, words outside links) of each block in page order; furniture leaves an empty line."""
-    out: list[tuple[str, bool, int, bool]] = []
+class _Open:
+    """The block elements open at a place, as (name, number)."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.n = 0
+        self.inside: list[int] = []
+
+    def enter(self, name: str) -> None:
+        if name in VOID:
+            return
+        if self.stack and self.stack[-1][0] == "p" or name == "li" and self.stack and self.stack[-1][0] == "li":
+            self.leave(self.stack[-1][0])
+        self.n += 1
+        self.stack.append((name, self.n))
+        if name in ("article", "main"):
+            self.inside.append(self.n)
+
+    def leave(self, name: str) -> None:
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == name:
+                for gone, number in self.stack[k:]:
+                    if gone in ("article", "main") and self.inside and self.inside[-1] == number:
+                        self.inside.pop()
+                del self.stack[k:]
+                return
+            if self.stack[k][0] in ("article", "main", "body") and name not in WHOLE:
+                return  # a stray end tag
+
+    def line(self, text: str, linked: int, free: bool) -> Line:
+        tag = self.stack[-1][0] if self.stack else ""
+        k = len(self.stack) - 1  # the line's own block
+        k -= 1
+        while k >= 0 and self.stack[k][0] in WITHIN:
+            k -= 1
+        outer = sum(1 for name, _ in self.stack if name == "article")
+        return Line(text, tag, self.stack[k][1] if k >= 0 else 0, self.inside[-1] if self.inside else 0, self.stack[k][0] if k >= 0 else "", outer, linked, free)
+
+
+def lines(html: str, keep_furniture: bool = False) -> list[Line]:
+    """The blocks with text in page order."""
+    out: list[Line] = []
     words: list[str] = []
-    inside = linked = in_link = at = 0
+    linked = in_link = at = 0
     free = False
     tag = TAG
+    opened = _Open()
 
     def end() -> None:
         nonlocal linked, free
         text = " ".join("".join(words).split())
         if text:
-            out.append((text, inside > 0, linked, free))
+            out.append(opened.line(text, linked, free))
         words.clear()
         linked, free = 0, False
 
@@ -114,17 +190,17 @@ def lines(html: str, keep_furniture: bool = False) -> list[tuple[str, bool, int,
         closing, name, attributes = bool(m[1]), m[2].lower(), m[3]
         at = m.end()
         empty = attributes.endswith("/")
-        if not closing and not empty and (name in HIDDEN or not keep_furniture and _furniture(name, attributes, inside > 0)):
+        if not closing and not empty and (name in HIDDEN or not keep_furniture and _furniture(name, attributes, bool(opened.inside))):
             if name in BLOCKS:
                 end()
             at = _after(html, at, name, tag)
-            if name in BLOCKS and not keep_furniture and not inside and out and out[-1][0]:
-                out.append(("", False, 0, False))
             continue
         if name in BLOCKS:
             end()
-            if name in ("article", "main"):
-                inside = max(0, inside + (-1 if closing else 1))
+            if closing:
+                opened.leave(name)
+            elif not empty:
+                opened.enter(name)
         elif name in CELLS:
             words.append(" ")
         elif name == "a":
@@ -150,36 +226,81 @@ def _after(html: str, at: int, name: str, tag: re.Pattern) -> int:
     return len(html)
 
 
+def _spoken(found: list[Line]) -> list[bool]:
+    """Whether each line is of readers: those of a region from a heading that announces them to its next heading of no lower level."""
+    out, since = [], {}
+    for x in found:
+        level = int(x.tag[1]) if x.tag in HEADINGS else 9
+        if x.region in since and level <= since[x.region]:
+            del since[x.region]
+        if level < 9 and READERS.fullmatch(x.text):
+            since[x.region] = level
+        out.append(x.region in since)
+    return out
+
+
+def sizes(found: list[Line]) -> list[int]:
+    """What each line counts: its characters outside links, none if more than half are in links or readers speak; more inside articles."""
+    return [0 if speaks or 2 * x.linked > len(x.text) else (len(x.text) - x.linked) * (WEIGHT if x.article else 1) for x, speaks in zip(found, _spoken(found), strict=True)]
+
+
+def window_sums(size: list[int]) -> list[int]:
+    """Sums over WINDOW lines around each; none for an empty line."""
+    half = WINDOW // 2
+    return [sum(size[max(0, i - half) : i + half + 1]) if n else 0 for i, n in enumerate(size)]
+
+
 def main_text(html: str | None) -> str:
     """The blocks between surge and dive points, joined by line feeds."""
     found = lines(html) if html else []
-    if any(inside for _, inside, *_ in found):
-        return "\n".join(text for text, inside, *_ in found if inside)
-    size = [len(text) if 2 * linked <= len(text) else 0 for text, _, linked, _ in found]
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    runs, start = [], None
-    for i, s in enumerate([*sums, 0]):
-        if start is None and s:
-            start = i
-        elif start is not None and not s:
-            runs.append((start, i))
-            start = None
-    surge = [k for k, r in enumerate(runs) if max(sums[r[0] : r[1]]) > SURGE]
-    kept = runs[surge[0] : surge[-1] + 1] if surge else sorted(runs, key=lambda r: -sum(size[r[0] : r[1]]))[:1]
+    size = sizes(found)
+    regions: dict[int, list[int]] = {}
+    for i, x in enumerate(found):
+        regions.setdefault(x.region, []).append(i)
+    sums = {r: window_sums([size[i] for i in at]) for r, at in regions.items()}
+    dense = {r: sum(s) for r, s in sums.items()}
+    if not any(dense.values()):
+        return "\n".join(x.text for x in found if x.free)
+    best = max(dense, key=lambda r: (dense[r], -regions[r][0]))
+    main = sorted(s for s in sums[best] if s)
+    level = LEVEL * main[len(main) // 2]
+    surging = {r for r, s in sums.items() if max(s) > level}
+    head = {r: found[at[0]] for r, at in regions.items()}
+    article = head[best].article
+    if article:
+        # of articles beside it, those with text; what else stands in a main element has to surge
+        beside = {x.article for r, x in head.items() if dense[r] and x.depth == 1} | {article}
+        kept = {r for r, x in head.items() if x.article in beside or r in surging and x.article and x.depth < 2}
+    else:
+        kept = surging | {best}
+        first, last = min(regions[r][0] for r in kept), max(regions[r][-1] for r in kept)
+        for r, at in regions.items():
+            # between the first surge and the last dive, paragraphs in containers of their own; sections beside them
+            if dense[r] and all(found[i].tag in SPOKEN for i in at) and (first < at[0] < last or head[r].holder == "section"):
+                kept.add(r)
+    speaks = _spoken(found)
+    wanted = [i for r in kept for i in regions[r] if size[i]]
+    first, last = min(wanted), max(wanted)
     out = []
-    for a, b in kept:
-        text = [i for i in range(a, b) if size[i]]
-        out += [found[i][0] for i in range(text[0], text[-1] + 1) if size[i] or found[i][3]]
-    return "\n".join(out)
+    for i, x in enumerate(found):
+        if speaks[i] or x.region not in kept:
+            continue
+        if x.article or size[i] or x.tag in HEADINGS or first <= i <= last and (x.free or x.tag in SPOKEN - {"li"}):
+            out.append(i)
+    # a title that stands just before the text, outside its region
+    title = next((i for i in range(first - 1, -1, -1) if found[i].tag == "h1"), None)
+    if title is not None and title not in out and not any(size[i] for i in range(title + 1, first) if i not in out):
+        out.append(title)
+    return "\n".join(found[i].text for i in sorted(out))
 
 
 def visible_text(html: str | None) -> str:
     """All text that a page shows, furniture included, in blocks."""
-    return "\n".join(text for text, *_ in lines(html or "", keep_furniture=True) if text)
+    return "\n".join(x.text for x in lines(html or "", keep_furniture=True))
 
 
-def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with text and n_chars (its code points); columns of these names are replaced."""
+def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of pages (all if None) with text and n_chars (its code points); columns of these names are replaced."""
 
     def make():
         def run(col):
@@ -188,4 +309,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
         return run
 
-    return with_arrow_columns(pages, [html], T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]), make)
+    return with_arrow_columns(pages, [html], T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]), make, keep)
