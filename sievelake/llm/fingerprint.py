@@ -17,6 +17,7 @@ of fewer words has one shingle, the whole. Equal texts have equal fingerprints.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import row_groups, text_bytes, with_arrow_columns
+from .shared import bound_batches
 from .wordhash import shingles, spaced, words_of
 
 WORDS = 5
@@ -83,13 +85,13 @@ def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     return _shared(a, b) / len(a)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", words: int = WORDS, scale: int = SCALE) -> DataFrame:
-    """docs with the fingerprint of each text; a column named ``out`` is replaced."""
+def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", words: int = WORDS, scale: int = SCALE, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all if None) with the fingerprint of each text; a column named ``out`` is replaced."""
 
     def make():
         return lambda col: [pa.array([written(s) for s in sketches(col, words, scale)], pa.string())]
 
-    return with_arrow_columns(docs, [text], T.StructType([T.StructField(out, T.StringType())]), make)
+    return with_arrow_columns(docs, [text], T.StructType([T.StructField(out, T.StringType())]), make, keep)
 
 
 def merged(prints: DataFrame, key: str, fingerprint: str = "fingerprint", scale: int = SCALE) -> DataFrame:
@@ -120,34 +122,61 @@ def merged(prints: DataFrame, key: str, fingerprint: str = "fingerprint", scale:
     return joined.mapInArrow(join, f"{key} {kind}, {fingerprint} string")
 
 
+class Places:
+    """Ranges of the order by (doc_id, hash of the text); a range begins at each bound."""
+
+    def __init__(self, bounds: list[tuple]) -> None:
+        self.bounds = sorted(bounds)
+        self.ids = [i for i, _ in self.bounds]
+        self.array = np.array(self.ids, np.int64) if self.ids and isinstance(self.ids[0], int) else None
+
+    def of(self, ids: list, ties: list[int]) -> np.ndarray:
+        """The range of each row."""
+        if self.array is None:
+            return np.array([bisect.bisect_right(self.bounds, x) for x in zip(ids, ties, strict=True)], np.int32)
+        keys = np.array(ids, np.int64)
+        low, high = np.searchsorted(self.array, keys, "left"), np.searchsorted(self.array, keys, "right")
+        for r in np.flatnonzero(low < high).tolist():  # an id that a range begins with
+            high[r] = bisect.bisect_right(self.bounds, (ids[r], ties[r]), int(low[r]), int(high[r]))
+        return high.astype(np.int32)
+
+
 def _in_order(docs: DataFrame, text: str, doc_id: str, buckets: int) -> DataFrame:
-    """(bucket, lead, doc_id, text): rows in ranges of doc_id, each range followed by the first document of the next (lead)."""
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST))
-    cuts = docs.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else None
-    cuts = np.unique(np.array(cuts or [], np.int64))  # buckets - 1 numbers at most
+    """(bucket, lead, key, tie, doc_id, text): rows in ranges of (doc_id, text hash), each range followed by the first document of the next (lead)."""
+    kind = docs.schema[doc_id].dataType
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    # numbers order as numbers, all else as text by bytes; null comes first
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST)) if whole else F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")
+    order = docs.select(key.alias("key"), F.xxhash64(text).alias("tie"))
+    found = order.repartitionByRange(buckets, "key", "tie").groupBy(F.spark_partition_id()).agg(F.min(F.struct("key", "tie")).alias("first")).collect()  # buckets rows
+    plain = lambda x: (bytes(x["key"]) if not whole else x["key"], x["tie"])
+    bounds = sorted({plain(r["first"]) for r in found})[1:]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(bounds)
         for b in batches:
-            at = np.searchsorted(cuts, b.column(0).to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0)], names=["bucket", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(places.of(b.column(0).to_pylist(), b.column(1).to_pylist())), b.column(0), b.column(1)], names=["bucket", "key", "tie"])
 
-    heads = docs.select(key.alias("key")).mapInArrow(place, "bucket int, key long").groupBy("bucket").agg(F.min("key").alias("key")).collect()  # buckets rows
-    heads = sorted((r["bucket"], r["key"]) for r in heads)
+    sort = "long" if whole else "binary"
+    heads = order.mapInArrow(place, f"bucket int, key {sort}, tie long").groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("first")).collect()  # buckets rows
+    heads = sorted((r["bucket"], plain(r["first"])) for r in heads)
     before = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}  # the range that the document follows
-    first = np.array([k for _, k in heads], np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, led = Places(bounds), set()
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            lead = np.flatnonzero(np.isin(keys, first))
-            for at, leads, bucket in ((np.arange(len(keys)), 0, np.searchsorted(cuts, keys, side="left")), (lead, 1, np.array([before[int(k)] for k in keys[lead]], np.int64))):
-                if len(at):
-                    part = b if not leads else b.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(at), leads, np.int8)), *part.columns], names=["bucket", "lead", "key", "tie", "doc_id", "text"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
+            keys, ties = b.column(0).to_pylist(), b.column(1).to_pylist()
+            lead = []
+            for r, k in enumerate(zip(keys, ties, strict=True)):
+                if k in before and k not in led:  # of equal rows one is enough
+                    led.add(k)
+                    lead.append(r)
+            for part, leads, bucket in ((b, 0, places.of(keys, ties)), (b.take(pa.array(lead, pa.int64())), 1, np.array([before[keys[r], ties[r]] for r in lead], np.int32))):
+                if part.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(part.num_rows, leads, np.int8)), *part.columns], names=["bucket", "lead", "key", "tie", "doc_id", "text"])
+
     rows = docs.select(key.alias("key"), F.xxhash64(text).alias("tie"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(spread, f"bucket int, lead tinyint, key long, tie long, doc_id {kind}, text string")
+    return rows.mapInArrow(spread, f"bucket int, lead tinyint, key {sort}, tie long, doc_id {kind.simpleString()}, text string")
 
 
 def against_edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, scale: int = SCALE) -> DataFrame:
@@ -155,11 +184,14 @@ def against_edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     The edited text has the last quarter (floor of code points) replaced by as
     many of the first code points of the next document in ascending doc_id;
-    after the last comes the first, and a lone document follows itself. Rows
-    of one doc_id are ordered by a hash of their texts. Texts are shuffled once,
-    in ranges of doc_id.
+    after the last comes the first, and a lone document follows itself. Ids that
+    are no integers are ordered as text, by bytes; null comes first. Rows of one
+    doc_id are ordered by a hash of their texts, and ranges are of both, so that
+    one id's rows, if their texts differ, are dealt over many. Texts are
+    shuffled once. Columns other than these two are left out.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _in_order(docs, text, doc_id, 8 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket", "lead", "key", "tie").select("lead", "doc_id", "text")
     kind = docs.schema[doc_id].dataType
