@@ -18,12 +18,18 @@ lacks, so x and y can reach the threshold only if both reach it with P, and
 then P already connects them. What is left are members whose differences share
 a shingle: they are joined on (P, shingle) by prefixes of the differences,
 bounded by what the counts alone allow, and only across components that aren't
-connected yet. So copies of one text cost a number of pairs in proportion to
+connected yet. Where very many share a shingle, they are again compared to one
+of them first. So copies of one text cost a number of pairs in proportion to
 their number, and no link between different components is lost.
 
+Partitioning: tokens of very many groups are salted in every join; a pivot's
+set is sent once to each part of its members, not with each member.
+
 Results: texts without words, and null, have an empty set and link with
 nothing. Rows with equal sets are linked. A text of fewer words than a shingle
-has one shingle, the whole. Sets are compared by 64-bit hashes.
+has one shingle, the whole. Sets are compared by 64-bit hashes. Only the id
+and text columns are read; ``one_of_each_class`` returns all columns as they
+are, whatever their names, and takes rows of one id by their texts.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ from pyspark.sql import types as T
 
 from .arrow import text_bytes, with_arrow_columns
 from .components import components
-from .shared import cut
+from .shared import bound_batches, cut, unused
 from .wordhash import U, shingles, spaced, words_of
 
 #: Counters of the sketch that orders shingles, and how many go in a row of it.
@@ -49,6 +55,10 @@ COUNTERS, STRIP = 1 << 20, 1 << 12
 PARTS = 128
 #: Buckets of so many groups have their pairs listed; larger ones go by a pivot.
 FEW = 4
+#: Members of a bucket of differences whose pairs are listed; larger ones go by a pivot first, so many times at most.
+CLOSE, ROUNDS = 64, 6
+#: A token of more groups than HOT is dealt over SALTS parts; a pivot has a part for each MEMBERS members.
+HOT, SALTS, MEMBERS = 500, 64, 1024
 #: Bits of the filter that tells which documents' sets are needed for verification.
 FILTER_BITS = 1 << 23
 
@@ -106,7 +116,7 @@ def _signed(x: int) -> int:
 
 
 def nodes_of(docs: DataFrame, sent, text: str, doc_id: str, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, node, prefix_hash, central, unit, parts, prefix) of each row; node stands for the set, 0 if it is empty.
+    """(doc_id, text_hash, n, node, prefix_hash, central, unit, parts, prefix) of each row; node stands for the set, 0 if it is empty.
 
     parts has a byte for each part of the hash range: the shingles there over unit, rounded up.
     """
@@ -115,7 +125,7 @@ def nodes_of(docs: DataFrame, sent, text: str, doc_id: str, k: int, num: int, de
         counts = sent.value
         for b in batches:
             n, node, prefix_hash, central, unit, parts, prefix = [], [], [], [], [], [], []
-            for _, s in _sets(b.column(1), k):
+            for _, s in _sets(b.column(2), k):
                 first = _first(s, counts, len(s) - -(-num * len(s) // den) + 1) if len(s) else s
                 n.append(len(s))
                 node.append(_signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else 0)
@@ -127,12 +137,12 @@ def nodes_of(docs: DataFrame, sent, text: str, doc_id: str, k: int, num: int, de
                 parts.append((-(-count // u)).astype(np.uint8).tobytes())
                 prefix.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(prefix_hash, pa.int64()), pa.array(central, pa.int32()), pa.array(unit, pa.int32()), pa.array(parts, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "prefix_hash", "central", "unit", "parts", "prefix"],
+                [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(prefix_hash, pa.int64()), pa.array(central, pa.int32()), pa.array(unit, pa.int32()), pa.array(parts, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "node", "prefix_hash", "central", "unit", "parts", "prefix"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n int, node long, prefix_hash long, central int, unit int, parts binary, prefix array<long>")
+    return docs.select(doc_id, F.xxhash64(text), text).mapInArrow(run, f"doc_id {kind}, text_hash long, n int, node long, prefix_hash long, central int, unit int, parts binary, prefix array<long>")
 
 
 def _filter(slots: DataFrame) -> np.ndarray:
@@ -149,25 +159,36 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def _dealt(df: DataFrame, hot: str) -> DataFrame:
+    """df once for each salt that rows of its token can have: all salts if the column ``hot`` is true, else -1."""
+    return df.withColumn("salt", F.explode(F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))))
+
+
 def shared_index(groups: DataFrame) -> DataFrame:
-    """(token, g, n, central, several) of the prefix shingles that more than one group has."""
+    """(token, salt, g, n, central, several) of the prefix shingles that more than one group has; salt is -1 but for tokens of very many groups."""
     spark = groups.sparkSession
-    tokens = cut(groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
-    sent = spark.sparkContext.broadcast(_filter(tokens.select(F.col("token").bitwiseAND(FILTER_BITS - 1))))
+    slot = F.col("token").bitwiseAND(FILTER_BITS - 1)
+    tokens = cut(groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").withColumn("slot", slot))
+    hot = tokens.where(F.col("c") > HOT).select("slot").distinct()
+    # whether a token is dealt out follows from its slot on both sides, so that they agree on tokens that share one
+    sent = spark.sparkContext.broadcast((_filter(tokens.select("slot")), _filter(hot)))
+    tokens = _dealt(tokens.join(hot.withColumn("hot", F.lit(True)), "slot", "left"), "hot").select("token", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Prefixes less most of the shingles that no other group has, so that these aren't shuffled again."""
-        bits = sent.value
+        bits, hot_bits = sent.value
         for b in batches:
             prefix = b.column(4)
             flat = prefix.flatten().to_numpy(zero_copy_only=False)
             at = np.repeat(np.arange(len(prefix)), np.diff(prefix.offsets.to_numpy()))
-            hit = _passes(bits, flat & (FILTER_BITS - 1))
-            at = pa.array(at[hit])
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(4)), pa.array(flat[hit])], names=["g", "n", "central", "several", "token"])
+            h = flat & (FILTER_BITS - 1)
+            hit = _passes(bits, h)
+            salt = np.where(_passes(hot_bits, h[hit]), b.column(0).to_numpy()[at[hit]] % SALTS, -1).astype(np.int32)
+            rows = pa.array(at[hit])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in range(4)), pa.array(flat[hit]), pa.array(salt)], names=["g", "n", "central", "several", "token", "salt"])
 
-    index = groups.select("g", "n", "central", "several", "prefix").mapInArrow(run, "g long, n int, central int, several boolean, token long")
-    return index.join(tokens, "token").select("token", "g", "n", "central", "several")
+    index = groups.select("g", "n", "central", "several", "prefix").mapInArrow(run, "g long, n int, central int, several boolean, token long, salt int")
+    return index.join(tokens, ["token", "salt"]).select("token", "salt", "g", "n", "central", "several")
 
 
 def _possible(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -194,15 +215,16 @@ def candidate_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """
     groups = cut(rows.groupBy("n", "prefix_hash").agg(F.min("node").alias("g"), (F.min("node") < F.max("node")).alias("several"), F.max("central").alias("central"), F.first("unit").alias("unit"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix")))
     band = F.floor(F.log("n") / (np.log(den / num) * (1 + 1e-9)))
-    index = shared_index(groups).withColumn("band", F.explode(F.array(band, band + 1)))
-    bucket = ["token", "band"]
-    size = index.groupBy(*bucket).agg(F.max("central").alias("top"), F.count("*").alias("c"), F.max("several").alias("any_several")).where("c > 1")
-    index = cut(index.join(size.withColumn("few", (F.col("c") <= FEW) & ~F.col("any_several")).drop("c", "any_several"), bucket).select(*bucket, "g", "few", (F.col("central") == F.col("top")).alias("top")))
-    few, many = index.where("few").select(*bucket, "g"), index.where("not few")
-    listed = few.join(few.select(*bucket, F.col("g").alias("p")), bucket).where("g < p").select("g", "p").distinct()
+    index = cut(shared_index(groups).withColumn("band", F.explode(F.array(band, band + 1))))
+    bucket = ["token", "band", "salt"]
+    most = F.max(F.struct("central", (-F.col("g")).alias("g")))  # the most central, of these the smallest
+    size = index.groupBy("token", "band").agg(most.alias("most"), F.count("*").alias("c"), F.max("several").alias("any_several"), (F.max("salt") >= 0).alias("hot")).where("c > 1")
+    size = _dealt(size.select("token", "band", (-F.col("most.g")).alias("p"), ((F.col("c") <= FEW) & ~F.col("any_several")).alias("few"), "hot"), "hot").drop("hot")
+    index = cut(index.select(*bucket, "g").join(size, bucket))
+    few = index.where("few").select(*bucket, "g")
+    listed = few.join(few.select("token", "band", F.col("g").alias("p")), ["token", "band"]).where("g < p").select("g", "p").distinct()
     listed = _possible(listed, groups, num, den).select(F.col("g").alias("x"), "p")
-    pivot = many.where("top").groupBy(*bucket).agg(F.min("g").alias("p"))
-    pairs = many.select(*bucket, "g").join(pivot, bucket).select("g", "p").distinct()
+    pairs = index.where("not few").select("g", "p").distinct()
     member = cut(rows.select("node", "n", "prefix_hash").distinct().join(groups.select("n", "prefix_hash", "g", "several"), ["n", "prefix_hash"]).select("node", "g", "several"))
     own = member.where("several").select(F.col("node").alias("x"), F.col("g").alias("p"))
     return pairs.join(member, "g").select(F.col("node").alias("x"), "p").union(own).union(listed).where("x <> p").distinct()
@@ -211,6 +233,7 @@ def candidate_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
     """(node, set, pivot) of the wanted (doc_id, pivot), and of few others; a set can come more than once."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((_filter(wanted.select(slot("doc_id"))), _filter(wanted.where("pivot").select(slot("doc_id")))))
     rows = docs.select(F.col(text).alias("text"), slot(doc_id).alias("h"))
 
@@ -239,37 +262,56 @@ VERIFIED = "x long, p long, linked boolean, n long, n_p long, lacks long, has lo
 
 
 def verify(pairs: DataFrame, sets: DataFrame, pivots: DataFrame, sent, num: int, den: int, differences: bool) -> DataFrame:
-    """Overlap of the whole sets of each pair (x, p); with differences, the first shingles that x has beside p and that it lacks of p."""
-    both = pairs.join(pivots.select(F.col("node").alias("p"), F.col("set").alias("sp")), "p").join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x").select("x", "p", "sx", "sp")
+    """Overlap of the whole sets of each pair (x, p); with differences, the first shingles that x has beside p and that it lacks of p.
+
+    The members of each p are dealt over parts of about MEMBERS; p's set goes once to each part, ahead of its members.
+    """
+    deal = pairs.groupBy("p").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    members = pairs.join(deal, "p").select("x", "p", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"))
+    members = members.join(sets.select(F.col("node").alias("x"), "set"), "x").select("p", "part", F.lit(1).alias("kind"), "x", "set")
+    heads = pivots.select(F.col("node").alias("p"), "set").join(deal, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("p").alias("x"), "set")
+    both = heads.unionByName(members).repartition("p", "part").sortWithinPartitions("p", "part", "kind").select("p", "kind", "x", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value if differences else None
+        here, p = None, np.zeros(0, np.uint64)
         for b in batches:
-            out = [[] for _ in range(7)]
-            for sx, sp in zip(b.column(2), b.column(3), strict=True):
-                x, p = np.frombuffer(sx.as_buffer(), np.uint64), np.frombuffer(sp.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(p, x), len(p) - 1)
-                common = p[at] == x
+            at, out = [], [[] for _ in range(7)]
+            for r, (pivot, kind, held) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True)):
+                s = np.frombuffer(held.as_buffer(), np.uint64)
+                if not kind:
+                    here, p = pivot, s.copy()
+                    continue
+                if pivot != here:
+                    continue  # its set isn't among the pivots'
+                place = np.minimum(np.searchsorted(p, s), len(p) - 1)
+                common = p[place] == s
                 o = int(common.sum())
-                linked = den * o >= num * (len(x) + len(p) - o)
-                has = lacks = x[:0]
+                linked = den * o >= num * (len(s) + len(p) - o)
+                has = lacks = s[:0]
                 if differences:
-                    most = len(x) * (den - num) // num + 1
-                    has = _first(x[~common], counts, most)
+                    most = len(s) * (den - num) // num + 1
+                    has = _first(s[~common], counts, most)
                     if len(has) < most:
                         rest = np.ones(len(p), bool)
-                        rest[at[common]] = False
+                        rest[place[common]] = False
                         lacks = _first(p[rest], counts, most - len(has))
-                for c, v in zip(out, (linked, len(x), len(p), len(p) - o, len(x) - o, has.view(np.int64), lacks.view(np.int64)), strict=True):
+                at.append(r)
+                for c, v in zip(out, (linked, len(s), len(p), len(p) - o, len(s) - o, has.view(np.int64), lacks.view(np.int64)), strict=True):
                     c.append(v)
+            rows = pa.array(at, pa.int64())
             kinds = [pa.bool_(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["x", "p", "linked", "n", "n_p", "lacks", "has", "has_first", "lacks_first"])
+            yield pa.RecordBatch.from_arrays([b.column(2).take(rows), b.column(0).take(rows), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["x", "p", "linked", "n", "n_p", "lacks", "has", "has_first", "lacks_first"])
 
     return both.mapInArrow(run, VERIFIED).dropDuplicates(["x", "p"])
 
 
-def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members of different components whose differences from a common pivot share a shingle, as far as counts allow the threshold."""
+def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int, close: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of members of different components whose differences from a common pivot share a shingle, as far as counts allow the threshold.
+
+    Two tables: the pairs of buckets of at most ``close`` members, listed; and of
+    larger buckets each member with one of them, which is to be a pivot again.
+    """
     of = verified.groupBy("p").agg(F.count("*").alias("members"), F.min(F.col("linked").cast("int")).alias("all_linked"), F.min("n").alias("least_n")).where("members > 1 and all_linked = 0")
     rows = verified.join(of.select("p", "least_n"), "p").join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     lone = (num + den) * (F.col("n_p") - F.col("lacks")) >= num * (F.col("n") + F.col("least_n"))  # can reach a member without sharing what it has beside p
@@ -278,9 +320,12 @@ def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int)
         F.when(lone, F.transform("lacks_first", lambda t: F.struct(t.alias("token"), F.lit(False).alias("beside")))).otherwise(F.array()),
     )
     index = rows.select("p", "x", "root", "linked", "n", "n_p", "lacks", "has", F.explode(tokens).alias("t")).select("p", "x", "root", "linked", "n", "n_p", "lacks", "has", "t.token", "t.beside")
-    mixed = index.groupBy("p", "token", "beside").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.col("linked").cast("int")).alias("all_linked")).where("r0 <> r1 and all_linked = 0")
-    index = cut(index.join(mixed.select("p", "token", "beside"), ["p", "token", "beside"]))
-    a, b = index.where("not linked").alias("a"), index.alias("b")
+    bucket = ["p", "token", "beside"]
+    mixed = index.groupBy(*bucket).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.col("linked").cast("int")).alias("all_linked"), F.count("*").alias("c"), F.max(F.struct("n", (-F.col("x")).alias("x"))).alias("q")).where("r0 <> r1 and all_linked = 0")
+    index = cut(index.join(mixed.select(*bucket, (F.col("c") > close).alias("large"), (-F.col("q.x")).alias("q")), bucket))
+    large = index.where("large").select("x", F.col("q").alias("p")).where("x <> p").distinct()
+    small = index.where("not large")
+    a, b = small.where("not linked").alias("a"), small.alias("b")
     overlap = F.col("a.n_p") - F.greatest("a.lacks", "b.lacks") + F.when(F.col("a.beside"), F.least("a.has", "b.has")).otherwise(0)
     can = (
         (F.col("a.p") == F.col("b.p"))
@@ -291,13 +336,14 @@ def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int)
         & (den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n"))
         & ((num + den) * overlap >= num * (F.col("a.n") + F.col("b.n")))
     )
-    return a.join(b, can).select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("p")).distinct()
+    return a.join(b, can).select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("p")).distinct(), large
 
 
-def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs: the size of its set and the smallest doc_id that links of at least percent reach."""
+def _classes(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, node) of each row, and (node, root): the smallest node that links reach from it."""
     num, den = percent, 100
     spark = docs.sparkSession
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(frequencies(docs, text, k))
     rows = cut(nodes_of(docs, sent, text, doc_id, k, num, den))
     pairs = cut(candidate_pairs(rows.where("n > 0"), num, den))
@@ -306,10 +352,28 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "te
     sets = cut(sets_of(docs, least.join(ends, "node").select("doc_id", "pivot"), text, doc_id, k))
     verified = cut(verify(pairs, sets, sets.where("pivot"), sent, num, den, True))
     links = verified.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
-    more = cut(difference_pairs(verified, components(links), num, den))
-    links = links.union(verify(more, sets, sets, sent, num, den, False).where("linked").select("x", "p"))
     roots = components(links)
-    of = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for r in range(ROUNDS + 1):
+        listed, large = difference_pairs(verified, roots, num, den, CLOSE if r < ROUNDS else 1 << 62)
+        more = verify(cut(listed), sets, sets, sent, num, den, False).where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
+        again = r < ROUNDS and not large.isEmpty()
+        if again:
+            verified = cut(verify(cut(large), sets, sets, sent, num, den, True))
+            more = more.union(verified.where("linked").select("x", "p"))
+        more = cut(more)
+        # what was linked before is there as each node's root
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        if not again:
+            break
+    sent.unpersist()
+    every = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "text_hash", "n", "node"), every
+
+
+def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs: the size of its set and the smallest doc_id that links of at least percent reach."""
+    rows, roots = _classes(docs, k, percent, text, doc_id)
+    of = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node")
     smallest = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = of.select("node", "root").join(smallest, "root").select("node", "component_id")
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(classes, "node", "left")
@@ -317,23 +381,37 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "te
 
 
 def one_of_each_class(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each class: that of the smallest doc_id. Rows with null doc_id or without words stay.
+    """docs with one row of each class: that of the smallest doc_id, of equal ids that of the smallest text hash. Rows with null doc_id or without words stay.
 
-    A broadcast bit table of fixed size, of the ids that go or repeat, tells
-    which rows can be affected; only those are shuffled and joined exactly.
+    A broadcast bit table of fixed size, of the (id, text) pairs that go or
+    repeat, tells which rows can be affected; only those are shuffled and
+    joined exactly.
     """
-    classes = cut(near_classes(docs, k, percent, text, doc_id).where(F.col(doc_id).isNotNull()))
-    gone = classes.where((F.col("n_shingles") > 0) & (F.col(doc_id) != F.col("component_id"))).select(doc_id).distinct()
-    again = classes.where("n_shingles > 0").groupBy(doc_id).agg(F.count("*").alias("c")).where("c > 1").select(doc_id)
-    slot = F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(gone.union(again).select(slot)))
+    rows, roots = _classes(docs, k, percent, text, doc_id)
+    rows = rows.where("n > 0 and doc_id is not null").groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("c"))
+    key = F.struct("doc_id", "text_hash")
+    of = rows.groupBy("node").agg(F.min(key).alias("first")).join(roots, "node")
+    first = of.groupBy("root").agg(F.min("first").alias("first"))
+    of = of.select("node", "root").join(first, "root").select("node", "first")
+    # a third of all rows can have one node: classes are small on the other side, and Spark splits the large one
+    wrong = cut(rows.join(of, "node").select("doc_id", "text_hash", (key != F.col("first")).alias("goes"), "c").where("goes or c > 1"))
+    names = [unused(docs, n) for n in ("_hash", "_slot", "_maybe")]
+    text_hash, slot, maybe = names
+    slots = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(FILTER_BITS))
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(wrong.select(slots)))
 
     def make():
         return lambda h: [pa.array(_passes(sent.value, h.to_numpy(zero_copy_only=False).astype(np.int64)))]
 
-    rows = with_arrow_columns(docs.withColumn("_slot", slot), ["_slot"], T.StructType([T.StructField("_maybe", T.BooleanType())]), make)
-    rows = rows.withColumn("_maybe", F.col("_maybe") & F.col(doc_id).isNotNull())
-    maybe = rows.where("_maybe").join(gone, doc_id, "left_anti").join(again.withColumn("_again", F.lit(True)), doc_id, "left")
-    once = maybe.where("_again is null").select(*docs.columns)
-    first = maybe.where("_again").dropDuplicates([doc_id, text]).select(*docs.columns)
-    return rows.where("not _maybe").select(*docs.columns).unionByName(once).unionByName(first)
+    marked = docs.withColumn(text_hash, F.xxhash64(text)).withColumn(slot, F.pmod(F.xxhash64(doc_id, text_hash), F.lit(FILTER_BITS)))
+    marked = with_arrow_columns(marked, [slot], T.StructType([T.StructField(maybe, T.BooleanType())]), make)
+    known = F.col(maybe) & F.col(doc_id).isNotNull()
+    rest = marked.where(~known).select(*docs.columns)
+    left = marked.where(known)
+    on = (left[doc_id] == wrong["doc_id"]) & (left[text_hash] == wrong["text_hash"])
+    left = left.join(wrong.where("goes"), on, "left_anti")
+    copies = wrong.where("not goes").select("doc_id", "text_hash")
+    on = (left[doc_id] == copies["doc_id"]) & (left[text_hash] == copies["text_hash"])
+    once = left.join(copies, on, "left_anti").select(*docs.columns)
+    one = left.join(copies, on, "left_semi").dropDuplicates([doc_id, text_hash]).select(*docs.columns)
+    return rest.unionByName(once).unionByName(one)
