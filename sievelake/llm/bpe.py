@@ -10,7 +10,7 @@ megabytes takes time in proportion to its length. The distinct pre-tokens of a
 batch that are not in the task's memo share one list; links end at each
 pre-token's border, so none influences another.
 
-Results: null and empty text give no ids. Decoding gives the bytes of the text
+Results: null and empty text give no ids, and repeated rows equal ones. Decoding gives the bytes of the text
 again; an id outside the vocabulary raises ValueError.
 """
 
@@ -218,8 +218,8 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return with_arrow_columns(df, [ids], T.StructType([T.StructField(out, T.BinaryType())]), make)
 
 
-def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256: encode, then decode, in one pass that keeps no ids.
+def digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of df (all if None) with n_tokens, ids_sha256 and decoded_sha256: encode, then decode, in one pass that keeps no ids.
 
     ids_sha256 is of the decimal ids joined by one space. Columns of these names are replaced.
     """
@@ -240,4 +240,4 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
 
         return run
 
-    return with_arrow_columns(df, [text], new, make)
+    return with_arrow_columns(df, [text], new, make, keep)

@@ -27,22 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import text_bytes, with_arrow_columns
-from .shared import cut
+from .arrow import text_bytes, where_arrow, with_arrow_columns
+from .shared import cut, unused
 from .wordhash import U, alphanumeric, runs, words_of
 
 MOST_BYTES = 8 << 20
 SHIFT = U(44)
 
-STATE = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("hit_spans", T.ArrayType(T.LongType())),
-        T.StructField("item_ids", T.ArrayType(T.StringType())),
-    ]
-)
-
-
 class Windows:
     """The windows of benchmark items, by length and hash."""
 
@@ -116,14 +107,19 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most_bytes: int) -> list
     return [items] if k <= 1 else [items.where(F.pmod(F.xxhash64("id", "text"), F.lit(k)) == b) for b in range(k)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """docs with n_words, n_hit (words inside any occurrence of a window), item_ids (sorted as strings) and contaminated.
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", most_bytes: int = MOST_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all if None) with n_words, n_hit (words inside any occurrence of a window), item_ids (sorted as strings) and contaminated.
 
-    Columns of these names are replaced.
+    Columns of these names are replaced; all others stay.
     """
     spark = docs.sparkSession
-    df = docs.drop("hit_spans")
-    for b, part in enumerate(_blocks(benchmark, item, item_text, most_bytes)):
+    spans_of = unused(docs, "hit_spans")
+    state = ["n_words", spans_of, "item_ids"]
+    new = T.StructType([T.StructField("n_words", T.LongType()), T.StructField(spans_of, T.ArrayType(T.LongType())), T.StructField("item_ids", T.ArrayType(T.StringType()))])
+    parts = _blocks(benchmark, item, item_text, most_bytes)
+    df = docs.drop("n_hit", "contaminated")
+    keep = None if keep is None else [c for c in keep if c in df.columns]
+    for b, part in enumerate(parts):
         sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about most_bytes
         more = b > 0
 
@@ -147,14 +143,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
 
         if more:
             df = cut(df)  # one block's windows in memory at a time
-        df = with_arrow_columns(df, [text, *(["n_words", "hit_spans", "item_ids"] if more else [])], STATE, make)
-    ends = F.aggregate("hit_spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")), lambda a: a["sum"])
-    return df.withColumn("n_hit", ends).withColumn("contaminated", F.col("n_hit") > 0).drop("hit_spans")
+        df = with_arrow_columns(df, [text, *(state if more else [])], new, make, keep if b + 1 == len(parts) else None)
+    ends = F.aggregate(spans_of, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")), lambda a: a["sum"])
+    out = df.withColumn("n_hit", ends)
+    return out.withColumn("contaminated", F.col("n_hit") > 0).drop(spans_of)
+
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The documents in which no benchmark window occurs, as they are, whatever their columns' names."""
+    spark, df = docs.sparkSession, docs
+    for b, part in enumerate(_blocks(benchmark, item, item_text, most_bytes)):
+        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about most_bytes
+
+        def make(sent=sent):
+            windows = Windows(sent.value, n)
+            return lambda col: [not items for _, _, items, _ in windows.scan(*text_bytes(col))]
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents in which no benchmark window occurs, with the columns of docs."""
-    return scan(docs, benchmark, **how).where(~F.col("contaminated")).select(*docs.columns)
+        df = where_arrow(cut(df) if b else df, [text], make)
+    return df
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:

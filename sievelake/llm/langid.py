@@ -12,7 +12,8 @@ Results: null texts and texts without a letter are ``und`` with score 0, as is
 every text if nothing was learned. The score is 1 less the distance over the
 largest possible distance. Equal counts rank by code points, equal distances
 go to the language first in alphabetical order. Rows without language aren't
-learned from.
+learned from. Columns of the result's names are replaced, others stay;
+``in_known_language`` replaces none. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import row_groups, text_bytes, with_arrow_columns
+from .arrow import row_groups, text_bytes, where_arrow, with_arrow_columns
+from .shared import bound_batches
 
 SIZE = 300
 UNKNOWN = "und"
@@ -132,6 +134,7 @@ def gram_key(gram: str) -> int:
 
 def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = SIZE) -> dict[str, list[str]]:
     """Each language's most frequent n-grams, in order, over all rows that have text and language."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,21 +202,41 @@ class Profiles:
         return [self.langs[b] if g else UNKNOWN for b, g in zip(best, grams, strict=True)], np.where(grams > 0, score, 0.0)
 
 
-def identify(docs: DataFrame, of: dict[str, list[str]], text: str = "text", size: int = SIZE) -> DataFrame:
-    """docs with lang_pred and score; columns of these names are replaced."""
+def identify(docs: DataFrame, of: dict[str, list[str]], text: str = "text", size: int = SIZE, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all if None) with lang_pred and score; columns of these names are replaced."""
     new = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def make():
         known = Profiles(of, size)
 
         def run(col):
-            langs, scores = [], [np.zeros(0)]
-            for _, texts in _slices(col):
-                a, b = known.predict(texts)
-                langs += a
-                scores.append(b)
-            return [pa.array(langs, pa.string()), pa.array(np.concatenate(scores))]
+            langs, scores = _predicted(known, col)
+            return [pa.array(langs, pa.string()), pa.array(scores)]
 
         return run
 
-    return with_arrow_columns(docs, [text], new, make)
+    return with_arrow_columns(docs, [text], new, make, keep)
+
+
+def in_known_language(docs: DataFrame, of: dict[str, list[str]], least: float, text: str = "text", size: int = SIZE) -> DataFrame:
+    """The rows of docs with a language whose score is ``least`` or more, as they are, whatever their columns' names."""
+
+    def make():
+        known = Profiles(of, size)
+
+        def run(col):
+            langs, scores = _predicted(known, col)
+            return (np.array(langs, object) != UNKNOWN) & (scores >= least)
+
+        return run
+
+    return where_arrow(docs, [text], make)
+
+
+def _predicted(known: Profiles, col: pa.Array) -> tuple[list[str], np.ndarray]:
+    langs, scores = [], [np.zeros(0)]
+    for _, texts in _slices(col):
+        a, b = known.predict(texts)
+        langs += a
+        scores.append(b)
+    return langs, np.concatenate(scores)

@@ -25,11 +25,11 @@ def tokenizer() -> tuple[str, str]:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", quality.held_out("doc_id", 3, 1))
     labels = table(spark, sf_dir, "labels").where(~quality.held_out("doc_id", 3, 1))
-    return quality.score(docs, quality.train(docs, labels)).drop("text")
+    return quality.score(docs, quality.train(docs, labels), keep=["doc_id", "held_out"])
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_main.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+    return html_main.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
 def op3_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +38,12 @@ def op3_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = licences.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.withColumn("licences", F.concat_ws(",", "licences"))
 
 
@@ -60,13 +60,13 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *tokenizer()).drop("text")
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *tokenizer(), keep=["doc_id"])
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", quality.held_out("doc_id", 4, 2))
     learned = langid.profiles(docs.where(F.col("doc_id").isNotNull() & ~F.col("held_out")))
-    return langid.identify(docs.select("doc_id", "held_out", "text"), learned).drop("text")
+    return langid.identify(docs.select("doc_id", "held_out", "text"), learned, keep=["doc_id", "held_out"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

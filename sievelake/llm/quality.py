@@ -11,6 +11,7 @@ driver. Scoring covers every row.
 Results: null and empty texts have all-zero statistics and a score like any
 other. A doc_id with several labels has their mean as its target. Without
 labelled documents every score is 0.5. Repeated rows get equal scores.
+``accepted`` keeps all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import text_bytes, with_arrow_columns
+from .arrow import text_bytes, where_arrow, with_arrow_columns
 from .wordhash import spaced, words_of
 
 #: The most labelled documents that train the classifier.
@@ -146,7 +147,7 @@ def _features(docs: DataFrame, text: str, out: str) -> DataFrame:
 
         return run
 
-    return with_arrow_columns(docs, [text], T.StructType([T.StructField(out, T.ArrayType(T.DoubleType()))]), make)
+    return with_arrow_columns(docs, [text], T.StructType([T.StructField(out, T.ArrayType(T.DoubleType()))]), make, [c for c in docs.columns if c != text])
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", most_rows: int = MOST_ROWS) -> Trees:
@@ -158,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return boost(np.array([r["_f"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["_y"] for r in rows], float))
 
 
-def score(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5 on); columns of these names are replaced."""
+def score(docs: DataFrame, trees: Trees, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all if None) with score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5 on); columns of these names are replaced."""
     new = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def make():
@@ -169,7 +170,12 @@ def score(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
 
         return run
 
-    return with_arrow_columns(docs, [text], new, make)
+    return with_arrow_columns(docs, [text], new, make, keep)
+
+
+def accepted(docs: DataFrame, trees: Trees, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is ``least`` or more, as they are."""
+    return where_arrow(docs, [text], lambda: lambda col: trees.score(statistics(*text_bytes(col))) >= least)
 
 
 def held_out(doc_id: str, modulus: int, remainder: int):

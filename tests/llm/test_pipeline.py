@@ -65,14 +65,54 @@ def test_stages_over_documents(spark, tmp_path):
         assert (got[i]["n_tokens"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(t.encode()).hexdigest())
 
 
+CLASH = {"score": "c1", "predicted": "c2", "lang_pred": "c3", "n_words": "c4", "n_hit": "c5", "item_ids": "c6", "contaminated": "c7", "hit_spans": "c8", "node": "c9", "_maybe": "c10", "n_tokens": "c11"}
+
+
 def test_stages_over_odd_documents(spark):
     docs = llm_queries.table(spark, DIR, "documents")
-    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0), (-2, None, "en", None, 0), (-3, "12 34", None, "s", 5), (-4, "Is and of the", "en", "s", 9), (-4, "Is and of the", "en", "s", 9)], docs.schema)
-    both = docs.limit(60).unionByName(odd).withColumns({"score": F.lit("clash"), "node": F.lit(1), "lang_pred": F.lit(2)})
-    for _, stage in corpus_pipeline.STAGES:
-        got = stage(spark, both, DIR)
-        assert got.count() > 0
+    item = llm_queries.table(spark, DIR, "benchmark").orderBy("item_id").first()["text"]
+    good = docs.join(llm_queries.table(spark, DIR, "labels").where("quality = 1"), "doc_id").where("n_chars > 800").orderBy("doc_id").select(docs.columns).first()["text"]
+    rows = {"null id": (None, good), "empty": (-1, ""), "null text": (-2, None), "digits": (-3, "12 34"), "a": (-4, good), "a again": (-4, good), "another text of its id": (-4, good[::-1]), "near": (-5, good + " end"), "long": (-6, "word " * 300_000), "leak": (-7, f"{good[:200]} {item}")}
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows.values()], docs.schema)
+    both = docs.where("doc_id % 4 = 0").unionByName(odd).withColumns({k: F.lit(v) for k, v in CLASH.items()})
+    count = lambda df: df.groupBy("doc_id", "text").count().collect()
+    before = {(x[0], x[1]): x[2] for x in count(both)}
+    for name, stage in corpus_pipeline.STAGES:
         assert not stage(spark, both.where("false"), DIR).collect()
+        out = stage(spark, both, DIR)
+        if name == "tokens":
+            assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            got = {x["doc_id"]: x for x in out.collect()}
+            assert got[-1]["n_tokens"] == got[-2]["n_tokens"] == 0 and got[-6]["decoded_sha256"] == hashlib.sha256(b"word " * 300_000).hexdigest()
+            assert out.count() == sum(before.values())
+            continue
+        assert out.columns == both.columns
+        assert {tuple(x) for x in out.select(*CLASH).distinct().collect()} == {tuple(CLASH.values())}
+        after = {(x[0], x[1]): x[2] for x in count(out)}
+        assert all(before[k] >= n for k, n in after.items())
+        if name == "quality":
+            assert after[None, good] == 1 and after[-4, good] == 2
+        if name == "language":
+            assert not {rows[k] for k in ("empty", "null text", "digits")} & set(after)
+            assert after[-4, good] == 2
+        if name == "near_duplicates":
+            # -5 has the smallest id of its class; the rows of id -4 with its text go, that with another text stays
+            assert rows["near"] in after and (-4, good) not in after and after[-4, good[::-1]] == 1
+            assert after[-1, ""] == after[-2, None] == after[None, good] == 1
+        if name == "decontamination":
+            assert rows["leak"] not in after and after[-4, good] == 2 and after[-2, None] == 1 and after[-6, rows["long"][1]] == 1
+
+
+def test_run_leaves_one_table_behind(spark):
+    import pathlib
+
+    from sievelake.llm.shared import shared_folder
+
+    known = set(pathlib.Path(shared_folder(spark).removeprefix("file://")).glob("corpus-pipeline-*"))
+    out = corpus_pipeline.run(spark, DIR)
+    assert out.count() > 0
+    (own,) = set(pathlib.Path(shared_folder(spark).removeprefix("file://")).glob("corpus-pipeline-*")) - known
+    assert [x.name for x in own.iterdir()] == ["3-decontamination"]
 
 
 def test_language_stage_drops_noise_and_other_languages(spark):
