@@ -10,7 +10,8 @@
 5. tokens: each document's byte-level BPE ids, with the digests of ids and of
    the decoded bytes.
 
-Stages 1 to 4 return the columns of documents, in their order. Null texts have
+Stages 1 to 4 return the rows that stay with all columns of documents as they
+are, whatever their names; rows of one doc_id are told apart by their texts. Null texts have
 no words and no letters: the language stage drops them. Empty tables pass
 through every stage.
 """
@@ -20,7 +21,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sievelake.llm import bpe, decontaminate, jaccard_join, langid, llm_queries, quality
 from sievelake.llm.shared import shared_folder
@@ -35,13 +35,12 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = llm_queries.table(spark, sf_dir, "labels")
     trees = quality.train(docs, labels)
-    return quality.score(docs, trees).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, trees)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned = langid.profiles(docs)
-    found = langid.identify(docs, learned).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE))
-    return found.select(*docs.columns)
+    return langid.in_known_language(docs, learned, MIN_LANGUAGE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +53,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = llm_queries.tokenizer()
-    return bpe.digests(docs.select("doc_id", "text"), path, pattern).drop("text")
+    return bpe.digests(docs, path, pattern, keep=["doc_id"])
 
 
 STAGES = [
@@ -69,14 +68,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this run wrote, through the file system that Spark wrote it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the rows between two stages are a Parquet table in the shared checkpoint folder."""
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = llm_queries.table(spark, sf_dir, "documents")
+    docs, before = llm_queries.table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
             return out
         out.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if before:
+            _remove(spark, before)  # what the stage before wrote is read no more
+        before = f"{folder}/{k}-{name}"
+        docs = spark.read.parquet(before)
     return docs
