@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,6 +206,28 @@ def _possible(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFr
     return both.mapInArrow(run, "g long, p long")
 
 
+def _in_buckets(index: DataFrame, bucket: list[str]) -> DataFrame:
+    """(g, p, few): the pairs of buckets, each in one task: of few groups all, of more each with the most central one, of equals the smallest."""
+    w = Window.partitionBy(*bucket)
+    most = F.max(F.struct("central", (-F.col("g")).alias("g"))).over(w)
+    after = [F.lead("g", i).over(w.orderBy("g")) for i in range(1, FEW)]
+    rows = index.select("g", most.alias("most"), F.count("*").over(w).alias("c"), F.max("several").over(w).alias("any_several"), F.array(*after).alias("after")).where("c > 1")
+    few = (F.col("c") <= FEW) & ~F.col("any_several")
+    ends = F.when(few, F.filter("after", lambda x: x.isNotNull())).otherwise(F.array(-F.col("most.g")))
+    return rows.select("g", few.alias("few"), F.explode(ends).alias("p")).select("g", "p", "few")
+
+
+def _in_dealt_buckets(index: DataFrame) -> DataFrame:
+    """As _in_buckets, for tokens of very many groups: sizes are pre-aggregated and joined back to each salt."""
+    most = F.max(F.struct("central", (-F.col("g")).alias("g")))
+    size = index.groupBy("token", "band").agg(most.alias("most"), F.count("*").alias("c"), F.max("several").alias("any_several")).where("c > 1")
+    size = size.select("token", "band", (-F.col("most.g")).alias("p"), ((F.col("c") <= FEW) & ~F.col("any_several")).alias("few"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = index.select("token", "band", "salt", "g").join(size, ["token", "band", "salt"])
+    few = rows.where("few").select("token", "band", "g")
+    listed = few.join(few.select("token", "band", F.col("g").alias("p")), ["token", "band"]).where("g < p")
+    return rows.where("not few").select("g", "p", "few").unionByName(listed.select("g", "p", F.lit(True).alias("few")))
+
+
 def candidate_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(x, p): of large buckets every member x with the bucket's pivot p; of small ones the pairs that counts allow.
 
@@ -214,17 +236,13 @@ def candidate_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     of bands, so each set is in two buckets of a token.
     """
     groups = cut(rows.groupBy("n", "prefix_hash").agg(F.min("node").alias("g"), (F.min("node") < F.max("node")).alias("several"), F.max("central").alias("central"), F.first("unit").alias("unit"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix")))
-    band = F.floor(F.log("n") / (np.log(den / num) * (1 + 1e-9)))
-    index = cut(shared_index(groups).withColumn("band", F.explode(F.array(band, band + 1))))
-    bucket = ["token", "band", "salt"]
-    most = F.max(F.struct("central", (-F.col("g")).alias("g")))  # the most central, of these the smallest
-    size = index.groupBy("token", "band").agg(most.alias("most"), F.count("*").alias("c"), F.max("several").alias("any_several"), (F.max("salt") >= 0).alias("hot")).where("c > 1")
-    size = _dealt(size.select("token", "band", (-F.col("most.g")).alias("p"), ((F.col("c") <= FEW) & ~F.col("any_several")).alias("few"), "hot"), "hot").drop("hot")
-    index = cut(index.select(*bucket, "g").join(size, bucket))
-    few = index.where("few").select(*bucket, "g")
-    listed = few.join(few.select("token", "band", F.col("g").alias("p")), ["token", "band"]).where("g < p").select("g", "p").distinct()
-    listed = _possible(listed, groups, num, den).select(F.col("g").alias("x"), "p")
-    pairs = index.where("not few").select("g", "p").distinct()
+    band = F.floor(F.log("n") / (np.log(den / num) * (1 + 1e-9))).cast("int")
+    index = shared_index(groups).select("token", "salt", "g", "central", "several", F.explode(F.array(band, band + 1)).alias("band"))
+    # tokens that aren't dealt out are each in one task already, by the join on (token, salt)
+    found = _in_buckets(index.where("salt < 0"), ["token", "salt", "band"]).unionByName(_in_dealt_buckets(index.where("salt >= 0")))
+    found = cut(found.groupBy("g", "p").agg(F.min("few").alias("few")))
+    listed = _possible(found.where("few").select("g", "p"), groups, num, den).select(F.col("g").alias("x"), "p")
+    pairs = found.where("not few").select("g", "p")
     member = cut(rows.select("node", "n", "prefix_hash").distinct().join(groups.select("n", "prefix_hash", "g", "several"), ["n", "prefix_hash"]).select("node", "g", "several"))
     own = member.where("several").select(F.col("node").alias("x"), F.col("g").alias("p"))
     return pairs.join(member, "g").select(F.col("node").alias("x"), "p").union(own).union(listed).where("x <> p").distinct()
@@ -319,11 +337,12 @@ def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int,
         F.transform("has_first", lambda t: F.struct(t.alias("token"), F.lit(True).alias("beside"))),
         F.when(lone, F.transform("lacks_first", lambda t: F.struct(t.alias("token"), F.lit(False).alias("beside")))).otherwise(F.array()),
     )
-    index = rows.select("p", "x", "root", "linked", "n", "n_p", "lacks", "has", F.explode(tokens).alias("t")).select("p", "x", "root", "linked", "n", "n_p", "lacks", "has", "t.token", "t.beside")
+    index = rows.select("p", "x", "root", "linked", F.explode(tokens).alias("t")).select("p", "x", "root", "linked", "t.token", "t.beside")
     bucket = ["p", "token", "beside"]
-    mixed = index.groupBy(*bucket).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.col("linked").cast("int")).alias("all_linked"), F.count("*").alias("c"), F.max(F.struct("n", (-F.col("x")).alias("x"))).alias("q")).where("r0 <> r1 and all_linked = 0")
-    index = cut(index.join(mixed.select(*bucket, (F.col("c") > close).alias("large"), (-F.col("q.x")).alias("q")), bucket))
-    large = index.where("large").select("x", F.col("q").alias("p")).where("x <> p").distinct()
+    mixed = index.groupBy(*bucket).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.col("linked").cast("int")).alias("all_linked"), F.count("*").alias("c"), F.min("x").alias("q")).where("r0 <> r1 and all_linked = 0")
+    index = index.select(*bucket, "x").join(mixed.select(*bucket, (F.col("c") > close).alias("large"), "q"), bucket)
+    index = cut(index.join(rows.select("p", "x", "root", "linked", "n", "n_p", "lacks", "has"), ["p", "x"]))
+    large = cut(index.where("large").select("x", F.col("q").alias("p")).where("x <> p").distinct())
     small = index.where("not large")
     a, b = small.where("not linked").alias("a"), small.alias("b")
     overlap = F.col("a.n_p") - F.greatest("a.lacks", "b.lacks") + F.when(F.col("a.beside"), F.least("a.has", "b.has")).otherwise(0)
@@ -358,7 +377,7 @@ def _classes(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> t
         more = verify(cut(listed), sets, sets, sent, num, den, False).where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
         again = r < ROUNDS and not large.isEmpty()
         if again:
-            verified = cut(verify(cut(large), sets, sets, sent, num, den, True))
+            verified = cut(verify(large, sets, sets, sent, num, den, True))
             more = more.union(verified.where("linked").select("x", "p"))
         more = cut(more)
         # what was linked before is there as each node's root
