@@ -34,7 +34,7 @@ from .wordhash import shingles, spaced, words_of
 WORDS = 5
 #: One hash in so many is kept.
 SCALE = 4
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Stands for a null doc_id in the order: before all others.
 FIRST = -(2**63)
 

@@ -159,23 +159,15 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _dealt(df: DataFrame, hot: str) -> DataFrame:
-    """df once for each salt that rows of its token can have: all salts if the column ``hot`` is true, else -1."""
-    return df.withColumn("salt", F.explode(F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))))
-
-
 def shared_index(groups: DataFrame) -> DataFrame:
-    """(token, salt, g, n, central, several) of the prefix shingles that more than one group has; salt is -1 but for tokens of very many groups."""
+    """(token, salt, g, n, central, several) of the prefix shingles that more than one group has, and of few others; salt is -1 but for tokens of very many groups."""
     spark = groups.sparkSession
     slot = F.col("token").bitwiseAND(FILTER_BITS - 1)
-    tokens = cut(groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").withColumn("slot", slot))
-    hot = tokens.where(F.col("c") > HOT).select("slot").distinct()
-    # whether a token is dealt out follows from its slot on both sides, so that they agree on tokens that share one
-    sent = spark.sparkContext.broadcast((_filter(tokens.select("slot")), _filter(hot)))
-    tokens = _dealt(tokens.join(hot.withColumn("hot", F.lit(True)), "slot", "left"), "hot").select("token", "salt")
+    tokens = cut(groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select(slot.alias("slot"), (F.col("c") > HOT).alias("hot")))
+    sent = spark.sparkContext.broadcast((_filter(tokens.select("slot")), _filter(tokens.where("hot").select("slot"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Prefixes less most of the shingles that no other group has, so that these aren't shuffled again."""
+        """Prefixes less most of the shingles that no other group has, so that these aren't shuffled."""
         bits, hot_bits = sent.value
         for b in batches:
             prefix = b.column(4)
@@ -183,12 +175,12 @@ def shared_index(groups: DataFrame) -> DataFrame:
             at = np.repeat(np.arange(len(prefix)), np.diff(prefix.offsets.to_numpy()))
             h = flat & (FILTER_BITS - 1)
             hit = _passes(bits, h)
+            # whether a token is dealt out follows from its slot, so all of its rows agree
             salt = np.where(_passes(hot_bits, h[hit]), b.column(0).to_numpy()[at[hit]] % SALTS, -1).astype(np.int32)
             rows = pa.array(at[hit])
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in range(4)), pa.array(flat[hit]), pa.array(salt)], names=["g", "n", "central", "several", "token", "salt"])
 
-    index = groups.select("g", "n", "central", "several", "prefix").mapInArrow(run, "g long, n int, central int, several boolean, token long, salt int")
-    return index.join(tokens, ["token", "salt"]).select("token", "salt", "g", "n", "central", "several")
+    return groups.select("g", "n", "central", "several", "prefix").mapInArrow(run, "g long, n int, central int, several boolean, token long, salt int")
 
 
 def _possible(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -206,11 +198,12 @@ def _possible(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFr
     return both.mapInArrow(run, "g long, p long")
 
 
-def _in_buckets(index: DataFrame, bucket: list[str]) -> DataFrame:
+def _in_buckets(index: DataFrame) -> DataFrame:
     """(g, p, few): the pairs of buckets, each in one task: of few groups all, of more each with the most central one, of equals the smallest."""
-    w = Window.partitionBy(*bucket)
+    order = Window.partitionBy("token", "band").orderBy("g")
+    w = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     most = F.max(F.struct("central", (-F.col("g")).alias("g"))).over(w)
-    after = [F.lead("g", i).over(w.orderBy("g")) for i in range(1, FEW)]
+    after = [F.lead("g", i).over(order) for i in range(1, FEW)]
     rows = index.select("g", most.alias("most"), F.count("*").over(w).alias("c"), F.max("several").over(w).alias("any_several"), F.array(*after).alias("after")).where("c > 1")
     few = (F.col("c") <= FEW) & ~F.col("any_several")
     ends = F.when(few, F.filter("after", lambda x: x.isNotNull())).otherwise(F.array(-F.col("most.g")))
@@ -237,9 +230,10 @@ def candidate_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """
     groups = cut(rows.groupBy("n", "prefix_hash").agg(F.min("node").alias("g"), (F.min("node") < F.max("node")).alias("several"), F.max("central").alias("central"), F.first("unit").alias("unit"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix")))
     band = F.floor(F.log("n") / (np.log(den / num) * (1 + 1e-9))).cast("int")
-    index = shared_index(groups).select("token", "salt", "g", "central", "several", F.explode(F.array(band, band + 1)).alias("band"))
-    # tokens that aren't dealt out are each in one task already, by the join on (token, salt)
-    found = _in_buckets(index.where("salt < 0"), ["token", "salt", "band"]).unionByName(_in_dealt_buckets(index.where("salt >= 0")))
+    bands = lambda df: df.select("token", "salt", "g", "central", "several", F.explode(F.array(band, band + 1)).alias("band"))
+    index = shared_index(groups)
+    # dealt by token before each row is doubled for its bands
+    found = _in_buckets(bands(index.where("salt < 0").repartition("token"))).unionByName(_in_dealt_buckets(bands(index.where("salt >= 0"))))
     found = cut(found.groupBy("g", "p").agg(F.min("few").alias("few")))
     listed = _possible(found.where("few").select("g", "p"), groups, num, den).select(F.col("g").alias("x"), "p")
     pairs = found.where("not few").select("g", "p")

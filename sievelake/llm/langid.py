@@ -32,12 +32,12 @@ from .shared import bound_batches
 
 SIZE = 300
 UNKNOWN = "und"
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Bits of a code point in an n-gram's key.
 BITS = 21
 LOW = (1 << BITS) - 1
 #: Distinct n-grams that a training task gathers before it sends them on.
-HELD = 1_000_000
+HELD = 250_000
 
 
 @cache

@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 
 U = np.uint64
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -73,7 +73,7 @@ def _block(raw: np.ndarray, cuts: np.ndarray, word: np.ndarray) -> tuple[np.ndar
     first[inner] = m[inner]
     last[inner - 1] = m[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    size = 1 << max(19, int(len(raw)).bit_length())
+    size = 1 << max(17, int(len(raw)).bit_length())
     up, down = powers(size)
     s = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(byte_table()[raw] * up[: len(raw)], out=s[1:])
@@ -129,7 +129,7 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return h[:0]
-    up = powers(1 << 19)[0]
+    up = powers(1 << 17)[0]
     out = h[:n] * up[k]
     for i in range(1, k):
         out += h[i : i + n] * up[k - i]
