@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from .arrow import text_bytes, with_arrow_columns
 from .components import components
-from .shared import bound_batches, cut, unused
+from .shared import bound_batches, cut, release, unused
 from .wordhash import U, shingles, spaced, words_of
 
 #: Counters of the sketch that orders shingles, and how many go in a row of it.
@@ -360,10 +360,14 @@ def _classes(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> t
     sent = spark.sparkContext.broadcast(frequencies(docs, text, k))
     rows = cut(nodes_of(docs, sent, text, doc_id, k, num, den))
     pairs = cut(candidate_pairs(rows.where("n > 0"), num, den))
+    rows = cut(rows.select("doc_id", "text_hash", "n", "node"))  # prefixes are needed no more
+    release(spark)
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ends = pairs.select(F.col("x").alias("node"), F.lit(False).alias("pivot")).union(pairs.select("p", F.lit(True))).groupBy("node").agg(F.max("pivot").alias("pivot"))
     sets = cut(sets_of(docs, least.join(ends, "node").select("doc_id", "pivot"), text, doc_id, k))
+    release(spark)
     verified = cut(verify(pairs, sets, sets.where("pivot"), sent, num, den, True))
+    release(spark)
     links = verified.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
     roots = components(links)
     for r in range(ROUNDS + 1):
@@ -374,13 +378,14 @@ def _classes(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> t
             verified = cut(verify(large, sets, sets, sent, num, den, True))
             more = more.union(verified.where("linked").select("x", "p"))
         more = cut(more)
+        release(spark)
         # what was linked before is there as each node's root
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         if not again:
             break
     sent.unpersist()
     every = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    return rows.select("doc_id", "text_hash", "n", "node"), every
+    return rows, every
 
 
 def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bounds of Arrow batches, for sessions that have Spark's own defaults: long texts make batches of many rows large.
@@ -32,6 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which a driver with
+    memory to spare puts off while executors' disks fill; so operators of many
+    steps ask for it after the steps that leave most behind.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that df doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}
