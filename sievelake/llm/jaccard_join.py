@@ -50,9 +50,9 @@ from .shared import bound_batches, cut, release, unused
 from .wordhash import U, shingles, spaced, words_of
 
 #: Counters of the sketch that orders shingles, and how many go in a row of it.
-COUNTERS, STRIP = 1 << 20, 1 << 12
-#: Parts of the hash range whose shingles are counted for each set.
-PARTS = 128
+COUNTERS, STRIP = 1 << 22, 1 << 14
+#: Bits of the number of parts of the hash range whose shingles are counted, at least; larger sets have parts of four to eight.
+PART_BITS = 7
 #: Buckets of so many groups have their pairs listed; larger ones go by a pivot.
 FEW = 4
 #: Members of a bucket of differences whose pairs are listed; larger ones go by a pivot first, so many times at most.
@@ -72,18 +72,18 @@ def _sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _counter(s: np.ndarray) -> np.ndarray:
-    return (s >> U(44)).astype(np.int64)
+    return (s >> U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
 def frequencies(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """For each counter, in how many documents' sets its shingles occur; a fixed number of counters over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNTERS, np.int64)
+        n = np.zeros(COUNTERS, np.int32)
         for b in batches:
             parts = [s for _, s in _sets(b.column(0), k)]
             if parts:
-                n += np.bincount(_counter(np.concatenate(parts)), minlength=COUNTERS)
+                n += np.bincount(_counter(np.concatenate(parts)), minlength=COUNTERS).astype(np.int32)
         yield strips(n.reshape(-1, STRIP))
 
     def strips(n: np.ndarray, at: list[int] | None = None) -> pa.RecordBatch:
@@ -93,33 +93,47 @@ def frequencies(docs: DataFrame, text: str, k: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for at, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[at] = total.get(at, 0) + np.frombuffer(zlib.decompress(n), np.int64)
-        yield strips(np.array(list(total.values())).reshape(-1, STRIP), list(total))
+                total[at] = total.get(at, 0) + np.frombuffer(zlib.decompress(n), np.int32).astype(np.int64)
+        most = np.iinfo(np.int32).max  # a count beyond it is among the most frequent all the same
+        yield strips(np.minimum(np.array(list(total.values()), np.int64).reshape(-1, STRIP), most).astype(np.int32), list(total))
 
-    out = np.zeros((COUNTERS // STRIP, STRIP), np.int64)
+    out = np.zeros((COUNTERS // STRIP, STRIP), np.int32)
     for r in docs.select(text).mapInArrow(count, "strip int, n binary").repartition("strip").mapInArrow(add, "strip int, n binary").collect():  # COUNTERS counts
-        out[r["strip"]] = np.frombuffer(zlib.decompress(r["n"]), np.int64)
-    return np.minimum(out.ravel(), 2**31 - 1)
+        out[r["strip"]] = np.frombuffer(zlib.decompress(r["n"]), np.int32)
+    return out.ravel()
 
 
 def _first(s: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     """The first ``most`` shingles of a sorted set in the global order: by count, then by hash."""
-    key = (counts[_counter(s)] << 32) | np.arange(len(s))
+    key = (counts[_counter(s)].astype(np.int64) << 32) | np.arange(len(s))
     if most < len(key):
         key = np.partition(key, most)[:most]
     key.sort()
     return s[key & 0xFFFFFFFF]
 
 
+def _parts(s: np.ndarray) -> tuple[int, bytes]:
+    """(unit, a byte for each part of the hash range: the shingles there over unit, rounded up)."""
+    bits = max(PART_BITS, len(s).bit_length() - 3)
+    count = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    unit = max(1, -(-int(count.max()) // 255))
+    return unit, (-(-count // unit)).astype(np.uint8).tobytes()
+
+
+def _most_common(a: tuple[int, object], b: tuple[int, object]) -> int:
+    """The most shingles that two sets can share, from their parts: the sum of the lesser counts of each part."""
+    (u, x), (v, y) = ((unit, np.frombuffer(parts.as_buffer(), np.uint8).astype(np.int64)) for unit, parts in (a, b))
+    if len(x) < len(y):
+        (u, x), (v, y) = (v, y), (u, x)
+    return int(np.minimum(x.reshape(len(y), -1).sum(1) * u, y * v).sum())
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def nodes_of(docs: DataFrame, sent, text: str, doc_id: str, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, text_hash, n, node, prefix_hash, central, unit, parts, prefix) of each row; node stands for the set, 0 if it is empty.
-
-    parts has a byte for each part of the hash range: the shingles there over unit, rounded up.
-    """
+    """(doc_id, text_hash, n, node, prefix_hash, central, unit, parts, prefix) of each row; node stands for the set, 0 if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
@@ -131,10 +145,9 @@ def nodes_of(docs: DataFrame, sent, text: str, doc_id: str, k: int, num: int, de
                 node.append(_signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else 0)
                 prefix_hash.append(_signed(xxhash.xxh3_64_intdigest(first.tobytes())))
                 central.append(int(1000 * np.log2(1 + counts[_counter(s)]).mean()) if len(s) else 0)
-                count = np.bincount((s >> U(57)).astype(np.int64), minlength=PARTS)
-                u = max(1, -(-int(count.max()) // 255))
+                u, counted = _parts(s)
                 unit.append(u)
-                parts.append((-(-count // u)).astype(np.uint8).tobytes())
+                parts.append(counted)
                 prefix.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(prefix_hash, pa.int64()), pa.array(central, pa.int32()), pa.array(unit, pa.int32()), pa.array(parts, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
@@ -183,19 +196,18 @@ def shared_index(groups: DataFrame) -> DataFrame:
     return groups.select("g", "n", "central", "several", "prefix").mapInArrow(run, "g long, n int, central int, several boolean, token long, salt int")
 
 
-def _possible(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (g, p) of single-set groups that the counts in parts of the hash range allow the threshold: the overlap is at most the sum of the lesser counts."""
-    side = groups.select("g", "n", "unit", "parts")
-    both = pairs.join(side, "g").join(side.toDF("p", "n2", "unit2", "parts2"), "p").where(den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
+def _possible(pairs: DataFrame, sides: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, p) whose sets, by sizes and by counts in parts of the hash range, may reach the threshold; sides: (node, n, unit, parts)."""
+    a, b = sides.toDF("x", "n", "unit", "parts"), sides.toDF("p", "n2", "unit2", "parts2")
+    both = pairs.select("x", "p").join(a, "x").join(b, "p").where(den * F.least("n", "n2") >= num * F.greatest("n", "n2")).select("x", "p", "n", "unit", "parts", "n2", "unit2", "parts2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, u, n2, u2 = (b.column(c).to_numpy().astype(np.int64) for c in (2, 3, 5, 6))
-            at, to = (np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in b.column(c)], np.int64).reshape(-1, PARTS) for c in (4, 7))
-            most = np.minimum(at * u[:, None], to * u2[:, None]).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0)], names=["g", "p"]).filter(pa.array((num + den) * most >= num * (n + n2)))
+            n, u, n2, u2 = (b.column(c).to_pylist() for c in (2, 3, 5, 6))
+            fit = [(num + den) * _most_common((u[r], x), (u2[r], y)) >= num * (n[r] + n2[r]) for r, (x, y) in enumerate(zip(b.column(4), b.column(7), strict=True))]
+            yield b.select(["x", "p"]).filter(pa.array(fit, pa.bool_()))
 
-    return both.mapInArrow(run, "g long, p long")
+    return both.mapInArrow(run, "x long, p long")
 
 
 def _in_buckets(index: DataFrame) -> DataFrame:
@@ -235,7 +247,7 @@ def candidate_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     # dealt by token before each row is doubled for its bands
     found = _in_buckets(bands(index.where("salt < 0").repartition("token"))).unionByName(_in_dealt_buckets(bands(index.where("salt >= 0"))))
     found = cut(found.groupBy("g", "p").agg(F.min("few").alias("few")))
-    listed = _possible(found.where("few").select("g", "p"), groups, num, den).select(F.col("g").alias("x"), "p")
+    listed = _possible(found.where("few").select(F.col("g").alias("x"), "p"), groups.select("g", "n", "unit", "parts"), num, den)
     pairs = found.where("not few").select("g", "p")
     member = cut(rows.select("node", "n", "prefix_hash").distinct().join(groups.select("n", "prefix_hash", "g", "several"), ["n", "prefix_hash"]).select("node", "g", "several"))
     own = member.where("several").select(F.col("node").alias("x"), F.col("g").alias("p"))
@@ -243,7 +255,7 @@ def candidate_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
-    """(node, set, pivot) of the wanted (doc_id, pivot), and of few others; a set can come more than once."""
+    """(node, set, pivot, n, unit, parts) of the wanted (doc_id, pivot), and of few others; a set can come more than once."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((_filter(wanted.select(slot("doc_id"))), _filter(wanted.where("pivot").select(slot("doc_id")))))
@@ -256,7 +268,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int)
             h = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = _passes(bits, h)
             pivot = _passes(pivot_bits, h[hit]).tolist()
-            nodes, sets, pivots = [], [], []
+            nodes, sets, pivots, sizes, units, parts = [], [], [], [], [], []
             for r, s in _sets(b.column(0).filter(pa.array(hit)), k):
                 node = _signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else 0
                 # a copy that passes the filter by chance can come before the pivot's row
@@ -265,9 +277,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, k: int)
                     nodes.append(node)
                     sets.append(s.tobytes())
                     pivots.append(pivot[r])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(pivots, pa.bool_())], names=["node", "set", "pivot"])
+                    sizes.append(len(s))
+                    unit, counted = _parts(s)
+                    units.append(unit)
+                    parts.append(counted)
+            kinds = [pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((nodes, sets, pivots, sizes, units, parts), kinds, strict=True)], names=["node", "set", "pivot", "n", "unit", "parts"])
 
-    return rows.mapInArrow(run, "node long, set binary, pivot boolean")
+    return rows.mapInArrow(run, "node long, set binary, pivot boolean, n int, unit int, parts binary")
 
 
 VERIFIED = "x long, p long, linked boolean, n long, n_p long, lacks long, has long, has_first array<long>, lacks_first array<long>"
@@ -318,14 +335,37 @@ def verify(pairs: DataFrame, sets: DataFrame, pivots: DataFrame, sent, num: int,
     return both.mapInArrow(run, VERIFIED).dropDuplicates(["x", "p"])
 
 
+def _near(a: DataFrame, b: DataFrame, on: list[str], num: int, den: int, beside: bool) -> DataFrame:
+    """Pairs of rows of a and b with one pivot, of different components, that differ from it by no more than the threshold allows."""
+    a, b = a.alias("a"), b.alias("b")
+    shared = F.least("a.has", "b.has")
+    overlap = F.col("a.n_p") - F.greatest("a.lacks", "b.lacks") + (F.when(F.col("a.beside"), shared).otherwise(0) if beside else shared)
+    can = (
+        (F.col("a.root") != F.col("b.root"))
+        & (F.col("b.linked") | (F.col("a.x") < F.col("b.x")))
+        & (den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n"))
+        & ((num + den) * overlap >= num * (F.col("a.n") + F.col("b.n")))
+    )
+    for c in on:
+        can = can & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, can).select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("p"))
+
+
 def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int, close: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of members of different components whose differences from a common pivot share a shingle, as far as counts allow the threshold.
+    """Pairs of members of different components that a common pivot leaves possible, as far as counts allow the threshold.
 
-    Two tables: the pairs of buckets of at most ``close`` members, listed; and of
-    larger buckets each member with one of them, which is to be a pivot again.
+    Two tables. The first has the pairs of members of pivots with at most
+    ``close`` of them; members of pivots with more are joined on shingles that
+    their differences share, and listed in buckets of at most ``close``. The
+    second has, of larger buckets, each member with one of them, which is to be
+    a pivot again.
     """
     of = verified.groupBy("p").agg(F.count("*").alias("members"), F.min(F.col("linked").cast("int")).alias("all_linked"), F.min("n").alias("least_n")).where("members > 1 and all_linked = 0")
-    rows = verified.join(of.select("p", "least_n"), "p").join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    kept = verified.select("p", "x", "linked", "n", "n_p", "lacks", "has", "has_first", "lacks_first").join(of.select("p", "least_n", "members"), "p")
+    rows = cut(kept.join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x")))
+    small = rows.where(F.col("members") <= close).drop("has_first", "lacks_first")
+    listed = _near(small.where("not linked"), small, ["p"], num, den, False)
+    rows = rows.where(F.col("members") > close)
     lone = (num + den) * (F.col("n_p") - F.col("lacks")) >= num * (F.col("n") + F.col("least_n"))  # can reach a member without sharing what it has beside p
     tokens = F.concat(
         F.transform("has_first", lambda t: F.struct(t.alias("token"), F.lit(True).alias("beside"))),
@@ -336,20 +376,9 @@ def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int,
     mixed = index.groupBy(*bucket).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.col("linked").cast("int")).alias("all_linked"), F.count("*").alias("c"), F.min("x").alias("q")).where("r0 <> r1 and all_linked = 0")
     index = index.select(*bucket, "x").join(mixed.select(*bucket, (F.col("c") > close).alias("large"), "q"), bucket)
     index = cut(index.join(rows.select("p", "x", "root", "linked", "n", "n_p", "lacks", "has"), ["p", "x"]))
-    large = cut(index.where("large").select("x", F.col("q").alias("p")).where("x <> p").distinct())
-    small = index.where("not large")
-    a, b = small.where("not linked").alias("a"), small.alias("b")
-    overlap = F.col("a.n_p") - F.greatest("a.lacks", "b.lacks") + F.when(F.col("a.beside"), F.least("a.has", "b.has")).otherwise(0)
-    can = (
-        (F.col("a.p") == F.col("b.p"))
-        & (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.beside") == F.col("b.beside"))
-        & (F.col("a.root") != F.col("b.root"))
-        & (F.col("b.linked") | (F.col("a.x") < F.col("b.x")))
-        & (den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n"))
-        & ((num + den) * overlap >= num * (F.col("a.n") + F.col("b.n")))
-    )
-    return a.join(b, can).select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("p")).distinct(), large
+    again = cut(index.where("large").select("x", F.col("q").alias("p")).where("x <> p").distinct())
+    few = index.where("not large")
+    return listed.union(_near(few.where("not linked"), few, bucket, num, den, True)).distinct(), again
 
 
 def _classes(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
@@ -372,7 +401,8 @@ def _classes(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> t
     roots = components(links)
     for r in range(ROUNDS + 1):
         listed, large = difference_pairs(verified, roots, num, den, CLOSE if r < ROUNDS else 1 << 62)
-        more = verify(cut(listed), sets, sets, sent, num, den, False).where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
+        listed = cut(_possible(cut(listed), sets.select("node", "n", "unit", "parts").dropDuplicates(["node"]), num, den))
+        more = verify(listed, sets, sets, sent, num, den, False).where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
         again = r < ROUNDS and not large.isEmpty()
         if again:
             verified = cut(verify(large, sets, sets, sent, num, den, True))
