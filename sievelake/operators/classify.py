@@ -4,30 +4,118 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import values as v
 
 
 def page_class(url: Column, title: Column, skip: list[str], url_rules: dict[str, str], title_rules: dict[str, str]) -> Column:
-    """(label, confidence): skip patterns 0.9, then URL patterns 0.8, then title words 0.7, else general 0.3."""
+    """(label, confidence): skip patterns 0.9, then URL patterns 0.8, then title words 0.7, else general, 0.5 without rules and 0.3 where no rule fits."""
     pick = lambda label, score: F.struct(F.lit(label).alias("label"), F.lit(score).alias("confidence"))
     rules = [(F.lower(url).rlike(p), "skip", 0.9) for p in skip]
     rules += [(F.lower(url).rlike(p), label, 0.8) for p, label in url_rules.items()]
-    rules += [(F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(w)), label, 0.7) for w, label in title_rules.items()]
+    rules += [(F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(w.lower())), label, 0.7) for w, label in title_rules.items()]
+    rest = pick("general", 0.3 if url_rules or title_rules else 0.5)
     out = reduce(lambda a, r: F.when(r[0], pick(r[1], r[2])) if a is None else a.when(r[0], pick(r[1], r[2])), rules, None)
-    return pick("general", 0.3) if out is None else out.otherwise(pick("general", 0.3))
+    return rest if out is None else out.otherwise(rest)
 
 
-def url_language(url: Column, default: str = "en") -> Column:
-    """(lang, confidence): from a path part 0.95, a query parameter 0.90, a subdomain 0.85, else the default 0.5."""
+def page_groups(url: Column, title: Column, url_rules: dict[str, list[str]], title_rules: dict[str, list[str]]) -> Column:
+    """(groups, confidence): all groups whose URL pattern (0.8) or title word (0.7) fits, sorted; none stands for every group, 0.5 without rules, else 0.3."""
+    hits = [(F.lower(url).rlike(p), g) for p, g in url_rules.items()], [(F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(w.lower())), g) for w, g in title_rules.items()]
+    some = lambda tests: reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x, _ in tests], F.lit(False))
+    lists = [F.when(x, F.array(*map(F.lit, g))).otherwise(F.array().cast("array<string>")) for x, g in [*hits[0], *hits[1]]]
+    groups = F.array_sort(F.array_distinct(F.flatten(F.array(*lists)))) if lists else F.array().cast("array<string>")
+    rest = 0.3 if lists else 0.5
+    return F.struct(groups.alias("groups"), F.when(some(hits[0]), 0.8).when(some(hits[1]), 0.7).otherwise(rest).alias("confidence"))
+
+
+# Words of groups' names that tell a page's type, the first that fits.
+PAGE_TYPES = [("product", ["product", "products"]), ("service", ["service", "services"]), ("about", ["company", "about", "overview"])]
+
+
+def page_type(groups: Column) -> Column:
+    """What sort of page an array of groups makes, by whole words of their names; else general."""
+    words = F.flatten(F.transform(groups, lambda g: F.split(F.lower(g), r"[_\-\s]+")))
+    out = F.lit("general")
+    for name, known in reversed(PAGE_TYPES):
+        out = F.when(F.arrays_overlap(words, F.array(*map(F.lit, known))), name).otherwise(out)
+    return F.when(F.size(groups) > 0, out).otherwise("general")
+
+
+def similar_groups(pages: DataFrame, topics: dict[str, list[float]], id: str, vector: str, high: float = 0.75, low: float = 0.4, near: float = 0.8, ranked: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+    """(id, groups, confidence, level): the topics that fit a page's vector, most similar first, ties by name.
+
+    high: those of at least that similarity. low, where none reaches ``low``:
+    those within ``near`` of the best, two at least. Between the two, scores of a reranker
+    decide if given as (id, topic, score): those of at least ``least``, else
+    again those near the best; without scores those of at least ``low``.
+    """
+    scored = F.array(*[F.struct((-F.round(v.cosine(F.col(vector), F.lit([float(x) for x in centre])), 6)).alias("s"), F.lit(name).alias("t")) for name, centre in sorted(topics.items())])
+    rows = pages.select(id, F.array_sort(scored).alias("_s"))
+    if ranked is not None:
+        other = ranked.groupBy(id).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("topic").alias("t")))).alias("_r"))  # a topic each
+        rows = rows.join(other, id, "left")
+    else:
+        rows = rows.withColumn("_r", F.lit(None).cast("array<struct<s:double,t:string>>"))
+    best = lambda c: -F.col(c)[0]["s"]
+    over = lambda c, limit: F.filter(c, lambda x: -x["s"] >= limit)
+    close = lambda c: F.when(F.size(over(c, best(c) * near)) < 2, F.slice(c, 1, 2)).otherwise(over(c, best(c) * near))
+    sure, none = best("_s") >= high, best("_s") < low
+    again = F.when(F.size(over("_r", F.lit(least))) > 0, over("_r", F.lit(least))).otherwise(close("_r"))
+    found = F.when(sure, over("_s", F.lit(high))).when(none, close("_s")).when(F.size("_r") > 0, again).otherwise(over("_s", F.lit(low)))
+    confidence = F.when(sure | none | F.col("_r").isNull(), best("_s")).otherwise(best("_r"))
+    level = F.when(sure, "high").when(none, "low").when(F.col("_r").isNull(), "medium").otherwise("reranked")
+    return rows.select(id, F.transform(found, lambda x: x["t"]).alias("groups"), F.round(confidence, 6).alias("confidence"), level.alias("level"))
+
+
+def cascade(pages: DataFrame, id: str, stages: list[tuple[str, DataFrame]], every: list[str]) -> DataFrame:
+    """(id, groups, stage): for each page the groups of the first stage, a table of (id, groups), that says any; none decided: all groups, stage all."""
+    rows = pages.select(id)
+    for k, (_, df) in enumerate(stages):
+        rows = rows.join(df.select(id, F.col("groups").alias(f"_{k}")), id, "left")
+    groups, stage = F.array(*map(F.lit, every)), F.lit("all")
+    for k in reversed(range(len(stages))):
+        said = F.size(f"_{k}") > 0
+        groups, stage = F.when(said, F.col(f"_{k}")).otherwise(groups), F.when(said, stages[k][0]).otherwise(stage)
+    return rows.select(id, groups.alias("groups"), stage.alias("stage"))
+
+
+LANGUAGES = "en de fi fr es it nl pt pl ru sv no da cs hu ro tr ja zh ko ar".split()
+# The commonest function words of languages, for texts whose URL doesn't say theirs.
+WORDS = {
+    "en": "the of and to in is that for it with as was on are be this by from or an",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als",
+    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur",
+    "es": "de la que el en los se del las un por con una para es al lo como su más",
+    "it": "di e il la che in un per del una non sono con le si da dei alla della come",
+    "nl": "de van het een en in is dat op te zijn met voor niet aan er om ook als bij",
+    "pt": "de que e o da em um para com não uma os no se na por mais as dos como",
+}
+
+
+def text_language(text: Column, least: float = 0.1) -> Column:
+    """(lang, confidence): the language whose function words make the most of a text's words, if at least that share; else null. Ties go to the first of WORDS."""
+    words = F.filter(F.split(F.lower(text), r"(?U)[^\p{L}]+"), lambda w: w != "")
+    share = lambda known: F.size(F.filter(words, lambda w: w.isin(known.split()))) / F.greatest(F.size(words), F.lit(1))
+    scores = [F.struct(F.round(share(known), 4).alias("confidence"), F.lit(-k).alias("o"), F.lit(lang).alias("lang")) for k, (lang, known) in enumerate(WORDS.items())]
+    best = F.array_max(F.array(*scores))
+    return F.when(best["confidence"] >= least, F.struct(best["lang"].alias("lang"), best["confidence"].alias("confidence")))
+
+
+def url_language(url: Column, default: str = "en", text: Column | None = None) -> Column:
+    """(lang, confidence): from a path part 0.95, a query parameter 0.90, a subdomain 0.85, then from the text if given, else the default 0.5."""
     low = F.lower(url)
     code = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit(""))
-    langs = "(en|de|fr|es|it|pt|nl|pl|ru|ja|zh|ko|cs|sv|da|fi|no|tr|hu|ro)"
-    path, query, sub = code(rf"^[a-z]+://[^/?#]+(?:/[^?#]*)?/{langs}(?:[-_][a-z]{{2}})?(?:/|\?|#|$)"), code(rf"[?&](?:lang|language|locale|hl)={langs}(?:[-_&#]|$)"), code(rf"^[a-z]+://{langs}\.")
-    pick = lambda lang, score: F.struct(lang.alias("lang"), F.lit(score).alias("confidence"))
-    return F.when(path.isNotNull(), pick(path, 0.95)).when(query.isNotNull(), pick(query, 0.9)).when(sub.isNotNull(), pick(sub, 0.85)).otherwise(pick(F.lit(default), 0.5))
+    langs = f"({'|'.join(LANGUAGES)})"
+    start = F.coalesce(code(rf"^[a-z]+://[^/?#]+(?:/[^?#]*)?/{langs}(?:[-_][a-z]{{2}})?(?:/|\?|#|$)"), code(rf"/{langs}-"))
+    path, query, sub = F.coalesce(start, code(rf"-{langs}/")), code(r"[?&](?:lang|language|locale|hl)=([a-z]{2})(?:[-_&#]|$)"), code(rf"^[a-z]+://{langs}\.")
+    pick = lambda lang, score: F.struct(lang.alias("lang"), F.lit(score).cast("double").alias("confidence"))
+    rest = pick(F.lit(default), 0.5)
+    if text is not None:
+        rest = F.coalesce(text_language(text), rest)
+    return F.when(path.isNotNull(), pick(path, 0.95)).when(query.isNotNull(), pick(query, 0.9)).when(sub.isNotNull(), pick(sub, 0.85)).otherwise(rest)
 
 
 def nearest(vectors: DataFrame, query: list[float], id: str, vector: str, k: int = 10) -> DataFrame:
@@ -36,7 +124,37 @@ def nearest(vectors: DataFrame, query: list[float], id: str, vector: str, k: int
     return vectors.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), id).limit(k)
 
 
-def relevant(vectors: DataFrame, topics: dict[str, list[float]], id: str, vector: str, least: float = 0.4) -> DataFrame:
-    """(id, topic, score): each row's most similar topic, if of at least that similarity; ties go to the last topic by name."""
+def relevant(vectors: DataFrame, topics: dict[str, list[float]], id: str, vector: str, least: float = 0.4, most: int | None = None) -> DataFrame:
+    """(id, topic, score): each row's most similar topic, if of at least that similarity; ties go to the last topic by name.
+
+    Rows without a vector pass with the score 0.5 and no topic. With ``most``,
+    the rows of the highest scores, ties by id.
+    """
     scored = F.array(*[F.struct(F.round(v.cosine(F.col(vector), F.lit([float(x) for x in centre])), 6).alias("score"), F.lit(name).alias("topic")) for name, centre in sorted(topics.items())])
-    return vectors.select(id, F.array_max(scored).alias("b")).select(id, "b.topic", "b.score").where(F.col("score") >= least)
+    best = F.when(F.col(vector).isNotNull(), F.array_max(scored)).otherwise(F.struct(F.lit(0.5).alias("score"), F.lit(None).cast("string").alias("topic")))
+    out = vectors.select(id, best.alias("b")).select(id, "b.topic", "b.score").where((F.col("score") >= least) | F.col("topic").isNull())
+    return out if most is None else out.orderBy(F.desc("score"), id).limit(most)
+
+
+def searched(vectors: DataFrame, query: list[float], extractions: DataFrame, sources: DataFrame, id: str, vector: str, k: int = 10, groups: list[str] | None = None, json_filter: Column | None = None, group: str = "source_group", source: str = "source_id", url: str = "uri") -> DataFrame:
+    """The k nearest vectors whose extraction is of one of the groups and passes the filter, with score, the extraction's columns and its source's URL.
+
+    Filters come before the ranking, so k rows come back if so many pass.
+    Vectors without extraction are left out; a missing source gives the empty URL.
+    """
+    rows = extractions
+    if groups is not None:
+        rows = rows.where(F.col(group).isin(groups))
+    if json_filter is not None:
+        rows = rows.where(json_filter)
+    best = nearest(vectors.join(rows.select(id), id, "left_semi"), query, id, vector, k).select(id, "score")
+    found = F.broadcast(best).join(rows, id)  # k rows
+    known = sources.select(F.col(source).alias("_s"), F.col(url).alias("_u"))
+    out = found.join(known, found[source] == F.col("_s"), "left")
+    return out.select("score", *[F.col(c) for c in extractions.columns], F.coalesce("_u", F.lit("")).alias("source_uri")).orderBy(F.desc("score"), id)
+
+
+def reranked(df: DataFrame, score: str, id: str) -> DataFrame:
+    """Rows by a reranker's score, highest first, with their rank from 1; ties by id."""
+    top = df.orderBy(F.desc(score), id)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), F.asc(id))))  # the hits of one query

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import values as v
@@ -18,6 +18,7 @@ from . import consolidate
 
 # The strategy of each field type.
 STRATEGIES = {"integer": "weighted_median", "float": "weighted_median", "boolean": "any_true", "text": "weighted_frequency", "list": "union_dedup", "enum": "frequency", "summary": "longest_top_k"}
+# Where an entity's name is looked for.
 ID_FIELDS = ["entity_id", "name", "id"]
 
 
@@ -25,42 +26,168 @@ def strategy_of(field_type: str) -> str:
     return STRATEGIES.get(field_type, "frequency")
 
 
-def items(extractions: DataFrame, keep: list[str], data: str = "data", version: str = "data_version", confidence: str = "confidence", ord: str = "ord") -> DataFrame:
-    """(keep..., ord, field, pos, value, confidence, grounding, quote): a row for each item of each field; version 2 is the structured form."""
-    base = extractions.select(*keep, F.col(ord).alias("ord"), F.col(data).alias("_d"), F.coalesce(F.col(version).try_cast("int") == 2, F.lit(False)).alias("_s"), F.coalesce(confidence, F.lit(0.5)).alias("_c"))
+def is_structured(version: Column) -> Column:
+    return F.coalesce(version.try_cast("int") >= 2, F.lit(False))
+
+
+def items(extractions: DataFrame, keep: list[str], data: str = "data", version: str = "data_version", confidence: str = "confidence", ord: str = "ord", scores: str | None = None) -> DataFrame:
+    """(keep..., ord, field, pos, value, confidence, grounding, quote, record_confidence, listed): a row for each item of each field.
+
+    From version 2 on data has the structured form, where listed says that a
+    field has a list of items. The flat form's grounding is in ``scores``, a map
+    by field, if given. A record without confidence has 0.5.
+    """
+    given = F.col(scores) if scores else F.lit(None).cast("map<string,double>")
+    base = extractions.select(*keep, F.col(ord).alias("ord"), F.col(data).alias("_d"), is_structured(F.col(version)).alias("_s"), F.coalesce(confidence, F.lit(0.5)).alias("_c"), given.alias("_g"))
     fields = base.select("*", F.explode(F.from_json("_d", "map<string,string>")).alias("field", "_raw")).where(~F.startswith("field", F.lit("_")) & (F.col("field") != "confidence"))
     get = lambda c, p: F.get_json_object(c, f"$.{p}")
+    several = get("_raw", "items").isNotNull()
     listed = F.coalesce(F.from_json(get("_raw", "items"), "array<string>"), F.array("_raw"))
-    structured = fields.where("_s").select("*", F.posexplode(listed).alias("pos", "_i"))
-    structured = structured.select(*keep, "ord", "field", "pos", get("_i", "value").alias("value"), F.coalesce(get("_i", "confidence").try_cast("double"), "_c").alias("confidence"), get("_i", "grounding").try_cast("double").alias("grounding"), get("_i", "quote").alias("quote"))
+    structured = fields.where("_s").select("*", several.alias("listed"), F.posexplode(listed).alias("pos", "_i"))
+    own = F.coalesce(get("_i", "confidence").try_cast("double"), F.lit(0.5))
+    structured = structured.select(*keep, "ord", "field", "pos", get("_i", "value").alias("value"), own.alias("confidence"), F.coalesce(get("_i", "grounding").try_cast("double"), F.lit(1.0)).alias("grounding"), get("_i", "quote").alias("quote"), F.col("_c").alias("record_confidence"), "listed")
     quotes = F.from_json(get("_d", "_quotes"), "map<string,string>")
-    parts = F.when(F.startswith("_raw", F.lit("[")), F.from_json("_raw", "array<string>")).otherwise(F.array("_raw"))
-    flat = fields.where("not _s").select("*", F.posexplode(parts).alias("pos", "value"))
-    flat = flat.select(*keep, "ord", "field", "pos", "value", F.col("_c").alias("confidence"), F.lit(None).cast("double").alias("grounding"), F.try_element_at(quotes, F.col("field")).alias("quote"))
+    flat = fields.where("not _s").select("*", F.startswith("_raw", F.lit("[")).alias("listed"), F.posexplode(v.to_list(F.col("_raw"))).alias("pos", "value"))
+    flat = flat.select(*keep, "ord", "field", "pos", "value", F.col("_c").alias("confidence"), F.try_element_at("_g", F.col("field")).alias("grounding"), F.try_element_at(quotes, F.col("field")).alias("quote"), F.lit(None).cast("double").alias("record_confidence"), "listed")
     return structured.unionByName(flat)
 
 
-def consolidated(rows: DataFrame, keys: list[str], types: dict[str, str], modes: dict[str, str] | None = None) -> DataFrame:
-    """(keys, field, value): one value of each field by the strategy of its type, lists as JSON; an item's weight is its confidence capped by its grounding."""
-    every = [*keys, "field"]
+def flattened(data: Column) -> Column:
+    """The structured form as the flat one, JSON text: a field's value or the list of its items' values, with _quotes; keys that begin with _ are left out."""
+    fields = F.map_filter(F.from_json(data, "map<string,string>"), lambda k, _: ~F.startswith(k, F.lit("_")))
+    get = lambda c, p: F.get_json_object(c, f"$.{p}")
+    many = lambda c: F.from_json(get(c, "items"), "array<string>")
+    plain = lambda x: F.coalesce(get(x, "value"), get(x, "fields"))
+    value = lambda k, x: F.when(many(x).isNotNull(), F.to_json(F.transform(many(x), plain))).otherwise(plain(x))
+    quotes = F.map_filter(F.transform_values(fields, lambda k, x: get(x, "quote")), lambda k, x: x.isNotNull())
+    entries = F.map_concat(F.map_filter(F.transform_values(fields, value), lambda k, x: x.isNotNull()), F.when(F.size(quotes) > 0, F.create_map(F.lit("_quotes"), F.to_json(quotes))).otherwise(F.create_map().cast("map<string,string>")))
+    return F.to_json(entries)
+
+
+def structured(data: Column, fields: list[str], confidence: Column) -> Column:
+    """The flat form as the structured one, JSON text: {field: {value, confidence, quote}}; a field without value has confidence 0."""
+    quotes = F.from_json(F.get_json_object(data, "$._quotes"), "map<string,string>")
+
+    def entry(f: str) -> Column:
+        value = F.get_json_object(data, f"$.{f}")
+        return F.struct(value.alias("value"), F.when(value.isNotNull(), F.coalesce(confidence, F.lit(0.5))).otherwise(0.0).alias("confidence"), F.try_element_at(quotes, F.lit(f)).alias("quote"))
+
+    return F.to_json(F.struct(*[entry(f).alias(f) for f in fields]))
+
+
+def response_version(raw: Column) -> Column:
+    """2 if an answer has an object ``fields`` with any object that has a value, else 1."""
+    fields = F.map_values(F.from_json(F.get_json_object(raw, "$.fields"), "map<string,string>"))
+    nested = F.exists(fields, lambda x: F.array_contains(F.json_object_keys(x), "value"))
+    return F.when(F.coalesce(nested, F.lit(False)), 2).otherwise(1)
+
+
+def normal_response(raw: Column, fields: list[str]) -> Column:
+    """Either form of an answer as {field: {value, confidence, quote}}, JSON text; plain values in the structured form count as value with confidence 0.5."""
+    inner = F.get_json_object(raw, "$.fields")
+
+    def entry(f: str) -> Column:
+        x = F.get_json_object(inner, f"$.{f}")
+        whole = F.coalesce(F.array_contains(F.json_object_keys(x), "value"), F.lit(False))
+        get = lambda p: F.get_json_object(x, f"$.{p}")
+        value = F.when(whole, get("value")).otherwise(x)
+        sure = F.when(whole, F.coalesce(get("confidence").try_cast("double"), F.lit(0.5))).when(x.isNotNull(), 0.5).otherwise(0.0)
+        return F.struct(value.alias("value"), sure.alias("confidence"), F.when(whole, get("quote")).alias("quote"))
+
+    flat = structured(raw, fields, F.get_json_object(raw, "$.confidence").try_cast("double"))
+    return F.when(response_version(raw) == 2, F.to_json(F.struct(*[entry(f).alias(f) for f in fields]))).otherwise(flat)
+
+
+def weighted(rows: DataFrame, keys: list[str], modes: dict[str, str] | None = None, source: str | None = None) -> DataFrame:
+    """(keys, field, ord, source, weight, listed, values): one row for each record and field, of the rows of items().
+
+    An item's weight is its confidence capped by its grounding, a list's the
+    mean of its items'; the structured form's is capped by the record's
+    confidence. Items without value don't count.
+    """
     mode = reduce(lambda a, x: a.when(F.col("field") == x[0], x[1]), (modes or {}).items(), F.when(F.lit(False), "none")).otherwise("required")
-    rows = rows.withColumn("weight", v.effective_weight(F.col("confidence"), F.col("grounding"), mode)).withColumn("ord", F.struct("ord", "pos"))
-    out = []
-    for name in sorted({strategy_of(x) for x in types.values()}):
-        own = rows.where(F.col("field").isin(*[f for f, x in types.items() if strategy_of(x) == name])).select(*every, "value", "weight", "ord")
-        if name == "weighted_median":
-            found = consolidate.weighted_median(own.withColumn("value", v.to_float(F.col("value"))), every)
-        elif name == "any_true":
-            found = consolidate.any_true(own.withColumn("value", v.to_boolean(F.col("value"))), every)
-        elif name == "longest_top_k":
-            found = consolidate.longest_top_k(own, every)
-        else:
-            found = getattr(consolidate, name)(own, every)
-        value = F.to_json("value") if name == "union_dedup" else F.col("value").cast("string")
-        out.append(found.select(*every, value.alias("value")))
+    each = rows.where(F.col("value").isNotNull()).withColumn("_w", v.effective_weight(F.col("confidence"), F.col("grounding"), mode))
+    by = [*dict.fromkeys([*keys, "field", "ord", *([source] if source else [])])]
+    values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])  # one field of one record
+    out = each.groupBy(*by).agg(F.least(F.avg("_w"), F.first("record_confidence")).alias("weight"), F.first("listed").alias("listed"), values.alias("values"))
+    return out.select(*keys, "field", "ord", (F.col(source) if source else F.lit(None).cast("string")).alias("source"), "weight", "listed", "values")
+
+
+def _result(rows: DataFrame, every: list[str], name: str) -> DataFrame:
+    if name == "union_dedup":
+        return consolidate.union_dedup(rows.withColumn("value", F.col("values")), every)
+    own = rows.withColumn("value", F.col("values")[0])
+    if name == "weighted_median":
+        whole = own.groupBy(*every).agg(F.bool_and(F.col("value").rlike(r"^\s*-?\d+\s*$")).alias("_whole"))
+        found = consolidate.weighted_median(own.withColumn("value", v.to_float(F.col("value"))), every).join(whole, every)
+        return found.select(*every, F.when(F.col("_whole"), F.bround("value", 0).cast("long").cast("string")).otherwise(F.col("value").cast("string")).alias("value"))
+    if name == "any_true":
+        return consolidate.any_true(own.withColumn("value", v.to_boolean(F.col("value"))), every).withColumn("value", F.col("value").cast("string"))
+    return getattr(consolidate, "longest_top_k" if name == "llm_summarize" else name)(own, every)
+
+
+def _with_metrics(rows: DataFrame, every: list[str], name: str, given: DataFrame | None = None) -> DataFrame:
+    found = _result(rows, every, name) if given is None else given
+    own = rows.withColumn("value", F.to_json("values") if name == "union_dedup" else F.col("values")[0])
+    out = consolidate.agreement(own, found, every, source="source")
+    return out.select(*every, F.lit(name).alias("strategy"), (F.to_json("value") if name == "union_dedup" else F.col("value")).alias("value"), F.col("n_values").alias("source_count"), "grounded_count", "agreement", "winning_weight", "top_sources")
+
+
+def consolidated_fields(rows: DataFrame, keys: list[str], types: dict[str, str], strategies: dict[str, str] | None = None) -> DataFrame:
+    """(keys, field, strategy, value, source_count, grounded_count, agreement, winning_weight, top_sources) of the rows of weighted(): one value of each field by the strategy of its type or its own, lists as JSON."""
+    of = {f: (strategies or {}).get(f) or strategy_of(x) for f, x in types.items()}
+    out = [_with_metrics(rows.where(F.col("field").isin([f for f, s in of.items() if s == name])), [*keys, "field"], name) for name in sorted(set(of.values()))]
     return reduce(DataFrame.unionByName, out)
 
 
+def consolidated(rows: DataFrame, keys: list[str], types: dict[str, str], modes: dict[str, str] | None = None) -> DataFrame:
+    """(keys, field, value) of the rows of items()."""
+    return consolidated_fields(weighted(rows, keys, modes), keys, types).select(*keys, "field", "value")
+
+
+def group_records(extractions: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, source_count, grounded_count, data): a record for each group: how many extractions it has, the most grounded values of a field, and the values by field as JSON."""
+    n = extractions.groupBy(*keys).agg(F.count("*").alias("source_count"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value"))))  # a group's fields
+    return n.join(fields.groupBy(*keys).agg(F.max("grounded_count").alias("grounded_count"), F.to_json(entries).alias("data")), keys, "left").withColumn("grounded_count", F.coalesce("grounded_count", F.lit(0)))
+
+
+def entity_items(extractions: DataFrame, keys: list[str], entity_key: str, data: str = "data", version: str = "data_version", confidence: str = "confidence", ord: str = "ord", source: str = "source_id", scores: str | None = None) -> DataFrame:
+    """(keys, ord, source, pos, entity, weight): a row for each entity of a list; entity is a map of strings without the keys that are no attributes.
+
+    All entities of one record have its weight: flat, its confidence capped by
+    the list's grounding; structured, the mean of the entities' own weights,
+    each with its grounding capped by its fields' mean, capped by the record's
+    confidence, which counts 0.3 at least.
+    """
+    given = F.try_element_at(scores, F.lit(entity_key)) if scores else F.lit(None).cast("double")
+    base = extractions.select(*keys, F.col(ord).alias("ord"), F.col(source).cast("string").alias("source"), is_structured(F.col(version)).alias("_s"), F.coalesce(confidence, F.lit(0.5)).alias("_c"), given.alias("_g"), F.get_json_object(data, f"$.{entity_key}").alias("_l"))
+    get = lambda p: F.get_json_object("_i", f"$.{p}")
+    two = base.where("_s").select("*", F.posexplode(F.from_json(F.get_json_object("_l", "$.items"), "array<string>")).alias("pos", "_i"))
+    field_scores = F.filter(F.map_values(F.from_json(get("field_grounding"), "map<string,double>")), lambda x: x.isNotNull())
+    mean = F.when(F.size(field_scores) > 0, F.aggregate(field_scores, F.lit(0.0), lambda a, x: a + x) / F.size(field_scores))
+    own = F.least(F.coalesce(get("confidence").try_cast("double"), F.lit(0.5)), F.coalesce(get("grounding").try_cast("double"), F.lit(1.0)), mean)
+    attributes = F.coalesce(F.from_json(get("fields"), "map<string,string>"), F.from_json("_i", "map<string,string>"))
+    two = two.select(*keys, "ord", "source", "pos", F.map_filter(attributes, lambda k, _: ~F.startswith(k, F.lit("_"))).alias("entity"), own.alias("_w"), "_c")
+    cap = two.groupBy(*keys, "ord", "source").agg(F.least(F.avg("_w"), F.greatest(F.first("_c"), F.lit(0.3))).alias("weight"))
+    two = two.join(cap.withColumnRenamed("ord", "_ord").withColumnRenamed("source", "_source").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_ord", "_source", "weight"), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("ord").eqNullSafe(F.col("_ord")) & F.col("source").eqNullSafe(F.col("_source"))))
+    one = base.where("not _s").select("*", F.posexplode(F.from_json("_l", "array<map<string,string>>")).alias("pos", "_e")).where("_e is not null")
+    one = one.select(*keys, "ord", "source", "pos", F.map_filter("_e", lambda k, _: k != "_quote").alias("entity"), F.coalesce(F.least("_c", "_g"), F.col("_c")).alias("weight"))
+    return two.select(*one.columns).unionByName(one)
+
+
+def entity_lists(rows: DataFrame, keys: list[str], id_fields: list[str] | None = None, top: int = 5) -> DataFrame:
+    """(keys, entity_key, first, entity, winning_weight, top_sources) of the rows of entity_items(): the entities of a group, each once, with the most weight that stands for it and up to ``top`` sources of positive weight, most first."""
+    rows = rows.withColumn("_o", F.struct("ord", "pos"))
+    merged = merged_entities(rows, keys, "entity", "_o", id_fields)
+    of = rows.select(*keys, entity_key(F.col("entity"), id_fields).alias("entity_key"), "weight", "source", "_o").where("weight > 0 and source is not null and source <> ''")
+    best = of.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "entity_key").orderBy(F.desc("weight"), F.asc("_o")))).where(F.col("_r") <= top)
+    sources = F.transform(F.array_sort(F.collect_list(F.struct("_r", "source"))), lambda x: x["source"])  # top rows at most
+    found = best.groupBy(*keys, "entity_key").agg(F.max("weight").alias("_w"), sources.alias("_s"))
+    out = merged.join(found, [*keys, "entity_key"], "left")
+    return out.select(*keys, "entity_key", "first", "entity", F.bround(F.coalesce("_w", F.lit(0.0)), 4).alias("winning_weight"), F.coalesce("_s", F.array().cast("array<string>")).alias("top_sources"))
+
+
 def entity_key(entity: Column, id_fields: list[str] | None = None) -> Column:
     """The first id field that isn't blank, in lower case without outer spaces, else a hash of the sorted entries; of a map of strings."""
     ids = [F.nullif(F.lower(F.trim(F.try_element_at(entity, F.lit(f)))), F.lit("")) for f in id_fields or ID_FIELDS]

@@ -82,7 +82,7 @@ def fill_rates(df: DataFrame, keys: list[str], fields: list[str], empty: tuple[s
 def entity_matrix(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Yes or N/A for each row key and value."""
     marks = df.groupBy(row).agg(*[F.max(F.col(column) == v).alias(f"_{k}") for k, v in enumerate(values)])
-    return marks.select(row, *[F.when(F.col(f"_{k}"), "Yes").otherwise("N/A").alias(v) for k, v in enumerate(values)])
+    return marks.select(row, *[F.when(F.col(f"_{k}"), "Yes").otherwise("N/A").alias(str(v)) for k, v in enumerate(values)])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
@@ -103,3 +103,63 @@ def fill_from(df: DataFrame, column: str, lookup: DataFrame, match: str, fill: s
     """df with ``out``: the lookup's fill value for the column's value if there is just one, else null."""
     one = lookup.groupBy(F.lower(F.trim(match)).alias("_k")).agg(F.min(fill).alias("_a"), F.max(fill).alias("_b")).where("_a = _b").select("_k", F.col("_a").alias(out))
     return df.withColumn("_v", F.lower(F.trim(column))).join(one, F.col("_v") == F.col("_k"), "left").drop("_v", "_k")
+
+
+def has_key(column: str, key: str, path: str | None = None) -> Column:
+    """Whether a JSON object, or the one at a path in it, has a key, whatever its value."""
+    inside = F.get_json_object(column, f"$.{path}") if path else F.col(column)
+    return F.coalesce(F.array_contains(F.json_object_keys(inside), key), F.lit(False))
+
+
+def json_length(column: str, path: str) -> Column:
+    """How many items the array at a path has; 0 if there is none."""
+    return F.coalesce(F.json_array_length(F.get_json_object(column, f"$.{path}")), F.lit(0))
+
+
+def json_probes(df: DataFrame, keys: list[str], column: str, present: list[str], filled: list[str]) -> DataFrame:
+    """(keys, n, has_..., filled_...): how many rows have each key, and how many have items in each array."""
+    has = [F.count_if(has_key(column, k)).alias(f"has_{k}") for k in present]
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *has, *[F.count_if(json_length(column, p) > 0).alias(f"filled_{p}") for p in filled])
+
+
+def open_items(df: DataFrame, empty: list[str], false: list[str], created_at: str, id: str, limit: int) -> DataFrame:
+    """The oldest rows that still lack any of some columns or have a flag that isn't set."""
+    tests = [F.col(c).isNull() for c in empty] + [~F.coalesce(F.col(c), F.lit(False)) for c in false]
+    return df.where(reduce(lambda a, b: a | b, tests)).orderBy(created_at, id).limit(limit)
+
+
+def preferred(*columns: str) -> Column:
+    """The first of some columns that isn't null, such as cleaned content before content."""
+    return F.coalesce(*columns)
+
+
+def active(df: DataFrame, flag: str = "is_active") -> DataFrame:
+    """Rows that aren't deleted; a missing flag counts as active."""
+    return df.where(F.coalesce(F.col(flag), F.lit(True)))
+
+
+def eligible(df: DataFrame, ids: DataFrame | None, id: str, status: str, wanted: list[str], content: str, group: str | None = None, groups: list[str] | None = None) -> DataFrame:
+    """Rows with these ids if given; else those in a wanted status, with content, and of the groups if given."""
+    if ids is not None:
+        return df.join(ids.select(id).distinct(), id, "left_semi")
+    rows = df.where(F.col(status).isin(wanted) & F.col(content).isNotNull())
+    return rows if groups is None else rows.where(F.col(group).isin(groups))
+
+
+def sampled(df: DataFrame, id: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows in the order of a hash of seed and id: random looking, and the same in every run."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string")).cast("binary")), id).limit(n)
+
+
+def best(df: DataFrame, score: str, id: str, limit: int) -> DataFrame:
+    """The rows of the highest scores, ties by id."""
+    return df.orderBy(F.desc(score), id).limit(limit)
+
+
+def ordered(df: DataFrame, value: str, id: str) -> DataFrame:
+    return df.orderBy(value, id)
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column, null left out, in order."""
+    return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)

@@ -93,7 +93,7 @@ def test_boilerplate(spark):
     pages = spark.createDataFrame([("d", i, f"{banner}\n\n{unique.format(i)}") for i in range(6)] + [("e", 0, banner)], "domain string, page int, content string")
     marks = dedup.boilerplate(pages, ["domain"], "page", "content")
     assert [(x["domain"], x["pages"]) for x in marks.collect()] == [("d", 6)]
-    cut = dedup.strip_boilerplate(pages, marks, ["domain"], "content", "\n").where("domain = 'd' and page = 3").first()
+    cut = dedup.strip_boilerplate(pages, marks, ["domain"], "page", "content", "\n").where("domain = 'd' and page = 3").first()
     assert cut["content"] == unique.format(3)
     assert cut["chars_removed"] == len(banner) + 2
 
@@ -140,3 +140,18 @@ def test_no_python_in_core_plans(spark):
     for name in ("consolidate_record", "boilerplate_strip", "run_detection", "lookup_validate_fill"):
         plan = Q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "EvalPython" not in plan and "InPandas" not in plan
+
+
+def test_signs_and_separators_of_numbers(spark):
+    def found(text):
+        return spark.range(1).select(v.numbers(F.lit(text))).first()[0]
+
+    assert found("at -5 degrees, 1.234.567 or 2 500 or 2 500") == [-5.0, 1234567.0, 2500.0, 2500.0]
+    assert found("1,5 and 1,234.567,890 and 3.14159") == [1.0, 5.0, 3.14159]  # mixed separators say nothing
+    score = lambda value, quote: spark.range(1).select(grounding.number_in_quote(F.lit(value), F.lit(quote))).first()[0]
+    assert (score("-5", "at -5 degrees"), score("5", "at -5 degrees"), score("1,5", "1,5")) == (1.0, 0.0, 0.0)
+
+
+def test_quotes_that_deny_need_a_word_for_it(spark):
+    said = lambda text: spark.range(1).select(t.is_negation(F.lit(text))).first()[0]
+    assert [said(x) for x in ("No mention of it", "n/a - not available", "No. 1 gearbox maker in Germany", "Not only fast but quiet", "None specified")] == [True, True, False, False, True]

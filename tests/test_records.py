@@ -2,10 +2,10 @@ import json
 
 from sievelake.operators import records
 
-FLAT = {"company_name": "ABB", "employee_count": 105000, "tags": ["a", "B"], "confidence": 0.9, "_quotes": {"company_name": "ABB Ltd"}}
+FLAT = {"company_name": "Vexo", "employee_count": 7300, "tags": ["a", "B"], "confidence": 0.9, "_quotes": {"company_name": "Vexo Ltd"}}
 STRUCTURED = {
-    "company_name": {"value": "Abb", "confidence": 0.8, "grounding": 1.0, "quote": "q"},
-    "employee_count": {"value": "140,000", "confidence": 0.9, "grounding": 0.0},
+    "company_name": {"value": "vexo", "confidence": 0.8, "grounding": 1.0, "quote": "q"},
+    "employee_count": {"value": "9,100", "confidence": 0.9, "grounding": 0.0},
     "tags": {"items": [{"value": "b", "confidence": 0.7}, {"value": "c"}]},
     "active": {"value": True, "confidence": 0.9, "grounding": 0.9},
     "_meta": {"data_version": 2},
@@ -20,7 +20,7 @@ def table(spark):
 
 def test_both_forms_give_items(spark):
     got = {(x["ord"], x["field"], x["pos"]): x for x in records.items(table(spark), ["source_group"]).collect()}
-    assert got[0, "company_name", 0]["quote"] == "ABB Ltd"
+    assert got[0, "company_name", 0]["quote"] == "Vexo Ltd"
     assert [got[0, "tags", i]["value"] for i in (0, 1)] == ["a", "B"]
     assert (got[1, "tags", 1]["value"], got[1, "tags", 1]["confidence"]) == ("c", 0.5)
     assert got[1, "active", 0]["value"] == "true"
@@ -29,8 +29,8 @@ def test_both_forms_give_items(spark):
 
 def test_consolidated_record(spark):
     got = {x["field"]: x["value"] for x in records.consolidated(records.items(table(spark), ["source_group"]), ["source_group"], TYPES).collect()}
-    assert got["company_name"] == "ABB"
-    assert float(got["employee_count"]) == 105000
+    assert got["company_name"] == "Vexo"
+    assert float(got["employee_count"]) == 7300
     assert json.loads(got["tags"]) == ["a", "B", "c"]
     assert got["active"] == "true"
 
