@@ -55,8 +55,9 @@ COUNTERS, STRIP = 1 << 22, 1 << 14
 PART_BITS = 7
 #: Buckets of so many groups have their pairs listed; larger ones go by a pivot.
 FEW = 4
-#: Members of a bucket of differences whose pairs are listed; larger ones go by a pivot first, so many times at most.
-CLOSE, ROUNDS = 64, 6
+#: Members of a pivot whose pairs are listed. Those of larger ones are joined on shared differences, and listed in buckets
+#: of at most CLOSE; larger buckets go by a pivot first, so many times at most.
+LISTED, CLOSE, ROUNDS = 64, 2048, 4
 #: A token of more groups than HOT is dealt over SALTS parts; a pivot has a part for each MEMBERS members.
 HOT, SALTS, MEMBERS = 500, 64, 1024
 #: Bits of the filter that tells which documents' sets are needed for verification.
@@ -355,7 +356,7 @@ def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int,
     """Pairs of members of different components that a common pivot leaves possible, as far as counts allow the threshold.
 
     Two tables. The first has the pairs of members of pivots with at most
-    ``close`` of them; members of pivots with more are joined on shingles that
+    LISTED of them; members of pivots with more are joined on shingles that
     their differences share, and listed in buckets of at most ``close``. The
     second has, of larger buckets, each member with one of them, which is to be
     a pivot again.
@@ -363,9 +364,9 @@ def difference_pairs(verified: DataFrame, roots: DataFrame, num: int, den: int,
     of = verified.groupBy("p").agg(F.count("*").alias("members"), F.min(F.col("linked").cast("int")).alias("all_linked"), F.min("n").alias("least_n")).where("members > 1 and all_linked = 0")
     kept = verified.select("p", "x", "linked", "n", "n_p", "lacks", "has", "has_first", "lacks_first").join(of.select("p", "least_n", "members"), "p")
     rows = cut(kept.join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x")))
-    small = rows.where(F.col("members") <= close).drop("has_first", "lacks_first")
+    small = rows.where(F.col("members") <= LISTED).drop("has_first", "lacks_first")
     listed = _near(small.where("not linked"), small, ["p"], num, den, False)
-    rows = rows.where(F.col("members") > close)
+    rows = rows.where(F.col("members") > LISTED)
     lone = (num + den) * (F.col("n_p") - F.col("lacks")) >= num * (F.col("n") + F.col("least_n"))  # can reach a member without sharing what it has beside p
     tokens = F.concat(
         F.transform("has_first", lambda t: F.struct(t.alias("token"), F.lit(True).alias("beside"))),
@@ -399,6 +400,7 @@ def _classes(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> t
     release(spark)
     links = verified.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
     roots = components(links)
+    release(spark)
     for r in range(ROUNDS + 1):
         listed, large = difference_pairs(verified, roots, num, den, CLOSE if r < ROUNDS else 1 << 62)
         listed = cut(_possible(cut(listed), sets.select("node", "n", "unit", "parts").dropDuplicates(["node"]), num, den))
@@ -410,7 +412,7 @@ def _classes(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> t
         more = cut(more)
         release(spark)
         # what was linked before is there as each node's root
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        roots = roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         if not again:
             break
     sent.unpersist()

@@ -91,7 +91,7 @@ def near_classes(rows, k, percent):
 
 @pytest.mark.parametrize("seed, percent", [(1, 80), (2, 90)])
 def test_salts_parts_and_repeated_pivots(spark, monkeypatch, seed, percent):
-    for name, value in (("CLOSE", 2), ("ROUNDS", 3), ("HOT", 3), ("SALTS", 3), ("MEMBERS", 7), ("FILTER_BITS", 1 << 15)):
+    for name, value in (("LISTED", 3), ("CLOSE", 2), ("ROUNDS", 3), ("HOT", 3), ("SALTS", 3), ("MEMBERS", 7), ("FILTER_BITS", 1 << 15)):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(seed)
     rows = []
