@@ -77,35 +77,32 @@ def quote_in_source(quote: Column, source: Column) -> Column:
     return F.when(a == "", 0.0).when(F.contains(b, a), 1.0).when((p != "") & F.contains(q, p), 0.95).when(n > F.size(text), 0.0).otherwise(F.round(best, 4))
 
 
-def stands_in(quote: Column, source: Column) -> Column:
-    """1 if the source contains the quote in normal form, 0.95 without punctuation, else 0."""
-    a, b = t.normal_dashes(quote), t.normal_dashes(source)
-    p, q = t.normal(t.without_punctuation(a)), t.normal(t.without_punctuation(b))
-    return F.when((a != "") & F.contains(b, a), 1.0).when((p != "") & F.contains(q, p), 0.95).otherwise(0.0)
-
-
 def quotes_in_sources(quotes: DataFrame, sources: DataFrame, quote_id: str, quote: str, source_id: str, text: str, block: int = 200) -> DataFrame:
     """(quote_id, source_id, score): the sources in which each quote stands, as it is (1) or without punctuation (0.95).
 
     A quote of five words or more, its first and last left out as they may be
     parts of words, meets the sources that have its next three words in a row;
     only hashes of word runs are compared until then. Shorter quotes are a set
-    of queries against all sources, ``block`` at a time.
+    of queries against all sources, ``block`` at a time. Each text is
+    normalised once, not once a quote.
     """
-    words = lambda c: F.split(t.normal(t.without_punctuation(t.normal_dashes(F.col(c)))), " ")
-    asked = quotes.select(F.col(quote_id).alias("_q"), F.col(quote).alias("_quote"), words(quote).alias("_w")).where(F.col("_w")[0] != "")
+    forms = lambda id, c, df: df.select(F.col(id).alias("_id"), t.normal_dashes(F.col(c)).alias("_n")).select("_id", "_n", t.normal(t.without_punctuation(F.col("_n"))).alias("_b"))
+    words = F.split("_b", " ")
+    asked = forms(quote_id, quote, quotes).where("_b <> ''").select(F.col("_id").alias("_q"), F.col("_n").alias("_qn"), F.col("_b").alias("_qb"), words.alias("_w"))
     runs = F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.xxhash64(F.get("_w", i - 1), F.get("_w", i), F.get("_w", i + 1)))
     keys = asked.where(F.size("_w") >= 5).select("_q", F.xxhash64(F.get("_w", F.lit(1)), F.get("_w", F.lit(2)), F.get("_w", F.lit(3))).alias("_k"))
-    texts = sources.select(F.col(source_id).alias("_s"), words(text).alias("_w")).where(F.size("_w") >= 3)
+    every = forms(source_id, text, sources).withColumnRenamed("_id", "_s")
+    texts = every.select("_s", words.alias("_w")).where(F.size("_w") >= 3)
     near = texts.select("_s", F.explode(F.array_distinct(runs)).alias("_k")).join(keys, "_k").select("_q", "_s").distinct()
-    every = sources.select(F.col(source_id).alias("_s"), F.col(text).alias("_text"))
-    found = near.join(asked.select("_q", "_quote"), "_q").join(every, "_s").select("_q", "_s", stands_in(F.col("_quote"), F.col("_text")).alias("score"))
-    short = asked.where(F.size("_w") < 5).select("_q", "_quote")
+    score = F.when(F.contains("_n", F.col("_qn")), 1.0).otherwise(0.95).alias("score")
+    found = near.join(asked.drop("_w"), "_q").join(every, "_s").where(F.contains("_b", F.col("_qb"))).select("_q", "_s", score)
+    short = asked.where(F.size("_w") < 5).drop("_w")
     n = short.count()
-    for k in range(-(-n // block)):
-        part = short.where(F.pmod(F.xxhash64("_q"), F.lit(-(-n // block))) == k)  # about block quotes
-        found = found.union(every.join(F.broadcast(part), stands_in(F.col("_quote"), F.col("_text")) > 0).select("_q", "_s", stands_in(F.col("_quote"), F.col("_text")).alias("score")))
-    return found.where("score >= 0.95").select(F.col("_q").alias(quote_id), F.col("_s").alias(source_id), "score")
+    blocks = -(-n // block)
+    for k in range(blocks):
+        part = short.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == k)  # about block quotes
+        found = found.union(every.join(F.broadcast(part), F.contains("_b", F.col("_qb"))).select("_q", "_s", score))
+    return found.select(F.col("_q").alias(quote_id), F.col("_s").alias(source_id), "score")
 
 
 def field_grounding(mode: Column, quote: Column, source: Column, value_score: Column) -> Column:
