@@ -32,7 +32,7 @@ LEAF = 256
 #: In place of a token: none. Ids are below it.
 NONE = (1 << 17) - 1
 #: Pre-tokens that a task remembers; when full, the memo starts again.
-MEMO = 200_000
+MEMO = 400_000
 SLICE = 1 << 19
 
 
