@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 over the driver's tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_threads, decontaminate, fingerprint, html_main, jaccard_join, langid, licences, quality, warc
+from . import alignment, bpe, chat_threads, decontaminate, fingerprint, html_main, jaccard_join, langid, licences, packing, quality, vector_codes, warc
 from .llm_sql import ORACLE_SQL as ORACLE_SQL
 
 
@@ -69,6 +69,28 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), learned, keep=["doc_id", "held_out"])
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.link_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.train(vectors)
+    coded = vector_codes.encode(vectors, books, keep=["vec_id", "label"])
+    out = vector_codes.with_label_error(coded)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end=1, keep=["doc_id"], digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_main_text": op2_main_text,
@@ -80,4 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
+    "op11_alignment": op11_alignment,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_packing": op13_packing,
 }
