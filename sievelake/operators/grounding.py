@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelake.functions import text as t
 from sievelake.functions import values as v
 
+from . import locate
 
 # How values of each type are grounded, and what keys of a record are no fields.
 MODES = {"string": "required", "integer": "required", "float": "required", "boolean": "semantic", "text": "required", "enum": "required", "list": "required", "summary": "none"}
@@ -77,32 +83,89 @@ def quote_in_source(quote: Column, source: Column) -> Column:
     return F.when(a == "", 0.0).when(F.contains(b, a), 1.0).when((p != "") & F.contains(q, p), 0.95).when(n > F.size(text), 0.0).otherwise(F.round(best, 4))
 
 
-def quotes_in_sources(quotes: DataFrame, sources: DataFrame, quote_id: str, quote: str, source_id: str, text: str, block: int = 200) -> DataFrame:
+#: Characters of quotes that go into one automaton, which takes some 100 bytes for each.
+MOST_CHARS = 1 << 20
+#: Word runs of quotes up to this number are broadcast, 16 bytes each.
+MOST_RUNS = 1 << 20
+
+
+def quotes_in_sources(quotes: DataFrame, sources: DataFrame, quote_id: str, quote: str, source_id: str, text: str, most_chars: int | None = None) -> DataFrame:
     """(quote_id, source_id, score): the sources in which each quote stands, as it is (1) or without punctuation (0.95).
 
-    A quote of five words or more, its first and last left out as they may be
-    parts of words, meets the sources that have its next three words in a row;
-    only hashes of word runs are compared until then. Shorter quotes are a set
-    of queries against all sources, ``block`` at a time. Each text is
-    normalised once, not once a quote.
+    Quotes of up to ``most_chars`` characters together are one automaton, which
+    each task runs once over every source's normal form. Of more quotes, those
+    of less than five words go in blocks of that size, one scan each; longer
+    ones meet only the sources that have their rarest runs of three words: hashes
+    of runs are compared until then, and of the sources found a text goes once
+    for each list of its quotes. Null and empty quotes and texts give nothing;
+    rows that repeat give one.
     """
-    forms = lambda id, c, df: df.select(F.col(id).alias("_id"), t.normal_dashes(F.col(c)).alias("_n")).select("_id", "_n", t.normal(t.without_punctuation(F.col("_n"))).alias("_b"))
-    words = F.split("_b", " ")
-    asked = forms(quote_id, quote, quotes).where("_b <> ''").select(F.col("_id").alias("_q"), F.col("_n").alias("_qn"), F.col("_b").alias("_qb"), words.alias("_w"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.xxhash64(F.get("_w", i - 1), F.get("_w", i), F.get("_w", i + 1)))
-    keys = asked.where(F.size("_w") >= 5).select("_q", F.xxhash64(F.get("_w", F.lit(1)), F.get("_w", F.lit(2)), F.get("_w", F.lit(3))).alias("_k"))
-    every = forms(source_id, text, sources).withColumnRenamed("_id", "_s")
-    texts = every.select("_s", words.alias("_w")).where(F.size("_w") >= 3)
-    near = texts.select("_s", F.explode(F.array_distinct(runs)).alias("_k")).join(keys, "_k").select("_q", "_s").distinct()
-    score = F.when(F.contains("_n", F.col("_qn")), 1.0).otherwise(0.95).alias("score")
-    found = near.join(asked.drop("_w"), "_q").join(every, "_s").where(F.contains("_b", F.col("_qb"))).select("_q", "_s", score)
-    short = asked.where(F.size("_w") < 5).drop("_w")
-    n = short.count()
-    blocks = -(-n // block)
-    for k in range(blocks):
-        part = short.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == k)  # about block quotes
-        found = found.union(every.join(F.broadcast(part), F.contains("_b", F.col("_qb"))).select("_q", "_s", score))
-    return found.select(F.col("_q").alias(quote_id), F.col("_s").alias(source_id), "score")
+    most_chars = MOST_CHARS if most_chars is None else most_chars
+    asked = quotes.select(F.col(quote_id).alias("_q"), F.col(quote).alias("_t")).where(t.normal(t.without_punctuation(F.col("_t"))) != "").distinct()
+    every = sources.select(F.col(source_id).alias("_s"), F.col(text).alias("_x"))
+    size = F.sum(F.length("_t"))
+    if (asked.agg(size).first()[0] or 0) <= most_chars:
+        found = _scan(asked, every)
+    else:
+        words = F.size(F.split(t.normal(t.without_punctuation(F.col("_t"))), " "))
+        short = asked.where(words < 5)
+        blocks = -(-(short.agg(size).first()[0] or 0) // most_chars)
+        found = _near(asked.where(words >= 5), every)
+        for k in range(blocks):
+            found = found.union(_scan(short.where(F.pmod(F.xxhash64("_q", "_t"), F.lit(blocks)) == k), every))
+    return found.distinct().select(F.col("_q").alias(quote_id), F.col("_s").alias(source_id), "score")
+
+
+def _scan(asked: DataFrame, every: DataFrame) -> DataFrame:
+    """(_q, _s, score) by one automaton of all the quotes; the caller has seen to their size."""
+    rows = asked.collect()
+    patterns: dict[str, dict[str, list[int]]] = {}
+    for k, r in enumerate(rows):
+        whole, bare = locate.normal_text(r["_t"]), locate.normal_text(r["_t"], True)
+        if bare:
+            patterns.setdefault(bare, {}).setdefault(whole, []).append(k)
+    sent = every.sparkSession.sparkContext.broadcast(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = ahocorasick.Automaton()
+        for bare in sent.value:
+            search.add_word(bare, bare)
+        search.make_automaton()
+        for b in batches:
+            at, asked_for, score = [], [], []
+            for i, x in enumerate(b.column(0).to_pylist() if sent.value else ()):
+                source = locate.Source(x)
+                for bare in {p for _, p in search.iter(source.bare[0])}:
+                    for whole, ks in sent.value[bare].items():
+                        at += [i] * len(ks)
+                        asked_for += ks
+                        score += [1.0 if whole in source.plain[0] else 0.95] * len(ks)
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at, pa.int64())), pa.array(asked_for, pa.int64()), pa.array(score, pa.float64())], names=["_s", "_k", "score"])
+
+    schema = T.StructType([T.StructField("_s", every.schema["_s"].dataType), T.StructField("_k", T.LongType()), T.StructField("score", T.DoubleType())])
+    ids = asked.sparkSession.createDataFrame([(k, r["_q"]) for k, r in enumerate(rows)], T.StructType([T.StructField("_k", T.LongType()), asked.schema["_q"]]))
+    return every.select("_x", "_s").mapInArrow(run, schema).join(F.broadcast(ids), "_k").select("_q", "_s", "score")
+
+
+def _near(asked: DataFrame, every: DataFrame) -> DataFrame:
+    """(_q, _s, score) of quotes of five words or more, by their two rarest runs of three inner words."""
+
+    def runs(c: str, first: int, less: int) -> Column:
+        w = F.split(t.normal(t.without_punctuation(t.normal_dashes(F.col(c)))), " ")
+        return F.when(F.size(w) >= 3 + less, F.array_distinct(F.transform(F.sequence(F.lit(first), F.size(w) - 3 - less + first), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
+
+    # the first and the last word of a quote may be parts of words
+    keys = asked.select("_q", "_t", F.explode(runs("_t", 1, 2)).alias("_k"))
+    wanted = keys.select("_k").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_RUNS else wanted
+    hits = every.select("_s", F.explode(runs("_x", 0, 0)).alias("_k")).join(wanted, "_k", "left_semi")
+    often = hits.groupBy("_k").agg(F.count("*").alias("_n"))
+    ranked = keys.join(often, "_k", "left").groupBy("_q", "_t").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_k")).alias("a"), F.max(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_k")).alias("z"))
+    rarest = ranked.where("a.n > 0").select("_q", "_t", F.col("a._k").alias("_k"), F.col("z._k").alias("_z"))
+    pairs = rarest.join(hits, "_k").select("_q", "_t", "_z", "_s")
+    pairs = pairs.join(hits.select("_s", F.col("_k").alias("_z")), ["_s", "_z"], "left_semi").select("_s", "_q", "_t")
+    found = locate.locate_quotes(pairs, every, "_s", "_q", "_t", "_x", only_contained=True)
+    return found.where("score > 0").select("_q", "_s", "score")
 
 
 def field_grounding(mode: Column, quote: Column, source: Column, value_score: Column) -> Column:
@@ -150,13 +213,22 @@ def quotes(extractions: DataFrame, keep: list[str], data: str = "data") -> DataF
 
 
 def source_scores(extractions: DataFrame, keep: list[str], content: str, data: str = "data") -> DataFrame:
-    """(keep..., field, score): how well each quote stands in the source ``content``; of entity lists the mean, entities without quote counting 0."""
-    every = [*keep, content]
-    rows = extractions.select(*every, F.explode(F.from_json(F.get_json_object(data, "$._quotes"), "map<string,string>")).alias("field", "quote")).withColumn("quote", t.joined_quote(F.col("quote"))).where("quote is not null")
-    rows = rows.select(*keep, "field", quote_in_source(F.col("quote"), F.col(content)).alias("score"))
-    quote = t.joined_quote(F.try_element_at("entity", F.lit("_quote")))
-    lists = _entities(extractions, every, data).select(*keep, "field", F.coalesce(quote_in_source(quote, F.col(content)), F.lit(0.0)).alias("_s"))
-    return rows.unionByName(lists.groupBy(*keep, "field").agg(v.half_even(F.avg("_s"), 4).alias("score")))
+    """(keep..., field, score): how well each quote stands in the source ``content``; of entity lists the mean, entities without quote counting 0.
+
+    A record's quotes are looked up together, so its source is normalised once.
+    """
+    entry = lambda field, quote, listed: F.struct(field.alias("field"), quote.alias("quote"), F.lit(listed).alias("listed"))
+    flat = F.filter(F.map_entries(F.from_json(F.get_json_object(data, "$._quotes"), "map<string,string>")), lambda e: t.joined_quote(e["value"]).isNotNull())
+    flat = F.transform(flat, lambda e: entry(e["key"], t.joined_quote(e["value"]), False))
+    lists = F.filter(F.map_entries(F.from_json(data, "map<string,string>")), lambda e: ~e["key"].isin(NO_FIELDS) & e["value"].rlike(r"^\s*\[\s*\{"))
+    quote = lambda x: t.joined_quote(F.try_element_at(x, F.lit("_quote")))
+    of_lists = F.flatten(F.transform(lists, lambda e: F.transform(F.from_json(e["value"], "array<map<string,string>>"), lambda x: entry(e["key"], quote(x), True))))
+    none = F.array().cast("array<struct<field:string,quote:string,listed:boolean>>")
+    rows = extractions.select(*keep, F.col(content).alias("_x"), F.concat(F.coalesce(flat, none), F.coalesce(of_lists, none)).alias("_l"))
+    rows = rows.where(F.size("_l") > 0).withColumn("_q", F.transform("_l", lambda x: x["quote"]))
+    found = locate.scored(rows, "_q", "_x", "_f").select(*keep, F.explode(F.arrays_zip("_l", "_f")).alias("_r")).select(*keep, "_r._l.*", F.col("_r._f").alias("score"))
+    means = found.where("listed").groupBy(*keep, "field").agg(v.half_even(F.avg(F.coalesce("score", F.lit(0.0))), 4).alias("score"))
+    return found.where("not listed").select(*keep, "field", "score").unionByName(means)
 
 
 def source_ratio(scores: DataFrame, keep: list[str], every: DataFrame, least: float = 0.8) -> DataFrame:

@@ -1,22 +1,39 @@
-"""Where a quote stands in its source, with offsets into the source as it is.
+"""Where quotes stand in their sources, with offsets into the sources as they are.
 
 Four tiers, from strict to loose: the normal form contains the quote's (score
 1); the same without punctuation (0.95); the same without Markdown (0.9); the
 block, then the line, that shares at least 0.6 of the quote's words. Each step
 of the normal form carries the place of every character along, which columns
-can't express; Arrow batches run it row by row.
+can't express.
+
+A source is normalised once for all quotes that are asked of it: each form is
+made when the first quote needs it, as arrays, and an Aho-Corasick automaton of
+the quotes that are still to be found runs over it once. The words of its
+blocks are indexed once too. ``locate_quotes`` brings quotes to their sources:
+the quotes of one source go in lists of about ``most``, dealt by hash, so that
+a source with very many quotes is many tasks' work.
+
+Results: a null or blank quote and a null or empty source give tier 0. Ties go
+to the first place, block and line. Offsets count characters from 0.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from functools import cache, cached_property
 import re
-from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .relational import with_group_size
+
 LEAST = 0.6
 # Dashes that count as hyphens.
 DASHES = {ord(c): "-" for c in "–—―−"}
@@ -26,7 +43,12 @@ RULE = re.compile(r"^(?=.*\|)(?=.*--)[|: \t-]+$", re.M)
 #: A run of emphasis signs, or the end of a paragraph, which ends all emphasis.
 RUN = re.compile(r"\*{1,3}|_{1,3}|\n[ \t]*\n")
 FOUND = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("span", T.StringType()), T.StructField("tier", T.IntegerType())])
+ARROW = pa.struct([("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("span", pa.string()), ("tier", pa.int32())])
 NOTHING = (0.0, None, None, None, 0)
+#: Quotes up to this length, or so few of them, are looked for one by one.
+SHORT, FEW = 3, 3
+#: Quotes of a source that go together, about.
+MOST = 1000
 
 
 def hidden(text: str) -> bytearray:
@@ -59,91 +81,291 @@ def hidden(text: str) -> bytearray:
     return mask
 
 
-class Traced:
-    """A text and, for each of its characters, the place in the source that it comes from."""
+@cache
+def kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point its lower case (dashes are hyphens), whether it is white space, and whether it is part of a word."""
+    every = [chr(i) for i in range(0x110000)]
+    lower = np.fromiter((ord(c.lower()[0]) for c in every), np.uint32, len(every))
+    lower[list(DASHES)] = ord("-")
+    space = np.fromiter((c.isspace() for c in every), bool, len(every))
+    word = np.fromiter((c.isalnum() or c == "_" for c in every), bool, len(every))
+    return lower, space, word
+
+
+DOTTED, DOT_ABOVE = 0x130, 0x307  # the one letter whose lower case is two
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def string(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def normal(points: np.ndarray, at: np.ndarray, drop_punctuation: bool) -> tuple[str, np.ndarray]:
+    """Lower case, hyphens for dashes, one space for white space, none at the ends; and the place of each character."""
+    lower, space, word = kinds()
+    low = lower[points]
+    if (points == DOTTED).any():
+        two = np.repeat(np.arange(len(points)), np.where(points == DOTTED, 2, 1))
+        second = np.flatnonzero(np.diff(two, prepend=-1) == 0)
+        low, at = low[two], at[two]
+        low[second] = DOT_ABOVE
+    if drop_punctuation:
+        keep = word[low] | space[low]
+        low, at = low[keep], at[keep]
+    blank = space[low]
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]  # the first blank of a run
+    low, at, blank = low[keep], at[keep], blank[keep]
+    low = np.where(blank, ord(" "), low)
+    first, last = int(bool(len(low)) and bool(blank[0])), len(low) - int(bool(len(low)) and bool(blank[-1]))
+    return string(low[first:last]), at[first : max(first, last)]
+
+
+def first_places(wanted: list[str], text: str) -> dict[str, int]:
+    """Where each of the strings stands in the text first, if it does."""
+    found, search = {}, ahocorasick.Automaton()
+    several = {w for w in wanted if len(w) > SHORT}
+    several = several if len(several) > FEW else set()
+    for w in set(wanted) - several:
+        if (p := text.find(w)) >= 0:
+            found[w] = p
+    if several:
+        for w in several:
+            search.add_word(w, w)
+        search.make_automaton()
+        left = len(several)
+        for end, w in search.iter(text):
+            if w not in found:
+                found[w] = end - len(w) + 1
+                left -= 1
+                if not left:
+                    break
+    return found
+
+
+def tidy(quote: str | None) -> str:
+    """A quote without white space at its ends and without the dots where it breaks off."""
+    text = (quote or "").strip()
+    bare = text.rstrip(".…")
+    return bare.strip() if "…" in text[len(bare) :] or len(text) - len(bare) > 1 else text
+
+
+def normal_text(text: str, drop_punctuation: bool = False) -> str:
+    points = codes(text)
+    return normal(points, np.zeros(len(points), np.int32), drop_punctuation)[0]
+
+
+class Source:
+    """A source and its normal forms, each made once, when it is first asked for."""
+
+    def __init__(self, text: str | None) -> None:
+        self.text = text or ""
+        #: The lines, with their words, of the blocks that were looked into.
+        self.lines: dict[int, list[tuple[str, set[str]]]] = {}
+
+    def shown(self, text: str, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What Markdown shows, and its places; bars become spaces."""
+        at = np.flatnonzero(np.frombuffer(hidden(text), np.uint8) == 0).astype(np.int32)
+        some = points[at]
+        return np.where(some == ord("|"), ord(" "), some), at
 
-    def __init__(self, text: str, at: list[int] | None = None) -> None:
-        self.text, self.at = text, list(range(len(text))) if at is None else at
+    @cached_property
+    def points(self) -> np.ndarray:
+        return codes(self.text)
 
-    def shown(self) -> Traced:
-        """What Markdown shows; bars become spaces."""
-        hide = hidden(self.text)
-        keep = [i for i in range(len(self.text)) if not hide[i]]
-        return Traced("".join(" " if self.text[i] == "|" else self.text[i] for i in keep), [self.at[i] for i in keep])
+    @cached_property
+    def plain(self) -> tuple[str, np.ndarray]:
+        return normal(self.points, np.arange(len(self.points), dtype=np.int32), False)
 
-    def normal(self, drop_punctuation: bool = False) -> Traced:
-        """Lower case, hyphens for dashes, one space for white space, none at the ends."""
-        chars, at = [], []
-        for c, i in zip(self.text.translate(DASHES), self.at):
-            for x in c.lower():
-                if x.isspace():
-                    if not chars or chars[-1] == " ":
-                        continue
-                    x = " "
-                elif drop_punctuation and not (x.isalnum() or x == "_"):
-                    continue
-                chars.append(x)
-                at.append(i)
-        if chars and chars[-1] == " ":
-            chars.pop(), at.pop()
-        return Traced("".join(chars), at)
+    @cached_property
+    def bare(self) -> tuple[str, np.ndarray]:
+        return normal(self.points, np.arange(len(self.points), dtype=np.int32), True)
 
-    def find(self, wanted: str) -> tuple[int, int] | None:
-        p = self.text.find(wanted)
-        return None if p < 0 else (self.at[p], self.at[p + len(wanted) - 1] + 1)
+    @cached_property
+    def bare_shown(self) -> tuple[str, np.ndarray]:
+        return normal(*self.shown(self.text, self.points), True)
 
+    def _words(self, part: str) -> set[str]:
+        return set(normal(*self.shown(part, codes(part)), False)[0].split())
 
-def words(text: str) -> set[str]:
-    return set(Traced(text).shown().normal().text.split())
+    @cached_property
+    def blocks(self) -> list[str]:
+        return self.text.split("\n\n")
 
+    @cached_property
+    def block_words(self) -> dict[str, list[int]]:
+        """The blocks that have each word."""
+        out: dict[str, list[int]] = {}
+        for k, b in enumerate(self.blocks):
+            for w in self._words(b):
+                out.setdefault(w, []).append(k)
+        return out
 
-def _fullest(parts: list[str], gap: int, wanted: set[str]) -> tuple[float, int, str]:
-    """(share, offset, part) of the first part that shares most of the words."""
-    best, at = (0.0, 0, ""), 0
-    for p in parts:
-        share = len(wanted & words(p)) / len(wanted)
-        if share > best[0]:
-            best = (share, at, p)
-        at += len(p) + gap
-    return best
+    @cached_property
+    def block_starts(self) -> list[int]:
+        starts = [0]
+        for b in self.blocks:
+            starts.append(starts[-1] + len(b) + 2)
+        return starts
+
+    def shared(self, terms: set[str]) -> tuple:
+        """The first block that shares most of the words, narrowed to its first such line."""
+        hits = Counter(k for w in terms for k in self.block_words.get(w, ()))
+        if not hits:
+            return NOTHING
+        most = max(hits.values())
+        share = most / len(terms)
+        if share < LEAST:
+            return NOTHING
+        k = min(k for k, n in hits.items() if n == most)
+        block, at = self.blocks[k], self.block_starts[k]
+        if k not in self.lines:
+            self.lines[k] = [(x, self._words(x)) for x in block.split("\n")]
+        best, place = (0, 0, ""), at
+        for line, words in self.lines[k]:
+            n = len(terms & words)
+            if n > best[0]:
+                best = (n, place, line)
+            place += len(line) + 1
+        n, line_at, line = best
+        if n / len(terms) >= LEAST:
+            return n / len(terms), line_at, line_at + len(line), line, 4
+        return share, at, at + len(block), block, 4
+
+    def locate(self, quotes: list[str | None]) -> list[tuple]:
+        """(score, start, end, span, tier) of each quote; tier 0 without a match."""
+        tidied = [tidy(q) for q in quotes]
+        wanted = [normal_text(q) for q in tidied]
+        bare = [normal_text(q, True) for q in tidied]
+        out: list[tuple] = [NOTHING] * len(quotes)
+        left = [i for i, w in enumerate(wanted) if w and self.text]
+        for tier, (score, form, asked) in enumerate(((1.0, "plain", wanted), (0.95, "bare", bare), (0.9, "bare_shown", bare)), 1):
+            ask = [asked[i] for i in left if asked[i]]
+            if ask:
+                text, at = getattr(self, form)
+                places = first_places(ask, text)
+                for i in left:
+                    if asked[i] in places:
+                        p = places[asked[i]]
+                        a, b = int(at[p]), int(at[p + len(asked[i]) - 1]) + 1
+                        out[i] = (score, a, b, self.text[a:b], tier)
+                left = [i for i in left if asked[i] not in places]
+        for i in left:
+            out[i] = self.shared(set(wanted[i].split()))
+        return out
+
+    @cached_property
+    def word_places(self) -> tuple[dict[str, list[int]], int]:
+        """Where each word of the form without punctuation stands, and how many there are."""
+        words = self.bare[0].split(" ")
+        places: dict[str, list[int]] = {}
+        for k, w in enumerate(words):
+            places.setdefault(w, []).append(k)
+        return places, len(words)
+
+    def _best_window(self, words: list[str]) -> float:
+        """The most of the words that a window of as many source words has."""
+        places, many = self.word_places
+        n = len(words)
+        starts = max(many - n + 1, 1)
+        change = np.zeros(starts + 1, np.int64)
+        for w, times in Counter(words).items():
+            at = np.array(places.get(w, ()), np.int64)
+            if len(at):  # windows that have the word: between n - 1 places before an occurrence and it, each once
+                lo, hi = np.maximum(at - n + 1, 0), np.minimum(at, starts - 1) + 1
+                lo[1:] = np.maximum(lo[1:], hi[:-1])
+                some = lo < hi
+                np.add.at(change, lo[some], times)
+                np.add.at(change, hi[some], -times)
+        return int(np.cumsum(change)[:starts].max()) / n
+
+    def contained(self, quotes: list[str | None]) -> list[float | None]:
+        """1 if the normal form contains the quote's, 0.95 if it does without punctuation, else 0; 0 for blank quotes and null for null."""
+        wanted, bare = ([None if q is None else normal_text(q, drop) for q in quotes] for drop in (False, True))
+        exact = first_places([w for w in wanted if w], self.plain[0])
+        loose = first_places([b for w, b in zip(wanted, bare, strict=True) if b and w not in exact], self.bare[0])
+        return [None if w is None else 1.0 if w in exact else 0.95 if w and b in loose else 0.0 for w, b in zip(wanted, bare, strict=True)]
+
+    def scores(self, quotes: list[str | None]) -> list[float | None]:
+        """As contained(), but in place of 0 the best share of the quote's words in a window of as many source words."""
+        out = self.contained(quotes)
+        for k, q in enumerate(quotes):
+            if out[k] == 0 and normal_text(q):
+                words = normal_text(q, True).split(" ")
+                share = 0.0 if len(words) > self.word_places[1] else self._best_window(words)
+                out[k] = float(Decimal(repr(share)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+        return out
 
 
 def locate(quote: str | None, source: str | None) -> tuple:
-    """(score, start, end, span, tier); tier 0 without a match."""
-    tidy = (quote or "").strip()
-    bare_end = tidy.rstrip(".…")
-    if "…" in tidy[len(bare_end) :] or len(tidy) - len(bare_end) > 1:
-        tidy = bare_end.strip()  # a quote that breaks off
-    wanted, bare = Traced(tidy).normal().text, Traced(tidy).normal(True).text
-    if not wanted or not source:
-        return NOTHING
-    whole = Traced(source)
-    tiers = [(1.0, wanted, whole.normal)]
-    if bare:
-        tiers += [(0.95, bare, lambda: whole.normal(True)), (0.9, bare, lambda: whole.shown().normal(True))]
-    for tier, (score, text, view) in enumerate(tiers, 1):
-        if place := view().find(text):
-            return score, *place, source[slice(*place)], tier
-    terms = set(wanted.split())
-    share, at, block = _fullest(source.split("\n\n"), 2, terms)
-    if share < LEAST:
-        return NOTHING
-    line_share, line_at, line = _fullest(block.split("\n"), 1, terms)
-    if line_share >= LEAST:
-        return line_share, at + line_at, at + line_at + len(line), line, 4
-    return share, at, at + len(block), block, 4
+    """(score, start, end, span, tier) of one quote."""
+    return Source(source).locate([quote])[0]
 
 
-def located(df: DataFrame, quote: str, source: str, out: str = "found") -> DataFrame:
-    """df with a struct of score, start, end, span and tier; a column named ``out`` is replaced."""
+def _rows(df: DataFrame, quotes: str, source: str, out: str, kind: T.DataType, arrow: pa.DataType, answer: Callable[[Source, list], list], listed: bool) -> DataFrame:
+    """df with the answers for each row's quotes; rows of a batch that have the same source share its forms."""
     kept = [c for c in df.columns if c != out]
-    rows = df.select(*kept, F.col(quote).alias("_q"), F.col(source).alias("_s"))
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(quotes), F.col(source))
+    n = len(kept)
+    schema = T.StructType([*rows.schema.fields[:n], T.StructField(out, kind)])
+    rows = rows.toDF(*[f"c{i}" for i in range(n + 2)])  # whatever the names are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("span", pa.string()), ("tier", pa.int32())])
-        n = len(kept)
         for b in batches:
-            found = [dict(zip(kind.names, locate(q, s))) for q, s in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, kind)], names=[*kept, out])
+            found, by = [None] * b.num_rows, {}
+            asked, texts = b.column(n).to_pylist(), b.column(n + 1).to_pylist()
+            for i, s in enumerate(texts):
+                by.setdefault(s, []).append(i)
+            for s, rows_of in by.items():
+                have = [i for i in rows_of if not listed or asked[i] is not None]
+                flat = [q for i in have for q in (asked[i] if listed else [asked[i]])]
+                told = iter(answer(Source(s), flat))
+                for i in have:
+                    found[i] = [next(told) for _ in asked[i]] if listed else next(told)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, arrow)], names=[*kept, out])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _told(source: Source, quotes: list) -> list[dict]:
+    return [dict(zip(ARROW.names, x)) for x in source.locate(quotes)]
+
+
+def located(df: DataFrame, quote: str, source: str, out: str = "found") -> DataFrame:
+    """df with a struct of score, start, end, span and tier; a column named ``out`` is replaced."""
+    return _rows(df, quote, source, out, FOUND, ARROW, _told, False)
+
+
+def all_located(df: DataFrame, quotes: str, source: str, out: str = "found") -> DataFrame:
+    """df with an array of such structs, one for each item of the array of quotes; null for a null array."""
+    return _rows(df, quotes, source, out, T.ArrayType(FOUND), pa.list_(ARROW), _told, True)
+
+
+def scored(df: DataFrame, quotes: str, source: str, out: str = "scores", only_contained: bool = False) -> DataFrame:
+    """df with an array of how well each item of the array of quotes stands in the source (see Source.scores and Source.contained); null for a null array."""
+    return _rows(df, quotes, source, out, T.ArrayType(T.DoubleType()), pa.list_(pa.float64()), Source.contained if only_contained else Source.scores, True)
+
+
+def locate_quotes(quotes: DataFrame, sources: DataFrame, source_id: str, quote_id: str, quote: str, text: str, most: int | None = None, only_contained: bool = False) -> DataFrame:
+    """(source_id, quote_id, quote, score, start, end, span, tier): each quote in the source that it names; with ``only_contained`` up to score, by Source.contained.
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-2], T.StructField(out, FOUND)]))
+    ``quotes`` has source_id, quote_id and quote, ``sources`` source_id and
+    text, once each. Rows that repeat count once; quotes whose source is
+    missing are left out. Only a source's id and size are known to more than
+    one task; its text goes to as many tasks as it has lists of quotes.
+    """
+    asked = quotes.select(F.col(source_id).alias("_s"), F.col(quote_id).alias("_i"), F.col(quote).alias("_t")).distinct()
+    most = MOST if most is None else most
+    pieces = lambda n: F.ceil(n / F.lit(most)).cast("long")
+    sized = with_group_size(asked, ["_s"], "_n")
+    lists = sized.withColumn("_k", F.pmod(F.xxhash64("_i", "_t"), pieces(F.col("_n")))).groupBy("_s", "_k").agg(F.collect_list(F.struct("_i", "_t")).alias("_l"))
+    counts = asked.groupBy("_s").agg(F.count("*").alias("_n"))
+    texts = sources.select(F.col(source_id).alias("_s"), F.col(text).alias("_x")).join(counts, "_s").select("_s", "_x", F.explode(F.sequence(F.lit(0), pieces(F.col("_n")) - 1)).alias("_k"))
+    rows = texts.join(lists, ["_s", "_k"]).select("_s", "_l", F.transform("_l", lambda x: x["_t"]).alias("_q"), "_x")
+    found = scored(rows, "_q", "_x", "_f", True) if only_contained else all_located(rows, "_q", "_x", "_f")
+    found = found.select("_s", F.explode(F.arrays_zip("_l", "_f")).alias("_r"))
+    told = F.col("_r._f").alias("score") if only_contained else "_r._f.*"
+    return found.select(F.col("_s").alias(source_id), F.col("_r._l._i").alias(quote_id), F.col("_r._l._t").alias(quote), told)

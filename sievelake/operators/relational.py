@@ -163,3 +163,19 @@ def ordered(df: DataFrame, value: str, id: str) -> DataFrame:
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """The distinct values of a column, null left out, in order."""
     return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
+
+
+#: A key with more than this share of the rows is hot; there are fewer than 1 / HOT of them.
+HOT = 1 / 1000
+
+
+def with_group_size(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
+    """df with the number of rows of its key (nulls together). Hot keys get it by broadcast of their fewer than 1 / HOT rows, the others by a join on the key."""
+    sizes = df.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_many"))
+    same = all_of([F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
+    named = [f"_g{i}" for i in range(len(keys))]
+    least = (sizes.agg(F.sum("_many")).first()[0] or 0) * HOT
+    hot = F.broadcast(sizes.where(F.col("_many") > least))
+    known = df.join(hot, same, "left").drop(*named)
+    rest = known.where(F.col("_many").isNull()).drop("_many").join(sizes.where(F.col("_many") <= least), same).drop(*named)
+    return known.where(F.col("_many").isNotNull()).unionByName(rest).withColumnRenamed("_many", out)

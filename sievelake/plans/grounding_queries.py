@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from sievelake.functions import text as t
 from sievelake.functions import values as v
 from sievelake.operators import grounding as g
+from sievelake.operators import locate
 
 from .registry import query, table
 
@@ -201,3 +204,59 @@ def grounding_gate(spark, d):
     n = table(spark, d, "lineitem")
     mode = F.when(F.col("l_returnflag") == "N", "none").when(F.col("l_returnflag") == "R", "semantic").otherwise("required")
     return n.select("l_orderkey", "l_linenumber", g.gate(F.col("l_discount") * 10, F.col("l_tax") * 10, mode).alias("gate"))
+
+
+# quotes in real texts
+
+# In SQL: the characters of each source with their places; Markdown's own go, then punctuation; blanks in a row count once.
+LOCATED = r"""
+with base as (select 'd' || doc_id as id, text from documents union all select 'p' || page_id, html from pages),
+src as (
+  select id, text, text as x from base
+  union all select 'm' || substr(id, 2), b, regexp_replace(b, '([A-Za-z]{6,})', '[\1](http://x.org/y)', 'g')
+  from (select id, regexp_replace(text, '[][()*_`|!~-]', '', 'g') as b from base where id like 'd%')),
+cut as (select id, text, x, j, substr(text, (1 + length(text) * j // 4)::bigint, 60) as s from src, (select unnest([0, 1, 2, 3]) as j)),
+asked as (
+  select id, j, case j when 0 then s when 1 then regexp_replace(translate(s, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '\s+', '  ', 'g') when 2 then regexp_replace(s, '[^\p{L}\p{N}_\s]', '', 'g') else s || '...' end as quote from cut),
+tidy as (select id, j, trim(quote, E' \n\t\r') as q, rtrim(trim(quote, E' \n\t\r'), '.…') as r from asked),
+said as (select id, j, trim(case when contains(substr(q, length(r) + 1), '…') or length(q) - length(r) > 1 then r else q end, E' \n\t\r') as q from tidy),
+forms as (
+  select id, j, trim(regexp_replace(translate(lower(q), '–—―−', '----'), '\s+', ' ', 'g')) as plain,
+    trim(regexp_replace(regexp_replace(translate(lower(q), '–—―−', '----'), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) as bare from said),
+ch as (select id, unnest(string_split(x, '')) as c, generate_subscripts(string_split(x, ''), 1) as i from src),
+hid as (
+  select id, i, translate(lower(c), '–—―−', '----') as c, id like 'm%' and (c = '[' or count(*) filter (c = ']') over (partition by id order by i) > count(*) filter (c = ')') over (partition by id order by i rows between unbounded preceding and 1 preceding)) as h from ch),
+kept as (
+  select 1 as tier, id, i, c from hid
+  union all select 2, id, i, c from hid where regexp_matches(c, '[\p{L}\p{N}_\s]')
+  union all select 3, id, i, c from hid where not h and regexp_matches(c, '[\p{L}\p{N}_\s]')),
+once as (
+  select tier, id, i, case when regexp_matches(c, '\s') then ' ' else c end as c from kept
+  qualify not regexp_matches(c, '\s') or not coalesce(regexp_matches(lag(c) over (partition by tier, id order by i), '\s'), true)),
+form as (select tier, id, string_agg(c, '' order by i) as n, list(i order by i) as places from once group by 1, 2),
+hit as (
+  select f.id, j, tier, strpos(n, q) as p, length(q) as len, places
+  from (select id, j, tier, case tier when 1 then plain else bare end as q from forms, (select unnest([1, 2, 3]) as tier)) a join form f using (id, tier)
+  where length(q) > 0 and contains(n, q)),
+best as (select id, j, tier, places[p] - 1 as start, places[p + len - 1] as end from hit qualify row_number() over (partition by id, j order by tier) = 1)
+select id, j, coalesce(tier, 0) as tier, start, "end" from forms left join best using (id, j)
+"""
+
+
+def quoted_sources(spark, d):
+    """(id, text, x): every document and page as it is, and every document with links around its longer words; quotes are cut from text, x is the source."""
+    base = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    bare = base.select(F.concat(F.lit("m"), F.substring("id", 2, 30)).alias("id"), F.regexp_replace("text", r"[\]\[()*_`|!~-]", "").alias("text"))
+    base = base.union(table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id"), "html"))
+    return base.withColumn("x", F.col("text")).union(bare.withColumn("x", F.regexp_replace("text", "([A-Za-z]{6,})", "[$1](http://x.org/y)")))
+
+
+@query(LOCATED)
+def located_quotes(spark, d):
+    """Four quotes of every document and page: as they stand, in capitals with wide blanks, without punctuation, and breaking off."""
+    sources, j = quoted_sources(spark, d), F.col("j")
+    cut = sources.select("id", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("j"), "text").select("id", "j", F.substring("text", (1 + F.floor(F.length("text") * j / 4)).cast("int"), F.lit(60)).alias("s"))
+    blanks = F.regexp_replace(F.translate("s", ascii_lowercase, ascii_uppercase), r"(?U)\s+", "  ")
+    quote = F.when(j == 0, F.col("s")).when(j == 1, blanks).when(j == 2, F.regexp_replace("s", r"[^\p{L}\p{N}_\s]", "")).otherwise(F.concat("s", F.lit("...")))
+    found = locate.locate_quotes(cut.select("id", "j", quote.alias("quote")), sources, "id", "j", "quote", "x")
+    return found.select("id", "j", "tier", "start", "end")

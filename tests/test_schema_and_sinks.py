@@ -117,7 +117,7 @@ def test_quotes_of_every_length(spark):
     texts = [(1, "The plant, in Bern - makes 5,000 gears a year."), (2, "Nothing here"), (3, None)]
     asked = [("whole", "the plant, in bern - makes"), ("loose", "plant in Bern makes 5000 gears"), ("cut", "ant, in Bern – makes 5,000 ge"), ("short", "gears a"), ("none", "no such words in any text"), ("empty", ""), ("null", None)]
     df = spark.createDataFrame(texts, "id int, text string")
-    got = grounding.quotes_in_sources(spark.createDataFrame(asked, "q string, quote string"), df, "q", "quote", "id", "text", block=1)
+    got = grounding.quotes_in_sources(spark.createDataFrame(asked, "q string, quote string"), df, "q", "quote", "id", "text", most_chars=1)
     assert sorted(map(tuple, got.collect())) == [("cut", 1, 1.0), ("loose", 1, 0.95), ("short", 1, 1.0), ("whole", 1, 1.0)]
 
 
