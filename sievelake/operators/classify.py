@@ -83,29 +83,8 @@ def cascade(pages: DataFrame, id: str, stages: list[tuple[str, DataFrame]], ever
 
 
 LANGUAGES = "en de fi fr es it nl pt pl ru sv no da cs hu ro tr ja zh ko ar".split()
-# The commonest function words of languages, for texts whose URL doesn't say theirs.
-WORDS = {
-    "en": "the of and to in is that for it with as was on are be this by from or an",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als",
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur",
-    "es": "de la que el en los se del las un por con una para es al lo como su más",
-    "it": "di e il la che in un per del una non sono con le si da dei alla della come",
-    "nl": "de van het een en in is dat op te zijn met voor niet aan er om ook als bij",
-    "pt": "de que e o da em um para com não uma os no se na por mais as dos como",
-}
-
-
-def text_language(text: Column, least: float = 0.1) -> Column:
-    """(lang, confidence): the language whose function words make the most of a text's words, if at least that share; else null. Ties go to the first of WORDS."""
-    words = F.filter(F.split(F.lower(text), r"(?U)[^\p{L}]+"), lambda w: w != "")
-    share = lambda known: F.size(F.filter(words, lambda w: w.isin(known.split()))) / F.greatest(F.size(words), F.lit(1))
-    scores = [F.struct(F.round(share(known), 4).alias("confidence"), F.lit(-k).alias("o"), F.lit(lang).alias("lang")) for k, (lang, known) in enumerate(WORDS.items())]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["confidence"] >= least, F.struct(best["lang"].alias("lang"), best["confidence"].alias("confidence")))
-
-
-def url_language(url: Column, default: str = "en", text: Column | None = None) -> Column:
-    """(lang, confidence): from a path part 0.95, a query parameter 0.90, a subdomain 0.85, then from the text if given, else the default 0.5."""
+def url_language(url: Column, default: str = "en") -> Column:
+    """(lang, confidence): from a path part 0.95, a query parameter 0.90, a subdomain 0.85, else the default 0.5. ``language.of_page`` asks the content too."""
     low = F.lower(url)
     code = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit(""))
     langs = f"({'|'.join(LANGUAGES)})"
@@ -113,8 +92,6 @@ def url_language(url: Column, default: str = "en", text: Column | None = None) -
     path, query, sub = F.coalesce(start, code(rf"-{langs}/")), code(r"[?&](?:lang|language|locale|hl)=([a-z]{2})(?:[-_&#]|$)"), code(rf"^[a-z]+://{langs}\.")
     pick = lambda lang, score: F.struct(lang.alias("lang"), F.lit(score).cast("double").alias("confidence"))
     rest = pick(F.lit(default), 0.5)
-    if text is not None:
-        rest = F.coalesce(text_language(text), rest)
     return F.when(path.isNotNull(), pick(path, 0.95)).when(query.isNotNull(), pick(query, 0.9)).when(sub.isNotNull(), pick(sub, 0.85)).otherwise(rest)
 
 

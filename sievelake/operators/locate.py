@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievelake.functions.chars import DOT_ABOVE, DOTTED, codes, lower, space, string, word
+
 from .relational import with_group_size
 
 LEAST = 0.6
@@ -82,40 +84,25 @@ def hidden(text: str) -> bytearray:
 
 
 @cache
-def kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each code point its lower case (dashes are hyphens), whether it is white space, and whether it is part of a word."""
-    every = [chr(i) for i in range(0x110000)]
-    lower = np.fromiter((ord(c.lower()[0]) for c in every), np.uint32, len(every))
-    lower[list(DASHES)] = ord("-")
-    space = np.fromiter((c.isspace() for c in every), bool, len(every))
-    word = np.fromiter((c.isalnum() or c == "_" for c in every), bool, len(every))
-    return lower, space, word
-
-
-DOTTED, DOT_ABOVE = 0x130, 0x307  # the one letter whose lower case is two
-
-
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def string(points: np.ndarray) -> str:
-    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+def folded() -> np.ndarray:
+    """The lower case of each code point; dashes are hyphens."""
+    out = lower().copy()
+    out[list(DASHES)] = ord("-")
+    return out
 
 
 def normal(points: np.ndarray, at: np.ndarray, drop_punctuation: bool) -> tuple[str, np.ndarray]:
     """Lower case, hyphens for dashes, one space for white space, none at the ends; and the place of each character."""
-    lower, space, word = kinds()
-    low = lower[points]
+    low = folded()[points]
     if (points == DOTTED).any():
         two = np.repeat(np.arange(len(points)), np.where(points == DOTTED, 2, 1))
         second = np.flatnonzero(np.diff(two, prepend=-1) == 0)
         low, at = low[two], at[two]
         low[second] = DOT_ABOVE
     if drop_punctuation:
-        keep = word[low] | space[low]
+        keep = word()[low] | space()[low]
         low, at = low[keep], at[keep]
-    blank = space[low]
+    blank = space()[low]
     keep = ~blank
     keep[1:] |= ~blank[:-1]  # the first blank of a run
     low, at, blank = low[keep], at[keep], blank[keep]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievelake.operators import changes, relational
 from sievelake.sources import export, ingest
 
+from .letters import LETTERS, letters
 from .registry import query, table
 
 
@@ -178,12 +179,13 @@ def capped_relevance(spark, d):
 # pages
 
 
-@query("select page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) as domain from pages where page_id % 5 > 0 and page_id % 7 > 0 and page_id % 11 > 0 and regexp_matches(url, '^https?://[^/]+/(en|de)(/|[?]|#|$)')")
+@query(f"with asked as (select 'p' || page_id as id, html as text from pages where page_id % 7 > 0), {LETTERS} select page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) as domain, coalesce(u, case when sure >= 0.7 then lang end, 'en') as lang from (select *, nullif(regexp_extract(case when page_id % 3 = 0 then regexp_replace(url, '/(en|de|fr|es)/', '/x/') else url end, '^https?://[^/]+/(en|de|fr|es)(/|[?]|#|$)', 1), '') as u from pages) left join said on id = 'p' || page_id where page_id % 5 > 0 and page_id % 7 > 0 and page_id % 11 > 0 and coalesce(u, case when sure >= 0.7 then lang end, 'en') in ('en', 'de')")
 def page_ingest(spark, d):
-    """Pages with content, address and no error, in the languages asked for."""
+    """Pages with content, address and no error, in the languages asked for by their address or, of a third of the pages, their content."""
     k = F.col("page_id")
-    pages = table(spark, d, "pages").where("url rlike '^https?://[^/]+/(en|de|fr|es)(/|[?]|#|$)'").select("page_id", F.when(k % 5 > 0, F.col("url")).alias("url"), F.when(k % 7 > 0, F.col("html")).otherwise("").alias("content"), F.when(k % 11 == 0, 404).when(k % 2 == 0, 200).alias("status"))
-    return ingest.stored_pages(pages, "content", "url", "status", ["en", "de"]).select("page_id", "domain")
+    url = F.when(k % 3 == 0, F.regexp_replace("url", "/(en|de|fr|es)/", "/x/")).otherwise(F.col("url"))
+    pages = table(spark, d, "pages").select("page_id", F.when(k % 5 > 0, url).alias("url"), F.when(k % 7 > 0, F.col("html")).otherwise("").alias("content"), F.when(k % 11 == 0, 404).when(k % 2 == 0, 200).alias("status"))
+    return ingest.stored_pages(pages, "content", "url", "status", ["en", "de"], letters(spark, d)).select("page_id", "domain", "lang")
 
 
 @query("select coalesce(a.k, b.k) as uri, coalesce(b.t, a.t) as title, coalesce(a.st, b.st) as status, a.k is null as created from (select c_custkey as k, c_name as t, 'done' as st from customer where c_custkey % 3 > 0) a full join (select k, arg_max(t, o) as t, 'new' as st from (select c_custkey as k, case when c_custkey % 4 > 0 then upper(c_name) end as t, 2 as o from customer where c_custkey % 2 = 0 union all select c_custkey, 'older', 1 from customer where c_custkey % 2 = 0 and c_custkey % 4 > 0) group by 1) b on a.k = b.k")

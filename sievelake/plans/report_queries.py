@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievelake.functions import text as t
-from sievelake.operators import classify, quality_stats, relational, reports, schema
+from sievelake.operators import classify, language, quality_stats, relational, reports, schema
 
+from .letters import LETTERS, letters
 from .registry import query, table
 
 # statistics: line items as extracted values, with the flag as group and the status as field
@@ -296,12 +297,10 @@ def page_groups(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(found["groups"], ",").alias("groups"), found["confidence"].alias("confidence"), classify.page_type(named).alias("type"))
 
 
-@query("select doc_id, case when length(text) > 0 and lang = 'en' then 'en' else lang end as lang from documents where lang in ('en', 'de', 'fr', 'es') and length(text) > 1200 and text not like '%###%' and doc_id in (select doc_id from labels where quality = 1)")
+@query(f"with asked as (select 'a' || doc_id as id, text from documents), {LETTERS} select doc_id, case when sure >= 0.7 then said.lang end as lang from documents left join said on id = 'a' || doc_id")
 def content_language(spark, d):
-    """The language of texts that no address tells, by function words."""
-    docs = table(spark, d, "documents").where("lang in ('en', 'de', 'fr', 'es') and length(text) > 1200 and text not like '%###%'")
-    good = docs.join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi")
-    return good.select("doc_id", classify.url_language(F.lit("http://x.org/a"), text=F.col("text"))["lang"].alias("lang"))
+    """The language of every document by its letters, as three fourths of them teach it; null if unsure or like none."""
+    return language.detect(table(spark, d, "documents").select("doc_id", "text"), letters(spark, d)).select("doc_id", "language.lang")
 
 
 @query("select vec_id, row_number() over (order by vec_id % 7 desc, vec_id) as rank from embeddings where label = 3")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions import text as t
-from sievelake.operators import classify
+from sievelake.operators import language
 
 
 def netloc(url: Column) -> Column:
@@ -14,10 +14,10 @@ def netloc(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
 
 
-def stored_pages(pages: DataFrame, content: str, url: str, status: str | None = None, languages: list[str] | None = None) -> DataFrame:
+def stored_pages(pages: DataFrame, content: str, url: str, status: str | None = None, languages: list[str] | None = None, letters: language.Table | None = None) -> DataFrame:
     """pages with domain and, if languages are given, lang and lang_confidence: those with content and address, without an HTTP error, in one of the languages.
 
-    The language comes from the address, else from the content.
+    The language comes from the address, else, with a table of ``letters``, from the content, else it is English.
     """
     rows = pages.where((F.col(content) != "") & (F.col(url) != ""))
     if status:
@@ -25,7 +25,10 @@ def stored_pages(pages: DataFrame, content: str, url: str, status: str | None =
     rows = rows.withColumn("domain", netloc(F.col(url)))
     if languages is None:
         return rows
-    rows = rows.withColumn("_l", classify.url_language(F.col(url), text=F.col(content)))
+    said = None
+    if letters:
+        rows, said = language.detect(rows, letters, content, out="_c"), F.col("_c")
+    rows = rows.withColumn("_l", language.of_page(F.col(url), said)).drop("_c")
     return rows.where(F.col("_l.lang").isin(languages)).withColumns({"lang": F.col("_l.lang"), "lang_confidence": F.col("_l.confidence")}).drop("_l")
 
 

@@ -4,7 +4,7 @@ from xml.etree import ElementTree
 import pytest
 from pyspark.sql import functions as F
 
-from sievelake.operators import changes, dedup, grounding, json_repair, reports, schema
+from sievelake.operators import language, changes, dedup, grounding, json_repair, reports, schema
 from sievelake.sources import export, ingest
 
 TEMPLATE = """
@@ -135,7 +135,9 @@ def test_marks_of_domains_and_sections(spark):
 def test_pages_in_no_language_asked_for(spark):
     pages = [("http://x.org/de/a", "Der Hund", None), ("http://x.org/a", "The dog and the cat are in the house of the man", 200), ("http://x.org/b", "Der Hund und die Katze sind in dem Haus mit der Frau", 200), ("http://u@y.org:81/a", "x", 404), ("", "x", 200), ("http://z.org", "", 200)]
     df = spark.createDataFrame(pages, "url string, content string, status int")
-    got = ingest.stored_pages(df, "content", "url", "status", ["en"]).collect()
+    taught = [("en", "the house of the man and the dog that is in the garden with the cats"), ("de", "das Haus des Mannes und der Hund, der mit den Katzen in dem Garten ist, und die Frau")]
+    table = language.train(spark.createDataFrame(taught, "lang string, text string"))
+    got = ingest.stored_pages(df, "content", "url", "status", ["en"], table).collect()
     assert [(x["url"], x["lang"]) for x in got] == [("http://x.org/a", "en")]
     assert {x["domain"] for x in ingest.stored_pages(df, "content", "url").collect()} == {"x.org", "u@y.org:81"}
 
