@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import values as v
 
+from sievelake.sources.shared import cut
+
+from . import search
 
 def page_class(url: Column, title: Column, skip: list[str], url_rules: dict[str, str], title_rules: dict[str, str]) -> Column:
     """(label, confidence): skip patterns 0.9, then URL patterns 0.8, then title words 0.7, else general, 0.5 without rules and 0.3 where no rule fits."""
@@ -44,16 +47,16 @@ def page_type(groups: Column) -> Column:
     return F.when(F.size(groups) > 0, out).otherwise("general")
 
 
-def similar_groups(pages: DataFrame, topics: dict[str, list[float]], id: str, vector: str, high: float = 0.75, low: float = 0.4, near: float = 0.8, ranked: DataFrame | None = None, least: float = 0.5) -> DataFrame:
-    """(id, groups, confidence, level): the topics that fit a page's vector, most similar first, ties by name.
+def similar_groups(pages: DataFrame, topics: DataFrame | dict[str, list[float]], id: str, vector: str, high: float = 0.75, low: float = 0.4, near: float = 0.8, ranked: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+    """(id, groups, confidence, level): the topics, a table of (topic, vector), that fit a page's vector, most similar first, ties by name.
 
     high: those of at least that similarity. low, where none reaches ``low``:
     those within ``near`` of the best, two at least. Between the two, scores of a reranker
     decide if given as (id, topic, score): those of at least ``least``, else
     again those near the best; without scores those of at least ``low``.
     """
-    scored = F.array(*[F.struct((-F.round(v.cosine(F.col(vector), F.lit([float(x) for x in centre])), 6)).alias("s"), F.lit(name).alias("t")) for name, centre in sorted(topics.items())])
-    rows = pages.select(id, F.array_sort(scored).alias("_s"))
+    scored = search.with_topic_scores(pages.select(id, vector), search.topic_rows(topics), vector, "_a").where(F.col("_a").isNotNull())
+    rows = scored.select(id, F.transform("_a", lambda x: F.struct((-x["score"]).alias("s"), x["topic"].alias("t"))).alias("_s"))
     if ranked is not None:
         other = ranked.groupBy(id).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("topic").alias("t")))).alias("_r"))  # a topic each
         rows = rows.join(other, id, "left")
@@ -101,15 +104,15 @@ def nearest(vectors: DataFrame, query: list[float], id: str, vector: str, k: int
     return vectors.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), id).limit(k)
 
 
-def relevant(vectors: DataFrame, topics: dict[str, list[float]], id: str, vector: str, least: float = 0.4, most: int | None = None) -> DataFrame:
-    """(id, topic, score): each row's most similar topic, if of at least that similarity; ties go to the last topic by name.
+def relevant(vectors: DataFrame, topics: DataFrame | dict[str, list[float]], id: str, vector: str, least: float = 0.4, most: int | None = None) -> DataFrame:
+    """(id, topic, score): each row's most similar topic of a table of (topic, vector), if of at least that similarity; ties go to the last topic by name.
 
     Rows without a vector pass with the score 0.5 and no topic. With ``most``,
     the rows of the highest scores, ties by id.
     """
-    scored = F.array(*[F.struct(F.round(v.cosine(F.col(vector), F.lit([float(x) for x in centre])), 6).alias("score"), F.lit(name).alias("topic")) for name, centre in sorted(topics.items())])
-    best = F.when(F.col(vector).isNotNull(), F.array_max(scored)).otherwise(F.struct(F.lit(0.5).alias("score"), F.lit(None).cast("string").alias("topic")))
-    out = vectors.select(id, best.alias("b")).select(id, "b.topic", "b.score").where((F.col("score") >= least) | F.col("topic").isNull())
+    scored = search.with_topic_scores(vectors.select(id, vector), search.topic_rows(topics), vector, "_a", only_best=True)
+    best = F.when(F.col("_a").isNotNull(), F.get("_a", F.lit(0))).otherwise(F.struct(F.lit(0.5).alias("score"), F.lit(None).cast("string").alias("topic")))
+    out = scored.select(id, best.alias("b")).select(id, "b.topic", "b.score").where((F.col("score") >= least) | F.col("topic").isNull())
     return out if most is None else out.orderBy(F.desc("score"), id).limit(most)
 
 
@@ -131,7 +134,18 @@ def searched(vectors: DataFrame, query: list[float], extractions: DataFrame, sou
     return out.select("score", *[F.col(c) for c in extractions.columns], F.coalesce("_u", F.lit("")).alias("source_uri")).orderBy(F.desc("score"), id)
 
 
-def reranked(df: DataFrame, score: str, id: str) -> DataFrame:
-    """Rows by a reranker's score, highest first, with their rank from 1; ties by id."""
-    top = df.orderBy(F.desc(score), id)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), F.asc(id))))  # the hits of one query
+def reranked(df: DataFrame, score: str, id: str, most: int | None = None) -> DataFrame:
+    """Rows by a reranker's score, highest first, with their rank from 1; ties by id. With ``most``, the first of them, ranked after they are cut.
+
+    Ranks of many rows are counted in ranges of the order: a range's own ranks
+    begin after the sizes of the ranges before it, a small table.
+    """
+    order = [F.col(score).desc(), F.col(id).asc()]
+    if most is not None:
+        top = df.orderBy(*order).limit(most)  # bounded, so one task may rank them
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return rows.withColumn("_r", own).join(F.broadcast(sizes.select("_p", "_b")), "_p").withColumn("rank", (F.col("_r") + F.col("_b")).cast("int")).drop("_p", "_r", "_b")

@@ -376,8 +376,8 @@ def knn_cosine(spark, d):
 def relevance_filter(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("c")).collect()  # a row for each label
-    return classify.relevant(e, {str(x["label"]): x["c"] for x in centres}, "vec_id", "embedding", 0.1)
+    centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))  # a row for each label
+    return classify.relevant(e, centres.select(F.col("label").cast("string").alias("topic"), "vector"), "vec_id", "embedding", 0.1)
 
 
 @query("select event_id, case when event_type <> 'error' then 'ok' when value < 50 then 'retry' else 'dead' end as route from events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievelake.functions import text as t
-from sievelake.operators import classify, language, quality_stats, relational, reports, schema
+from sievelake.operators import classify, language, quality_stats, relational, reports, schema, search
 
 from .letters import LETTERS, letters
 from .registry import query, table
@@ -255,6 +255,13 @@ def comparison_findings(spark, d):
 COSINE = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 
 
+@query(f"select q as vec_id, vec_id as found, score, rank from (select a.vec_id as q, b.vec_id, round({COSINE}, 6) as score, row_number() over (partition by a.vec_id order by round({COSINE}, 6) desc, b.vec_id) as rank from embeddings a, embeddings b) where rank <= 10")
+def nearest_of_each(spark, d):
+    """The ten nearest vectors of every vector among all."""
+    e = table(spark, d, "embeddings")
+    return search.nearest_each(e, e, "vec_id", "embedding", "vec_id", "embedding", 10).withColumnRenamed("vec_id_found", "found")
+
+
 @query(f"select round(score, 6) as score, e.vec_id as vec_id, coalesce(n_name, '') as source_uri from (select a.vec_id, a.label, {COSINE} as score from embeddings a, (select embedding from embeddings where vec_id = 1) b where a.label in (1, 2, 3) and a.vec_id % 2 = 0) e left join (select * from nation where n_nationkey < 3) n on n_nationkey = label order by 1 desc, 2 limit 20")
 def hybrid_search(spark, d):
     """The nearest vectors of some groups that pass a filter on their record, with their source; some sources are missing."""
@@ -267,8 +274,8 @@ def hybrid_search(spark, d):
 
 
 def topics(spark, d):
-    """The vectors of the smallest ids as topics."""
-    return {f"t{r['vec_id']}": r["embedding"] for r in table(spark, d, "embeddings").where("vec_id < 4").collect()}
+    """The vectors of the smallest ids as a table of topics."""
+    return table(spark, d, "embeddings").where("vec_id < 4").select(F.concat(F.lit("t"), "vec_id").alias("topic"), F.col("embedding").alias("vector"))
 
 
 SIM = f"s as (select a.vec_id, 't' || b.vec_id as t, round({COSINE}, 6) as s from embeddings a, (select * from embeddings where vec_id < 4) b), m as (select vec_id, max(s) as best from s group by 1), r as (select s.*, best, row_number() over (partition by s.vec_id order by s desc, t) as r, count(*) filter (where s >= best * 0.8) over (partition by s.vec_id) as close from s join m using (vec_id))"
@@ -303,9 +310,9 @@ def content_language(spark, d):
     return language.detect(table(spark, d, "documents").select("doc_id", "text"), letters(spark, d)).select("doc_id", "language.lang")
 
 
-@query("select vec_id, row_number() over (order by vec_id % 7 desc, vec_id) as rank from embeddings where label = 3")
+@query("select vec_id, row_number() over (order by vec_id % 7 desc, vec_id) as rank from embeddings")
 def reranked(spark, d):
-    e = table(spark, d, "embeddings").where("label = 3").select("vec_id", (F.col("vec_id") % 7).alias("score"))
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("score"))
     return classify.reranked(e, "score", "vec_id").select("vec_id", "rank")
 
 
