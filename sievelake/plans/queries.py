@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sievelake.functions import text as t
 from sievelake.functions import values as v
-from sievelake.operators import chunk, classify, consolidate, dedup, grounding, json_repair, locate, merge, records
+from sievelake.operators import chunk, classify, consolidate, dedup, dedup_batches, grounding, json_repair, locate, merge, records
 from sievelake.operators import relational as r
+from sievelake.sources.shared import cut, remove, shared_folder
 
 from .registry import SQL, Q, query, table
 
@@ -251,6 +254,20 @@ def boilerplate_totals(spark, d):
     return dedup.totals(stripped(spark, d), ["source"])
 
 
+@query(f"with {CUT} select doc_id, new as text, length(text) - length(new) as chars_removed from n")
+def boilerplate_in_batches(spark, d):
+    """The same by three batches, the last of which repeats pages of the first: counts are merged, and only the sources of a batch are cut again."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    store = dedup_batches.Store(spark, folder, ["source"], "doc_id", "text", buckets=8, separator="\n", least=20, share=0.0, floor=3)
+    store.add(docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("an earlier version\n"), "text")), 1)
+    store.add(docs.where("doc_id % 3 = 1"), 2)
+    store.add(docs.where("doc_id % 3 <> 1"), 3)
+    out = cut(store.current().select("doc_id", "text", "chars_removed"))
+    remove(spark, folder)
+    return out
+
+
 # pages by host and first part of the path; their blocks are the pieces between tags
 PIECES = "pg as (select page_id, regexp_extract(url, '^https?://([^/?#:]*)', 1) as host, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]*(/[^/?#]+)', 1), ''), '/') as prefix, html from pages), bl as (select distinct host, prefix, page_id, left(sha256(trim(regexp_replace(lower(b), '\\s+', ' ', 'g'))), 16) as hash from (select *, unnest(string_split(html, '<')) as b from pg) where length(trim(regexp_replace(b, '^\\s+|\\s+$', '', 'g'))) >= 10), dn as (select host, count(distinct page_id) as n from pg group by 1), sn as (select host, prefix, count(distinct page_id) as n from pg group by all), dm as (select host, hash, count(distinct page_id) as pages from bl join dn using (host) where n >= 5 group by host, hash, n having count(distinct page_id) >= greatest(5, floor(n * 0.7))), sm as (select host, prefix, hash, count(*) as pages from bl join sn using (host, prefix) where n >= 5 group by host, prefix, hash, n having count(*) >= greatest(3, floor(n * 0.7)))"
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.sources.shared import cut, shared_folder
+from sievelake.sources.shared import cut, remove, shared_folder
 from sievelake.streaming import ledger, limits
 
 from .registry import query, table
@@ -20,11 +20,6 @@ def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/[{name[0]}]{name[1:]}.parquet")
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """What a stream gives for all that is there now, kept as a checkpoint; its own folders go."""
     limits.with_rocksdb(spark)

@@ -19,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and read back from the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, through the file system that Spark writes it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
