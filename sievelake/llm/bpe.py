@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -31,9 +32,12 @@ from .arrow import row_groups, text_bytes, with_arrow_columns
 LEAF = 256
 #: In place of a token: none. Ids are below it.
 NONE = (1 << 17) - 1
-#: Pre-tokens that a task remembers; when full, the memo starts again.
+#: Pre-tokens that a worker remembers, from task to task. When it has so many, they become the old ones, of which those
+#: that come again are taken over, and the old ones before them go.
 MEMO = 400_000
 SLICE = 1 << 19
+#: Bytes of pre-tokens that share a list.
+LIST = 1 << 13
 
 
 class RankQueue:
@@ -77,6 +81,7 @@ class Bpe:
         self.token = {i: b for b, i in ranks.items()}
         self.decimal = {i: str(i) for i in self.token}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         #: Rank of each pair of tokens whose joined bytes are a token.
         self.pairs = {ranks[t[:i]] << 17 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.byte_ids = np.array([ranks.get(bytes([b]), NONE) for b in range(256)])
@@ -170,18 +175,23 @@ class Bpe:
         """Ids of each text."""
         memo, find = self.memo, self.split.findall
         parts = [find(t) for t in texts]
-        missing = [p for p in set(chain.from_iterable(parts)) if p not in memo]
-        if len(memo) + len(missing) > MEMO:
-            memo.clear()
-            missing = list(set(chain.from_iterable(parts)))
+        new = set(chain.from_iterable(parts)).difference(memo)
+        if self.old:
+            again = new.intersection(self.old)
+            memo.update((p, self.old[p]) for p in again)
+            new -= again
+        missing = list(new)
         size, at = 0, 0
         for k, p in enumerate(missing, 1):  # lists of bounded length
             size += len(p)
-            if size > 1 << 15 or k == len(missing):
+            if size > LIST or k == len(missing):
                 memo.update(zip(missing[at:k], self.merge([x.encode() for x in missing[at:k]]), strict=True))
                 size, at = 0, k
         get = memo.__getitem__
-        return [list(chain.from_iterable(map(get, p))) for p in parts]
+        out = [list(chain.from_iterable(map(get, p))) for p in parts]
+        if len(memo) > MEMO:
+            self.old, self.memo = memo, {}
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of a sequence of ids."""
@@ -191,6 +201,12 @@ class Bpe:
             raise ValueError(f"no token has the id {e}") from None
 
 
+@cache
+def loaded(path: str, pattern: str) -> Bpe:
+    """A worker's vocabulary, read once for all its tasks."""
+    return Bpe.load(path, pattern)
+
+
 def _texts(col: pa.Array):
     """Slices of a column of texts, small enough to hold their pre-tokens; null is empty."""
     _, offsets = text_bytes(col)
@@ -202,7 +218,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     """df with a column of token ids, array<int>; null and empty texts have none. A column named ``out`` is replaced."""
 
     def make():
-        bpe = Bpe.load(path, pattern)
+        bpe = loaded(path, pattern)
         return lambda col: [pa.array([ids for part in _texts(col) for ids in bpe.encode_batch(part)], pa.list_(pa.int32()))]
 
     return with_arrow_columns(df, [text], T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()))]), make)
@@ -212,7 +228,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     """df with the bytes of a column of ids; null gives no bytes. A column named ``out`` is replaced."""
 
     def make():
-        bpe = Bpe.load(path, pattern)
+        bpe = loaded(path, pattern)
         return lambda col: [pa.array([bpe.decode(x or []) for x in col.to_pylist()], pa.binary())]
 
     return with_arrow_columns(df, [ids], T.StructType([T.StructField(out, T.BinaryType())]), make)
@@ -226,7 +242,7 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep: li
     new = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def make():
-        bpe = Bpe.load(path, pattern)
+        bpe = loaded(path, pattern)
         decimal = bpe.decimal.__getitem__
 
         def run(col):

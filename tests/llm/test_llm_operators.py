@@ -70,6 +70,19 @@ def test_bpe_equals_the_library(tokens, docs):
         b.decode([60_000])
 
 
+def test_bpe_with_a_full_memo(tokens, monkeypatch):
+    _, library = tokens
+    b = bpe.Bpe.load(*llm_queries.tokenizer())
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    monkeypatch.setattr(bpe, "LIST", 30)
+    rng = random.Random(7)
+    for _ in range(60):
+        texts = ["".join(rng.choice(["ab", "the", " ", "éa", "12"]) for _ in range(30)) for _ in range(4)]
+        assert b.encode_batch(texts) == [library.encode_ordinary(t) for t in texts]
+        assert len(b.memo) <= 40
+    assert b.old
+
+
 def test_bpe_of_a_vocabulary_whose_merges_do_not_ascend():
     ranks = {bytes([c]): 10 + c for c in range(256)} | {b"ab": 9, b"abc": 3, b"bc": 5, b"aa": 7, b"aab": 1}
     b = bpe.Bpe(ranks, r"\S+")
