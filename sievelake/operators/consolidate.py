@@ -43,6 +43,12 @@ def weighted_median(df: DataFrame, keys: list[str], value: str = "value", weight
     """The value at which half of the weight is reached, the mean with the next if exactly half; the plain median if all weights are 0. A column of integers gives integers, halves to the even one."""
     whole = isinstance(df.schema[value].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     per_value = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
+    found = median_of(per_value, keys, value)
+    return found.select(*keys, (F.bround(value, 0).cast("long") if whole else F.col(value)).alias(value))
+
+
+def median_of(per_value: DataFrame, keys: list[str], value: str = "value", carry: list[str] | None = None) -> DataFrame:
+    """The weighted median of distinct values with their weight ``_w`` and number ``_n``; the columns ``carry`` come along."""
     w = Window.partitionBy(*keys)
     some = F.col(value).isNotNull()
     total = per_value.withColumn("_all", F.sum(F.when(some, F.col("_w"))).over(w)).withColumn("_x", F.when(some, F.when(F.col("_all") > 0, F.col("_w")).otherwise(F.col("_n").cast("double"))))
@@ -51,7 +57,7 @@ def weighted_median(df: DataFrame, keys: list[str], value: str = "value", weight
     order = w.orderBy(value)
     reached = total.withColumns({"_c": F.round(F.sum("_x").over(order), 9), "_half": F.round(F.sum("_x").over(w) / 2, 9), "_next": F.lead(value).over(order)}).where("_c >= _half or not _any")
     found = F.when((F.col("_c") == F.col("_half")) & F.col("_next").isNotNull(), (F.col(value) + F.col("_next")) / 2).otherwise(F.col(value))
-    return _first(reached, keys, F.asc(value)).select(*keys, (F.bround(found, 0).cast("long") if whole else found).alias(value))
+    return _first(reached, keys, F.asc(value)).select(*keys, *(carry or []), found.alias(value))
 
 
 def any_true(df: DataFrame, keys: list[str], value: str = "value", weight: str = "weight", min_count: int = 1) -> DataFrame:
@@ -85,7 +91,7 @@ def candidates(df: DataFrame, keys: list[str], value: str = "value", weight: str
     return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["value"], x["weight"])).alias("candidates"))
 
 
-def _same(a: Column, b: Column) -> Column:
+def same_value(a: Column, b: Column) -> Column:
     """Equal texts in any case, or equal numbers."""
     return (F.lower(F.trim(a)) == F.lower(F.trim(b))) | F.coalesce(a.try_cast("double") == b.try_cast("double"), F.lit(False))
 
@@ -99,7 +105,7 @@ def agreement(df: DataFrame, result: DataFrame, keys: list[str], value: str = "v
     """
     many = isinstance(result.schema[value].dataType, T.ArrayType)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w"), *([F.col(source).alias("_s"), F.col(ord).alias("_o")] if source else [])).join(result, keys)
-    same = F.col(value).isNotNull() if many else F.coalesce(_same(F.col("_v").cast("string"), F.col(value).cast("string")), F.lit(False))
+    same = F.col(value).isNotNull() if many else F.coalesce(same_value(F.col("_v").cast("string"), F.col(value).cast("string")), F.lit(False))
     rows = rows.withColumn("_same", same)
     won = F.avg(F.when(F.col("_same") & (F.col("_w") > 0), F.col("_w"))) if many else F.max(F.when(F.col("_same"), F.col("_w")))
     out = rows.groupBy(*keys).agg(

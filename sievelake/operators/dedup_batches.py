@@ -16,12 +16,10 @@ domain are kept as they are.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelake.sources.batches import Batches, among, latest
 from sievelake.sources.shared import cut
 
 from . import dedup
@@ -31,42 +29,14 @@ BUCKETS = 64
 PAGES = ""
 
 
-def _among(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys others has; null is equal to null."""
-    known = others.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    return rows.join(known, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]), "left_semi")
-
-
 class Store:
     """Pages with their boilerplate, in a folder."""
 
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], page: str, content: str, buckets: int = BUCKETS, separator: str = "\n", least: int = 50, share: float = 0.7, min_pages: int = 5, floor: int | None = None) -> None:
-        self.spark, self.folder, self.keys, self.page, self.content, self.buckets = spark, folder, keys, page, content, buckets
+        self.tables, self.keys, self.page, self.content = Batches(spark, folder, buckets), keys, page, content
         self.blocks = {"separator": separator, "least": least}
         self.share, self.min_pages, self.floor = share, min_pages, floor
 
-    def _read(self, name: str, buckets: list[int], batch: int | None = None, before: bool = False) -> DataFrame | None:
-        """A table's rows in some buckets, up to a batch, or before it."""
-        try:
-            found = self.spark.read.parquet(f"{self.folder}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        found = found.where(F.col("bucket").isin(buckets))
-        return found if batch is None else found.where(F.col("batch") < batch if before else F.col("batch") <= batch)
-
-    def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{self.folder}/{name}")
-
-    def _latest(self, rows: DataFrame) -> DataFrame:
-        """The last version of each page."""
-        last = Window.partitionBy(*self.keys, self.page).orderBy(F.desc("batch"))
-        return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-
     def _counts(self, pages: DataFrame, sign: int) -> DataFrame:
         """(keys, bucket, hash, pages): how many pages have each block, and how many there are."""
         some = pages.where(F.col(self.content).isNotNull())
@@ -85,29 +55,29 @@ class Store:
 
     def add(self, pages: DataFrame, batch: int) -> DataFrame:
         """Takes up a batch of pages, each once, and returns the domains that were cut again."""
-        new = cut(pages.withColumn("bucket", self._bucket()))
-        dirty = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most as many as there are buckets
+        new = cut(pages.withColumn("bucket", self.tables.bucket(self.keys)))
+        dirty = self.tables.touched(new)
         if not dirty:
             return new.select(*self.keys)
         delta = self._counts(new, 1)
-        old = self._read("pages", dirty, batch, before=True)
+        old = self.tables.read("pages", dirty, batch, before=True)
         if old is not None:
-            gone = _among(self._latest(old), new, [*self.keys, self.page])
+            gone = among(latest(old, [*self.keys, self.page]), new, [*self.keys, self.page])
             delta = delta.unionByName(self._counts(gone, -1)).groupBy(*self.keys, "bucket", "hash").agg(F.sum("pages").alias("pages")).where("pages <> 0")
-        self._write(delta, "counts", batch)
-        self._write(new, "pages", batch)
+        self.tables.write(delta, "counts", batch)
+        self.tables.write(new, "pages", batch)
         domains = new.select(*self.keys).distinct()
-        rows = _among(self._latest(self._read("pages", dirty, batch)), domains, self.keys)
-        marks = self.marks(self._merged(self._read("counts", dirty, batch)))
+        rows = among(latest(self.tables.read("pages", dirty, batch), [*self.keys, self.page]), domains, self.keys)
+        marks = self.marks(self._merged(self.tables.read("counts", dirty, batch)))
         cleaned = dedup.strip_boilerplate(rows.drop("batch"), marks, self.keys, self.page, self.content, **self.blocks)
-        self._write(cleaned, "cleaned", batch)
+        self.tables.write(cleaned, "cleaned", batch)
         return domains
 
     def current(self, name: str = "cleaned") -> DataFrame | None:
         """The last version of every page, cleaned or as it came (``pages``)."""
-        found = self._read(name, list(range(self.buckets)))
-        return None if found is None else self._latest(found).drop("batch", "bucket")
+        found = self.tables.read(name)
+        return None if found is None else latest(found, [*self.keys, self.page]).drop("batch", "bucket")
 
     def boilerplate(self) -> DataFrame:
         """(keys, hash, pages) of all domains."""
-        return self.marks(self._merged(self._read("counts", list(range(self.buckets)))))
+        return self.marks(self._merged(self.tables.read("counts")))

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import values as v
+from sievelake.sources.shared import cut
 
 from . import consolidate
+from .relational import joined
 
 # The strategy of each field type.
 STRATEGIES = {"integer": "weighted_median", "float": "weighted_median", "boolean": "any_true", "text": "weighted_frequency", "list": "union_dedup", "enum": "frequency", "summary": "longest_top_k"}
@@ -30,6 +32,27 @@ def is_structured(version: Column) -> Column:
     return F.coalesce(version.try_cast("int") >= 2, F.lit(False))
 
 
+# The structured form's item; numbers stay as they are written.
+ITEM = "value: string, confidence: string, grounding: string, quote: string"
+STRUCTURED = f"map<string, struct<{ITEM}, items: array<struct<{ITEM}>>>>"
+
+
+def _with_fields(extractions: DataFrame, keep: list[Column], data: str, version: str, confidence: str, scores: str | None) -> DataFrame:
+    """(keep..., _f): a record's fields as an array of field, listed, record_confidence and items; the JSON is parsed once, by its form."""
+    two, given = is_structured(F.col(version)), F.col(scores) if scores else F.lit(None).cast("map<string,double>")
+    base = extractions.select(*keep, F.when(two, F.from_json(data, STRUCTURED)).alias("_two"), F.when(~two, F.from_json(data, "map<string,string>")).alias("_one"), F.coalesce(confidence, F.lit(0.5)).cast("double").alias("_c"), given.alias("_g"))
+    kept = [c for c in base.columns if c not in ("_two", "_one", "_c", "_g")]
+    quotes = F.from_json(F.try_element_at("_one", F.lit("_quotes")), "map<string,string>")
+    base = base.withColumn("_q", quotes)
+    fields = lambda c: F.filter(F.map_entries(c), lambda e: ~F.startswith(e["key"], F.lit("_")) & (e["key"] != "confidence"))
+    number = lambda x, default: F.coalesce(x.try_cast("double"), F.lit(default))
+    item = lambda x: F.struct(x["value"].alias("value"), number(x["confidence"], 0.5).alias("confidence"), number(x["grounding"], 1.0).alias("grounding"), x["quote"].alias("quote"))
+    of_two = F.transform(fields("_two"), lambda e: F.struct(e["key"].alias("field"), e["value"]["items"].isNotNull().alias("listed"), F.col("_c").alias("record_confidence"), F.coalesce(F.transform(e["value"]["items"], item), F.array(item(e["value"]))).alias("items")))
+    plain = lambda k, x: F.struct(x.alias("value"), F.col("_c").alias("confidence"), F.try_element_at("_g", k).alias("grounding"), F.try_element_at("_q", k).alias("quote"))
+    of_one = F.transform(fields("_one"), lambda e: F.struct(e["key"].alias("field"), F.startswith(e["value"], F.lit("[")).alias("listed"), F.lit(None).cast("double").alias("record_confidence"), F.transform(v.to_list(e["value"]), lambda x: plain(e["key"], x)).alias("items")))
+    return base.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(of_two, of_one).alias("_f"))
+
+
 def items(extractions: DataFrame, keep: list[str], data: str = "data", version: str = "data_version", confidence: str = "confidence", ord: str = "ord", scores: str | None = None) -> DataFrame:
     """(keep..., ord, field, pos, value, confidence, grounding, quote, record_confidence, listed): a row for each item of each field.
 
@@ -37,19 +60,24 @@ def items(extractions: DataFrame, keep: list[str], data: str = "data", version:
     field has a list of items. The flat form's grounding is in ``scores``, a map
     by field, if given. A record without confidence has 0.5.
     """
-    given = F.col(scores) if scores else F.lit(None).cast("map<string,double>")
-    base = extractions.select(*keep, F.col(ord).alias("ord"), F.col(data).alias("_d"), is_structured(F.col(version)).alias("_s"), F.coalesce(confidence, F.lit(0.5)).alias("_c"), given.alias("_g"))
-    fields = base.select("*", F.explode(F.from_json("_d", "map<string,string>")).alias("field", "_raw")).where(~F.startswith("field", F.lit("_")) & (F.col("field") != "confidence"))
-    get = lambda c, p: F.get_json_object(c, f"$.{p}")
-    several = get("_raw", "items").isNotNull()
-    listed = F.coalesce(F.from_json(get("_raw", "items"), "array<string>"), F.array("_raw"))
-    structured = fields.where("_s").select("*", several.alias("listed"), F.posexplode(listed).alias("pos", "_i"))
-    own = F.coalesce(get("_i", "confidence").try_cast("double"), F.lit(0.5))
-    structured = structured.select(*keep, "ord", "field", "pos", get("_i", "value").alias("value"), own.alias("confidence"), F.coalesce(get("_i", "grounding").try_cast("double"), F.lit(1.0)).alias("grounding"), get("_i", "quote").alias("quote"), F.col("_c").alias("record_confidence"), "listed")
-    quotes = F.from_json(get("_d", "_quotes"), "map<string,string>")
-    flat = fields.where("not _s").select("*", F.startswith("_raw", F.lit("[")).alias("listed"), F.posexplode(v.to_list(F.col("_raw"))).alias("pos", "value"))
-    flat = flat.select(*keep, "ord", "field", "pos", "value", F.col("_c").alias("confidence"), F.try_element_at("_g", F.col("field")).alias("grounding"), F.try_element_at(quotes, F.col("field")).alias("quote"), F.lit(None).cast("double").alias("record_confidence"), "listed")
-    return structured.unionByName(flat)
+    # an outer inline, as Spark would filter by the size of the array before an inner one, and parse once more for it
+    rows = _with_fields(extractions, [*[F.col(k) for k in keep], F.col(ord).alias("ord")], data, version, confidence, scores).select(*keep, "ord", F.inline_outer("_f")).where("field is not null")
+    each = rows.select(*keep, "ord", "field", "record_confidence", "listed", F.posexplode("items").alias("pos", "_i"))
+    return each.select(*keep, "ord", "field", "pos", "_i.value", "_i.confidence", "_i.grounding", "_i.quote", "record_confidence", "listed")
+
+
+def _mode_of(field: Column, modes: dict[str, str] | None) -> Column:
+    return reduce(lambda a, x: a.when(field == x[0], x[1]), (modes or {}).items(), F.when(F.lit(False), "none")).otherwise("required")
+
+
+def record_values(extractions: DataFrame, keys: list[str], modes: dict[str, str] | None = None, source: str | None = None, data: str = "data", version: str = "data_version", confidence: str = "confidence", ord: str = "ord", scores: str | None = None) -> DataFrame:
+    """The rows of weighted(), straight from the records: each is parsed once, and its weights are made where it is, without a shuffle. ``ord`` tells records apart."""
+    said = F.col(source) if source else F.lit(None).cast("string")
+    rows = _with_fields(extractions, [*[F.col(k) for k in keys], F.col(ord).alias("ord"), said.alias("source")], data, version, confidence, scores).select(*keys, "ord", "source", F.inline_outer("_f")).where("field is not null")
+    some = rows.withColumn("_some", F.filter("items", lambda x: x["value"].isNotNull())).where(F.size("_some") > 0)
+    mode = _mode_of(F.col("field"), modes)
+    total = F.aggregate("_some", F.lit(0.0), lambda a, x: a + v.effective_weight(x["confidence"], x["grounding"], mode))
+    return some.select(*keys, "field", "ord", "source", F.least(total / F.size("_some"), "record_confidence").alias("weight"), "listed", F.transform("_some", lambda x: x["value"]).alias("values"))
 
 
 def flattened(data: Column) -> Column:
@@ -105,7 +133,7 @@ def weighted(rows: DataFrame, keys: list[str], modes: dict[str, str] | None = No
     mean of its items'; the structured form's is capped by the record's
     confidence. Items without value don't count.
     """
-    mode = reduce(lambda a, x: a.when(F.col("field") == x[0], x[1]), (modes or {}).items(), F.when(F.lit(False), "none")).otherwise("required")
+    mode = _mode_of(F.col("field"), modes)
     each = rows.where(F.col("value").isNotNull()).withColumn("_w", v.effective_weight(F.col("confidence"), F.col("grounding"), mode))
     by = [*dict.fromkeys([*keys, "field", "ord", *([source] if source else [])])]
     values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])  # one field of one record
@@ -113,30 +141,76 @@ def weighted(rows: DataFrame, keys: list[str], modes: dict[str, str] | None = No
     return out.select(*keys, "field", "ord", (F.col(source) if source else F.lit(None).cast("string")).alias("source"), "weight", "listed", "values")
 
 
-def _result(rows: DataFrame, every: list[str], name: str) -> DataFrame:
-    if name == "union_dedup":
-        return consolidate.union_dedup(rows.withColumn("value", F.col("values")), every)
-    own = rows.withColumn("value", F.col("values")[0])
+#: Sources that are named for a value, at most.
+TOP = 5
+
+
+def _of_values(values: DataFrame, rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, field, value): the result of a strategy, from the table of distinct values (rows are asked by longest_top_k only)."""
+    every = [*keys, "field"]
+    if name in ("longest_top_k", "llm_summarize"):
+        return consolidate.longest_top_k(rows.withColumn("value", F.col("values")[0]), every)
     if name == "weighted_median":
-        whole = own.groupBy(*every).agg(F.bool_and(F.col("value").rlike(r"^\s*-?\d+\s*$")).alias("_whole"))
-        found = consolidate.weighted_median(own.withColumn("value", v.to_float(F.col("value"))), every).join(whole, every)
+        numbers = values.withColumn("_x", v.to_float(F.col("value")))
+        each = numbers.groupBy(*every, F.col("_x").alias("value")).agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"), F.bool_and(F.col("value").rlike(r"^\s*-?\d+\s*$")).alias("_whole"))
+        found = consolidate.median_of(each.withColumn("_whole", F.bool_and("_whole").over(Window.partitionBy(*every))), every, carry=["_whole"])
         return found.select(*every, F.when(F.col("_whole"), F.bround("value", 0).cast("long").cast("string")).otherwise(F.col("value").cast("string")).alias("value"))
     if name == "any_true":
-        return consolidate.any_true(own.withColumn("value", v.to_boolean(F.col("value"))), every).withColumn("value", F.col("value").cast("string"))
-    return getattr(consolidate, "longest_top_k" if name == "llm_summarize" else name)(own, every)
+        truth = values.withColumn("_t", v.to_boolean(F.col("value")))
+        count = lambda test, n: F.coalesce(F.sum(F.when(test, F.col(n))), F.lit(0))
+        said = F.when(count(F.col("_t"), "_pos") >= 1, "true").when((count(F.col("_t"), "_n") == 0) & (count(~F.col("_t"), "_n") > 0), "false")
+        return truth.groupBy(*every).agg(said.alias("value"))
+    key = values.groupBy(*every, F.lower(F.trim("value")).alias("_k"))
+    if name == "weighted_frequency":
+        found = key.agg(F.round(F.sum("_w"), 6).alias("_w"), F.min("_o").alias("_o"), F.min_by("value", "_o").alias("value"))
+        return found.groupBy(*every).agg(F.min_by("value", F.struct(-F.col("_w"), "_o")).alias("value"))
+    found = key.agg(F.sum("_n").alias("_n"), F.round(F.sum("_w"), 6).alias("_w"), F.min("_o").alias("_o"), F.min_by("value", F.struct(-F.col("_n"), "_o")).alias("value"))
+    return found.groupBy(*every).agg(F.min_by("value", F.struct(-F.col("_n"), -F.col("_w"), "_o")).alias("value"))
 
 
-def _with_metrics(rows: DataFrame, every: list[str], name: str, given: DataFrame | None = None) -> DataFrame:
-    found = _result(rows, every, name) if given is None else given
-    own = rows.withColumn("value", F.to_json("values") if name == "union_dedup" else F.col("values")[0])
-    out = consolidate.agreement(own, found, every, source="source")
-    return out.select(*every, F.lit(name).alias("strategy"), (F.to_json("value") if name == "union_dedup" else F.col("value")).alias("value"), F.col("n_values").alias("source_count"), "grounded_count", "agreement", "winning_weight", "top_sources")
+def _best_sources(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _s): up to TOP sources of positive weight, most first, as (-weight, ord, source); cut to that many before the shuffle."""
+    some = rows.where("weight > 0 and source is not null")
+    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("weight"), F.asc("ord")))).where(F.col("_r") <= TOP)
+    return ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("ord").alias("o"), F.col("source").cast("string").alias("s")))).alias("_s"))
 
 
 def consolidated_fields(rows: DataFrame, keys: list[str], types: dict[str, str], strategies: dict[str, str] | None = None) -> DataFrame:
-    """(keys, field, strategy, value, source_count, grounded_count, agreement, winning_weight, top_sources) of the rows of weighted(): one value of each field by the strategy of its type or its own, lists as JSON."""
+    """(keys, field, strategy, value, source_count, grounded_count, agreement, winning_weight, top_sources) of the rows of weighted(): one value of each field by the strategy of its type or its own, lists as JSON.
+
+    The rows are written once. One table of distinct values, with count,
+    weight, first place and best sources of each, gives every strategy's
+    result and all metrics; rows don't meet results.
+    """
     of = {f: (strategies or {}).get(f) or strategy_of(x) for f, x in types.items()}
-    out = [_with_metrics(rows.where(F.col("field").isin([f for f, s in of.items() if s == name])), [*keys, "field"], name) for name in sorted(set(of.values()))]
+    every, none = [*keys, "field"], F.array().cast("array<string>")
+    rows = cut(rows.where(F.col("field").isin(list(of))))
+    named = lambda name: F.col("field").isin([f for f, s in of.items() if s == name])
+    shown = [*every, "strategy", "value", "source_count", "grounded_count", "agreement", "winning_weight", "top_sources"]
+    out = []
+    scalars = sorted({s for s in of.values() if s != "union_dedup"})
+    if scalars:
+        own = rows.where(~named("union_dedup")).withColumn("value", F.col("values")[0])
+        count = own.groupBy(*every, "value").agg(F.count("*").alias("_n"), F.sum("weight").alias("_w"), F.min("ord").alias("_o"), F.max("weight").alias("_max"), F.count_if(F.col("weight") > 0).alias("_pos"))
+        values = cut(joined(count, _best_sources(own, [*every, "value"]), [*every, "value"], "left"))
+        results = [_of_values(values.where(named(s)), rows.where(named(s)), keys, s).select(*every, F.col("value").alias("_best"), F.lit(s).alias("strategy")) for s in scalars]
+        met = joined(values, reduce(DataFrame.unionByName, results), every).withColumn("_same", F.coalesce(consolidate.same_value(F.col("value"), F.col("_best")), F.lit(False)))
+        hits = lambda c: F.when(F.col("_same"), F.col(c))
+        found = met.groupBy(*every, "strategy", F.col("_best").alias("value")).agg(
+            F.sum("_n").alias("source_count"),
+            F.sum("_pos").alias("grounded_count"),
+            F.round(F.coalesce(F.sum(hits("_n")), F.lit(0)) / F.sum("_n"), 4).alias("agreement"),
+            F.round(F.coalesce(F.max(hits("_max")), F.lit(0.0)), 4).alias("winning_weight"),
+            F.slice(F.array_sort(F.flatten(F.collect_list(hits("_s")))), 1, TOP).alias("_s"),  # TOP for each spelling of the value
+        )
+        out.append(found.withColumn("top_sources", F.coalesce(F.transform("_s", lambda x: x["s"]), none)).select(*shown))
+    if "union_dedup" in of.values():
+        own = rows.where(named("union_dedup"))
+        lists = consolidate.union_dedup(own.withColumn("value", F.col("values")), every).select(*every, F.to_json("value").alias("value"))
+        won = F.round(F.coalesce(F.avg(F.when(F.col("weight") > 0, F.col("weight"))), F.lit(0.0)), 4)
+        count = own.groupBy(*every).agg(F.count("*").alias("source_count"), F.count_if(F.col("weight") > 0).alias("grounded_count"), won.alias("winning_weight"))
+        found = joined(joined(count, lists, every), _best_sources(own, every), every, "left")
+        out.append(found.withColumns({"strategy": F.lit("union_dedup"), "agreement": F.lit(1.0), "top_sources": F.coalesce(F.transform("_s", lambda x: x["s"]), none)}).select(*shown))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -149,7 +223,7 @@ def group_records(extractions: DataFrame, fields: DataFrame, keys: list[str]) ->
     """(keys, source_count, grounded_count, data): a record for each group: how many extractions it has, the most grounded values of a field, and the values by field as JSON."""
     n = extractions.groupBy(*keys).agg(F.count("*").alias("source_count"))
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value"))))  # a group's fields
-    return n.join(fields.groupBy(*keys).agg(F.max("grounded_count").alias("grounded_count"), F.to_json(entries).alias("data")), keys, "left").withColumn("grounded_count", F.coalesce("grounded_count", F.lit(0)))
+    return joined(n, fields.groupBy(*keys).agg(F.max("grounded_count").alias("grounded_count"), F.to_json(entries).alias("data")), keys, "left").withColumn("grounded_count", F.coalesce("grounded_count", F.lit(0)))
 
 
 def entity_items(extractions: DataFrame, keys: list[str], entity_key: str, data: str = "data", version: str = "data_version", confidence: str = "confidence", ord: str = "ord", source: str = "source_id", scores: str | None = None) -> DataFrame:
@@ -161,30 +235,43 @@ def entity_items(extractions: DataFrame, keys: list[str], entity_key: str, data:
     confidence, which counts 0.3 at least.
     """
     given = F.try_element_at(scores, F.lit(entity_key)) if scores else F.lit(None).cast("double")
-    base = extractions.select(*keys, F.col(ord).alias("ord"), F.col(source).cast("string").alias("source"), is_structured(F.col(version)).alias("_s"), F.coalesce(confidence, F.lit(0.5)).alias("_c"), given.alias("_g"), F.get_json_object(data, f"$.{entity_key}").alias("_l"))
-    get = lambda p: F.get_json_object("_i", f"$.{p}")
-    two = base.where("_s").select("*", F.posexplode(F.from_json(F.get_json_object("_l", "$.items"), "array<string>")).alias("pos", "_i"))
-    field_scores = F.filter(F.map_values(F.from_json(get("field_grounding"), "map<string,double>")), lambda x: x.isNotNull())
-    mean = F.when(F.size(field_scores) > 0, F.aggregate(field_scores, F.lit(0.0), lambda a, x: a + x) / F.size(field_scores))
-    own = F.least(F.coalesce(get("confidence").try_cast("double"), F.lit(0.5)), F.coalesce(get("grounding").try_cast("double"), F.lit(1.0)), mean)
-    attributes = F.coalesce(F.from_json(get("fields"), "map<string,string>"), F.from_json("_i", "map<string,string>"))
-    two = two.select(*keys, "ord", "source", "pos", F.map_filter(attributes, lambda k, _: ~F.startswith(k, F.lit("_"))).alias("entity"), own.alias("_w"), "_c")
-    cap = two.groupBy(*keys, "ord", "source").agg(F.least(F.avg("_w"), F.greatest(F.first("_c"), F.lit(0.3))).alias("weight"))
-    two = two.join(cap.withColumnRenamed("ord", "_ord").withColumnRenamed("source", "_source").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_ord", "_source", "weight"), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("ord").eqNullSafe(F.col("_ord")) & F.col("source").eqNullSafe(F.col("_source"))))
-    one = base.where("not _s").select("*", F.posexplode(F.from_json("_l", "array<map<string,string>>")).alias("pos", "_e")).where("_e is not null")
-    one = one.select(*keys, "ord", "source", "pos", F.map_filter("_e", lambda k, _: k != "_quote").alias("entity"), F.coalesce(F.least("_c", "_g"), F.col("_c")).alias("weight"))
-    return two.select(*one.columns).unionByName(one)
+    two = is_structured(F.col(version))
+    base = extractions.select(
+        *keys,
+        F.col(ord).alias("ord"),
+        F.col(source).cast("string").alias("source"),
+        F.coalesce(confidence, F.lit(0.5)).cast("double").alias("_c"),
+        given.alias("_g"),
+        two.alias("_s"),
+        F.from_json(F.get_json_object(data, f"$.{entity_key}.items"), "array<map<string,string>>").alias("_two"),
+        F.from_json(F.get_json_object(data, f"$.{entity_key}"), "array<map<string,string>>").alias("_one"),
+    )
+    get = lambda e, k: F.try_element_at(e, F.lit(k))
+
+    def own(e: Column) -> Column:
+        known = F.filter(F.map_values(F.from_json(get(e, "field_grounding"), "map<string,double>")), lambda x: x.isNotNull())
+        mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+        return F.least(F.coalesce(get(e, "confidence").try_cast("double"), F.lit(0.5)), F.coalesce(get(e, "grounding").try_cast("double"), F.lit(1.0)), mean)
+
+    attributes = lambda e: F.map_filter(F.coalesce(F.from_json(get(e, "fields"), "map<string,string>"), e), lambda k, _: ~F.startswith(k, F.lit("_")))
+    entity = lambda m, p: F.struct(p.alias("pos"), m.alias("entity"))
+    of_two = F.transform("_two", lambda e, p: entity(attributes(e), p))
+    of_one = F.filter(F.transform("_one", lambda e, p: entity(F.map_filter(e, lambda k, _: k != "_quote"), p)), lambda x: x["entity"].isNotNull())
+    mean = F.aggregate("_two", F.lit(0.0), lambda a, e: a + own(e)) / F.size("_two")
+    weight = F.when(F.col("_s"), F.least(mean, F.greatest("_c", F.lit(0.3)))).otherwise(F.coalesce(F.least("_c", "_g"), "_c"))
+    rows = base.select(*keys, "ord", "source", weight.alias("weight"), F.when(F.col("_s"), of_two).otherwise(of_one).alias("_e"))
+    return rows.select(*keys, "ord", "source", "weight", F.inline_outer("_e")).where("entity is not null").select(*keys, "ord", "source", "pos", "entity", "weight")
 
 
 def entity_lists(rows: DataFrame, keys: list[str], id_fields: list[str] | None = None, top: int = 5) -> DataFrame:
     """(keys, entity_key, first, entity, winning_weight, top_sources) of the rows of entity_items(): the entities of a group, each once, with the most weight that stands for it and up to ``top`` sources of positive weight, most first."""
-    rows = rows.withColumn("_o", F.struct("ord", "pos"))
+    rows = cut(rows.withColumn("_o", F.struct("ord", "pos")))
     merged = merged_entities(rows, keys, "entity", "_o", id_fields)
     of = rows.select(*keys, entity_key(F.col("entity"), id_fields).alias("entity_key"), "weight", "source", "_o").where("weight > 0 and source is not null and source <> ''")
     best = of.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "entity_key").orderBy(F.desc("weight"), F.asc("_o")))).where(F.col("_r") <= top)
     sources = F.transform(F.array_sort(F.collect_list(F.struct("_r", "source"))), lambda x: x["source"])  # top rows at most
     found = best.groupBy(*keys, "entity_key").agg(F.max("weight").alias("_w"), sources.alias("_s"))
-    out = merged.join(found, [*keys, "entity_key"], "left")
+    out = joined(merged, found, [*keys, "entity_key"], "left")
     return out.select(*keys, "entity_key", "first", "entity", F.bround(F.coalesce("_w", F.lit(0.0)), 4).alias("winning_weight"), F.coalesce("_s", F.array().cast("array<string>")).alias("top_sources"))
 
 

@@ -36,6 +36,12 @@ def matches_urls(df: DataFrame, url: str, include: list[str] | None = None, excl
     return df.where(some & all_of([~F.col(url).rlike(p) for p in exclude or []]))
 
 
+def joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined to the other columns of b by keys of the same names; null is equal to null."""
+    other = b.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    return a.join(other, all_of([F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]), how).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 100) -> DataFrame:
     """One page of rows; the order must end with a unique column. limit is from 1 to 100."""
     if not 1 <= limit <= 100 or offset < 0:

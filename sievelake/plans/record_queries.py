@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sievelake.functions import values as v
-from sievelake.operators import consolidate, json_repair, merge, records, relational, schema
+from sievelake.operators import consolidate, json_repair, merge, records, records_batches, relational, schema
+from sievelake.sources.shared import cut, remove, shared_folder
 
 from .registry import query, table
 
@@ -43,8 +46,7 @@ def extractions(spark, d):
 
 
 def weighted(spark, d):
-    rows = records.items(extractions(spark, d), [*KEYS, "source_id"], scores="grounding_scores")
-    return records.weighted(rows, KEYS, source="source_id")
+    return records.record_values(extractions(spark, d), KEYS, source="source_id", scores="grounding_scores")
 
 
 def consolidated(spark, d):
@@ -58,7 +60,7 @@ BEST_R = "br as (select l_suppkey, case when bool_or(returned and wt > 0) then t
 TAGS = "bt as (select l_suppkey, t, min(o) as o from (select l_suppkey, tags[1] as t, ord * 2 as o from w union all select l_suppkey, tags[2], ord * 2 + 1 from w) group by all)"
 
 
-@query(
+RECORDS = (
     f"with {X}, {W}, {BEST_FLAG}, {BEST_Q}, {BEST_R}, {TAGS}, tg as (select l_suppkey, '[' || string_agg('\"' || t || '\"', ',' order by o) || ']' as value from bt group by 1) "
     + "select s.*, b.best as value from ("
     + SCALAR.format("flag", "flag", "bf")
@@ -68,11 +70,29 @@ TAGS = "bt as (select l_suppkey, t, min(o) as o from (select l_suppkey, tags[1]
     + SCALAR.format("returned", "returned", "br")
     + ") s join br b using (l_suppkey) union all select l_suppkey, 'tags', count(*), count(*) filter (where wl > 0), 1.0, round(coalesce(avg(case when wl > 0 then wl end), 0), 4), any_value(tg.value) from w join tg using (l_suppkey) group by 1"
 )
+
+
+@query(RECORDS)
 def consolidate_records(spark, d):
     """Both forms' fields: weights, values by the strategy of their type, and metrics."""
     return consolidated(spark, d).select("l_suppkey", "field", "value", "source_count", "grounded_count", "agreement", "winning_weight")
 
 
+@query(RECORDS)
+def records_in_batches(spark, d):
+    """The same by three batches: some extractions come in another group first, and some go and come again; only touched groups are consolidated again."""
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    every = extractions(spark, d).withColumn("id", F.col("ord"))
+    store = records_batches.Store(spark, folder, KEYS, "id", TYPES, buckets=8)
+    early = every.where("ord % 3 < 2")
+    store.add(early.withColumn("l_suppkey", F.when(F.col("ord") % 5 == 0, F.col("l_suppkey") + 1_000_000).otherwise(F.col("l_suppkey"))), 1)
+    store.add(every.where("ord % 3 < 2 and ord % 5 = 0"), 2, every.where("ord % 3 = 1 and ord % 5 = 1").select("id"))
+    store.add(every.where("ord % 3 = 2 or (ord % 3 = 1 and ord % 5 = 1)"), 3)
+    out = cut(store.fields().select("l_suppkey", "field", "value", "source_count", "grounded_count", "agreement", "winning_weight"))
+    remove(spark, folder)
+    return out
+
+
 @query(f"with {X}, {W}, {BEST_FLAG}, m as (select w.l_suppkey, src, row_number() over (partition by w.l_suppkey order by wt desc, ord) as r from w join bf using (l_suppkey) where flag = best and wt > 0) select l_suppkey, string_agg(src, ',' order by r) as sources from m where r <= 5 group by 1")
 def top_sources(spark, d):
     """The sources that stand for a field's value, strongest first."""

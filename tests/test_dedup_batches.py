@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.operators import dedup
 from sievelake.operators.dedup_batches import Store
+from sievelake.sources.batches import Batches
 
 HOW = {"separator": "\n", "least": 10}
 LINES = [f"A line that many pages share, number {k}" for k in range(6)] + ["short", "", "   "]
@@ -52,7 +53,7 @@ def test_only_dirty_domains_are_read_and_cut_again(spark, tmp_path):
     assert [r["domain"] for r in touched.collect()] == ["d3.org"]
     again = spark.read.parquet(f"{tmp_path}/cleaned").where("batch = 2")
     assert {r["domain"] for r in again.collect()} == {"d3.org"} and again.count() == 11
-    plan = store._read("pages", [5], 2)._jdf.queryExecution().executedPlan().toString()
+    plan = store.tables.read("pages", [5], 2)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [isnotnull(batch" in plan
 
 
@@ -64,17 +65,17 @@ def test_a_batch_that_was_killed_is_run_again(spark, tmp_path, monkeypatch, afte
     second = [(of.get(i, d), i, t) for d, i, t in some_pages(rng, range(20, 45))]
     store = Store(spark, str(tmp_path), ["domain"], "id", "text", buckets=4, share=0.5, min_pages=3, **HOW)
     store.add(spark.createDataFrame(first, SCHEMA), 7)
-    real = Store._write
+    real = Batches.write
 
     def dies(self, df, name, batch):
         real(self, df, name, batch)
         if name == after:
             raise RuntimeError("killed")
 
-    monkeypatch.setattr(Store, "_write", dies)
+    monkeypatch.setattr(Batches, "write", dies)
     with pytest.raises(RuntimeError):
         store.add(spark.createDataFrame(second, SCHEMA), 8)
-    monkeypatch.setattr(Store, "_write", real)
+    monkeypatch.setattr(Batches, "write", real)
     store.add(spark.createDataFrame(second, SCHEMA), 8)
     marks, stripped = whole(spark, list(({(d, i): (d, i, t) for d, i, t in first} | {(d, i): (d, i, t) for d, i, t in second}).values()))
     assert same(store.boilerplate(), marks, ["domain", "hash", "pages"])
