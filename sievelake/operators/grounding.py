@@ -14,6 +14,7 @@ from sievelake.functions import text as t
 from sievelake.functions import values as v
 
 from . import locate
+from .relational import joined
 
 # How values of each type are grounded, and what keys of a record are no fields.
 MODES = {"string": "required", "integer": "required", "float": "required", "boolean": "semantic", "text": "required", "enum": "required", "list": "required", "summary": "none"}
@@ -299,6 +300,34 @@ def regrounded(extractions: DataFrame, keys: list[str], types: dict[str, str], d
     return extractions.select(*kept).join(scores, keys, "left").select(*kept, F.coalesce("_new", F.create_map().cast("map<string,double>")).alias(out))
 
 
-def gate(grounding: Column, confidence: Column, mode: Column, keep: float = 0.8, drop: float = 0.3) -> Column:
-    """keep, drop or rescue."""
-    return F.when((mode == "none") | (grounding >= keep), "keep").when((mode == "semantic") & (confidence >= 0.5), "rescue").when(grounding < drop, "drop").otherwise("rescue")
+# Limits of the gate: from KEEP on a value stays, below DROP it goes, and between them its quote is looked for again.
+KEEP, DROP, SURE = 0.8, 0.3, 0.5
+
+
+def gate(grounding: Column, confidence: Column, mode: Column, quote: Column | None = None, keep: float = KEEP, drop: float = DROP) -> Column:
+    """keep, drop or rescue of a value. Between the limits values in mode none stay, and those in mode semantic that have a quote; without one they are rescued if they are sure, as are sure ones below the limits."""
+    quoted = F.lit(False) if quote is None else F.coalesce(quote != "", F.lit(False))
+    semantic, sure = mode == "semantic", F.coalesce(confidence >= SURE, F.lit(False))
+    low = F.when(semantic & sure, "rescue").otherwise("drop")
+    between = F.when(mode == "none", "keep").when(semantic, F.when(quoted, "keep").when(sure, "rescue").otherwise("drop")).otherwise("rescue")
+    return F.when(grounding >= keep, "keep").when(F.coalesce(grounding < drop, F.lit(True)), low).otherwise(between)
+
+
+def list_gate(grounding: Column, mode: Column, keep: float = KEEP, drop: float = DROP) -> Column:
+    """keep, drop or rescue of a list's item: between the limits items in mode required are rescued, others stay."""
+    return F.when(grounding >= keep, "keep").when(F.coalesce(grounding < drop, F.lit(True)), "drop").when(mode == "required", "rescue").otherwise("keep")
+
+
+def entity_gate(grounding: Column, entity: Column, id_fields: list[str] | None = None, keep: float = KEEP, drop: float = DROP) -> Column:
+    """keep, drop or rescue of an entity, a map of strings: between the limits one that an id field names is rescued by it, one without goes."""
+    name = F.coalesce(*[F.nullif(F.try_element_at(entity, F.lit(f)), F.lit("")) for f in id_fields or ID_FIELDS])
+    return F.when(grounding >= keep, "keep").when(F.coalesce(grounding < drop, F.lit(True)), "drop").when(name.isNotNull(), "rescue").otherwise("drop")
+
+
+def gated_items(items: DataFrame, decision: Column, rescued: DataFrame, keys: list[str], quote: str = "quote", grounding: str = "grounding", keep: float = KEEP) -> DataFrame:
+    """The items that pass: those to keep as they are, and those to rescue for which ``rescued``, a table of (keys, quote, grounding), has a quote that is grounded well enough, with that quote. One row of rescued counts for each key: the best grounded."""
+    best = rescued.where((F.col(quote) != "") & (F.col(grounding) >= keep)).groupBy(*keys).agg(F.max(F.struct(F.col(grounding).alias("g"), F.col(quote).alias("q"))).alias("_new"))
+    rows = items.withColumn("_decision", decision)
+    found = joined(rows.where("_decision = 'rescue'"), best, keys)
+    found = found.withColumns({quote: F.col("_new.q"), grounding: F.col("_new.g")})
+    return rows.where("_decision = 'keep'").drop("_decision").unionByName(found.drop("_decision", "_new"))

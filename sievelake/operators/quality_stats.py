@@ -7,7 +7,9 @@ nothing are null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import relational
@@ -133,3 +135,39 @@ def location_checks(df: DataFrame, keys: list[str], city: str, country: str, cou
         F.count_if(~none(city) & none(country)).alias("city_without_country"),
         F.count_if(sentinel).alias("sentinel"),
     )
+
+
+def service_metrics(jobs: DataFrame, sources: DataFrame, extractions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(metric, key, n, value): all of a service's totals in one aggregation over its four tables.
+
+    jobs: type, status, seconds (null unless completed); sources: status;
+    extractions: type, confidence, embedding; entities: type. n is a count;
+    value is the mean confidence or the mean seconds of what the row is by.
+    Metrics are total, by_type and by_status of each table, completed of jobs
+    and orphaned (without embedding) of extractions; a null type is a key.
+    """
+
+    def part(df: DataFrame, name: str, type: Column | None, status: Column | None, value: Column | None, mark: Column | None) -> DataFrame:
+        text = F.lit(None).cast("string")
+        return df.select(F.lit(name).alias("table"), (text if type is None else type.cast("string")).alias("type"), (text if status is None else status.cast("string")).alias("status"), (F.lit(None) if value is None else value).cast("double").alias("value"), (F.lit(False) if mark is None else mark).alias("mark"))
+
+    rows = part(jobs, "jobs", F.col("type"), F.col("status"), F.col("seconds"), F.col("seconds").isNotNull())
+    rows = rows.unionByName(part(sources, "sources", None, F.col("status"), None, None))
+    rows = rows.unionByName(part(extractions, "extractions", F.col("type"), None, F.col("confidence"), F.col("embedding").isNull()))
+    rows = rows.unionByName(part(entities, "entities", F.col("type"), None, None, None))
+    t, k, s = F.col("table"), F.col("type"), F.col("status")
+    sets = rows.groupingSets([[t], [t, k], [t, s]], t, k, s).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("value"), F.count_if("mark").alias("marked"))
+    by_type = (F.col("g") == 1) & (t != "sources")
+    by_status = (F.col("g") == 2) & t.isin("jobs", "sources")
+    named = F.when(F.col("g") == 3, "total").when(by_type, "by_type").when(by_status, "by_status")
+    out = sets.withColumn("what", named).where("what is not null")
+    plain = out.select(F.concat_ws("_", "table", "what").alias("metric"), F.coalesce(k, s).alias("key"), "n", F.when(F.col("what") == "by_type", F.col("value")).alias("value"))
+    marked = out.where((F.col("what") == "total") & t.isin("jobs", "extractions")).select(F.when(t == "jobs", "jobs_completed").otherwise("extractions_orphaned").alias("metric"), F.lit(None).cast("string").alias("key"), F.col("marked").alias("n"), F.lit(None).cast("double").alias("value"))
+    return plain.unionByName(marked)
+
+
+def written_with_metrics(df: DataFrame, write: Callable[[DataFrame], None], metrics: dict[str, Column]) -> dict[str, object]:
+    """Writes df by ``write`` and returns aggregates of the rows that were written, which Spark sums up on the way: no second pass."""
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
+    return dict(seen.get)

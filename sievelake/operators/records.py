@@ -92,6 +92,33 @@ def flattened(data: Column) -> Column:
     return F.to_json(entries)
 
 
+#: Items of a list that go into a text for embedding.
+MOST_ITEMS = 50
+
+
+def embedding_text(type: Column, data: Column, version: Column) -> Column:
+    """What a record of either form says, as lines to embed: its type, then its fields in their order; lists give a line for each of their first items, objects their entries.
+
+    Keys that begin with _ and confidence are left out, as are fields and
+    entries without value; a record that isn't JSON has its type only, and one
+    that says nothing is the empty text. Values are as JSON writes them.
+    """
+    fields = F.from_json(F.when(is_structured(version), flattened(data)).otherwise(data), "map<string,string>")
+    entries = F.filter(F.map_entries(fields), lambda e: ~F.startswith(e["key"], F.lit("_")) & (e["key"] != "confidence") & e["value"].isNotNull())
+    known = lambda m: F.filter(F.map_entries(m), lambda e: ~F.startswith(e["key"], F.lit("_")) & e["value"].isNotNull())
+    one = lambda x: F.when(F.startswith(x, F.lit("{")), F.array_join(F.transform(known(F.from_json(x, "map<string,string>")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")).otherwise(x)
+    lines = lambda e: F.when(F.startswith(e["value"], F.lit("[")), F.transform(F.slice(F.from_json(e["value"], "array<string>"), 1, MOST_ITEMS), one)).otherwise(F.array(F.concat(e["key"], F.lit(": "), e["value"])))
+    said = F.coalesce(F.flatten(F.transform(entries, lines)), F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.when(F.length(type) > 0, F.array(F.concat(F.lit("Type: "), type))).otherwise(F.array().cast("array<string>")), said), "\n")
+
+
+def list_sizes(records: DataFrame, data: str, lists: list[str]) -> DataFrame:
+    """(list, n): how many items the lists of these names have in all records; what is no list has none."""
+    sizes = [F.coalesce(F.sum(F.json_array_length(F.get_json_object(data, f"$.{name}"))), F.lit(0)).cast("long").alias(name) for name in lists]
+    wide = records.agg(*sizes)
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(name).alias("list"), F.col(f"`{name}`").alias("n")) for name in lists])))
+
+
 def structured(data: Column, fields: list[str], confidence: Column) -> Column:
     """The flat form as the structured one, JSON text: {field: {value, confidence, quote}}; a field without value has confidence 0."""
     quotes = F.from_json(F.get_json_object(data, "$._quotes"), "map<string,string>")

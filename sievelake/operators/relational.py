@@ -185,3 +185,15 @@ def with_group_size(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame
     known = df.join(hot, same, "left").drop(*named)
     rest = known.where(F.col("_many").isNull()).drop("_many").join(sizes.where(F.col("_many") <= least), same).drop(*named)
     return known.where(F.col("_many").isNotNull()).unionByName(rest).withColumnRenamed("_many", out)
+
+
+#: Rows of a table that values are looked up in, at most.
+MOST_LOOKUP = 100_000
+
+
+def lookup_table(df: DataFrame, columns: list[str], most: int = MOST_LOOKUP) -> DataFrame:
+    """The distinct rows of some columns of df, all of them not null, for values to be looked up in; ValueError if there are more than ``most``, as such a table is broadcast."""
+    found = df.select(*columns).dropna().distinct()
+    if found.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to look up in")
+    return F.broadcast(found)

@@ -117,6 +117,28 @@ def unified_rows(fields: DataFrame, columns: list[ReportColumn], group: str = "s
     return fields.groupBy(group).agg(*cells)
 
 
+def source_table(values: DataFrame, entities: DataFrame, sources: DataFrame, columns: list[ReportColumn], groups: list[Group], source: str, url: str, title: str, domain: str, type: str = "extraction_type", first: str = "first", entity: str = "entity") -> DataFrame:
+    """(source, columns...): a row for each source with the columns of schema.source_columns(): where it is from, its fields' values, and its entities as cells in order of ``first``.
+
+    ``values`` has (source, type, field, value), ``entities`` (source, type, first, entity). A source without values has nulls, and N/A for entities.
+    """
+    plain = [c for c in columns if c.field is not None and c.group != "_metadata"]
+    wide = unified_rows(values, plain, group=source, type=type)
+    lists = {g.name: g for g in groups if g.is_entity_list}
+    own = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col(type) == name, F.struct(F.col(first).alias("o"), F.map_entries(entity).alias("e"))))), lambda x: F.map_from_entries(x["e"]))  # noqa: E731  one source's entities
+    cells = entities.groupBy(source).agg(*[entity_cell(own(name), g).alias(name) for name, g in lists.items()]) if lists else None
+    base = sources.select(F.col(source), F.col(url).alias("source_url"), F.col(title).alias("source_title"), F.col(domain).alias("domain"))
+    out = base.join(wide, source, "left")
+    if cells is not None:
+        out = out.join(cells, source, "left").withColumns({name: F.coalesce(F.col(name), F.lit("N/A")) for name in lists})
+    return out.select(source, *[F.col(f"`{c.name}`") for c in columns])
+
+
+def entity_rows(entities: DataFrame, group: str, columns: list[ReportColumn], entity: str = "entity") -> DataFrame:
+    """(group, columns...): a row for each entity, a map of strings, of one list; missing attributes are null."""
+    return entities.select(group, *[value_cell(F.try_element_at(entity, F.lit(c.field))).alias(c.name) for c in columns])
+
+
 def companion_rows(fields: DataFrame, columns: list[ReportColumn], sources: DataFrame, group: str = "source_group", type: str = "extraction_type", field: str = "field", weight: str = "winning_weight", top: str = "top_sources", id: str = "source_id", url: str = "uri") -> tuple[DataFrame, DataFrame]:
     """(quality, sources): rows like unified_rows() with each cell's weight and with the URLs that stand for it, N/A where there are none."""
     plain = [c for c in columns if c.field is not None]

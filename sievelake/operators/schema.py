@@ -46,6 +46,77 @@ class Template:
 TYPES = ("boolean", "integer", "float", "text", "string", "list", "enum", "summary")
 
 
+# Limits of a schema, and what its fields may say.
+MOST_GROUPS, MOST_FIELDS = 20, 30
+FIELD_TYPES = ("boolean", "integer", "float", "text", "list", "enum", "summary")
+CHOICES = {
+    "merge_strategy": ("highest_confidence", "max", "min", "concat", "majority_vote", "merge_dedupe", "longest_confident", "llm_synthesize"),
+    "grounding_mode": ("required", "semantic", "none"),
+    "consolidation_strategy": ("frequency", "weighted_frequency", "weighted_median", "any_true", "longest_top_k", "union_dedup", "llm_summarize"),
+}
+
+
+def schema_issues(schema: dict[str, Any], context: dict[str, Any] | None = None) -> tuple[list[str], list[str]]:
+    """(errors, warnings) of a schema by all its rules; one that has errors isn't to be used.
+
+    It needs a name and at most MOST_GROUPS groups of different names; a group
+    needs name, description and at most MOST_FIELDS fields of different names;
+    a field needs name, description and a known type, an enum its values, and
+    a required field a default. A list of entities without any id field is
+    only warned of.
+    """
+    errors, warnings = [], []
+    if "name" not in schema:
+        errors.append("the schema has no name")
+    groups = schema.get("field_groups")
+    if not isinstance(groups, list):
+        return [*errors, "the schema has no list of field_groups"], warnings
+    if len(groups) > MOST_GROUPS:
+        errors.append(f"{len(groups)} groups are more than {MOST_GROUPS}")
+    ids = (context or {}).get("entity_id_fields") or Template("").entity_id_fields
+
+    def repeated(parts: list, what: str) -> None:
+        names = [x["name"] for x in parts if isinstance(x, dict) and "name" in x]
+        errors.extend(f"{what} has {name} twice" for name in dict.fromkeys(n for n in names if names.count(n) > 1))
+
+    def lacking(part: dict, needed: tuple[str, ...], what: str) -> None:
+        errors.extend(f"{what} has no {key}" for key in needed if key not in part)
+
+    repeated(groups, "the schema")
+    for i, g in enumerate(groups):
+        where = f"group {i}"
+        if not isinstance(g, dict):
+            errors.append(f"{where} is no object")
+            continue
+        lacking(g, ("name", "description", "fields"), where)
+        fields = g.get("fields", [])
+        if not isinstance(fields, list):
+            errors.append(f"the fields of {where} are no list")
+            continue
+        if len(fields) > MOST_FIELDS:
+            errors.append(f"{len(fields)} fields of {where} are more than {MOST_FIELDS}")
+        repeated(fields, where)
+        if g.get("is_entity_list") and not any(isinstance(f, dict) and f.get("name") in ids for f in fields):
+            warnings.append(f"{where} is a list of entities without any of the id fields {', '.join(ids)}")
+        for j, f in enumerate(fields):
+            at = f"field {j} of {where}"
+            if not isinstance(f, dict):
+                errors.append(f"{at} is no object")
+                continue
+            lacking(f, ("name", "field_type", "description"), at)
+            kind = f.get("field_type")
+            if kind is not None and kind not in FIELD_TYPES:
+                errors.append(f"{at} has the unknown field_type {kind}")
+            if kind == "enum" and not f.get("enum_values"):
+                errors.append(f"{at} is an enum without enum_values")
+            if f.get("required") and "default" not in f:
+                errors.append(f"{at} is required and has no default")
+            errors.extend(f"{at} has the unknown {key} {f[key]}" for key, known in CHOICES.items() if key in f and f[key] not in known)
+            if "validators" in f and not isinstance(f["validators"], list):
+                errors.append(f"the validators of {at} are no list")
+    return errors, warnings
+
+
 def template_of(raw: dict[str, Any]) -> Template:
     """A template from its parsed form; ValueError names everything that is wrong with it."""
     wrong, groups = [], []
@@ -62,6 +133,10 @@ def template_of(raw: dict[str, Any]) -> Template:
             fields.append(Field(f.get("name", ""), kind, f.get("description", ""), bool(f.get("required")), f.get("default"), tuple(f.get("enum_values") or ()), f.get("merge_strategy"), f.get("grounding_mode"), f.get("consolidation_strategy")))
         if not g.get("name"):
             wrong.append("a group has no name")
+        if len({f.name for f in fields}) < len(fields):
+            wrong.append(f"two fields of {g.get('name')} have one name")
+        if len(fields) > MOST_FIELDS:
+            wrong.append(f"{g.get('name')} has more than {MOST_FIELDS} fields")
         groups.append(Group(g.get("name", ""), tuple(fields), g.get("description", ""), bool(g.get("is_entity_list"))))
     if not raw.get("name"):
         wrong.append("the template has no name")
@@ -69,6 +144,8 @@ def template_of(raw: dict[str, Any]) -> Template:
         wrong.append("no field groups")
     if len({g.name for g in groups}) < len(groups):
         wrong.append("two groups have one name")
+    if len(groups) > MOST_GROUPS:
+        wrong.append(f"more than {MOST_GROUPS} groups")
     if wrong:
         raise ValueError(f"template {raw.get('name')}: {'; '.join(wrong)}")
     context = raw.get("extraction_context") or {}
@@ -150,6 +227,30 @@ def entity_columns(group: Group) -> list[ReportColumn]:
     return [ReportColumn(f.name, label(f), f.field_type, group.name, f.name) for f in group.fields]
 
 
+# The columns that say where a source's row is from.
+SOURCE_COLUMNS = (ReportColumn("source_url", "URL", "text", "_metadata", "source_url"), ReportColumn("source_title", "Page Title", "text", "_metadata", "source_title"), ReportColumn("domain", "Domain", "text", "_metadata", "domain"))
+
+
+def source_columns(groups: list[Group]) -> list[ReportColumn]:
+    """The columns of one row for each source: where it is from, then all fields, each list of entities as one by its group's name; names that come twice go with their group's."""
+    names = [n for g in groups for n in ([g.name] if g.is_entity_list else [f.name for f in g.fields])]
+    out = list(SOURCE_COLUMNS)
+    for g in groups:
+        if g.is_entity_list:
+            out.append(ReportColumn(g.name, humanized(g.name), "entity_list", g.name, None))
+        else:
+            out += [ReportColumn(f"{g.name}.{f.name}" if names.count(f.name) > 1 else f.name, label(f), f.field_type, g.name, f.name) for f in g.fields]
+    return out
+
+
+def unit_of(name: Column) -> Column:
+    """unit() of a column of names; empty for none."""
+    low, out = F.lower(name), F.lit("")
+    for end, u in reversed(UNITS.items()):
+        out = F.when(low.endswith(end), u).otherwise(out)
+    return out
+
+
 def language_exclusions(languages: list[str]) -> list[str]:
     """Patterns of URLs in these languages, by path part and by query parameter."""
     # The places where a URL names its language.
@@ -198,6 +299,42 @@ def checked(raw: Column, quoted: Column, f: Field) -> Column:
     return F.when(raw.isNotNull(), F.struct(value.alias("value"), issue.alias("issue"))).otherwise(F.struct(F.lit(None).cast("string").alias("value"), ok.alias("issue")))
 
 
+# Words that a boolean may be, in any case.
+TRUE_WORDS, FALSE_WORDS = ("1", "on", "t", "true", "y", "yes"), ("0", "off", "f", "false", "n", "no")
+
+
+def legacy_issues(data: Column, fields: list[Field]) -> Column:
+    """What is wrong with a record, JSON text, by a plain list of fields: an array of "field: issue", empty if nothing is.
+
+    Issues: required (there is no value), not of type ..., not one of ... .
+    Numbers may be spelled as texts, integers as whole floats and booleans as
+    numbers and words; texts, dates and enums are texts, json is an object. The
+    record is parsed once. What is no JSON object has the one issue "no record".
+    """
+    record = F.try_parse_json(data)
+    values = F.try_variant_get(record, "$", "map<string, variant>")
+    found = []
+    for f in fields:
+        x = F.try_element_at(values, F.lit(f.name))
+        kind, said = F.schema_of_variant(x), F.trim(x.cast("string"))
+        text = kind == "STRING"
+        number = (kind == "BIGINT") | (kind == "BOOLEAN") | F.startswith(kind, F.lit("DECIMAL")) | kind.isin("DOUBLE", "FLOAT")
+        whole = said.rlike(r"^[+-]?\d+(?:\.0*)?$") & ~(text & said.contains(".")) | (kind == "DOUBLE") & (F.try_variant_get(record, f"$['{f.name}']", "double") % 1 == 0)
+        good = {
+            "integer": (kind == "BOOLEAN") | ((number | text) & whole),
+            "float": number | text & said.try_cast("double").isNotNull(),
+            "boolean": (kind == "BOOLEAN") | F.lower(said).isin(*TRUE_WORDS, *FALSE_WORDS),
+            "list": F.startswith(kind, F.lit("ARRAY")),
+            "json": F.startswith(kind, F.lit("OBJECT")),
+        }.get(f.field_type, text)
+        none = x.isNull() | F.is_variant_null(x)
+        issue = F.when(none, F.lit("required") if f.required else F.lit(None).cast("string")).when(~F.coalesce(good, F.lit(False)), f"not of type {f.field_type}")
+        if f.field_type == "enum":
+            issue = F.when(~none & text & ~x.cast("string").isin(list(f.enum_values)), f"not one of {', '.join(f.enum_values)}").otherwise(issue)
+        found.append(F.when(issue.isNotNull(), F.concat(F.lit(f"{f.name}: "), issue)))
+    return F.when(values.isNull(), F.array(F.lit("no record"))).otherwise(F.array_compact(F.array(*found)))
+
+
 def clamped(confidence: Column) -> Column:
     """(confidence, issue): from 0 to 1; 0.5 for a missing one, and for one that is no number, with invalid_confidence."""
     x = confidence.cast("string").try_cast("double")

@@ -51,9 +51,9 @@ def set_minus(spark, d):
     return changes.minus(every.where("c_custkey % 3 = 0").select(c.columns), every.where("c_custkey % 3 = 1").select(c.columns), c.columns)
 
 
-@query("select distinct source, w from (select source, unnest(string_split(lower(left(text, 200)), ' ')) as w from documents)")
+@query("select distinct source, w from (select source, unnest(string_split(lower(text), ' ')) as w from documents)")
 def distinct_items(spark, d):
-    docs = table(spark, d, "documents").select("source", F.split(F.lower(F.left("text", F.lit(200))), " ").alias("words"))
+    docs = table(spark, d, "documents").select("source", F.split(F.lower("text"), " ").alias("words"))
     return changes.distinct_items(docs, ["source"], "words", "w")
 
 

@@ -16,10 +16,10 @@ from .registry import query, table
 # numbers
 
 
-@query("select event_id, cast(event_id - 5000 as varchar) || ';' || cast((event_id + 1000) * 1001 as varchar) || ';' || cast(event_id % 100 as varchar) || '.5;7' as found from events where event_id < 5000")
+@query("select event_id, cast(event_id - 5000 as varchar) || ';' || cast((event_id + 1000) * 1001 as varchar) || ';' || cast(event_id % 100 as varchar) || '.5;7' as found from events")
 def number_formats(spark, d):
     """A negative number, one with grouped thousands, a decimal, and one after a mixed form."""
-    e = table(spark, d, "events").where("event_id < 5000")
+    e = table(spark, d, "events")
     text = F.concat(F.lit("at "), (F.col("event_id") - 5000).cast("string"), F.lit(" or "), F.format_number((F.col("event_id") + 1000) * 1001, 0), F.lit(" x "), (F.col("event_id") % 100).cast("string"), F.lit(".5, 1,234.567,890 and 7"))
     shown = F.transform(v.numbers(text), lambda x: F.regexp_replace(x.cast("decimal(20,1)").cast("string"), r"\.0$", ""))
     return e.select("event_id", F.array_join(shown, ";").alias("found"))
@@ -199,11 +199,38 @@ def quote_kinds(spark, d):
     return p.select("p_partkey", found["kind"].alias("kind"), found["overlap"].alias("overlap"))
 
 
-@query("select l_orderkey, l_linenumber, case when l_returnflag = 'N' then 'keep' when s >= 0.8 then 'keep' when l_returnflag = 'R' and l_tax >= 0.05 then 'rescue' when s < 0.3 then 'drop' else 'rescue' end as gate from (select *, l_discount * 10 as s from lineitem)")
-def grounding_gate(spark, d):
+GATES = "g as (select *, l_discount * 10 as s, case l_returnflag when 'N' then 'none' when 'R' then 'semantic' else 'required' end as mode from lineitem), d as (select *, case when s >= 0.8 then 'keep' when s < 0.3 then case when mode = 'semantic' and l_tax >= 0.05 then 'rescue' else 'drop' end when mode = 'none' then 'keep' when mode = 'semantic' then case when l_linestatus = 'F' then 'keep' when l_tax >= 0.05 then 'rescue' else 'drop' end else 'rescue' end as gate from g)"
+
+
+def gated(spark, d):
     n = table(spark, d, "lineitem")
     mode = F.when(F.col("l_returnflag") == "N", "none").when(F.col("l_returnflag") == "R", "semantic").otherwise("required")
-    return n.select("l_orderkey", "l_linenumber", g.gate(F.col("l_discount") * 10, F.col("l_tax") * 10, mode).alias("gate"))
+    return n.withColumns({"grounding": F.col("l_discount") * 10, "mode": mode, "quote": F.when(F.col("l_linestatus") == "F", F.col("l_linestatus"))})
+
+
+@query(f"with {GATES} select l_orderkey, l_linenumber, gate from d")
+def grounding_gate(spark, d):
+    """Values by their grounding, mode, confidence and whether they have a quote."""
+    n = gated(spark, d)
+    return n.select("l_orderkey", "l_linenumber", g.gate(F.col("grounding"), F.col("l_tax") * 10, F.col("mode"), F.col("quote")).alias("gate"))
+
+
+@query("select l_orderkey, l_linenumber, case when s >= 0.8 then 'keep' when s < 0.3 then 'drop' when l_returnflag = 'A' then 'rescue' else 'keep' end as listed, case when s >= 0.8 then 'keep' when s < 0.3 then 'drop' when l_linestatus = 'F' or l_quantity > 20 then 'rescue' else 'drop' end as entity from (select *, l_discount * 10 as s from lineitem)")
+def list_and_entity_gates(spark, d):
+    """Items of lists by their mode, and entities by whether an id field names them."""
+    n = gated(spark, d)
+    entity = F.create_map(F.lit("name"), F.when(F.col("l_linestatus") == "F", F.col("l_returnflag")).otherwise(""), F.lit("id"), F.when(F.col("l_quantity") > 20, F.col("l_quantity").cast("string")))
+    return n.select("l_orderkey", "l_linenumber", g.list_gate(F.col("grounding"), F.col("mode")).alias("listed"), g.entity_gate(F.col("grounding"), entity).alias("entity"))
+
+
+@query(f"with {GATES} select l_orderkey, l_linenumber, l_suppkey, l_partkey, case when gate = 'keep' then case when l_linestatus = 'F' then 'F' end else 'found again' end as quote, case when gate = 'keep' then s else l_tax * 12.5 end as grounding from d where gate = 'keep' or gate = 'rescue' and l_tax * 12.5 >= 0.8")
+def rescued_values(spark, d):
+    """What passes the gate: values as they are, and rescued ones with the quote that was found again if that is grounded well."""
+    n = gated(spark, d).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_tax", "mode", "quote", "grounding")
+    keys = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice"]
+    again = n.select(*keys, F.lit("found again").alias("quote"), (F.col("l_tax") * 12.5).alias("grounding"))
+    out = g.gated_items(n, g.gate(F.col("grounding"), F.col("l_tax") * 10, F.col("mode"), F.col("quote")), again, keys)
+    return out.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "quote", "grounding")
 
 
 # quotes in real texts

@@ -136,7 +136,8 @@ def left_lookup(spark, d):
 def lookup_validate_fill(spark, d):
     nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     rows = table(spark, d, "supplier").join(nations.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return r.fill_from(r.exists_in(rows, "n_name", nations, "n_name", "known"), "n_name", nations, "n_name", "r_name", "region").select("s_suppkey", "known", "region")
+    known = r.lookup_table(nations, ["n_name", "r_name"])
+    return r.fill_from(r.exists_in(rows, "n_name", known, "n_name", "known"), "n_name", known, "n_name", "r_name", "region").select("s_suppkey", "known", "region")
 
 
 @query("select coalesce(a.c_custkey, b.k) as c_custkey, coalesce(b.seg, a.c_mktsegment) as c_mktsegment, coalesce(a.c_nationkey, b.nat) as c_nationkey from (select * from customer where c_custkey % 3 <> 0) a full join (select c_custkey as k, upper(c_mktsegment) || '*' as seg, 99 as nat from customer where c_custkey % 2 = 0) b on a.c_custkey = b.k")
@@ -370,13 +371,17 @@ def quote_locations(spark, d):
     return locate.located(quotes, "quote", "text").select("item_id", "found.start", "found.end", "found.tier")
 
 
-@query(f"with q as (select item_id, text as q from benchmark union all select item_id + 1000, substr(text, 4, 60) from benchmark union all select item_id + 2000, array_to_string(string_split(text, ' ')[2:4], ' ') from benchmark) select item_id, doc_id, 1.0::double as score from q, documents d where contains({NORMAL.format('d.text')}, {NORMAL.format('q')})")
+# as letters, digits and single blanks
+BARE = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"with q as (select item_id, text as q from benchmark union all select item_id + 1000, substr(text, 4, 60) from benchmark union all select item_id + 2000, array_to_string(string_split(text, ' ')[2:4], ' ') from benchmark), f as (select doc_id, {NORMAL.format('text')} as n, {BARE.format('text')} as b from documents) select item_id, doc_id, case when contains(n, {NORMAL.format('q')}) then 1.0 else 0.95 end::double as score from q, f where contains(b, {BARE.format('q')}) and {BARE.format('q')} <> ''")
 def quote_in_source(spark, d):
-    """Quotes as they are, from the middle of a word on, and of three words only."""
+    """Quotes as they are, from the middle of a word on, and of three words only; with those that stand only without punctuation."""
     b = table(spark, d, "benchmark")
     few = F.array_join(F.slice(F.split("text", " "), 2, 3), " ")
     quotes = b.select("item_id", F.col("text").alias("quote")).union(b.select(F.col("item_id") + 1000, F.substring("text", 4, 60))).union(b.select(F.col("item_id") + 2000, few))
-    return grounding.quotes_in_sources(quotes, table(spark, d, "documents"), "item_id", "quote", "doc_id", "text").where("score = 1")
+    return grounding.quotes_in_sources(quotes, table(spark, d, "documents"), "item_id", "quote", "doc_id", "text")
 
 
 COSINE = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
@@ -405,6 +410,6 @@ def retry_dlq_split(spark, d):
 
 
 # the modules below register the rest
-from . import change_queries, grounding_queries, record_queries, report_queries, stream_queries, text_queries  # noqa: E402, F401
+from . import change_queries, grounding_queries, record_queries, report_queries, service_queries, stream_queries, text_queries  # noqa: E402, F401
 
 __all__ = ["Q", "SQL"]

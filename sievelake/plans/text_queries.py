@@ -55,10 +55,11 @@ def decisions(spark, d):
     return table(spark, d, "events").select("event_id", t.decision(said).alias("decision"))
 
 
-@query("select unnest(['company', 'bus', 'box', 'status', 'product', 'class', 'as', 'analysis', 'Boxe', 'city']) as word, unnest(range(10))::int as id")
+@query("select word, case when length(word) < 3 or regexp_matches(lower(word), '(ss|us|is)$') then word when lower(word) like '%ies' then left(word, length(word) - 3) || 'y' when regexp_matches(lower(word), '[sxz]es$') then left(word, length(word) - 2) when lower(word) like '%s' then left(word, length(word) - 1) else word end as singular, count(*) as n from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from documents) group by 1")
 def singulars(spark, d):
-    words = spark.createDataFrame(list(enumerate(["companies", "buses", "boxes", "status", "products", "class", "as", "analysis", "Boxe", "cities"])), "id int, plural string")
-    return words.select("id", t.singular(F.col("plural")).alias("word"))
+    """The words of all documents, with their singular and how often they come."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select("word", t.singular(F.col("word")).alias("singular"), "n")
 
 
 @query("select event_id, 'a - b, c ' || event_id as dashes, 'superx1' as marks, 'dont stop  ' || event_id as bare, 'the end - of it' as tidy, 'see the page and big red code_x y ' || event_id as shown from events")
@@ -89,9 +90,9 @@ def cjk_tokens(spark, d):
     return table(spark, d, "events").select("event_id", t.token_estimate(text).alias("tokens"))
 
 
-@query("select doc_id, case when length(text) <= 2000 then length(text) else 2000 + 14 end as n from documents")
+@query("select doc_id, case when length(text) <= 2000 then text else substr(text, 1, 800) || chr(10) || '[...]' || chr(10) || substr(text, floor(length(text) / 2 - 300)::bigint + 1, 600) || chr(10) || '[...]' || chr(10) || right(text, 600) end as sample from documents")
 def text_samples(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(t.sample(F.col("text"))).cast("long").alias("n"))
+    return table(spark, d, "documents").select("doc_id", t.sample(F.col("text")).alias("sample"))
 
 
 @query("select event_id, 'Total Power Kw ' || event_id as title from events")
