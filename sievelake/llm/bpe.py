@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -29,49 +28,18 @@ from pyspark.sql import types as T
 
 from .arrow import row_groups, text_bytes, with_arrow_columns
 
-LEAF = 256
-#: In place of a token: none. Ids are below it.
-NONE = (1 << 17) - 1
-#: Pre-tokens that a worker remembers, from task to task. When it has so many, they become the old ones, of which those
-#: that come again are taken over, and the old ones before them go.
+#: Bits of a rank that a leaf of the bitmap stands for.
+LEAF_BITS = 8
+#: In place of a token: none.
+NONE = -1
+#: Pre-tokens that a task remembers. When it has so many, they become the old ones, of which those that come again are
+#: taken over, and the old ones before them go.
 MEMO = 400_000
 SLICE = 1 << 19
 #: Bytes of pre-tokens that share a list.
 LIST = 1 << 13
 
 
-class RankQueue:
-    """Buckets of list positions by merge rank, found by find-first-set on a bitmap of two levels."""
-
-    def __init__(self, n_ranks: int, buckets: dict[int, list[int]]) -> None:
-        self.leaves = [0] * (n_ranks // LEAF + 1)
-        self.top = 0
-        self.buckets = buckets
-        for rank in buckets:
-            self.mark(rank)
-
-    def mark(self, rank: int) -> None:
-        """Says that the rank's bucket has entries."""
-        i = rank // LEAF
-        self.leaves[i] |= 1 << (rank % LEAF)
-        self.top |= 1 << i
-
-    def pop(self) -> tuple[int, list[int]]:
-        """The lowest rank that has entries, and its entries from left to right; -1 if none has."""
-        if not self.top:
-            return -1, []
-        i = (self.top & -self.top).bit_length() - 1
-        leaf = self.leaves[i]
-        low = leaf & -leaf
-        rank = i * LEAF + low.bit_length() - 1
-        self.leaves[i] = leaf ^ low
-        if leaf == low:
-            self.top ^= 1 << i
-        bucket = self.buckets.pop(rank)
-        bucket.sort()
-        return rank, bucket
-
-
 class Bpe:
     """A byte-level BPE vocabulary; ranks are by token bytes and serve as ids."""
 
@@ -82,8 +50,12 @@ class Bpe:
         self.decimal = {i: str(i) for i in self.token}
         self.memo: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        #: Rank of each pair of tokens whose joined bytes are a token.
-        self.pairs = {ranks[t[:i]] << 17 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        #: For each token the tokens that make a token with it on the right, and that token's rank; the last is for none.
+        self.right: list[dict[int, int]] = [{} for _ in range(self.n + 1)]
+        for t, r in ranks.items():
+            for i in range(1, len(t)):
+                if t[:i] in ranks and t[i:] in ranks:
+                    self.right[ranks[t[:i]]][ranks[t[i:]]] = r
         self.byte_ids = np.array([ranks.get(bytes([b]), NONE) for b in range(256)])
         self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
 
@@ -121,14 +93,27 @@ class Bpe:
         order = np.argsort(first, kind="stable")
         order = order[np.searchsorted(first[order], 0) :]
         cuts = np.flatnonzero(np.diff(first[order])) + 1
-        queue = RankQueue(self.n, {int(first[x[0]]): x.tolist() for x in np.split(order, cuts) if len(x)})
+        buckets: dict[int, list[int]] = {int(first[x[0]]): x.tolist() for x in np.split(order, cuts) if len(x)}
+        # the bitmap: a leaf for each 256 ranks, and above a bit for each leaf that has any
+        leaves, top, last = [0] * ((self.n >> LEAF_BITS) + 1), 0, (1 << LEAF_BITS) - 1
+        for r in buckets:
+            leaves[r >> LEAF_BITS] |= 1 << (r & last)
+            top |= 1 << (r >> LEAF_BITS)
         token, now = start.tolist(), [*first.tolist(), -1]  # now: the rank of the pair that starts here
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        buckets, mark, pair = queue.buckets, queue.mark, self.pairs.get
-        while True:
-            rank, bucket = queue.pop()
-            if rank < 0:
-                break
+        right = self.right
+        while top:
+            place = (top & -top).bit_length() - 1  # find first set, above and in the leaf
+            leaf = leaves[place]
+            low = leaf & -leaf
+            rank = (place << LEAF_BITS) + low.bit_length() - 1
+            leaves[place] = leaf ^ low
+            if leaf == low:
+                top ^= 1 << place
+            bucket = buckets.pop(rank)
+            if len(bucket) > 1:
+                bucket.sort()
+            own = right[rank].get
             lower = False
             for at, i in enumerate(bucket):
                 if now[i] != rank:
@@ -139,27 +124,32 @@ class Bpe:
                 token[i] = rank
                 after[i] = k
                 before[k] = i
-                now[i] = r = pair(rank << 17 | token[k], -1)
+                now[i] = r = own(token[k], -1)
                 if r >= 0:
                     if r in buckets:
                         buckets[r].append(i)
                     else:
                         buckets[r] = [i]
-                        mark(r)
+                        leaves[r >> LEAF_BITS] |= 1 << (r & last)
+                        top |= 1 << (r >> LEAF_BITS)
                     lower = r < rank
                 h = before[i]
                 if h >= 0:
-                    now[h] = r = pair(token[h] << 17 | rank, -1)
+                    now[h] = r = right[token[h]].get(rank, -1)
                     if r >= 0:
                         if r in buckets:
                             buckets[r].append(h)
                         else:
                             buckets[r] = [h]
-                            mark(r)
+                            leaves[r >> LEAF_BITS] |= 1 << (r & last)
+                            top |= 1 << (r >> LEAF_BITS)
                         lower |= r < rank
                 if lower:  # a lower rank comes before the rest of this bucket
-                    buckets[rank] = bucket[at + 1 :] + buckets.get(rank, [])
-                    mark(rank)
+                    rest = bucket[at + 1 :] + buckets.get(rank, [])
+                    if rest:
+                        buckets[rank] = rest
+                        leaves[place] |= low
+                        top |= 1 << place
                     break
         i = 0
         for k, end in zip(todo, ends.tolist(), strict=True):
@@ -201,12 +191,6 @@ class Bpe:
             raise ValueError(f"no token has the id {e}") from None
 
 
-@cache
-def loaded(path: str, pattern: str) -> Bpe:
-    """A worker's vocabulary, read once for all its tasks."""
-    return Bpe.load(path, pattern)
-
-
 def _texts(col: pa.Array):
     """Slices of a column of texts, small enough to hold their pre-tokens; null is empty."""
     _, offsets = text_bytes(col)
@@ -218,7 +202,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     """df with a column of token ids, array<int>; null and empty texts have none. A column named ``out`` is replaced."""
 
     def make():
-        bpe = loaded(path, pattern)
+        bpe = Bpe.load(path, pattern)
         return lambda col: [pa.array([ids for part in _texts(col) for ids in bpe.encode_batch(part)], pa.list_(pa.int32()))]
 
     return with_arrow_columns(df, [text], T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()))]), make)
@@ -228,7 +212,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     """df with the bytes of a column of ids; null gives no bytes. A column named ``out`` is replaced."""
 
     def make():
-        bpe = loaded(path, pattern)
+        bpe = Bpe.load(path, pattern)
         return lambda col: [pa.array([bpe.decode(x or []) for x in col.to_pylist()], pa.binary())]
 
     return with_arrow_columns(df, [ids], T.StructType([T.StructField(out, T.BinaryType())]), make)
@@ -242,7 +226,7 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep: li
     new = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def make():
-        bpe = loaded(path, pattern)
+        bpe = Bpe.load(path, pattern)
         decimal = bpe.decimal.__getitem__
 
         def run(col):
