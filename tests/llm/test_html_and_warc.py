@@ -1,6 +1,7 @@
 """Main text by line blocks and WARC records: planted pages, codings, files and odd rows."""
 
 import gzip
+import random
 import zlib
 
 import pytest
@@ -27,7 +28,23 @@ TEASER = "<div>Buy our things now</div>"
         # comments that nothing marks, that a heading announces, and in a marked section of the article
         (f"<div><p>{LONG}</p><p>{LONG}</p></div><div><div><b>Ann</b> nice one</div><div><b>Bob</b> I agree</div></div>", f"{LONG}\n{LONG}"),
         (f"<div><h1>T</h1><p>{LONG}</p><h3>3 comments</h3><p>{LONG}</p></div>", f"T\n{LONG}"),
-        (f"<article><h1>T</h1><p>{LONG}</p><section id=discussion><p>{LONG}</p></section></article><p>outside</p>", f"T\n{LONG}"),
+        (f"<article><h1>T</h1><p>{LONG}</p><section id=comments><p>{LONG}</p></section></article><p>outside</p>", f"T\n{LONG}"),
+        # what an article says under such headings and names is its own
+        (f"<article><h1>T</h1><h2>Methods</h2><p>{LONG}</p><h2>Results</h2><p>{LONG}</p><h2>Discussion</h2><p>{LONG}</p><p>Short.</p><h2>Conclusion</h2><p>{LONG}</p></article>", f"T\nMethods\n{LONG}\nResults\n{LONG}\nDiscussion\n{LONG}\nShort.\nConclusion\n{LONG}"),
+        (f"<div><h1>T</h1><p>{LONG}</p><h2>Responses</h2><p>{LONG}</p><h2>Comments</h2><p>{LONG}</p></div>", f"T\n{LONG}\nResponses\n{LONG}\nComments\n{LONG}"),
+        *[(f"<article><p>{LONG}</p><{tag}={name}><p>{LONG}</p></div><p>{LONG}</p></article>", "\n".join([LONG] * 3)) for tag in ("div class", "div id") for name in ("social", "notice", "related", "feedback", "signup", "discussion", "sidebar")],
+        *[(f"<div><p>{LONG}</p><div class={name}><p>{LONG}</p></div><p>{LONG}</p></div>", "\n".join([LONG] * 3)) for name in ("social", "notice", "related")],
+        (f"<div class=widget><div class=related><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></div>{TEASER}", f"T\n{LONG}\n{LONG}"),
+        (f"<article><section id=discussion><h2>Discussion</h2><p>{LONG}</p></section><p>{LONG}</p></article>", f"Discussion\n{LONG}\n{LONG}"),
+        # short blocks and links with such names, and what looks like readers', are not
+        (f"<article><p>{LONG}</p><div class=social>Share this</div><div class=notice>We use cookies.</div><div class=related><a href=/x>{LONG}</a></div><div class=ad>Buy</div></article>", LONG),
+        (f"<article><p>{LONG}</p></article><section class=discussion><p>Ann wrote 2 days ago</p><p>{LONG}</p><p>Bob said at 12:30</p><p>{LONG}</p></section>", LONG),
+        (f"<article><p>{LONG}</p><h3>Discussion</h3><div><p>Ann, 3 days ago</p><p>{LONG}</p><p>Reply</p></div></article>", None),
+        (f"<article><p>{LONG}</p><h3>Discussion</h3><p>Ann, 3 days ago</p><p>{LONG}</p><p>Reply</p></article>", LONG),
+        # sections in containers of their own after the text, up to the next furniture
+        (f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><h2>Outlook</h2><p>Short closing words here.</p></div>", f"{LONG}\n{LONG}\n{LONG}\nOutlook\nShort closing words here."),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><nav>n</nav><div><p>After the furniture.</p></div>", f"{LONG}\n{LONG}"),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div>{TEASER}<div><p>After another block.</p></div>", f"{LONG}\n{LONG}"),
         # the densest region decides, whatever the tags say
         ("<article><a href=/x>Teaser words here</a></article><div>" + f"<p>{LONG}</p>" * 5 + "</div>", "\n".join([LONG] * 5)),
         (f"<main><article><p>{LONG}</p></article>{TEASER}</main>", LONG),
@@ -38,7 +55,8 @@ TEASER = "<div>Buy our things now</div>"
     ],
 )
 def test_planted_pages(page, want):
-    assert html_main.main_text(f"<html><body>{page}</body></html>") == want
+    got = html_main.main_text(f"<html><body>{page}</body></html>")
+    assert got == want if want is not None else got.startswith(LONG)
 
 
 def test_the_distribution_decides(monkeypatch):
@@ -48,6 +66,35 @@ def test_the_distribution_decides(monkeypatch):
     assert html_main.main_text(page) != LONG
 
 
+def test_line_blocks_against_brute_force():
+    """Pages of plain containers, none of which anything marks: window sums by definition."""
+    rng = random.Random(11)
+    surged = 0
+    for _ in range(300):
+        parts, divs = [], []
+        for d in range(rng.randint(1, 6)):
+            own = ["w" * rng.choice([0, 3, 20, 60, 200, 400]) for _ in range(rng.randint(1, 6))]
+            tag = rng.choice(["p", "div"])
+            divs.append([(f"{d}.{k} {x}".strip(), tag) for k, x in enumerate(own)])
+            parts.append("<section2><div>" + "".join(f"<{tag}>{x}</{tag}>" for x, _ in divs[-1]) + "</div></section2>")
+        sums = [[sum(len(x) for x, _ in own[max(0, i - 1) : i + 2]) for i in range(len(own))] for own in divs]
+        total = [sum(x) for x in sums]
+        main = total.index(max(total))
+        level = 0.3 * sorted(sums[main])[len(sums[main]) // 2]
+        kept = {d for d, s in enumerate(sums) if max(s) > level} | {main}
+        first, last = min(kept), max(kept)
+        spoken = lambda d: all(t == "p" for _, t in divs[d])
+        kept |= {d for d in range(first, last) if spoken(d)}
+        for d in range(last + 1, len(divs)):
+            if not spoken(d):
+                break
+            kept.add(d)
+        surged += len(kept) < len(divs)
+        want = "\n".join(x for d in sorted(kept) for x, _ in divs[d])
+        assert html_main.main_text("<body>" + "".join(parts) + "</body>") == want
+    assert surged > 50
+
+
 def test_rows_of_pages(spark):
     page = f"<article><p>{LONG}</p></article>"
     df = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, None), (2, "u", ""), (3, None, "<p>" * 3000 + "deep")], "page_id long, url string, html string")
