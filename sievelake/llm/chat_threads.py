@@ -17,8 +17,8 @@ that is repeated in very many messages costs one row on that side of the join.
 No conversation, thread or group of answers is gathered into one task, and a
 row's size doesn't depend on its thread's: the result is one row per message.
 
-Results: null text stays null and has no quotes. Messages without conv_id or
-turn have no links. Repeated rows of one (conv_id, turn) count as one message
+Results: null text stays null and has no quotes. Turns are integers, or texts
+that spell them. Messages without conv_id or such a turn have no links. Repeated rows of one (conv_id, turn) count as one message
 for linking, with the texts of all, and each keeps its row. A message whose
 lines are all quotes has the empty text. Columns of the result's names are
 replaced; other columns stay.
@@ -59,7 +59,7 @@ def _quoting_lines(quoting: DataFrame) -> DataFrame:
 
 def quote_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """(conv, turn, parent, n_linked): the turn that each message with linked quotes answers, and how many distinct quoted passages and lines link."""
-    rows = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(text).alias("text")).where("conv is not null and turn is not null and text is not null")
+    rows = messages.select(F.col(conv).alias("conv"), F.col(turn).try_cast("long").alias("turn"), F.col(text).alias("text")).where("conv is not null and turn is not null and text is not null")
     quoting = rows.where(F.col("text").rlike(QUOTED)).distinct()
     lines = _quoting_lines(quoting)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n")
@@ -130,7 +130,7 @@ def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     rows = rows.select(*kept, quotes.alias("n_quotes"))
     # messages without quotes answer nothing, so only the others go through the join
     quoted = rows.where("n_quotes > 0")
-    quoted = quoted.join(order, (quoted[conv] == order[own["conv"]]) & (quoted[turn].cast("long") == order[own["turn"]]), "left")
+    quoted = quoted.join(order, (quoted[conv] == order[own["conv"]]) & (quoted[turn].try_cast("long") == order[own["turn"]]), "left")
     found = [own[c] for c in ("parent", "thread", "order", "depth", "linked")]
     plain = rows.where("n_quotes = 0").select(*kept, "n_quotes", *[F.lit(None).cast("long").alias(c) for c in found])
     out = quoted.select(*kept, "n_quotes", *[F.col(c).cast("long").alias(c) for c in found]).unionByName(plain)
@@ -140,7 +140,7 @@ def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     return out.select(
         *[F.col(own["body"]).alias(text) if c == text else F.col(c) for c in kept],
         F.col(own["parent"]).alias("parent_turn"),
-        F.coalesce(F.col(own["thread"]), F.col(turn).cast("long")).alias("thread_turn"),
+        F.coalesce(F.col(own["thread"]), F.col(turn).try_cast("long")).alias("thread_turn"),
         zero("order").alias("reply_order"),
         zero("depth").cast("int").alias("depth"),
         "n_quotes",

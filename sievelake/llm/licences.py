@@ -17,7 +17,8 @@ So notices wrapped over lines, notices inside other prose and whole licences
 are found. Of passages that overlap, the one that shares most bigrams with its
 template counts, then the one of the higher coefficient, then the template
 first by name, then the passage that begins first. Everything happens within
-the row: no shuffle; templates are hashed bigrams in the plan.
+the row: no shuffle; templates are hashed bigrams in the plan. The work grows
+with the number of words and passages, whatever one text has of them.
 
 Results: null and empty texts, and texts without two words in a row, have no
 licence, coefficient 0 and no matches. Equal coefficients go to the template
@@ -128,6 +129,40 @@ def _passage(c: Column, a: Column, n: int, order: int, start: Column, end: Colum
     return F.struct(c.alias("c"), (2.0 * c / (a + n)).alias("dice"), F.lit(-order).alias("order"), start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
+#: Passages that are looked over together for places where none goes on.
+CHUNK = 256
+
+
+def _free_of_overlaps(passages: Column) -> Column:
+    """The passages, sorted by start, that count: best first, those that overlap none that counts before.
+
+    They are cut into stretches at each passage that begins after all before it
+    have ended, chunk by chunk, so the work grows with the number of passages
+    and not with its square; only passages of one stretch can overlap.
+    """
+    none = F.array().cast(f"array<{PASSAGE}>")
+    overlaps = lambda p, q: (q["start"] <= p["end"]) & (q["end"] >= p["start"])
+
+    def best(stretch: Column) -> Column:
+        order = F.transform(stretch, lambda p: F.struct(-p["c"], -p["dice"], -p["order"], p["start"], p["end"], p.alias("p")))
+        ranked = F.transform(F.array_sort(order), lambda x: x["p"])
+        return F.aggregate(ranked, none, lambda kept, p: F.when(F.exists(kept, lambda q: overlaps(p, q)), kept).otherwise(F.concat(kept, F.array(p))))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(passages) - 1) / CHUNK).cast("int")), lambda k: F.slice(passages, k * CHUNK + 1, CHUNK))
+    ends = lambda chunks: F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda p: p["end"])))
+    before = lambda chunks: F.aggregate(ends(chunks), F.array(F.lit(-1)), lambda a, e: F.concat(a, F.array(F.greatest(F.element_at(a, -1), e))))
+
+    def heads(chunk: Column, end: Column) -> Column:
+        """Whether each passage of a chunk begins after all before it."""
+        state = F.struct(end.alias("end"), F.array().cast("array<boolean>").alias("out"))
+        return F.aggregate(chunk, state, lambda a, p: F.struct(F.greatest(a["end"], p["end"]).alias("end"), F.concat(a["out"], F.array(p["start"] > a["end"])).alias("out")), lambda a: a["out"])
+
+    flags = _with(chunks, lambda cs: _with(before(cs), lambda ends: F.flatten(F.transform(cs, lambda c, k: heads(c, F.get(ends, k))))))
+    at = F.filter(F.transform(flags, lambda h, j: F.when(h, j)), lambda j: j.isNotNull())
+    part = lambda at: F.transform(at, lambda j, x: F.slice(passages, j + 1, F.coalesce(F.get(at, x + 1), F.size(passages)) - j))
+    return F.flatten(F.transform(_with(at, part), lambda s: F.when(F.size(s) > 1, best(s)).otherwise(s)))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, min_dice: float = MIN_DICE, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (all if None) with licence (of the best passage; null: none reaches min_dice), licence_dice, licences (all found, sorted) and n_passages (how many reach it)."""
     known = sorted((t for t in (Template(n, x) for n, x in (TEMPLATES + whole_licences() if templates is None else templates)) if t.bigrams), key=lambda t: (t.name, t.bigrams))
@@ -151,7 +186,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, min_di
     out = out.select(*kept, F.transform(col["lines"], line).alias(col["lines"]), F.col(col["of"]), _bigrams(F.col(col["words"])).alias(col["bigrams"]))
     hits = F.expr(f"filter(transform({col['bigrams']}, (h, i) -> case when {every} then named_struct('i', i, 'h', h) end), x -> x is not null)")
     some = F.expr(f"filter({col['lines']}, x -> x is not null and exists(x.b, h -> {every}))")
-    starts = F.transform(some, lambda x: x.withField("start", F.array_position(F.col(col["of"]), x["i"]) - 1))
+    # the word with which each line begins: where the line's number first comes among those of the words
+    begins = F.filter(F.transform(col["of"], lambda i, j: F.when((j == 0) | (F.get(col["of"], j - 1) != i), j)), lambda j: j.isNotNull())
+    starts = _with(begins, lambda at: F.transform(some, lambda x: x.withField("start", F.get(at, x["i"]))))
     out = out.select(*kept, F.col(col["bigrams"]), hits.alias(col["hits"]), starts.alias(col["lines"]))
     every_bigram, hit = F.col(col["bigrams"]), F.col(col["hits"])
 
@@ -170,10 +207,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, min_di
         def among(own: Column) -> Column:
             near = lambda j: F.coalesce(F.get(own, j + need - 1)["i"] - F.get(own, j)["i"] < m, F.lit(False))
             begins = lambda x, j: near(j) & ((x["h"] == t.first[0]) | (j == 0) | ~near(j - 1))
-            first = F.filter(F.transform(own, lambda x, j: F.when(begins(x, j), x["i"])), lambda i: i.isNotNull())
+            first = F.filter(F.transform(own, lambda x, j: F.when(begins(x, j), F.struct(x["i"].alias("i"), j.alias("j")))), lambda b: b.isNotNull())
 
-            def scored(i: Column) -> Column:
-                inside = F.filter(own, lambda x: (x["i"] >= i) & (x["i"] < i + m))
+            def scored(b: Column) -> Column:
+                i = b["i"]
+                # m words have at most m hits
+                inside = F.filter(F.slice(own, b["j"] + 1, m), lambda x: x["i"] < i + m)
                 shared = lambda own: F.size(F.array_distinct(F.transform(own, lambda x: x["h"])))
                 last = lambda own: F.array_max(F.transform(own, lambda x: x["i"]))
                 rated = lambda c, e: _passage(c, F.size(F.array_distinct(F.slice(every_bigram, i + 1, e - i + 1))), n, k, i, e + 1)
@@ -186,14 +225,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, min_di
         return F.when(F.size(hit) >= need, _with(own, lambda o: F.when(F.size(o) >= need, among(o)).otherwise(none))).otherwise(none)
 
     found = F.flatten(F.array(*[c for k, t in enumerate(known) for c in (by_line(t, k), windows(t, k))]))
-    out = out.select(*kept, F.array_distinct(found).alias(col["found"]))
-    # best first; a passage counts if it overlaps none that counts before it
-    order = F.transform(col["found"], lambda p: F.struct(-p["c"], -p["dice"], -p["order"], p["start"], p["end"], p.alias("p")))
-    ranked = F.transform(F.array_sort(order), lambda x: x["p"])
-    overlaps = lambda p, q: (q["start"] <= p["end"]) & (q["end"] >= p["start"])
-    none = F.array().cast(f"array<{PASSAGE}>")
-    counts = F.aggregate(ranked, none, lambda kept, p: F.when(F.exists(kept, lambda q: overlaps(p, q)), kept).otherwise(F.concat(kept, F.array(p))))
-    out = out.select(*kept, F.when(F.size(col["found"]) > 1, counts).otherwise(F.col(col["found"])).alias(col["found"]))
+    place = F.transform(found, lambda p: F.struct(p["start"], p["end"], p.alias("p")))
+    out = out.select(*kept, F.array_sort(place).alias(col["found"]))
+    once = F.filter(F.transform(col["found"], lambda x, j: F.when((j == 0) | ~F.get(col["found"], j - 1).eqNullSafe(x), x["p"])), lambda p: p.isNotNull())
+    out = out.select(*kept, once.alias(col["found"]))
+    out = out.select(*kept, F.when(F.size(col["found"]) > 1, _free_of_overlaps(F.col(col["found"]))).otherwise(F.col(col["found"])).alias(col["found"]))
     name = lambda p: F.get(F.array(*[F.lit(t.name) for t in known]), -p["order"])
     best = F.array_max(F.transform(col["found"], lambda p: F.struct(p["dice"], p["order"])))
     return out.select(

@@ -20,8 +20,12 @@ zero byte. Null URIs and dates are left out of headers. Text is decoded by the
 byte order mark, else the charset of Content-Type, else that of the page's
 meta element, else as UTF-8, with replacement of undecodable bytes. Repeated
 responses give repeated records, and columns other than those named are left
-out. In a WARC file, a block that itself holds the start of a record ends the
-record there; ``whole`` says whether a record has its stated length.
+out. In a WARC file, a block that itself holds starts of records (an archived
+page about archives, or an archive in an archive) is put together again as far
+as its record's Content-Length says, if that ends where a record ends; else the
+record was cut off, what follows are records of their own, and ``whole``, which
+says whether a record has its stated length, is false. Files that are split
+(plain ones beyond a split's size) are put together within a split.
 """
 
 from __future__ import annotations
@@ -234,25 +238,79 @@ RECORDS = "warc_type string, record_id string, target_uri string, warc_date stri
 def read_warc(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The records of WARC files: RECORDS, a row each, in the order of a file within its splits."""
     bound_batches(spark)
-    parts = spark.read.option("lineSep", BETWEEN).text(path).select(F.col("value").cast("binary").alias("raw"))
+    parts = spark.read.option("lineSep", BETWEEN).text(path)
+    parts = parts.select(F.col("value").cast("binary").alias("raw"), F.concat_ws(" ", "_metadata.file_path", "_metadata.file_block_start").alias("split"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint, here = _Joint(), None
         for b in batches:
             rows = []
-            for raw in b.column(0).to_pylist():
-                raw = raw.removeprefix(b"WARC/")  # the first record of a file
-                head, gap, rest = raw.partition(b"\r\n\r\n")
-                if not re.match(rb"\d+\.\d+\r\n", head):
-                    continue
-                said = {k.lower(): v for k, v in reversed(_fields(head.split(b"\r\n", 1)[1]))}
-                size = int(said["content-length"]) if said.get("content-length", "").isdigit() else 0
-                rows.append((said.get("warc-type"), said.get("warc-record-id"), said.get("warc-target-uri"), said.get("warc-date"), said.get("warc-refers-to"), said.get("content-type"), said.get("warc-block-digest"), said.get("warc-payload-digest"), len(rest) >= size, rest[:size]))
-            kinds = [pa.string()] * 8 + [pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
+            for raw, split in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if split != here:
+                    rows += joint.end()
+                    here = split
+                rows += joint.take(raw.removeprefix(b"WARC/"))  # the first record of a file has it
+            yield _records(rows)
+        yield _records(joint.end())
 
     return parts.mapInArrow(run, RECORDS)
 
 
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string()] * 8 + [pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
+
+
+class _Joint:
+    """Puts the pieces between separators together to records of their stated lengths."""
+
+    def __init__(self) -> None:
+        self.held: list[bytes] = []  # a record that isn't whole yet, and the pieces after it
+        self.head, self.size, self.have, self.skip = {}, 0, 0, 0
+
+    def _row(self, whole: bool, block: bytes) -> tuple:
+        said = self.head
+        return (said.get("warc-type"), said.get("warc-record-id"), said.get("warc-target-uri"), said.get("warc-date"), said.get("warc-refers-to"), said.get("content-type"), said.get("warc-block-digest"), said.get("warc-payload-digest"), whole, block)
+
+    def take(self, piece: bytes) -> list[tuple]:
+        """The records that are known with this piece."""
+        if not self.held:
+            head, gap, rest = piece.partition(b"\r\n\r\n")
+            if not re.match(rb"\d+\.\d+\r\n", head):
+                return []
+            # a block that begins with a record: the end of the headers is part of the separator
+            self.skip = 0 if gap else 4
+            self.head = {k.lower(): v for k, v in reversed(_fields(head.split(b"\r\n", 1)[1]))}
+            self.size = int(self.head["content-length"]) if self.head.get("content-length", "").isdigit() else 0
+            if len(rest) >= self.size:
+                return [self._row(True, rest[: self.size])]
+            self.held, self.have = [rest], len(rest) - self.skip
+            return []
+        self.held.append(piece)
+        self.have += len(BETWEEN) + len(piece)
+        if self.have < self.size:
+            return []
+        if self.have <= self.size + 4:  # the end of a file's last record is still there
+            block, self.held = BETWEEN.encode().join(self.held)[self.skip :], []
+            return [self._row(True, block[: self.size])]
+        return self._cut_off()
+
+    def _cut_off(self) -> list[tuple]:
+        """The record that is held as one that was cut off, and what the pieces after it are by themselves."""
+        first, *rest = self.held
+        out, self.held = [self._row(False, first)], []
+        for piece in rest:
+            out += self.take(piece)
+        return out
+
+    def end(self) -> list[tuple]:
+        """What is still held when a file or split ends."""
+        out = []
+        while self.held:
+            out += self._cut_off()
+        return out
+
+
 def write_warc(records: DataFrame, path: str, record: str = "record", compression: str = "gzip") -> None:
     """Writes records, one after the other, as WARC files in the folder ``path``, one file for each partition."""
     end = "\r\n\r\n"

@@ -152,6 +152,13 @@ def test_links_against_brute_force(spark):
         assert got[1, t]["parent_turn"] == best, text
 
 
+def test_turns_that_are_texts(spark):
+    rows = [("c", "1", "u", "first words"), ("c", "2", "u", "> first words\nanswer"), ("c", "ten", "u", "> first words\nno turn"), ("c", None, "u", "x")]
+    df = spark.createDataFrame(rows, "conv_id string, turn string, role string, text string")
+    got = {r["turn"]: (r["parent_turn"], r["thread_turn"], r["text"]) for r in chat_threads.threads(df).collect()}
+    assert got == {"1": (None, 1, "first words"), "2": (1, 1, "answer"), "ten": (None, None, "no turn"), None: (None, None, "x")}
+
+
 def test_no_python_in_the_plan(spark):
     plan = chat_threads.threads(spark.createDataFrame(ROWS, SCHEMA))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow(?!To)|Pandas", plan)

@@ -166,6 +166,27 @@ def test_files_round_trip(spark, tmp_path):
         assert (y["warc_type"], y["refers_to"], y["block_digest"], y["whole"], bytes(y["block"])) == (x["warc_type"], x["refers_to"], x["block_digest"], True, block)
 
 
+def test_records_that_hold_records_and_records_that_were_cut_off(spark, tmp_path):
+    def record(name, block):
+        return warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", name), ("WARC-Date", "2026")], block)
+
+    inner = record("inner", b"a block")
+    about = http("Content-Type: text/plain") + b"An archive begins with\r\n\r\nWARC/1.0\r\nand so on\r\n\r\nWARC/ twice"
+    nested = record("archive", inner + record("deeper", about) + inner)
+    files = [[record("a", b"1"), nested, record("b", about), record("c", b"3")], [nested], [record("d", about)]]
+    for k, parts in enumerate(files):
+        (tmp_path / f"{k}.warc").write_bytes(b"".join(parts))
+    rows = sorted((x["record_id"], x["whole"], bytes(x["block"])) for x in warc.read_warc(spark, str(tmp_path)).collect())
+    archive = inner + record("deeper", about) + inner
+    assert rows == sorted([("a", True, b"1"), ("archive", True, archive), ("archive", True, archive), ("b", True, about), ("c", True, b"3"), ("d", True, about)])
+    # a record of which some bytes are missing doesn't take those after it
+    (tmp_path / "cut").mkdir()
+    whole = record("lost", about)
+    (tmp_path / "cut" / "x.warc").write_bytes(record("a", b"1") + whole[:-30] + b"\r\n\r\n" + record("b", about) + record("c", b"3") + whole[:-20])
+    got = sorted((x["record_id"], x["whole"]) for x in warc.read_warc(spark, str(tmp_path / "cut")).collect())
+    assert got == [("a", True), ("b", True), ("c", True), ("lost", False), ("lost", False)]
+
+
 def test_foreign_files(spark, tmp_path):
     records = [warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{i}>"), ("WARC-Target-URI", "http://x"), ("WARC-Date", "2026"), ("WARC-Payload-Digest", f"sha1:P{i}"), ("WARC-Block-Digest", f"sha1:B{i}")], b or b"") for i, (b, _) in enumerate(BLOCKS)]
     (tmp_path / "plain.warc").write_bytes(b"".join(records))

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -48,6 +49,62 @@ def brute(text, templates, least=licences.MIN_DICE):
     return known[-best[1]][0] if kept else None, best[0], sorted({known[k][0] for _, _, k, _, _ in kept}), len(kept)
 
 
+def every_window(text, templates, least=licences.MIN_DICE):
+    """(licence, coefficient) of each licence that a window of as many words as a template has reaches, wherever it begins."""
+    bigrams, out = licences.hashed(licences.words_of(text)), {}
+    for name, t in templates:
+        order = licences.hashed(licences.words_of(t))
+        own, m = set(order), len(order)
+        for i in range(max(1, len(bigrams) - m + 1)):
+            b = set(bigrams[i : i + m])
+            dice = 2 * len(b & own) / (len(b) + len(own))
+            if dice >= least:
+                out[name] = max(out.get(name, 0), dice)
+    return out
+
+
+def test_recall_against_every_window(spark):
+    rng = random.Random(21)
+    templates = [(n, t) for n, t in licences.TEMPLATES if len(t.split()) > 5]
+    texts = []
+    for _, t in templates:
+        words = t.split()
+        for _ in range(6):
+            own = list(words)
+            kind = rng.randrange(5)
+            if kind == 0:  # shifted: without its beginning
+                own = own[rng.randint(1, max(1, len(own) // 10)) :]
+            elif kind == 1:  # cut at the end
+                own = own[: len(own) - rng.randint(1, max(1, len(own) // 10))]
+            elif kind == 2:  # words of others between
+                for _ in range(max(1, len(own) // 25)):
+                    own.insert(rng.randint(0, len(own)), rng.choice("which that really of".split()))
+            elif kind == 3:  # words left out
+                own = [w for w in own if rng.random() > 0.03]
+            else:  # parts in another order
+                k = rng.randint(1, len(own) - 1)
+                own = own[k:] + own[:k]
+            texts.append(PROSE + " ".join(own) + " " + PROSE)
+    got = {r["doc_id"]: set(r["licences"]) for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA), templates).collect()}
+    want = [every_window(t, templates) for t in texts]
+    some = [(k, w) for k, w in enumerate(want) if w]
+    assert len(some) > 100
+    assert sum(bool(got[k] & w.keys()) for k, w in some) >= 0.95 * len(some)
+    # of licences that are much alike only the best of a place counts
+    assert sum(max(w, key=w.get) in got[k] for k, w in some) >= 0.9 * len(some)
+
+
+def test_very_many_notices_in_one_text(spark):
+    n = 100_000
+    text = F.array_join(F.array_repeat(F.lit("All rights reserved."), n), "\n")
+    mixed = F.array_join(F.array_repeat(F.lit("x All rights reserved. y " * 3), 2_000), " ")
+    rows = spark.range(1).select(F.lit(1).alias("doc_id"), text.alias("text")).union(spark.range(1).select(F.lit(2), mixed))
+    began = time.time()
+    got = {r["doc_id"]: (r["licence"], r["n_passages"]) for r in licences.scan(rows).collect()}
+    assert got == {1: ("All-Rights-Reserved", n), 2: ("All-Rights-Reserved", 6_000)}
+    assert time.time() - began < 120
+
+
 def wrapped(text, n=9):
     words = text.split()
     return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
