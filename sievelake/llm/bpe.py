@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -40,6 +41,13 @@ SLICE = 1 << 19
 LIST = 1 << 13
 
 
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Some runs of data, given by where each begins and how long it is, one after the other."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + n, n)]
+
+
 class Bpe:
     """A byte-level BPE vocabulary; ranks are by token bytes and serve as ids."""
 
@@ -47,7 +55,6 @@ class Bpe:
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.n = max(ranks.values(), default=0) + 1
         self.token = {i: b for b, i in ranks.items()}
-        self.decimal = {i: str(i) for i in self.token}
         self.memo: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         #: For each token the tokens that make a token with it on the right, and that token's rank; the last is for none.
@@ -161,27 +168,70 @@ class Bpe:
             i = end + 1
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        memo, find = self.memo, self.split.findall
+        memo, old, find = self.memo, self.old.get, self.split.findall
         parts = [find(t) for t in texts]
-        new = set(chain.from_iterable(parts)).difference(memo)
-        if self.old:
-            again = new.intersection(self.old)
-            memo.update((p, self.old[p]) for p in again)
-            new -= again
-        missing = list(new)
+        some = list(set(chain.from_iterable(parts)))
+        found = list(map(memo.get, some))
+        missing = []
+        for k, ids in enumerate(found):
+            if ids is None:
+                found[k] = ids = old(some[k])
+                if ids is None:
+                    missing.append(k)
+                else:
+                    memo[some[k]] = ids
         size, at = 0, 0
-        for k, p in enumerate(missing, 1):  # lists of bounded length
-            size += len(p)
-            if size > LIST or k == len(missing):
-                memo.update(zip(missing[at:k], self.merge([x.encode() for x in missing[at:k]]), strict=True))
-                size, at = 0, k
-        get = memo.__getitem__
-        out = [list(chain.from_iterable(map(get, p))) for p in parts]
+        for n, k in enumerate(missing, 1):  # lists of bounded length
+            size += len(some[k])
+            if size > LIST or n == len(missing):
+                own = missing[at:n]
+                for k, ids in zip(own, self.merge([some[k].encode() for k in own]), strict=True):
+                    found[k] = memo[some[k]] = ids
+                size, at = 0, n
+        # the ids of these pre-tokens in a row; a text's are gathered by their places there
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        starts, place = np.cumsum(sizes) - sizes, dict(zip(some, range(len(some)), strict=True)).__getitem__
         if len(memo) > MEMO:
             self.old, self.memo = memo, {}
-        return out
+        return [_gathered(flat, starts, sizes, np.fromiter(map(place, p), np.int64, len(p))) for p in parts]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        return [x.tolist() for x in self.encode_arrays(texts)]
+
+    @cached_property
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """The decimal digits of each id with a blank after them, in cells of one width, and which bytes of the cells are used."""
+        words = [f"{i} ".encode() for i in range(self.n)]
+        cells = np.zeros((self.n, max(map(len, words), default=0)), np.uint8)
+        used = np.zeros(cells.shape, bool)
+        for i, w in enumerate(words):
+            cells[i, : len(w)] = np.frombuffer(w, np.uint8)
+            used[i, : len(w)] = True
+        return cells, used
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by one space."""
+        cells, used = self.spelled
+        return cells[ids][used[ids]].tobytes()[:-1]
+
+    @cached_property
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all tokens in a row, where each begins, and how long it is (-1: no token)."""
+        tokens = [self.token.get(i) for i in range(self.n)]
+        sizes = np.array([-1 if t is None else len(t) for t in tokens], np.int64)
+        starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        return np.frombuffer(b"".join(t or b"" for t in tokens), np.uint8), starts, sizes
+
+    def decode_array(self, ids: np.ndarray) -> bytes:
+        """The bytes of a sequence of ids."""
+        data, starts, sizes = self.joined
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.n or sizes[ids].min() < 0):
+            raise ValueError("an id is no token's")
+        return _gathered(data, starts, sizes, ids).tobytes()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of a sequence of ids."""
@@ -227,15 +277,14 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep: li
 
     def make():
         bpe = Bpe.load(path, pattern)
-        decimal = bpe.decimal.__getitem__
 
         def run(col):
             n, a, b = [], [], []
             for part in _texts(col):
-                for ids in bpe.encode_batch(part):
+                for ids in bpe.encode_arrays(part):
                     n.append(len(ids))
-                    a.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
-                    b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                    a.append(hashlib.sha256(bpe.decimals(ids)).hexdigest())
+                    b.append(hashlib.sha256(bpe.decode_array(ids)).hexdigest())
             return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 
         return run
