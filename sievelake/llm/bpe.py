@@ -190,13 +190,10 @@ class Bpe:
                 for k, ids in zip(own, self.merge([some[k].encode() for k in own]), strict=True):
                     found[k] = memo[some[k]] = ids
                 size, at = 0, n
-        # the ids of these pre-tokens in a row; a text's are gathered by their places there
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-        starts, place = np.cumsum(sizes) - sizes, dict(zip(some, range(len(some)), strict=True)).__getitem__
+        get = dict(zip(some, found, strict=True)).__getitem__  # small, so that most look-ups stay near
         if len(memo) > MEMO:
             self.old, self.memo = memo, {}
-        return [_gathered(flat, starts, sizes, np.fromiter(map(place, p), np.int64, len(p))) for p in parts]
+        return [np.fromiter(chain.from_iterable(map(get, p)), np.int32) for p in parts]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
