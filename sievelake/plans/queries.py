@@ -333,11 +333,27 @@ def number_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n_numbers"), F.round(total, 4).alias("total"))
 
 
-@query()
+# Greedy runs of words: each ends where the budget of 400 tokens, 1,603 characters with the head's and a blank a word, is full.
+def chunk_sql(head: str) -> str:
+    return f"recursive x as (select doc_id, {head} as head, trim({head} || text, E' \\n\\t\\r') as whole, trim(text, E' \\n\\t\\r') as body from documents), w as (select doc_id, head, whole, list_filter(regexp_split_to_array(body, '\\s+'), lambda v: v <> '') as ws, length(head) // 4 as ht, length(body) // 4 as bt from x where length(whole) // 4 > 400), k as (select doc_id, head, ws, list(n order by i) as cums from (select doc_id, head, ws, i, sum(length(v) + 1) over (partition by doc_id order by i) as n from (select doc_id, head, ws, unnest(ws) as v, generate_subscripts(ws, 1) as i from w where bt > greatest(400 - ht, 200))) group by doc_id, head, ws), r as (select doc_id, 0 as s, 0 as e, -1 as j from k union all select r.doc_id, r.e + 1, greatest(r.e + 1, len(list_filter(cums, lambda n: n - case when r.e = 0 then 0 else cums[r.e] end <= 1603 - length(head)))), r.j + 1 from r join k on r.doc_id = k.doc_id where r.e < len(ws)), f as (select r.doc_id, j as chunk_index, trim(head || array_to_string(ws[s:e], ' '), E' \\n\\t\\r') as content from r join k on r.doc_id = k.doc_id where j >= 0 union all select doc_id, 0, trim(whole, E' \\n\\t\\r') from x where length(whole) // 4 <= 400 and whole <> '' union all select doc_id, 0, whole from w where bt <= greatest(400 - ht, 200))"
+
+
+PLAIN_CHUNKS, HEADED_CHUNKS = chunk_sql("''"), chunk_sql("'## ' || source || chr(10)")
+
+
+@query(f"with {PLAIN_CHUNKS} select doc_id, chunk_index, count(*) over (partition by doc_id) as total_chunks, content from f")
 def document_chunks(spark, d):
     return chunk.chunked(table(spark, d, "documents"), "text", ["doc_id"], budget=400).select("doc_id", "chunk_index", "total_chunks", "content")
 
 
+@query(f"with {HEADED_CHUNKS} select doc_id, chunk_index, coalesce(nullif(trim(right(lag(content) over (partition by doc_id order by chunk_index), 80), chr(10)), '') || chr(10) || chr(10), '') || content as content, source as header from f join documents using (doc_id)")
+def overlapping_chunks(spark, d):
+    """Documents as sections: each part repeats the header, and begins with the last 20 tokens of the part before."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("## "), "source", F.lit("\n"), "text").alias("text"))
+    out = chunk.chunked(docs, "text", ["doc_id"], budget=400, overlap=20)
+    return out.select("doc_id", "chunk_index", "content", F.get("header_path", F.lit(0)).alias("header"))
+
+
 # extraction records
 
 

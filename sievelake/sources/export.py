@@ -82,51 +82,66 @@ def sheet_name(name: str) -> str:
 MOST_ROWS = 100_000
 
 
+HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+KINDS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+SHEET_HEAD, SHEET_END = f"{HEAD}<worksheet {MAIN}><sheetData>", "</sheetData></worksheet>"
+COLOURS = {"green": "FFC6EFCE", "yellow": "FFFFEB9C", "red": "FFFFC7CE"}
+
+
+def sheet_cell(value: object, score: bool) -> str:
+    if score and isinstance(value, str):
+        try:
+            value = float(value)
+        except ValueError:
+            pass
+    if value is None:
+        return "<c/>"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        style = f' s="{1 if value >= 0.7 else 2 if value >= 0.3 else 3}"' if score else ""
+        return f"<c{style}><v>{value}</v></c>"
+    text = "Yes" if value is True else "No" if value is False else re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", str(value))
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+
+def sheet_row(values, scores: bool) -> str:
+    """One row of a sheet; of scores, numbers are coloured by quality_colour()."""
+    return f"<row>{''.join(sheet_cell(x, scores) for x in values)}</row>"
+
+
+def book_parts(book: zipfile.ZipFile, names: list[str]) -> None:
+    """All parts of a workbook but its sheets, which are xl/worksheets/sheet1.xml and so on."""
+    fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in COLOURS.values())
+    parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(names) + 1))
+    book.writestr("[Content_Types].xml", f'{HEAD}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{parts}</Types>')
+    book.writestr("_rels/.rels", f'{HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{KINDS}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+    book.writestr("xl/workbook.xml", f'{HEAD}<workbook {MAIN} xmlns:r="{KINDS}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(names, 1)) + "</sheets></workbook>")
+    book.writestr("xl/_rels/workbook.xml.rels", f'{HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{KINDS}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(names) + 1)) + f'<Relationship Id="rId{len(names) + 1}" Type="{KINDS}/styles" Target="styles.xml"/></Relationships>')
+    book.writestr("xl/styles.xml", f'{HEAD}<styleSheet {MAIN}><fonts count="1"><font/></fonts><fills count="5"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/>' + "".join(f'<xf fillId="{k}" applyFill="1"/>' for k in (2, 3, 4)) + "</cellXfs></styleSheet>")
+
+
 def write_workbook(sheets: dict[str, DataFrame], path: str, coloured: tuple[str, ...] = ()) -> None:
-    """Writes small tables as the sheets of one workbook on the driver; ValueError beyond MOST_ROWS rows in a sheet.
+    """Writes small tables as the sheets of one workbook on the driver; ValueError beyond MOST_ROWS rows in a sheet. ``committed.write_sheet`` writes one sheet by tasks.
 
     In the sheets named in ``coloured`` numbers are quality scores and their
-    cells are coloured by quality_colour().
+    cells are coloured by quality_colour(). Texts beyond a cell's size go on in
+    further columns.
     """
+    from .committed import without_long_cells
+
     tables = {}
     for name, df in sheets.items():
-        rows = flat(df).limit(MOST_ROWS + 1).collect()  # bounded
+        whole = without_long_cells(df)
+        rows = whole.limit(MOST_ROWS + 1).collect()  # bounded
         if len(rows) > MOST_ROWS:
             raise ValueError(f"{name} has more than {MOST_ROWS} rows")
-        tables[name] = (df.columns, rows)
-    colours = {"green": "FFC6EFCE", "yellow": "FFFFEB9C", "red": "FFFFC7CE"}
-    fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in colours.values())
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    kinds = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        tables[name] = (whole.columns, rows)
     names: list[str] = []
     for name in tables:
         short = sheet_name(name)
         names.append(short if short not in names else f"{short[:28]}_{len(names)}")
-
-    def cell(value: object, score: bool) -> str:
-        if value is None:
-            return "<c/>"
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            style = f' s="{1 if value >= 0.7 else 2 if value >= 0.3 else 3}"' if score else ""
-            return f"<c{style}><v>{value}</v></c>"
-        text = "Yes" if value is True else "No" if value is False else re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(value))
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text[:32767])}</t></is></c>'
-
-    def number(value: object) -> object:
-        try:
-            return float(value) if isinstance(value, str) else value
-        except ValueError:
-            return value
-
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(names) + 1))
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{parts}</Types>')
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{kinds}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'{head}<workbook {main} xmlns:r="{kinds}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(names, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{kinds}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(names) + 1)) + f'<Relationship Id="rId{len(names) + 1}" Type="{kinds}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", f'{head}<styleSheet {main}><fonts count="1"><font/></fonts><fills count="5"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/>' + "".join(f'<xf fillId="{k}" applyFill="1"/>' for k in (2, 3, 4)) + "</cellXfs></styleSheet>")
+        book_parts(z, names)
         for k, (name, (columns, rows)) in enumerate(tables.items(), 1):
-            scores = name in coloured
-            lines = ["".join(cell(c, False) for c in columns)] + ["".join(cell(number(x) if scores else x, scores) for x in row) for row in rows]
-            z.writestr(f"xl/worksheets/sheet{k}.xml", f"{head}<worksheet {main}><sheetData>" + "".join(f"<row>{x}</row>" for x in lines) + "</sheetData></worksheet>")
+            lines = [sheet_row(columns, False), *(sheet_row(row, name in coloured) for row in rows)]
+            z.writestr(f"xl/worksheets/sheet{k}.xml", SHEET_HEAD + "".join(lines) + SHEET_END)
