@@ -351,7 +351,7 @@ def overlapping_chunks(spark, d):
     """Documents as sections: each part repeats the header, and begins with the last 20 tokens of the part before."""
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("## "), "source", F.lit("\n"), "text").alias("text"))
     out = chunk.chunked(docs, "text", ["doc_id"], budget=400, overlap=20)
-    return out.select("doc_id", "chunk_index", "content", F.get("header_path", F.lit(0)).alias("header"))
+    return out.select("doc_id", "chunk_index", "content", F.element_at("header_path", -1).alias("header"))
 
 
 # extraction records
