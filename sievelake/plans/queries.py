@@ -426,6 +426,6 @@ def retry_dlq_split(spark, d):
 
 
 # the modules below register the rest
-from . import change_queries, grounding_queries, record_queries, report_queries, service_queries, stream_queries, text_queries  # noqa: E402, F401
+from . import change_queries, grounding_queries, record_queries, report_queries, service_queries, stream_queries, text_queries, whole_text_queries  # noqa: E402, F401
 
 __all__ = ["Q", "SQL"]
