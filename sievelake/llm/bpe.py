@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import cached_property
 from itertools import chain
 
@@ -55,8 +56,9 @@ class Bpe:
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.n = max(ranks.values(), default=0) + 1
         self.token = {i: b for b, i in ranks.items()}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        #: Ids of pre-tokens, as the bytes of 32-bit numbers, which join fast.
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         #: For each token the tokens that make a token with it on the right, and that token's rank; the last is for none.
         self.right: list[dict[int, int]] = [{} for _ in range(self.n + 1)]
         for t, r in ranks.items():
@@ -77,14 +79,14 @@ class Bpe:
                     ranks[base64.b64decode(token)] = int(rank)
         return cls(ranks, pattern)
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each pre-token. In the shared list, a slot of no token stands after each."""
-        ranks, out = self.ranks, [()] * len(pieces)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, as the bytes of 32-bit numbers. In the shared list, a slot of no token stands after each."""
+        ranks, out = self.ranks, [b""] * len(pieces)
         todo = []
         for k, p in enumerate(pieces):
             whole = ranks.get(p)
             if whole is not None:
-                out[k] = (whole,)
+                out[k] = array("i", (whole,)).tobytes()
             elif p:
                 todo.append(k)
         if not todo:
@@ -133,8 +135,9 @@ class Bpe:
                 before[k] = i
                 now[i] = r = own(token[k], -1)
                 if r >= 0:
-                    if r in buckets:
-                        buckets[r].append(i)
+                    more = buckets.get(r)
+                    if more is not None:
+                        more.append(i)
                     else:
                         buckets[r] = [i]
                         leaves[r >> LEAF_BITS] |= 1 << (r & last)
@@ -144,8 +147,9 @@ class Bpe:
                 if h >= 0:
                     now[h] = r = right[token[h]].get(rank, -1)
                     if r >= 0:
-                        if r in buckets:
-                            buckets[r].append(h)
+                        more = buckets.get(r)
+                        if more is not None:
+                            more.append(h)
                         else:
                             buckets[r] = [h]
                             leaves[r >> LEAF_BITS] |= 1 << (r & last)
@@ -164,7 +168,7 @@ class Bpe:
             while i < end:
                 ids.append(token[i])
                 i = after[i]
-            out[k] = tuple(ids)
+            out[k] = array("i", ids).tobytes()
             i = end + 1
         return out
 
@@ -193,7 +197,7 @@ class Bpe:
         get = dict(zip(some, found, strict=True)).__getitem__  # small, so that most look-ups stay near
         if len(memo) > MEMO:
             self.old, self.memo = memo, {}
-        return [np.fromiter(chain.from_iterable(map(get, p)), np.int32) for p in parts]
+        return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
