@@ -12,9 +12,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of the links (two long columns): root is the smallest node reachable.
 
     Loops and repeated links are harmless and null ends are passed over. Each
-    round joins links to the least neighbour of their ends, pre-aggregated, so
-    a node with very many links is no group of any task; the lineage is cut by
-    checkpoint() in each round.
+    round joins links to the least neighbour of their ends, which is
+    pre-aggregated to one row a node; the links of a node with very many are the
+    other side of that join, which Spark's handling of skewed joins splits. The
+    lineage is cut by checkpoint() in each round.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
