@@ -168,7 +168,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
 
             return run
 
-        rows = with_arrow_columns(df, [text], counted, count, keep)
+        rows = with_arrow_columns(df, [text], counted, count, keep).drop("item_ids")
         found = _found(docs.select(F.col(text).alias("text")), items, n)
         out = rows.join(found.select(F.col("key").alias(key), F.col("spans").alias(spans_of), F.col("ids").alias("item_ids")), key, "left").drop(key)
         none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))

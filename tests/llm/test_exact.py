@@ -220,3 +220,35 @@ def test_filters_keep_rows_as_they_are(spark):
     assert quality.score(df, trees, keep=["doc_id", "hit_spans"]).columns == ["doc_id", "hit_spans", "score", "predicted"]
     known = langid.in_known_language(df, {"en": [" a", "a", "e"]}, 0.0)
     assert known.schema == df.schema and sorted(str(x["text"]) for x in known.collect()) == sorted(t for _, t in rows if t and t[0].isalpha())
+
+
+# 4
+
+
+@pytest.mark.parametrize("bits", [1 << 29, 1 << 15])
+def test_large_benchmarks_in_one_scan(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+    monkeypatch.setattr(decontaminate, "SEEN", 3)
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randint(0, 400)}"
+    items = [(f"i{k}", " ".join(word() for _ in range(rng.choice([0, 1, 4, 9, 10, 11, 60])))) for k in range(400)]
+    items += [("long", " ".join(word() for _ in range(4000))), ("i1", items[1][1]), (None, "null id of ten words and a few more of them"), ("none", None)]
+    docs = []
+    for k in range(150):
+        own = [word() for _ in range(rng.choice([0, 5, 80]))]
+        if rng.random() < 0.6:
+            t = rng.choice(items)[1] or ""
+            ws = t.split()
+            a = rng.randint(0, max(0, len(ws) - 12))
+            own[len(own) // 2 : len(own) // 2] = [w.upper() for w in ws[a : a + rng.choice([9, 10, 25])]]
+        docs.append((k, " ".join(own)))
+    docs += [(1000 + k, docs[7][1]) for k in range(40)] + [(None, None), (2000, "")]
+    df, bench = spark.createDataFrame(docs, DOC).repartition(4), spark.createDataFrame(items, "item_id string, text string").repartition(3)
+    whole, parts = (decontaminate.scan(df, bench, most_bytes=m, keep=["doc_id"]) for m in (1 << 30, 100))
+    assert whole.columns == parts.columns
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    assert 20 < whole.where("contaminated").count() < 190
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 4 and "NestedLoop" not in plan and "Cartesian" not in plan
+    clean = [sorted(map(str, decontaminate.without_contaminated(df, bench, most_bytes=m).collect())) for m in (1 << 30, 100)]
+    assert clean[0] == clean[1]
