@@ -37,6 +37,13 @@ ITEM = "value: string, confidence: string, grounding: string, quote: string"
 STRUCTURED = f"map<string, struct<{ITEM}, items: array<struct<{ITEM}>>>>"
 
 
+def _last_of_each(entries: Column) -> Column:
+    """Entries of a map of which JSON that repeats a key gives several: the last of each key."""
+    keys = F.transform(entries, lambda e: e["key"])
+    last = F.filter(entries, lambda e, i: F.array_position(F.reverse(keys), e["key"]) == F.size(keys) - i)
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(entries)
+
+
 def _with_fields(extractions: DataFrame, keep: list[Column], data: str, version: str, confidence: str, scores: str | None) -> DataFrame:
     """(keep..., _f): a record's fields as an array of field, listed, record_confidence and items; the JSON is parsed once, by its form."""
     two, given = is_structured(F.col(version)), F.col(scores) if scores else F.lit(None).cast("map<string,double>")
@@ -44,7 +51,7 @@ def _with_fields(extractions: DataFrame, keep: list[Column], data: str, version:
     kept = [c for c in base.columns if c not in ("_two", "_one", "_c", "_g")]
     quotes = F.from_json(F.try_element_at("_one", F.lit("_quotes")), "map<string,string>")
     base = base.withColumn("_q", quotes)
-    fields = lambda c: F.filter(F.map_entries(c), lambda e: ~F.startswith(e["key"], F.lit("_")) & (e["key"] != "confidence"))
+    fields = lambda c: F.filter(_last_of_each(F.map_entries(c)), lambda e: ~F.startswith(e["key"], F.lit("_")) & (e["key"] != "confidence"))
     number = lambda x, default: F.coalesce(x.try_cast("double"), F.lit(default))
     item = lambda x: F.struct(x["value"].alias("value"), number(x["confidence"], 0.5).alias("confidence"), number(x["grounding"], 1.0).alias("grounding"), x["quote"].alias("quote"))
     of_two = F.transform(fields("_two"), lambda e: F.struct(e["key"].alias("field"), e["value"]["items"].isNotNull().alias("listed"), F.col("_c").alias("record_confidence"), F.coalesce(F.transform(e["value"]["items"], item), F.array(item(e["value"]))).alias("items")))

@@ -101,3 +101,9 @@ def test_in_row_weights_equal_the_long_way(spark):
     assert [key(r) for r in a] == [key(r) for r in b]
     for x, y in zip(a, b, strict=True):
         assert x["weight"] == pytest.approx(y["weight"]) and x["values"] == y["values"] and x["listed"] == y["listed"]
+
+
+def test_of_a_key_that_comes_twice_the_last_counts(spark):
+    rows = [("g", 1, '{"a": 1, "b": 3, "a": 2}', 1, 0.5), ("g", 2, '{"a": {"value": 1}, "a": {"value": 5}, "c": {"value": 0}}', 2, 0.5)]
+    df = spark.createDataFrame(rows, "g string, ord int, data string, data_version int, confidence double")
+    assert sorted((r["ord"], r["field"], r["values"]) for r in records.record_values(df, ["g"]).collect()) == [(1, "a", ["2"]), (1, "b", ["3"]), (2, "a", ["5"]), (2, "c", ["0"])]
