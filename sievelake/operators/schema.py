@@ -311,15 +311,14 @@ def legacy_issues(data: Column, fields: list[Field]) -> Column:
     numbers and words; texts, dates and enums are texts, json is an object. The
     record is parsed once. What is no JSON object has the one issue "no record".
     """
-    record = F.try_parse_json(data)
-    values = F.try_variant_get(record, "$", "map<string, variant>")
-    found = []
-    for f in fields:
-        x = F.try_element_at(values, F.lit(f.name))
-        kind, said = F.schema_of_variant(x), F.trim(x.cast("string"))
+    once = lambda x, said: F.transform(F.array(x), said)[0]  # noqa: E731 a lambda's variable is computed once, a column as often as it is named
+
+    def issue(x: Column, f: Field) -> Column:
+        none = x["value"].isNull() | F.is_variant_null(x["value"])
+        kind, said = x["kind"], x["said"]
         text = kind == "STRING"
-        number = (kind == "BIGINT") | (kind == "BOOLEAN") | F.startswith(kind, F.lit("DECIMAL")) | kind.isin("DOUBLE", "FLOAT")
-        whole = said.rlike(r"^[+-]?\d+(?:\.0*)?$") & ~(text & said.contains(".")) | (kind == "DOUBLE") & (F.try_variant_get(record, f"$['{f.name}']", "double") % 1 == 0)
+        number = kind.isin("BIGINT", "BOOLEAN", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
+        whole = said.rlike(r"^[+-]?\d+(?:\.0*)?$") & ~(text & said.contains(".")) | (kind == "DOUBLE") & (F.try_variant_get(x["value"], "$", "double") % 1 == 0)
         good = {
             "integer": (kind == "BOOLEAN") | ((number | text) & whole),
             "float": number | text & said.try_cast("double").isNotNull(),
@@ -327,12 +326,22 @@ def legacy_issues(data: Column, fields: list[Field]) -> Column:
             "list": F.startswith(kind, F.lit("ARRAY")),
             "json": F.startswith(kind, F.lit("OBJECT")),
         }.get(f.field_type, text)
-        none = x.isNull() | F.is_variant_null(x)
-        issue = F.when(none, F.lit("required") if f.required else F.lit(None).cast("string")).when(~F.coalesce(good, F.lit(False)), f"not of type {f.field_type}")
+        found = F.when(none, F.lit("required") if f.required else F.lit(None).cast("string")).when(~F.coalesce(good, F.lit(False)), f"not of type {f.field_type}")
         if f.field_type == "enum":
-            issue = F.when(~none & text & ~x.cast("string").isin(list(f.enum_values)), f"not one of {', '.join(f.enum_values)}").otherwise(issue)
-        found.append(F.when(issue.isNotNull(), F.concat(F.lit(f"{f.name}: "), issue)))
-    return F.when(values.isNull(), F.array(F.lit("no record"))).otherwise(F.array_compact(F.array(*found)))
+            found = F.when(~none & text & ~x["value"].cast("string").isin(list(f.enum_values)), f"not one of {', '.join(f.enum_values)}").otherwise(found)
+        return F.concat(F.lit(f"{f.name}: "), found)
+
+    def seen(x: Column) -> Column:
+        return F.struct(x.alias("value"), F.schema_of_variant(x).alias("kind"), F.trim(x.cast("string")).alias("said"))
+
+    def issue_of(values: Column, f: Field) -> Column:
+        return once(F.try_element_at(values, F.lit(f.name)), lambda x: once(seen(x), lambda y: issue(y, f)))
+
+    def issues(values: Column) -> Column:
+        found = [issue_of(values, f) for f in fields]
+        return F.when(values.isNull(), F.array(F.lit("no record"))).otherwise(F.array_compact(F.array(*found)))
+
+    return once(F.try_variant_get(F.try_parse_json(data), "$", "map<string, variant>"), issues)
 
 
 def clamped(confidence: Column) -> Column:
