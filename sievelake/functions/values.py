@@ -18,10 +18,14 @@ def parsed_number(raw: Column) -> Column:
     return F.when(plain, x).when(grouped, F.regexp_replace(x, "[.,]", "")).try_cast("double")
 
 
+def spelled_numbers(text: Column) -> Column:
+    """All numbers of a text as they are written, in order, with those that can't be read, as in addresses."""
+    return F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1)
+
+
 def numbers(text: Column) -> Column:
     """All numbers of a text as doubles, in order."""
-    found = F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1)
-    return F.filter(F.transform(found, parsed_number), lambda x: x.isNotNull())
+    return F.filter(F.transform(spelled_numbers(text), parsed_number), lambda x: x.isNotNull())
 
 
 def to_number(s: Column) -> Column:

@@ -32,3 +32,10 @@ def test_vectors_are_added_beside_those_of_their_number(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "vector_upsert", {"embeddings": spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")})
     assert got == want
     assert [r[0] for r in got].count(100_004) == 2  # one of the table, one added
+
+
+def test_numbers_that_cannot_be_read_count_as_spelled(spark, tmp_path):
+    rows = [(1, "at 27.204.213.132 4116106959541135"), (2, "1,234.567,890 or 7"), (3, "none"), (4, None), (5, "1.234.567 and 2,5")]
+    got, want = against_sql(spark, tmp_path, "number_extract", {"documents": spark.createDataFrame(rows, "doc_id long, text string")})
+    assert got == want
+    assert dict((r[0], r[1]) for r in got)[1] == 2
