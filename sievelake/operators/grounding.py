@@ -14,7 +14,7 @@ from sievelake.functions import text as t
 from sievelake.functions import values as v
 
 from . import locate
-from .relational import joined
+from .relational import joined, spread
 
 # How values of each type are grounded, and what keys of a record are no fields.
 MODES = {"string": "required", "integer": "required", "float": "required", "boolean": "semantic", "text": "required", "enum": "required", "list": "required", "summary": "none"}
@@ -219,17 +219,21 @@ def source_scores(extractions: DataFrame, keep: list[str], content: str, data: s
     A record's quotes are looked up together, so its source is normalised once.
     """
     entry = lambda field, quote, listed: F.struct(field.alias("field"), quote.alias("quote"), F.lit(listed).alias("listed"))
-    flat = F.filter(F.map_entries(F.from_json(F.get_json_object(data, "$._quotes"), "map<string,string>")), lambda e: t.joined_quote(e["value"]).isNotNull())
+    flat = F.filter(F.map_entries(F.from_json(F.get_json_object("_d", "$._quotes"), "map<string,string>")), lambda e: t.joined_quote(e["value"]).isNotNull())
     flat = F.transform(flat, lambda e: entry(e["key"], t.joined_quote(e["value"]), False))
-    lists = F.filter(F.map_entries(F.from_json(data, "map<string,string>")), lambda e: ~e["key"].isin(NO_FIELDS) & e["value"].rlike(r"^\s*\[\s*\{"))
+    lists = F.filter(F.map_entries(F.from_json("_d", "map<string,string>")), lambda e: ~e["key"].isin(NO_FIELDS) & e["value"].rlike(r"^\s*\[\s*\{"))
     quote = lambda x: t.joined_quote(F.try_element_at(x, F.lit("_quote")))
     of_lists = F.flatten(F.transform(lists, lambda e: F.transform(F.from_json(e["value"], "array<map<string,string>>"), lambda x: entry(e["key"], quote(x), True))))
     none = F.array().cast("array<struct<field:string,quote:string,listed:boolean>>")
-    rows = extractions.select(*keep, F.col(content).alias("_x"), F.concat(F.coalesce(flat, none), F.coalesce(of_lists, none)).alias("_l"))
-    rows = rows.where(F.size("_l") > 0).withColumn("_q", F.transform("_l", lambda x: x["quote"]))
-    found = locate.scored(rows, "_q", "_x", "_f").select(*keep, F.explode(F.arrays_zip("_l", "_f")).alias("_r")).select(*keep, "_r._l.*", F.col("_r._f").alias("score"))
-    means = found.where("listed").groupBy(*keep, "field").agg(v.half_even(F.avg(F.coalesce("score", F.lit(0.0))), 4).alias("score"))
-    return found.where("not listed").select(*keep, "field", "score").unionByName(means)
+    # dealt anew, as one row group of small records is much work; no filter by the array's size, which would make it twice
+    rows = spread(extractions.select(*keep, F.col(content).alias("_x"), F.col(data).alias("_d")))
+    rows = rows.select(*keep, "_x", F.concat(F.coalesce(flat, none), F.coalesce(of_lists, none)).alias("_l"))
+    rows = rows.withColumn("_q", F.transform("_l", lambda x: x["quote"]))
+    found = locate.scored(rows, "_q", "_x", "_f", keep=[*keep, "_l"]).select(*keep, F.explode(F.arrays_zip("_l", "_f")).alias("_r")).select(*keep, "_r._l.*", F.col("_r._f").alias("score"))
+    # quotes of fields stay rows of their own in the one aggregation, so that quotes are looked up once
+    found = found.withColumn("_id", F.when(~F.col("listed"), F.monotonically_increasing_id()))
+    score = F.when(F.col("_id").isNull(), v.half_even(F.avg(F.coalesce("score", F.lit(0.0))), 4)).otherwise(F.max("score"))
+    return found.groupBy(*keep, "field", "_id").agg(score.alias("score")).drop("_id")
 
 
 def source_ratio(scores: DataFrame, keep: list[str], every: DataFrame, least: float = 0.8) -> DataFrame:

@@ -49,6 +49,8 @@ ARROW = pa.struct([("score", pa.float64()), ("start", pa.int32()), ("end", pa.in
 NOTHING = (0.0, None, None, None, 0)
 #: Quotes up to this length, or so few of them, are looked for one by one.
 SHORT, FEW = 3, 3
+#: Windows times words up to which windows are looked into one by one.
+SMALL = 200
 #: Quotes of a source that go together, about.
 MOST = 1000
 
@@ -140,7 +142,24 @@ def tidy(quote: str | None) -> str:
     return bare.strip() if "…" in text[len(bare) :] or len(text) - len(bare) > 1 else text
 
 
+#: Texts up to this length that are ASCII only have their normal form by patterns, which is faster for them than by arrays.
+BRIEF = 2000
+
+
+@cache
+def ascii_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Runs of white space, and what is neither of a word nor white space, of ASCII."""
+    blank = [chr(c) for c in range(128) if space()[c]]
+    kept = [chr(c) for c in range(128) if word()[c] or space()[c]]
+    listed = lambda some: "".join(re.escape(c) for c in some)
+    return re.compile(f"[{listed(blank)}]+"), re.compile(f"[^{listed(kept)}]+")
+
+
 def normal_text(text: str, drop_punctuation: bool = False) -> str:
+    if len(text) <= BRIEF and text.isascii():
+        blank, other = ascii_patterns()
+        low = text.lower()
+        return blank.sub(" ", other.sub("", low) if drop_punctuation else low).strip(" ")
     points = codes(text)
     return normal(points, np.zeros(len(points), np.int32), drop_punctuation)[0]
 
@@ -171,6 +190,14 @@ class Source:
     def bare(self) -> tuple[str, np.ndarray]:
         return normal(self.points, np.arange(len(self.points), dtype=np.int32), True)
 
+    @cached_property
+    def plain_text(self) -> str:
+        return normal_text(self.text) if len(self.text) <= BRIEF else self.plain[0]
+
+    @cached_property
+    def bare_text(self) -> str:
+        return normal_text(self.text, True) if len(self.text) <= BRIEF else self.bare[0]
+
     @cached_property
     def bare_shown(self) -> tuple[str, np.ndarray]:
         return normal(*self.shown(self.text, self.points), True)
@@ -244,10 +271,14 @@ class Source:
             out[i] = self.shared(set(wanted[i].split()))
         return out
 
+    @cached_property
+    def bare_words(self) -> list[str]:
+        return self.bare_text.split(" ")
+
     @cached_property
     def word_places(self) -> tuple[dict[str, list[int]], int]:
         """Where each word of the form without punctuation stands, and how many there are."""
-        words = self.bare[0].split(" ")
+        words = self.bare_words
         places: dict[str, list[int]] = {}
         for k, w in enumerate(words):
             places.setdefault(w, []).append(k)
@@ -255,9 +286,11 @@ class Source:
 
     def _best_window(self, words: list[str]) -> float:
         """The most of the words that a window of as many source words has."""
-        places, many = self.word_places
         n = len(words)
-        starts = max(many - n + 1, 1)
+        starts = max(len(self.bare_words) - n + 1, 1)
+        if starts * n <= SMALL:
+            return max(sum(w in self.bare_words[k : k + n] for w in words) for k in range(starts)) / n
+        places = self.word_places[0]
         change = np.zeros(starts + 1, np.int64)
         for w, times in Counter(words).items():
             at = np.array(places.get(w, ()), np.int64)
@@ -272,8 +305,9 @@ class Source:
     def contained(self, quotes: list[str | None]) -> list[float | None]:
         """1 if the normal form contains the quote's, 0.95 if it does without punctuation, else 0; 0 for blank quotes and null for null."""
         wanted, bare = ([None if q is None else normal_text(q, drop) for q in quotes] for drop in (False, True))
-        exact = first_places([w for w in wanted if w], self.plain[0])
-        loose = first_places([b for w, b in zip(wanted, bare, strict=True) if b and w not in exact], self.bare[0])
+        exact = first_places([w for w in wanted if w], self.plain_text)
+        left = [b for w, b in zip(wanted, bare, strict=True) if b and w not in exact]
+        loose = first_places(left, self.bare_text) if left else {}
         return [None if w is None else 1.0 if w in exact else 0.95 if w and b in loose else 0.0 for w, b in zip(wanted, bare, strict=True)]
 
     def scores(self, quotes: list[str | None]) -> list[float | None]:
@@ -282,7 +316,7 @@ class Source:
         for k, q in enumerate(quotes):
             if out[k] == 0 and normal_text(q):
                 words = normal_text(q, True).split(" ")
-                share = 0.0 if len(words) > self.word_places[1] else self._best_window(words)
+                share = 0.0 if len(words) > len(self.bare_words) else self._best_window(words)
                 out[k] = float(Decimal(repr(share)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
         return out
 
@@ -292,9 +326,9 @@ def locate(quote: str | None, source: str | None) -> tuple:
     return Source(source).locate([quote])[0]
 
 
-def _rows(df: DataFrame, quotes: str, source: str, out: str, kind: T.DataType, arrow: pa.DataType, answer: Callable[[Source, list], list], listed: bool) -> DataFrame:
-    """df with the answers for each row's quotes; rows of a batch that have the same source share its forms."""
-    kept = [c for c in df.columns if c != out]
+def _rows(df: DataFrame, quotes: str, source: str, out: str, kind: T.DataType, arrow: pa.DataType, answer: Callable[[Source, list], list], listed: bool, keep: list[str] | None = None) -> DataFrame:
+    """df, or its columns ``keep``, with the answers for each row's quotes; rows of a batch that have the same source share its forms."""
+    kept = [c for c in (df.columns if keep is None else keep) if c != out]
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(quotes), F.col(source))
     n = len(kept)
     schema = T.StructType([*rows.schema.fields[:n], T.StructField(out, kind)])
@@ -331,9 +365,9 @@ def all_located(df: DataFrame, quotes: str, source: str, out: str = "found") ->
     return _rows(df, quotes, source, out, T.ArrayType(FOUND), pa.list_(ARROW), _told, True)
 
 
-def scored(df: DataFrame, quotes: str, source: str, out: str = "scores", only_contained: bool = False) -> DataFrame:
-    """df with an array of how well each item of the array of quotes stands in the source (see Source.scores and Source.contained); null for a null array."""
-    return _rows(df, quotes, source, out, T.ArrayType(T.DoubleType()), pa.list_(pa.float64()), Source.contained if only_contained else Source.scores, True)
+def scored(df: DataFrame, quotes: str, source: str, out: str = "scores", only_contained: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """df, or its columns ``keep``, with an array of how well each item of the array of quotes stands in the source (see Source.scores and Source.contained); null for a null array."""
+    return _rows(df, quotes, source, out, T.ArrayType(T.DoubleType()), pa.list_(pa.float64()), Source.contained if only_contained else Source.scores, True, keep)
 
 
 def locate_quotes(quotes: DataFrame, sources: DataFrame, source_id: str, quote_id: str, quote: str, text: str, most: int | None = None, only_contained: bool = False) -> DataFrame:

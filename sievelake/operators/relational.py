@@ -91,6 +91,12 @@ def entity_matrix(df: DataFrame, row: str, column: str, values: list[str]) -> Da
     return marks.select(row, *[F.when(F.col(f"_{k}"), "Yes").otherwise("N/A").alias(str(v)) for k, v in enumerate(values)])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to all tasks: for rows that are much work each, as a file of small rows is a few row groups and so a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
     """old with new rows added and the columns ``update`` of rows of equal keys replaced where new has a value; keys are unique on each side."""
     a, b = old.alias("a"), new.alias("b")

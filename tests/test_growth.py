@@ -1,10 +1,12 @@
 """Queries on tables that grow beyond the test tables: results where ids and texts are other, and how often work is planned."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sievelake.operators import schema
+from sievelake.operators import grounding, locate, schema
 
 
 def against_sql(spark, folder, name, tables):
@@ -39,3 +41,23 @@ def test_numbers_that_cannot_be_read_count_as_spelled(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "number_extract", {"documents": spark.createDataFrame(rows, "doc_id long, text string")})
     assert got == want
     assert dict((r[0], r[1]) for r in got)[1] == 2
+
+
+def test_sources_are_looked_through_once_for_fields_and_lists(spark):
+    rows = [(1, "by A in town", '{"_quotes": {"a": "by a", "b": "in, town"}, "l": [{"_quote": "in TOWN"}, {"x": "y"}]}'), (1, "by A", '{"_quotes": {"a": "at sea by"}}'), (2, None, "{}")]
+    found = grounding.source_scores(spark.createDataFrame(rows, "k int, x string, data string"), ["k"], "x")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert "RepartitionByExpression" in plan or "Repartition " in plan
+    assert sorted((r["k"], r["field"], r["score"]) for r in found.collect()) == [(1, "a", 0.0), (1, "a", 1.0), (1, "b", 0.95), (1, "l", 0.5)]
+
+
+def test_short_texts_have_the_same_forms_and_windows(monkeypatch):
+    deal = random.Random(3)
+    texts = ["".join(deal.choice("abC .,-_'\t\n\x0b\x0c\r\x1c\x1f5") for _ in range(deal.randrange(40))) for _ in range(300)]
+    got = [(locate.normal_text(x), locate.normal_text(x, True)) for x in texts]
+    scores = [locate.Source(x).scores(texts[:8]) for x in texts]
+    monkeypatch.setattr(locate, "BRIEF", -1)
+    monkeypatch.setattr(locate, "SMALL", 0)
+    assert got == [(locate.normal_text(x), locate.normal_text(x, True)) for x in texts]
+    assert scores == [locate.Source(x).scores(texts[:8]) for x in texts]
