@@ -6,6 +6,8 @@ is stripped by pattern, since trim() only strips spaces. Null gives null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ from pyspark.sql import functions as F
 CJK = "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}]"
 
 
+def once(x: Column, said: Callable[[Column], Column]) -> Column:
+    """said(x), with x computed once a row; a column that is named in a lambda's body is computed anew for every item."""
+    return F.transform(F.array(x), lambda y: said(y))[0]
+
+
 def strip(s: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
@@ -93,21 +100,21 @@ def without_junk(s: Column) -> Column:
 
 def content_start(s: Column, run: int = 3, density: float = 0.4, least: int = 20, lines: int = 200) -> Column:
     """Where the first ``run`` long lines in a row with few links begin, counted from 0; shorter lines don't break the row. 0 if there is no such place."""
-    parts = F.split(s, "\n")
-    stripped = F.transform(F.slice(parts, 1, lines), lambda x, i: F.struct(i.alias("i"), strip(x).alias("t")))
-    long = F.transform(F.filter(stripped, lambda x: F.length(x["t"]) >= least), lambda x: F.struct(x["i"].alias("i"), (link_density(x["t"]) < density).alias("low")))
-    starts = F.filter(
-        F.transform(long, lambda x, j: F.when(F.size(F.filter(F.slice(long, j + 1, run), lambda y: y["low"])) == run, x["i"])),
-        lambda i: i.isNotNull(),
-    )
-    before = F.slice(parts, 1, F.coalesce(F.get(starts, F.lit(0)), F.lit(0)))
-    return F.aggregate(before, F.lit(0), lambda a, x: a + F.length(x) + 1)
+
+    def place(parts: Column) -> Column:
+        stripped = F.transform(F.slice(parts, 1, lines), lambda x, i: F.struct(i.alias("i"), strip(x).alias("t")))
+        long = F.transform(F.filter(stripped, lambda x: F.length(x["t"]) >= least), lambda x: F.struct(x["i"].alias("i"), (link_density(x["t"]) < density).alias("low")))
+        at = lambda long: F.transform(long, lambda x, j: F.when(F.size(F.filter(F.slice(long, j + 1, run), lambda y: y["low"])) == run, x["i"]))
+        starts = F.filter(once(long, at), lambda i: i.isNotNull())
+        before = F.slice(parts, 1, F.coalesce(F.get(starts, F.lit(0)), F.lit(0)))
+        return F.aggregate(before, F.lit(0), lambda a, x: a + F.length(x) + 1)
+
+    return once(F.split(s, "\n"), place)
 
 
 def cleaned(s: Column) -> Column:
     """Without junk, from the content's start on; for embeddings."""
-    bare = without_junk(s)
-    return strip(F.substring(bare, content_start(bare) + 1, F.length(bare)))
+    return once(without_junk(s), lambda bare: strip(F.substring(bare, content_start(bare) + 1, F.length(bare))))
 
 
 def cut_at_word(s: Column, most: int) -> Column:
@@ -119,7 +126,7 @@ def cut_at_word(s: Column, most: int) -> Column:
 
 def page_summary(url: Column, title: Column, content: Column, most: int = 2000) -> Column:
     """Title, URL and the start of the cleaned content, as lines."""
-    return F.concat_ws("\n", F.when(F.length(title) > 0, F.concat(F.lit("Title: "), title)), F.concat(F.lit("URL: "), url), F.lit(""), cut_at_word(cleaned(content), most))
+    return F.concat_ws("\n", F.when(F.length(title) > 0, F.concat(F.lit("Title: "), title)), F.concat(F.lit("URL: "), url), F.lit(""), once(cleaned(content), lambda x: cut_at_word(x, most)))
 
 
 def url_words(url: Column, title: Column, description: Column) -> Column:

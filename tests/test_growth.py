@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sievelake.functions import text as t
 from sievelake.operators import grounding, locate, schema
 
 
@@ -61,3 +62,14 @@ def test_short_texts_have_the_same_forms_and_windows(monkeypatch):
     monkeypatch.setattr(locate, "SMALL", 0)
     assert got == [(locate.normal_text(x), locate.normal_text(x, True)) for x in texts]
     assert scores == [locate.Source(x).scores(texts[:8]) for x in texts]
+
+
+def test_pages_are_cleaned_once(spark):
+    page = "[skip to it](x)\n* [a](http://x)\nshort\n" + "\n".join(f"a line of words that is long enough {i}" for i in range(4))
+    df = spark.createDataFrame([(page,), (None,), ("",)], "s string")
+    found = df.select(t.cleaned(F.col("s")).alias("a"), t.page_summary(F.lit("u"), F.lit(None), F.col("s"), 60).alias("b"))
+    assert found._jdf.queryExecution().analyzed().toString().count("skip to") == 2  # one for each column
+    rows = [tuple(r) for r in found.collect()]
+    assert rows[0][0] == "\n".join(f"a line of words that is long enough {i}" for i in range(4))
+    assert rows[0][1] == "URL: u\n\na line of words that is long enough 0\na line of words that"
+    assert [r[0] for r in rows[1:]] == [None, ""]
