@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import values as v
+from sievelake.functions.text import once
 from sievelake.sources.shared import cut
 
 from . import consolidate
@@ -93,10 +94,11 @@ def flattened(data: Column) -> Column:
     get = lambda c, p: F.get_json_object(c, f"$.{p}")
     many = lambda c: F.from_json(get(c, "items"), "array<string>")
     plain = lambda x: F.coalesce(get(x, "value"), get(x, "fields"))
-    value = lambda k, x: F.when(many(x).isNotNull(), F.to_json(F.transform(many(x), plain))).otherwise(plain(x))
-    quotes = F.map_filter(F.transform_values(fields, lambda k, x: get(x, "quote")), lambda k, x: x.isNotNull())
-    entries = F.map_concat(F.map_filter(F.transform_values(fields, value), lambda k, x: x.isNotNull()), F.when(F.size(quotes) > 0, F.create_map(F.lit("_quotes"), F.to_json(quotes))).otherwise(F.create_map().cast("map<string,string>")))
-    return F.to_json(entries)
+    value = lambda x: once(many(x), lambda m: F.when(m.isNotNull(), F.to_json(F.transform(m, plain))).otherwise(plain(x)))
+    known = lambda m: F.map_filter(m, lambda k, x: x.isNotNull())
+    shown = lambda q: F.when(F.size(q) > 0, F.create_map(F.lit("_quotes"), F.to_json(q))).otherwise(F.create_map().cast("map<string,string>"))
+    entries = lambda f: F.map_concat(known(F.transform_values(f, lambda k, x: value(x))), once(known(F.transform_values(f, lambda k, x: get(x, "quote"))), shown))
+    return F.to_json(once(fields, entries))
 
 
 #: Items of a list that go into a text for embedding.

@@ -1,5 +1,6 @@
 """Queries on tables that grow beyond the test tables: results where ids and texts are other, and how often work is planned."""
 
+import json
 import random
 
 import duckdb
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sievelake.functions import text as t
-from sievelake.operators import grounding, locate, schema
+from sievelake.operators import grounding, locate, records, schema
 
 
 def against_sql(spark, folder, name, tables):
@@ -73,3 +74,10 @@ def test_pages_are_cleaned_once(spark):
     assert rows[0][0] == "\n".join(f"a line of words that is long enough {i}" for i in range(4))
     assert rows[0][1] == "URL: u\n\na line of words that is long enough 0\na line of words that"
     assert [r[0] for r in rows[1:]] == [None, ""]
+
+
+def test_structured_records_are_flattened_by_one_parse(spark):
+    data = '{"a": {"value": 1, "quote": "q"}, "b": {"items": [{"value": "x"}, {"fields": {"c": 2}}]}, "_m": {}}'
+    found = spark.createDataFrame([(data,)], "j string").select(records.flattened(F.col("j")).alias("f"))
+    assert found._jdf.queryExecution().analyzed().toString().count("$.items") == 1
+    assert json.loads(found.first()["f"]) == {"a": "1", "b": '["x","{\\"c\\":2}"]', "_quotes": '{"a":"q"}'}
