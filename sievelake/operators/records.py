@@ -38,26 +38,37 @@ ITEM = "value: string, confidence: string, grounding: string, quote: string"
 STRUCTURED = f"map<string, struct<{ITEM}, items: array<struct<{ITEM}>>>>"
 
 
-def _last_of_each(entries: Column) -> Column:
-    """Entries of a map of which JSON that repeats a key gives several: the last of each key."""
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(entries, lambda e, i: F.array_position(F.reverse(keys), e["key"]) == F.size(keys) - i)
-    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(entries)
+def _entries(m: Column) -> Column:
+    """Entries of a map; where JSON repeats a key, and so gives several, the last of each key."""
+    keys = F.map_keys(m)
+    last = F.filter(F.map_entries(m), lambda e, i: F.array_position(F.reverse(keys), e["key"]) == F.size(m) - i)
+    return F.when(F.size(F.array_distinct(keys)) < F.size(m), last).otherwise(F.map_entries(m))
 
 
-def _with_fields(extractions: DataFrame, keep: list[Column], data: str, version: str, confidence: str, scores: str | None) -> DataFrame:
-    """(keep..., _f): a record's fields as an array of field, listed, record_confidence and items; the JSON is parsed once, by its form."""
+def _parsed(extractions: DataFrame, keep: list[Column], data: str, version: str, confidence: str, scores: str | None) -> DataFrame:
+    """(keep..., _two, _one, _c, _g, _q): a record's JSON parsed once, by its form, with its confidence, grounding scores and quotes."""
     two, given = is_structured(F.col(version)), F.col(scores) if scores else F.lit(None).cast("map<string,double>")
     base = extractions.select(*keep, F.when(two, F.from_json(data, STRUCTURED)).alias("_two"), F.when(~two, F.from_json(data, "map<string,string>")).alias("_one"), F.coalesce(confidence, F.lit(0.5)).cast("double").alias("_c"), given.alias("_g"))
-    kept = [c for c in base.columns if c not in ("_two", "_one", "_c", "_g")]
-    quotes = F.from_json(F.try_element_at("_one", F.lit("_quotes")), "map<string,string>")
-    base = base.withColumn("_q", quotes)
-    fields = lambda c: F.filter(_last_of_each(F.map_entries(c)), lambda e: ~F.startswith(e["key"], F.lit("_")) & (e["key"] != "confidence"))
-    number = lambda x, default: F.coalesce(x.try_cast("double"), F.lit(default))
-    item = lambda x: F.struct(x["value"].alias("value"), number(x["confidence"], 0.5).alias("confidence"), number(x["grounding"], 1.0).alias("grounding"), x["quote"].alias("quote"))
-    of_two = F.transform(fields("_two"), lambda e: F.struct(e["key"].alias("field"), e["value"]["items"].isNotNull().alias("listed"), F.col("_c").alias("record_confidence"), F.coalesce(F.transform(e["value"]["items"], item), F.array(item(e["value"]))).alias("items")))
+    return base.withColumn("_q", F.from_json(F.try_element_at("_one", F.lit("_quotes")), "map<string,string>"))
+
+
+def _fields(m: str) -> Column:
+    """The entries of a parsed record that are fields."""
+    return F.filter(_entries(F.col(m)), lambda e: ~F.startswith(e["key"], F.lit("_")) & (e["key"] != "confidence"))
+
+
+def _number(x: Column, default: float) -> Column:
+    return F.coalesce(x.try_cast("double"), F.lit(default))
+
+
+def _with_fields(extractions: DataFrame, keep: list[Column], data: str, version: str, confidence: str, scores: str | None) -> DataFrame:
+    """(keep..., _f): a record's fields as an array of field, listed, record_confidence and items."""
+    base = _parsed(extractions, keep, data, version, confidence, scores)
+    kept = [c for c in base.columns if c not in ("_two", "_one", "_c", "_g", "_q")]
+    item = lambda x: F.struct(x["value"].alias("value"), _number(x["confidence"], 0.5).alias("confidence"), _number(x["grounding"], 1.0).alias("grounding"), x["quote"].alias("quote"))
+    of_two = F.transform(_fields("_two"), lambda e: F.struct(e["key"].alias("field"), e["value"]["items"].isNotNull().alias("listed"), F.col("_c").alias("record_confidence"), F.coalesce(F.transform(e["value"]["items"], item), F.array(item(e["value"]))).alias("items")))
     plain = lambda k, x: F.struct(x.alias("value"), F.col("_c").alias("confidence"), F.try_element_at("_g", k).alias("grounding"), F.try_element_at("_q", k).alias("quote"))
-    of_one = F.transform(fields("_one"), lambda e: F.struct(e["key"].alias("field"), F.startswith(e["value"], F.lit("[")).alias("listed"), F.lit(None).cast("double").alias("record_confidence"), F.transform(v.to_list(e["value"]), lambda x: plain(e["key"], x)).alias("items")))
+    of_one = F.transform(_fields("_one"), lambda e: F.struct(e["key"].alias("field"), F.startswith(e["value"], F.lit("[")).alias("listed"), F.lit(None).cast("double").alias("record_confidence"), F.transform(v.to_list(e["value"]), lambda x: plain(e["key"], x)).alias("items")))
     return base.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(of_two, of_one).alias("_f"))
 
 
@@ -79,13 +90,36 @@ def _mode_of(field: Column, modes: dict[str, str] | None) -> Column:
 
 
 def record_values(extractions: DataFrame, keys: list[str], modes: dict[str, str] | None = None, source: str | None = None, data: str = "data", version: str = "data_version", confidence: str = "confidence", ord: str = "ord", scores: str | None = None) -> DataFrame:
-    """The rows of weighted(), straight from the records: each is parsed once, and its weights are made where it is, without a shuffle. ``ord`` tells records apart."""
+    """The rows of weighted(), straight from the records: each is parsed once, its weights are made where it is, and it moves to its group's other records whole, before its fields become rows. ``ord`` tells records apart.
+
+    The move is a rebalance, which deals a large group to several tasks, so what follows must group again, but finds most of a group in one place.
+    """
     said = F.col(source) if source else F.lit(None).cast("string")
-    rows = _with_fields(extractions, [*[F.col(k) for k in keys], F.col(ord).alias("ord"), said.alias("source")], data, version, confidence, scores).select(*keys, "ord", "source", F.inline_outer("_f")).where("field is not null")
-    some = rows.withColumn("_some", F.filter("items", lambda x: x["value"].isNotNull())).where(F.size("_some") > 0)
-    mode = _mode_of(F.col("field"), modes)
-    total = F.aggregate("_some", F.lit(0.0), lambda a, x: a + v.effective_weight(x["confidence"], x["grounding"], mode))
-    return some.select(*keys, "field", "ord", "source", F.least(total / F.size("_some"), "record_confidence").alias("weight"), "listed", F.transform("_some", lambda x: x["value"]).alias("values"))
+    base = _parsed(extractions, [*[F.col(k) for k in keys], F.col(ord).alias("ord"), said.alias("source")], data, version, confidence, scores)
+    value = lambda k, w, c, listed, values: F.struct(k.alias("field"), F.least(w, c).alias("weight"), listed.alias("listed"), values.alias("values"))
+    none = F.lit(None).cast("double")
+
+    def of_items(k: Column, some: Column) -> Column:
+        weight = lambda x: v.effective_weight(_number(x["confidence"], 0.5), _number(x["grounding"], 1.0), _mode_of(k, modes))
+        return value(k, F.aggregate(some, F.lit(0.0), lambda a, x: a + weight(x)) / F.size(some), F.col("_c"), F.lit(True), F.transform(some, lambda x: x["value"]))
+
+    def of_two(e: Column) -> Column:
+        x, k = e["value"], e["key"]
+        own = v.effective_weight(_number(x["confidence"], 0.5), _number(x["grounding"], 1.0), _mode_of(k, modes))
+        one = F.when(x["value"].isNotNull(), value(k, own, F.col("_c"), F.lit(False), F.array(x["value"])))
+        return F.when(x["items"].isNull(), one).otherwise(once(F.filter(x["items"], lambda i: i["value"].isNotNull()), lambda some: F.when(F.size(some) > 0, of_items(k, some))))
+
+    def of_one(e: Column) -> Column:
+        x, k = e["value"], e["key"]
+        own = v.effective_weight(F.col("_c"), F.try_element_at("_g", k), _mode_of(k, modes))
+        one = F.when(x.isNotNull(), value(k, own, none, F.lit(False), F.array(x)))
+        many = lambda some: F.when(F.size(some) > 0, value(k, F.aggregate(some, F.lit(0.0), lambda a, _: a + own) / F.size(some), none, F.startswith(x, F.lit("[")), some))
+        return F.when(F.startswith(F.trim(x), F.lit("[")), once(F.filter(v.to_list(x), lambda i: i.isNotNull()), many)).otherwise(one)
+
+    fields = F.filter(F.coalesce(F.transform(_fields("_two"), of_two), F.transform(_fields("_one"), of_one)), lambda x: x.isNotNull())
+    rows = base.select(*keys, "ord", "source", fields.alias("_f")).hint("rebalance", *[F.col(k) for k in keys])
+    # an outer inline, as Spark would filter by the size of the array before an inner one
+    return rows.select(*keys, "ord", "source", F.inline_outer("_f")).where("field is not null").select(*keys, "field", "ord", "source", "weight", "listed", "values")
 
 
 def flattened(data: Column) -> Column:
@@ -206,47 +240,59 @@ def _of_values(values: DataFrame, rows: DataFrame, keys: list[str], name: str) -
 
 def _best_sources(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, _s): up to TOP sources of positive weight, most first, as (-weight, ord, source); cut to that many before the shuffle."""
-    some = rows.where("weight > 0 and source is not null")
-    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("weight"), F.asc("ord")))).where(F.col("_r") <= TOP)
-    return ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("ord").alias("o"), F.col("source").cast("string").alias("s")))).alias("_s"))
+    # rows that don't count come last rather than be filtered first, so that this reads the same shuffled records as what counts them
+    counts = (F.col("weight") > 0) & F.col("source").isNotNull()
+    order = [F.desc(F.when(counts, F.col("weight")).otherwise(-1.0)), F.asc("ord")]
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= TOP)
+    return ranked.where(counts).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("ord").alias("o"), F.col("source").cast("string").alias("s")))).alias("_s"))
 
 
 def consolidated_fields(rows: DataFrame, keys: list[str], types: dict[str, str], strategies: dict[str, str] | None = None) -> DataFrame:
     """(keys, field, strategy, value, source_count, grounded_count, agreement, winning_weight, top_sources) of the rows of weighted(): one value of each field by the strategy of its type or its own, lists as JSON.
 
-    The rows are written once. One table of distinct values, with count,
-    weight, first place and best sources of each, gives every strategy's
-    result and all metrics; rows don't meet results.
+    One table of distinct values, with count, weight, first place and best
+    sources of each, gives every strategy's result and all metrics; rows don't
+    meet results. Lists have there a row for each of their items, and one
+    without value for themselves. What is written is that table, not the rows.
     """
     of = {f: (strategies or {}).get(f) or strategy_of(x) for f, x in types.items()}
     every, none = [*keys, "field"], F.array().cast("array<string>")
-    rows = cut(rows.where(F.col("field").isin(list(of))))
+    rows = rows.where(F.col("field").isin(list(of)))
     named = lambda name: F.col("field").isin([f for f, s in of.items() if s == name])
     shown = [*every, "strategy", "value", "source_count", "grounded_count", "agreement", "winning_weight", "top_sources"]
+    listed, first = named("union_dedup"), F.col("values")[0]
+    own = rows.withColumn("value", F.when(~listed, first))
+    item = lambda x, p: F.struct(p.alias("_p"), x.alias("value"))
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("_p"), F.when(~listed, first).alias("value")))
+    cells = F.when(listed, F.concat(whole, F.transform(F.array_distinct("values"), item))).otherwise(whole)
+    each = rows.select(*every, "ord", "weight", F.col("source").isNotNull().alias("_said"), F.inline(cells)).withColumn("_item", F.col("_p").isNotNull())
+    positive = F.col("weight") > 0
+    count = each.groupBy(*every, "_item", "value").agg(F.count("*").alias("_n"), F.sum("weight").alias("_w"), F.min("ord").alias("_o"), F.min_by("_p", "ord").alias("_p"), F.max("weight").alias("_max"), F.count_if(positive).alias("_pos"), F.sum(F.when(positive, F.col("weight"))).alias("_won"), F.count_if(positive & F.col("_said")).alias("_named"))
+    values = cut(joined(count, _best_sources(own, [*every, "value"]).withColumn("_item", F.lit(False)), [*every, "_item", "value"], "left"))
+    named_sources = lambda s: F.when(F.col("_named") > 0, F.coalesce(F.transform(s, lambda x: x["s"]), none)).otherwise(none)
     out = []
     scalars = sorted({s for s in of.values() if s != "union_dedup"})
     if scalars:
-        own = rows.where(~named("union_dedup")).withColumn("value", F.col("values")[0])
-        count = own.groupBy(*every, "value").agg(F.count("*").alias("_n"), F.sum("weight").alias("_w"), F.min("ord").alias("_o"), F.max("weight").alias("_max"), F.count_if(F.col("weight") > 0).alias("_pos"))
-        values = cut(joined(count, _best_sources(own, [*every, "value"]), [*every, "value"], "left"))
         results = [_of_values(values.where(named(s)), rows.where(named(s)), keys, s).select(*every, F.col("value").alias("_best"), F.lit(s).alias("strategy")) for s in scalars]
-        met = joined(values, reduce(DataFrame.unionByName, results), every).withColumn("_same", F.coalesce(consolidate.same_value(F.col("value"), F.col("_best")), F.lit(False)))
+        met = joined(values.where(~listed), reduce(DataFrame.unionByName, results), every).withColumn("_same", F.coalesce(consolidate.same_value(F.col("value"), F.col("_best")), F.lit(False)))
         hits = lambda c: F.when(F.col("_same"), F.col(c))
         found = met.groupBy(*every, "strategy", F.col("_best").alias("value")).agg(
             F.sum("_n").alias("source_count"),
             F.sum("_pos").alias("grounded_count"),
             F.round(F.coalesce(F.sum(hits("_n")), F.lit(0)) / F.sum("_n"), 4).alias("agreement"),
             F.round(F.coalesce(F.max(hits("_max")), F.lit(0.0)), 4).alias("winning_weight"),
+            F.sum("_named").alias("_named"),
             F.slice(F.array_sort(F.flatten(F.collect_list(hits("_s")))), 1, TOP).alias("_s"),  # TOP for each spelling of the value
         )
-        out.append(found.withColumn("top_sources", F.coalesce(F.transform("_s", lambda x: x["s"]), none)).select(*shown))
+        out.append(found.withColumn("top_sources", named_sources(F.col("_s"))).select(*shown))
     if "union_dedup" in of.values():
-        own = rows.where(named("union_dedup"))
-        lists = consolidate.union_dedup(own.withColumn("value", F.col("values")), every).select(*every, F.to_json("value").alias("value"))
-        won = F.round(F.coalesce(F.avg(F.when(F.col("weight") > 0, F.col("weight"))), F.lit(0.0)), 4)
-        count = own.groupBy(*every).agg(F.count("*").alias("source_count"), F.count_if(F.col("weight") > 0).alias("grounded_count"), won.alias("winning_weight"))
-        found = joined(joined(count, lists, every), _best_sources(own, every), every, "left")
-        out.append(found.withColumns({"strategy": F.lit("union_dedup"), "agreement": F.lit(1.0), "top_sources": F.coalesce(F.transform("_s", lambda x: x["s"]), none)}).select(*shown))
+        lists = values.where(listed)
+        items = lists.where("_item").withColumn("_at", F.struct("_o", "_p"))
+        distinct = items.groupBy(*every, F.lower(F.trim("value")).alias("_k")).agg(F.min("_at").alias("_at"), F.min_by("value", "_at").alias("value"))
+        said = F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"])  # a list's distinct items
+        found = joined(lists.where("not _item"), distinct.groupBy(*every).agg(F.to_json(said).alias("_best")), every)
+        won = F.round(F.coalesce(F.col("_won") / F.col("_pos"), F.lit(0.0)), 4)
+        out.append(found.select(*every, F.lit("union_dedup").alias("strategy"), F.col("_best").alias("value"), F.col("_n").alias("source_count"), F.col("_pos").alias("grounded_count"), F.lit(1.0).alias("agreement"), won.alias("winning_weight"), named_sources(F.col("_s")).alias("top_sources")))
     return reduce(DataFrame.unionByName, out)
 
 

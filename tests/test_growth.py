@@ -81,3 +81,16 @@ def test_structured_records_are_flattened_by_one_parse(spark):
     found = spark.createDataFrame([(data,)], "j string").select(records.flattened(F.col("j")).alias("f"))
     assert found._jdf.queryExecution().analyzed().toString().count("$.items") == 1
     assert json.loads(found.first()["f"]) == {"a": "1", "b": '["x","{\\"c\\":2}"]', "_quotes": '{"a":"q"}'}
+
+
+def test_records_meet_their_group_before_their_fields_are_rows(spark, monkeypatch):
+    written, cut = [], records.cut
+    monkeypatch.setattr(records, "cut", lambda df: written.append(df.columns) or cut(df))
+    rows = [(1, 1, "s", '{"a": "X", "l": ["p", "P ", null, "q"], "a": "Y"}', 1, 0.4), (1, 2, "t", '{"a": {"value": "y", "confidence": 0.9}, "l": {"items": [{"value": "q"}, {"value": null}]}}', 2, 0.3), (1, 3, None, '{"a": null, "l": []}', 1, 0.9), (None, 4, "u", "no json", 1, 0.9)]
+    df = spark.createDataFrame(rows, "g int, ord long, source_id string, data string, data_version int, confidence double")
+    values = records.record_values(df, ["g"], source="source_id")
+    assert "RebalancePartitions" in values._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["field"]: r.asDict() for r in records.consolidated_fields(values, ["g"], {"a": "text", "l": "list"}).collect()}
+    assert not [c for c in written if "weight" in c]  # the rows themselves aren't written
+    assert (got["a"]["value"], got["a"]["source_count"], got["a"]["agreement"], got["a"]["winning_weight"], got["a"]["top_sources"]) == ("Y", 2, 1.0, 0.4, ["s", "t"])
+    assert (got["l"]["value"], got["l"]["source_count"], got["l"]["grounded_count"], got["l"]["top_sources"]) == ('["p","q"]', 2, 2, ["s", "t"])
