@@ -28,6 +28,11 @@ def numbers(text: Column) -> Column:
     return F.filter(F.transform(spelled_numbers(text), parsed_number), lambda x: x.isNotNull())
 
 
+def to_double(s: Column) -> Column:
+    """s.try_cast("double"); a text without a digit, inf or nan is told before the cast, which throws and catches for it."""
+    return F.when(s.rlike("[0-9]|[iI][nN][fF]|[nN][aA][nN]"), s.try_cast("double"))
+
+
 def to_number(s: Column) -> Column:
     """A number spelled without separators: digits with a sign, or anything with a dot that reads as a double; else null."""
     t = F.trim(s)
@@ -71,7 +76,7 @@ def to_integer(s: Column) -> Column:
 
 
 def to_float(s: Column) -> Column:
-    return F.regexp_replace(s, "[, ]", "").try_cast("double")
+    return to_double(F.regexp_replace(s, "[, ]", ""))
 
 
 def to_enum(s: Column, values: list[str]) -> Column:

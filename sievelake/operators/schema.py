@@ -346,7 +346,7 @@ def legacy_issues(data: Column, fields: list[Field]) -> Column:
 
 def clamped(confidence: Column) -> Column:
     """(confidence, issue): from 0 to 1; 0.5 for a missing one, and for one that is no number, with invalid_confidence."""
-    x = confidence.cast("string").try_cast("double")
+    x = v.to_double(confidence.cast("string"))
     value = F.when(confidence.isNull() | x.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
     return F.struct(value.alias("confidence"), F.when(confidence.isNotNull() & x.isNull(), "invalid_confidence").alias("issue"))
 
@@ -373,9 +373,13 @@ def validated(items: DataFrame, keys: list[str], fields: list[Field], field: str
     return rows.withColumn(value, F.col("_c.value")).drop("_c")
 
 
-def violations(validated_items: DataFrame, keys: list[str], field: str = "field") -> DataFrame:
-    """(keys, violations): field and issue of what was wrong with each record, by field."""
-    return validated_items.where("issue is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(field).alias("field"), "issue"))).alias("violations"))  # one record's fields
+def violations(validated_items: DataFrame, keys: list[str], field: str = "field", confidence: str | None = None) -> DataFrame:
+    """(keys, violations): field and issue of what was wrong with each record, by field; with ``confidence``, also the most of all its items, wrong or not, in a column of that name."""
+    wrong = F.when(F.col("issue").isNotNull(), F.struct(F.col(field).alias("field"), "issue"))
+    found = F.array_sort(F.collect_list(wrong)).alias("violations")  # one record's fields
+    if confidence is None:
+        return validated_items.where("issue is not null").groupBy(*keys).agg(found)
+    return validated_items.groupBy(*keys).agg(found, F.max(confidence).alias(confidence)).where(F.size("violations") > 0)
 
 
 def gated(records: DataFrame, confidence: str, least: float) -> DataFrame:

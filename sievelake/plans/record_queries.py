@@ -231,9 +231,9 @@ def violations(spark, d):
     rows = F.array(F.struct(F.lit("flag").alias("field"), F.col("l_returnflag").alias("value"), F.lit("7").alias("confidence")), F.struct(F.lit("tax").alias("field"), F.lit("1.5").alias("value"), F.lit("high").alias("confidence")))
     items = n.select("l_orderkey", "l_linenumber", F.inline(rows)).withColumn("quoted", F.col("field") == "flag")
     checked = schema.validated(items, ["l_orderkey", "l_linenumber"], FIELDS, quoted="quoted", confidence="confidence")
-    most = checked.groupBy("l_orderkey", "l_linenumber").agg(F.max("confidence").alias("most"))
     shown = F.transform("violations", lambda x: F.concat(x["field"], F.lit(":"), x["issue"]))
-    return schema.violations(checked, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.array_join(shown, ";").alias("issues")).join(most, ["l_orderkey", "l_linenumber"])
+    found = schema.violations(checked, ["l_orderkey", "l_linenumber"], confidence="confidence")
+    return found.select("l_orderkey", "l_linenumber", F.array_join(shown, ";").alias("issues"), F.col("confidence").alias("most"))
 
 
 @query("select c_custkey, coalesce(case when c_nationkey < 20 then c_mktsegment end, 'NONE') as segment, 'false' as active, '[]' as tags from customer")

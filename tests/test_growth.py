@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sievelake.functions import text as t
+from sievelake.functions import values as v
 from sievelake.operators import grounding, locate, records, schema
 
 
@@ -94,3 +95,24 @@ def test_records_meet_their_group_before_their_fields_are_rows(spark, monkeypatc
     assert not [c for c in written if "weight" in c]  # the rows themselves aren't written
     assert (got["a"]["value"], got["a"]["source_count"], got["a"]["agreement"], got["a"]["winning_weight"], got["a"]["top_sources"]) == ("Y", 2, 1.0, 0.4, ["s", "t"])
     assert (got["l"]["value"], got["l"]["source_count"], got["l"]["grounded_count"], got["l"]["top_sources"]) == ('["p","q"]', 2, 2, ["s", "t"])
+
+
+def scans(spark, folder, name, tables):
+    """How often the plan of a query reads these tables, after its rows were compared with SQL's."""
+    got, want = against_sql(spark, folder, name, tables)
+    assert got == want
+    return entry.queries()[name](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+LINES = [(1, 1, 5, 1, 20.0, 9.0, 0.05, 0.02, "A", "O"), (1, 1, 4, 2, 7.0, 9.0, 0.01, 0.04, "N", "F"), (1, 2, 5, 1, 46.0, 9.0, 0.1, 0.08, "R", "F"), (2, 7, 5, 1, 1.0, 9.0, 0.0, 0.0, "N", "O"), (2, 3, 6, 1, 1.0, 9.0, 0.0, 0.0, "N", "O")]
+OF_LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+
+
+def test_violations_read_their_records_once(spark, tmp_path):
+    assert scans(spark, tmp_path, "violations", {"lineitem": spark.createDataFrame(LINES, OF_LINE)}) == 1
+
+
+def test_texts_without_digits_are_no_numbers_before_the_cast(spark):
+    texts = ["high", "", None, " 1.5 ", "1e5", "-Infinity", "inf", "NaN", "infinite", "1d", "0x1p3", "a7", "+", "\t2\n"]
+    rows = spark.createDataFrame([(x,) for x in texts], "s string").select(F.col("s").try_cast("double").cast("string"), v.to_double(F.col("s")).cast("string"), F.col("s")).collect()
+    assert all(r[0] == r[1] for r in rows), rows
