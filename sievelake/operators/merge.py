@@ -84,24 +84,27 @@ def flat(df: DataFrame, keys: list[str], strategies: dict[str, str], field: str
     other takes the value of the surest chunk, the first of equals, where a
     chunk without confidence, or with 0, has 0.5. Nulls don't count.
     """
-    rows = df.where(F.col("value").isNotNull())
-    every = [*keys, field]
-    of = lambda *names: rows.where(F.col(field).isin([f for f, s in strategies.items() if s in names]))
-    known = ("majority_vote", "max", "min", "concat", "merge_dedupe")
-    rest = rows.where(F.col(field).isin([f for f, s in strategies.items() if s not in known]))
-    number = F.col("value").try_cast("double")
-    flag = v.to_boolean(F.col("value"))
-    vote = F.when(F.max(flag), "true").when(F.min(flag) == F.lit(False), "false")
-    text = of("concat").groupBy(*every, "value").agg(F.min("ord").alias("_o"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "value"))), lambda x: x["value"]), "; ")
-    items = of("merge_dedupe").select(*every, "ord", F.posexplode(v.to_list(F.col("value"))).alias("_p", "_i")).groupBy(*every, "_i").agg(F.min(F.struct("ord", "_p")).alias("_o"))
-    listed = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_i"))), lambda x: x["_i"]))
-    sure = F.struct(F.coalesce(F.nullif(F.col("confidence"), F.lit(0)), F.lit(0.5)).alias("c"), (-F.col("ord")).alias("o"))
-    out = of("majority_vote").groupBy(*every).agg(vote.alias("value")).where("value is not null")
-    for name, best in (("max", F.max_by), ("min", F.min_by)):
-        out = out.unionByName(of(name).groupBy(*every).agg(best("value", F.struct(number.alias("n"), "ord")).alias("value")))
-    out = out.unionByName(text.groupBy(*every).agg(joined.alias("value"))).unionByName(items.groupBy(*every).agg(listed.alias("value")))
-    return out.unionByName(rest.groupBy(*every).agg(F.max_by("value", sure).alias("value")))
+    every, listing = [*keys, field], ("concat", "merge_dedupe")
+    of = lambda *names: F.col(field).isin([f for f, s in strategies.items() if s in names])
+    rows = df.where(F.col("value").isNotNull() & F.col(field).isin(list(strategies)))
+    # all that take one of a group's values, at once
+    number, flag = v.to_double(F.col("value")), v.to_boolean(F.col("value"))
+    key = F.when(of("max", "min"), number).when(~of("majority_vote"), F.coalesce(F.nullif(F.col("confidence"), F.lit(0)), F.lit(0.5)))
+    least = of("min")
+    one = rows.where(~of(*listing)).select(*every, "value", "ord", key.alias("_k"), F.when(of("majority_vote"), flag).alias("_t"))
+    place = F.struct("_k", F.when(of("max"), F.col("ord")).otherwise(-F.col("ord")).alias("o"))
+    best = F.max_by("value", F.when(~least, place))
+    low = F.min_by("value", F.when(least, F.struct("_k", "ord")))
+    vote = F.when(F.max("_t"), "true").when(F.min("_t") == F.lit(False), "false")
+    found = one.groupBy(*every).agg(vote.alias("_v"), best.alias("_b"), low.alias("_l"))
+    value = F.when(of("majority_vote"), F.col("_v")).when(least, F.col("_l")).otherwise(F.col("_b"))
+    # a group's distinct texts and items, in the order of their first places
+    items = F.when(of("merge_dedupe"), F.array_distinct(v.to_list(F.col("value")))).otherwise(F.array("value"))
+    each = rows.where(of(*listing)).select(*every, "ord", F.posexplode(items).alias("_p", "_i"))
+    distinct = each.groupBy(*every, "_i").agg(F.min("ord").alias("_o"), F.min_by("_p", "ord").alias("_p"))
+    whole = distinct.groupBy(*every).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_p", "_i"))), lambda x: x["_i"]).alias("_all"))
+    texts = whole.select(*every, F.when(of("concat"), F.array_join("_all", "; ")).otherwise(F.to_json("_all")).alias("value"))
+    return found.select(*every, value.alias("value")).where("value is not null").unionByName(texts)
 
 
 def surest_quotes(df: DataFrame, keys: list[str], field: str = "field") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sievelake.functions import text as t
 from sievelake.functions import values as v
-from sievelake.operators import grounding, locate, records, schema
+from sievelake.operators import grounding, locate, merge, records, schema
 
 
 def against_sql(spark, folder, name, tables):
@@ -116,3 +116,14 @@ def test_texts_without_digits_are_no_numbers_before_the_cast(spark):
     texts = ["high", "", None, " 1.5 ", "1e5", "-Infinity", "inf", "NaN", "infinite", "1d", "0x1p3", "a7", "+", "\t2\n"]
     rows = spark.createDataFrame([(x,) for x in texts], "s string").select(F.col("s").try_cast("double").cast("string"), v.to_double(F.col("s")).cast("string"), F.col("s")).collect()
     assert all(r[0] == r[1] for r in rows), rows
+
+
+def test_flat_chunks_are_merged_from_one_place(spark, tmp_path):
+    assert scans(spark, tmp_path, "flat_merge", {"lineitem": spark.createDataFrame(LINES, OF_LINE)}) <= 2
+
+
+def test_flat_merge_of_odd_values(spark):
+    rows = [(1, 1, 0.0, "n", "5"), (1, 2, 0.9, "n", "5.0"), (1, 3, None, "n", "x"), (1, 1, 0.0, "l", '["b", null, "b"]'), (1, 2, 0.1, "l", "a"), (1, 3, 0.1, "l", "[]"), (1, 1, 0.4, "t", "no"), (1, 2, 0.4, "t", None), (1, 1, 0.0, "s", "p"), (1, 2, 0.5, "s", "q"), (2, 1, 0.1, "l", "[]"), (2, 1, 0.1, "t", "maybe"), (2, 1, 0.1, "other", "x")]
+    df = spark.createDataFrame(rows, "k int, ord int, confidence double, field string, value string")
+    got = {(r["k"], r["field"]): r["value"] for r in merge.flat(df, ["k"], {"n": "max", "l": "merge_dedupe", "t": "majority_vote", "s": "highest_confidence"}).collect()}
+    assert got == {(1, "n"): "5.0", (1, "l"): '["b",null,"a"]', (1, "t"): "false", (1, "s"): "p"}
