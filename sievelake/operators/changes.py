@@ -34,8 +34,13 @@ def got_or_created(existing: DataFrame, new: DataFrame, keys: list[str], ord: st
 
 
 def linked(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """All links, each once: those of existing as they are, and of new those that aren't there."""
-    return existing.dropDuplicates(keys).unionByName(new.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti").select(*existing.columns))
+    """All links, each once: those of existing as they are, and of new those that aren't there; null is equal to null. Both are grouped together, once."""
+    columns = existing.columns
+    rest = [c for c in columns if c not in keys]
+    if not rest:
+        return existing.unionByName(new.select(*columns)).dropDuplicates(keys)
+    both = existing.withColumn("_new", F.lit(1)).unionByName(new.select(*columns).withColumn("_new", F.lit(2)))
+    return both.groupBy(*keys).agg(F.min_by(F.struct(*rest), "_new").alias("_row")).select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in columns])
 
 
 def union_sets(a: DataFrame, b: DataFrame, keys: list[str], item: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sievelake.functions import text as t
 from sievelake.functions import values as v
-from sievelake.operators import grounding, locate, merge, records, schema
+from sievelake.operators import changes, grounding, locate, merge, records, schema
 
 
 def against_sql(spark, folder, name, tables):
@@ -127,3 +127,11 @@ def test_flat_merge_of_odd_values(spark):
     df = spark.createDataFrame(rows, "k int, ord int, confidence double, field string, value string")
     got = {(r["k"], r["field"]): r["value"] for r in merge.flat(df, ["k"], {"n": "max", "l": "merge_dedupe", "t": "majority_vote", "s": "highest_confidence"}).collect()}
     assert got == {(1, "n"): "5.0", (1, "l"): '["b",null,"a"]', (1, "t"): "false", (1, "s"): "p"}
+
+
+def test_links_are_grouped_once_and_null_is_null(spark):
+    old = spark.createDataFrame([(1, None, "a"), (2, 5, "b"), (2, 5, "b")], "x int, y int, z string")
+    new = spark.createDataFrame([(1, None, "n"), (2, 5, "n"), (None, 3, "n"), (None, 3, "n")], "x int, y int, z string")
+    found = changes.linked(old, new, ["x", "y"])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=repr) == [(1, None, "a"), (2, 5, "b"), (None, 3, "n")]
