@@ -288,7 +288,8 @@ def flat_merge(spark, d):
     q = F.col("q").cast("string")
     cells = F.array(*[F.struct(F.lit(f).alias("field"), x.alias("value")) for f, x in (("most", q), ("least", q), ("open", F.col("o").cast("string")), ("texts", F.col("flag")), ("items", F.to_json(F.array("flag"))), ("sure", F.col("flag")))])
     # an order's lines are few, each once: they move once, before they become rows of fields, and all groupings find them in place
-    rows = c.repartition("l_orderkey").select("l_orderkey", "ord", "confidence", F.inline(cells))
+    # in a given number of parts, as Spark would join small shuffled parts into few large ones, whose fields take much memory
+    rows = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").select("l_orderkey", "ord", "confidence", F.inline(cells))
     return merge.flat(rows, ["l_orderkey"], {"most": "max", "least": "min", "open": merge.flat_strategy("boolean"), "texts": "concat", "items": merge.flat_strategy("list"), "sure": merge.flat_strategy("text")})
 
 
