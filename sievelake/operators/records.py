@@ -94,8 +94,20 @@ def record_values(extractions: DataFrame, keys: list[str], modes: dict[str, str]
 
     The move is a rebalance, which deals a large group to several tasks, so what follows must group again, but finds most of a group in one place.
     """
+    rows = record_fields(extractions, keys, modes, source, data, version, confidence, ord, scores)
+    return field_rows(rows.hint("rebalance", *[F.col(k) for k in keys]), keys)
+
+
+def field_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field, ord, source, weight, listed, values): a row for each field, of the rows of record_fields()."""
+    # an outer inline, as Spark would filter by the size of the array before an inner one
+    return rows.select(*keys, "ord", "source", F.inline_outer("fields")).where("field is not null").select(*keys, "field", "ord", "source", "weight", "listed", "values")
+
+
+def record_fields(extractions: DataFrame, keep: list[str], modes: dict[str, str] | None = None, source: str | None = None, data: str = "data", version: str = "data_version", confidence: str = "confidence", ord: str = "ord", scores: str | None = None) -> DataFrame:
+    """(keep, ord, source, fields): each record parsed once, with an array of the field, weight, listed and values of each of its fields that has a value."""
     said = F.col(source) if source else F.lit(None).cast("string")
-    base = _parsed(extractions, [*[F.col(k) for k in keys], F.col(ord).alias("ord"), said.alias("source")], data, version, confidence, scores)
+    base = _parsed(extractions, [*[F.col(k) for k in keep], F.col(ord).alias("ord"), said.alias("source")], data, version, confidence, scores)
     value = lambda k, w, c, listed, values: F.struct(k.alias("field"), F.least(w, c).alias("weight"), listed.alias("listed"), values.alias("values"))
     none = F.lit(None).cast("double")
 
@@ -117,9 +129,7 @@ def record_values(extractions: DataFrame, keys: list[str], modes: dict[str, str]
         return F.when(F.startswith(F.trim(x), F.lit("[")), once(F.filter(v.to_list(x), lambda i: i.isNotNull()), many)).otherwise(one)
 
     fields = F.filter(F.coalesce(F.transform(_fields("_two"), of_two), F.transform(_fields("_one"), of_one)), lambda x: x.isNotNull())
-    rows = base.select(*keys, "ord", "source", fields.alias("_f")).hint("rebalance", *[F.col(k) for k in keys])
-    # an outer inline, as Spark would filter by the size of the array before an inner one
-    return rows.select(*keys, "ord", "source", F.inline_outer("_f")).where("field is not null").select(*keys, "field", "ord", "source", "weight", "listed", "values")
+    return base.select(*keep, "ord", "source", fields.alias("fields"))
 
 
 def flattened(data: Column) -> Column:
@@ -303,7 +313,11 @@ def consolidated(rows: DataFrame, keys: list[str], types: dict[str, str], modes:
 
 def group_records(extractions: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, source_count, grounded_count, data): a record for each group: how many extractions it has, the most grounded values of a field, and the values by field as JSON."""
-    n = extractions.groupBy(*keys).agg(F.count("*").alias("source_count"))
+    return group_data(extractions.groupBy(*keys).agg(F.count("*").alias("source_count")), fields, keys)
+
+
+def group_data(n: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of group_records(), where n has the keys and source_count."""
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value"))))  # a group's fields
     return joined(n, fields.groupBy(*keys).agg(F.max("grounded_count").alias("grounded_count"), F.to_json(entries).alias("data")), keys, "left").withColumn("grounded_count", F.coalesce("grounded_count", F.lit(0)))
 

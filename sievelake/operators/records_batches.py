@@ -1,12 +1,18 @@
 """Consolidated records that are kept up to date: only the groups that changed extractions touch are consolidated again.
 
-A store is a folder of four tables (see sources.batches): ``places``, the group
-of each extraction, in buckets of its id; ``extractions`` in buckets of their
-group, with a row that says so where one has gone; and ``fields`` (values with
-metrics and sources) and ``records`` of groups. A batch of changed extractions
-finds where they were before, which makes both groups dirty; dirty groups'
-extractions are consolidated, and their fields and records are written as the
-batch's own.
+A store is a folder of tables (see sources.batches): ``places``, the group of
+each extraction, in buckets of its id; ``extractions`` in buckets of their
+group, with weights and values of their fields in place of their JSON; ``left``,
+extractions that a group has no more; and ``fields`` (values with metrics and
+sources) and ``records`` of groups. A batch of changed extractions finds where
+they were before, which makes both groups dirty; dirty groups' extractions are
+consolidated, and their fields and records are written as the batch's own.
+
+An extraction is parsed once, when it comes, and is read from the store from
+then on; it moves once for each consolidation of its group, to its earlier
+versions and its group's others at once. Extractions are written in order of
+their content, as neighbours that are alike take little room there and on
+the way.
 
 Results: after each batch ``records`` and ``fields`` give what one run over all
 extractions gives; a group without extractions has no record. An extraction
@@ -23,6 +29,14 @@ from sievelake.sources.batches import Batches, among, latest
 from sievelake.sources.shared import cut
 
 from . import records
+from .relational import joined
+
+#: Extractions of a group that one task has, about.
+LARGE = 100_000
+#: Groups of a batch that go to every task, at most.
+FEW = 1_000_000
+#: The field that every extraction has; names that begin with _ are no fields of records.
+EACH = "_each"
 
 
 class Store:
@@ -33,40 +47,56 @@ class Store:
 
     def _moved(self, new: DataFrame, batch: int) -> DataFrame | None:
         """(id, keys): where the extractions were before, unless they are there still."""
-        old = self.tables.read("places", self.tables.touched(new, "_ib"), batch, before=True)
+        old = self.tables.read("places", self.tables.touched(new), batch, before=True)
         if old is None:
             return None
         was = latest(old, [self.id]).where("not gone").select(self.id, *self.keys)
         return among(among(was, new, [self.id]), new.where("not gone"), [self.id, *self.keys], "left_anti")
 
+    def _written(self, df: DataFrame, name: str, batch: int, by: list[str], order: list[str] | None = None) -> DataFrame:
+        """df as the store has it now, in a file in the order of some columns."""
+        rows = df.withColumn("bucket", self.tables.bucket(by))
+        self.tables.write(rows.sortWithinPartitions("bucket", *order) if order else rows, name, batch)
+        return self.tables.read(name, None, batch, schema=df.schema).where(F.col("batch") == batch)
+
     def add(self, changed: DataFrame | None, batch: int, gone: DataFrame | None = None) -> DataFrame:
         """Takes up changed extractions, and ids of those that have gone; returns the groups that were consolidated again."""
-        rows = changed.withColumn("gone", F.lit(False))
+        rows = changed.where(F.col(self.id).isNotNull())
+        entries = self._written(records.record_fields(rows, [*dict.fromkeys([*self.keys, self.id])], self.modes, self.source, scores=self.scores), "extractions", batch, self.keys, ["fields"])
+        places = entries.select(self.id, *self.keys, F.lit(False).alias("gone"))
         if gone is not None:
-            left = gone.select(self.id, F.lit(True).alias("gone"))
-            rows = rows.unionByName(left, allowMissingColumns=True)
-        rows = cut(rows.where(F.col(self.id).isNotNull()).withColumns({"bucket": self.tables.bucket(self.keys), "_ib": self.tables.bucket([self.id])}))
-        new = rows.drop("_ib")
-        entries = new.where("not gone")
-        moved = self._moved(rows, batch)
+            left = gone.where(F.col(self.id).isNotNull()).select(self.id, F.lit(True).alias("gone"))
+            places = places.unionByName(left, allowMissingColumns=True)
+        moved = self._moved(self._written(places, "places", batch, [self.id]), batch)
+        touched = entries.select("bucket", *self.keys)
         if moved is not None:
-            entries = entries.unionByName(moved.withColumns({"gone": F.lit(True), "bucket": self.tables.bucket(self.keys)}), allowMissingColumns=True)
-        entries = cut(entries)
-        self.tables.write(entries, "extractions", batch)
-        self.tables.write(rows.select(self.id, *self.keys, "gone", F.col("_ib").alias("bucket")), "places", batch)
-        groups = entries.select(*self.keys).distinct()
-        dirty = self.tables.touched(entries)
+            touched = touched.unionByName(self._written(moved, "left", batch, self.keys).select("bucket", *self.keys))
+        groups = cut(touched.distinct())
+        dirty = self.tables.touched(groups)
+        groups = groups.drop("bucket")
         if dirty:
             self._consolidate(groups, dirty, batch)
         return groups
 
     def _consolidate(self, groups: DataFrame, dirty: list[int], batch: int) -> None:
-        every = latest(self.tables.read("extractions", dirty, batch), [*self.keys, self.id])
-        rows = cut(among(every.where("not gone"), groups, self.keys).drop("batch", "bucket", "gone"))
-        long = records.record_values(rows, self.keys, self.modes, self.source, scores=self.scores)
-        fields = cut(records.consolidated_fields(long, self.keys, self.types))
-        found = records.group_records(rows, fields, self.keys).withColumn("gone", F.lit(False))
-        none = among(groups, rows, self.keys, "left_anti").withColumn("gone", F.lit(True))
+        every = self.tables.read("extractions", dirty, batch).withColumn("gone", F.lit(False))
+        left = self.tables.read("left", dirty, batch)
+        if left is not None:
+            every = every.unionByName(left.withColumn("gone", F.lit(True)), allowMissingColumns=True)
+        known = F.broadcast(groups) if groups.count() <= FEW else groups  # else Spark would move the extractions to find that out
+        every = among(every.drop("bucket"), known, self.keys)
+        large = every.groupBy(*self.keys).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE)
+        part = F.pmod(F.xxhash64(self.id), F.ceil(F.coalesce("_n", F.lit(1)) / LARGE).cast("long"))
+        dealt = joined(every, F.broadcast(large), self.keys, "left").withColumn("_part", part).drop("_n")
+        # one move, to the earlier versions and to the group
+        rows = latest(dealt.repartition(*self.keys, "_part"), [*self.keys, "_part", self.id]).where("not gone")
+        # a field that every extraction has counts them, so that nothing else has to move for that
+        each = F.struct(F.lit(EACH).alias("field"), F.lit(0.0).alias("weight"), F.lit(False).alias("listed"), F.array(F.lit("")).alias("values"))
+        rows = rows.withColumn("fields", F.array_append(F.coalesce("fields", F.array().cast(rows.schema["fields"].dataType)), each))
+        every = cut(records.consolidated_fields(records.field_rows(rows, self.keys), self.keys, {**self.types, EACH: "enum"}))
+        fields = every.where(F.col("field") != EACH)
+        found = records.group_data(every.where(F.col("field") == EACH).select(*self.keys, "source_count"), fields, self.keys).withColumn("gone", F.lit(False))
+        none = among(groups, found, self.keys, "left_anti").withColumn("gone", F.lit(True))
         bucket = self.tables.bucket(self.keys)
         self.tables.write(fields.withColumn("bucket", bucket), "fields", batch)
         self.tables.write(found.unionByName(none, allowMissingColumns=True).withColumn("bucket", bucket), "records", batch)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 class Batches:
@@ -27,12 +28,15 @@ class Batches:
         """The buckets of some rows; at most as many as there are."""
         return sorted(r[0] for r in df.select(bucket).distinct().collect())
 
-    def read(self, name: str, buckets: list[int] | None = None, batch: int | None = None, before: bool = False) -> DataFrame | None:
-        """A table's rows in some buckets (all if None), up to a batch, or before it; None if nothing was written."""
+    def read(self, name: str, buckets: list[int] | None = None, batch: int | None = None, before: bool = False, schema: StructType | None = None) -> DataFrame | None:
+        """A table's rows in some buckets (all if None), up to a batch, or before it; None if nothing was written. With a schema, that of the columns beside batch and bucket, a table without rows is read too."""
+        reader = self.spark.read
+        if schema is not None:
+            reader = reader.schema(StructType([*schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())]))
         try:
-            found = self.spark.read.parquet(f"{self.folder}/{name}")
+            found = reader.parquet(f"{self.folder}/{name}")
         except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             return None
         if buckets is not None:

@@ -107,3 +107,27 @@ def test_of_a_key_that_comes_twice_the_last_counts(spark):
     rows = [("g", 1, '{"a": 1, "b": 3, "a": 2}', 1, 0.5), ("g", 2, '{"a": {"value": 1}, "a": {"value": 5}, "c": {"value": 0}}', 2, 0.5)]
     df = spark.createDataFrame(rows, "g string, ord int, data string, data_version int, confidence double")
     assert sorted((r["ord"], r["field"], r["values"]) for r in records.record_values(df, ["g"]).collect()) == [(1, "a", ["2"]), (1, "b", ["3"]), (2, "a", ["5"]), (2, "c", ["0"])]
+
+
+def test_extractions_are_kept_parsed(spark, tmp_path):
+    """What the store reads again has the fields' weights and values, not JSON; a record without fields counts, and groups of null and of many parts come whole."""
+    rows = [(1, "a", 1, "s1", '{"name": "Ab"}', 1, 0.5, None), (2, "a", 2, "s1", "{}", 1, 0.5, None), (3, None, 3, "s1", "no JSON", 1, 0.5, None)]
+    store = Store(spark, str(tmp_path), ["g"], "id", TYPES, buckets=2)
+    store.add(spark.createDataFrame(rows, SCHEMA), 1)
+    kept = store.tables.read("extractions")
+    assert "data" not in kept.columns and kept.where("id = 1").first().fields[0].values == ["Ab"]
+    assert sorted((r.g or "", r.source_count) for r in store.records().collect()) == [("", 1), ("a", 2)]
+    assert [r.field for r in store.fields().collect()] == ["name"]
+    store.add(spark.createDataFrame([], SCHEMA), 2, spark.createDataFrame([(1,)], "id long"))
+    assert [(r.g, r.source_count) for r in store.records().where("g = 'a'").collect()] == [("a", 1)]
+
+
+def test_a_large_group_is_many_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sievelake.operators.records_batches.LARGE", 7)
+    rng = random.Random(4)
+    known = {i: extraction(rng, i, ["a", "b"]) for i in range(60)}
+    store = Store(spark, str(tmp_path), ["g"], "id", TYPES, buckets=2)
+    store.add(spark.createDataFrame(list(known.values()), SCHEMA), 1)
+    new = {i: extraction(rng, i, ["a", "b"]) for i in range(0, 60, 4)}
+    store.add(spark.createDataFrame(list(new.values()), SCHEMA), 2)
+    agrees(spark, store, known | new)
