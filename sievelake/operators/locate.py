@@ -20,7 +20,7 @@ to the first place, block and line. Offsets count characters from 0.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 from functools import cache, cached_property
 import re
@@ -34,8 +34,6 @@ from pyspark.sql import types as T
 
 from sievelake.functions.chars import DOT_ABOVE, DOTTED, codes, lower, space, string, word
 
-from .relational import with_group_size
-
 LEAST = 0.6
 # Dashes that count as hyphens.
 DASHES = {ord(c): "-" for c in "–—―−"}
@@ -62,14 +60,14 @@ def hidden(text: str) -> bytearray:
     def hide(a: int, b: int) -> None:
         mask[a:b] = b"\1" * (b - a)
 
-    for pattern in (LABELLED, CODE):
-        for m in pattern.finditer(text):
+    for pattern, needs in ((LABELLED, "]("), (CODE, "`")):
+        for m in pattern.finditer(text) if needs in text else ():
             hide(m.start(), m.start("label"))
             hide(m.end("label"), m.end())
-    for m in RULE.finditer(text):
+    for m in RULE.finditer(text) if "|" in text and "--" in text else ():
         hide(*m.span())
     opened: dict[str, int] = {}
-    for m in RUN.finditer(text):
+    for m in RUN.finditer(text) if "*" in text or "_" in text else ():
         run, a, b = m[0], *m.span()
         if run[0] == "\n":
             opened.clear()
@@ -85,6 +83,12 @@ def hidden(text: str) -> bytearray:
     return mask
 
 
+def shown_text(text: str) -> str:
+    """What Markdown shows of a text; bars become spaces."""
+    mask = hidden(text)
+    return (text if 1 not in mask else "".join(c for c, h in zip(text, mask, strict=True) if not h)).replace("|", " ")
+
+
 @cache
 def folded() -> np.ndarray:
     """The lower case of each code point; dashes are hyphens."""
@@ -142,24 +146,47 @@ def tidy(quote: str | None) -> str:
     return bare.strip() if "…" in text[len(bare) :] or len(text) - len(bare) > 1 else text
 
 
-#: Texts up to this length that are ASCII only have their normal form by patterns, which is faster for them than by arrays.
+#: Texts up to this length have their normal form by patterns, which is faster for them than by arrays.
 BRIEF = 2000
-
-
-@cache
-def ascii_patterns() -> tuple[re.Pattern, re.Pattern]:
-    """Runs of white space, and what is neither of a word nor white space, of ASCII."""
-    blank = [chr(c) for c in range(128) if space()[c]]
-    kept = [chr(c) for c in range(128) if word()[c] or space()[c]]
-    listed = lambda some: "".join(re.escape(c) for c in some)
-    return re.compile(f"[{listed(blank)}]+"), re.compile(f"[^{listed(kept)}]+")
+# The classes are those of str.isspace() and of str.isalnum() with the underscore, as in the tables of characters.
+BLANK, OTHER = re.compile(r"\s+"), re.compile(r"[^\w\s]+")
+
+
+def is_brief(text: str) -> bool:
+    """Whether patterns do; str.lower() looks at a sigma's neighbours and makes two of the dotted I."""
+    return len(text) <= BRIEF and (text.isascii() or "\u03a3" not in text and "\u0130" not in text)
+
+
+def lowered(text: str) -> str:
+    """Lower case of a brief text, with hyphens for dashes."""
+    low = text.lower()
+    if not low.isascii():
+        for dash in DASHES:
+            low = low.replace(chr(dash), "-")
+    return low
+
+
+def brief_places(text: str, drop_punctuation: bool, hide: bytearray | None = None) -> list[int]:
+    """The places of the characters of a brief text's normal form; what is hidden is left out, and bars are spaces if anything may be."""
+    out, blank = [], True
+    low = lowered(text)
+    for i, c in enumerate(low if hide is None else low.replace("|", " ")):
+        if hide is not None and hide[i]:
+            continue
+        if c.isspace():
+            if not blank:
+                out.append(i)
+            blank = True
+        elif not drop_punctuation or c.isalnum() or c == "_":
+            out.append(i)
+            blank = False
+    return out
 
 
 def normal_text(text: str, drop_punctuation: bool = False) -> str:
-    if len(text) <= BRIEF and text.isascii():
-        blank, other = ascii_patterns()
-        low = text.lower()
-        return blank.sub(" ", other.sub("", low) if drop_punctuation else low).strip(" ")
+    if is_brief(text):
+        low = lowered(text)
+        return BLANK.sub(" ", OTHER.sub("", low) if drop_punctuation else low).strip(" ")
     points = codes(text)
     return normal(points, np.zeros(len(points), np.int32), drop_punctuation)[0]
 
@@ -192,17 +219,35 @@ class Source:
 
     @cached_property
     def plain_text(self) -> str:
-        return normal_text(self.text) if len(self.text) <= BRIEF else self.plain[0]
+        return normal_text(self.text) if is_brief(self.text) else self.plain[0]
 
     @cached_property
     def bare_text(self) -> str:
-        return normal_text(self.text, True) if len(self.text) <= BRIEF else self.bare[0]
+        return normal_text(self.text, True) if is_brief(self.text) else self.bare[0]
+
+    @cached_property
+    def bare_shown_text(self) -> str:
+        return normal_text(shown_text(self.text), True) if is_brief(self.text) else self.bare_shown[0]
 
     @cached_property
     def bare_shown(self) -> tuple[str, np.ndarray]:
         return normal(*self.shown(self.text, self.points), True)
 
+    @cached_property
+    def plain_places(self) -> Sequence[int]:
+        return brief_places(self.text, False) if is_brief(self.text) else self.plain[1]
+
+    @cached_property
+    def bare_places(self) -> Sequence[int]:
+        return brief_places(self.text, True) if is_brief(self.text) else self.bare[1]
+
+    @cached_property
+    def bare_shown_places(self) -> Sequence[int]:
+        return brief_places(self.text, True, hidden(self.text)) if is_brief(self.text) else self.bare_shown[1]
+
     def _words(self, part: str) -> set[str]:
+        if is_brief(part):
+            return set(normal_text(shown_text(part)).split())
         return set(normal(*self.shown(part, codes(part)), False)[0].split())
 
     @cached_property
@@ -259,8 +304,8 @@ class Source:
         for tier, (score, form, asked) in enumerate(((1.0, "plain", wanted), (0.95, "bare", bare), (0.9, "bare_shown", bare)), 1):
             ask = [asked[i] for i in left if asked[i]]
             if ask:
-                text, at = getattr(self, form)
-                places = first_places(ask, text)
+                places = first_places(ask, getattr(self, f"{form}_text"))
+                at = getattr(self, f"{form}_places") if places else ()  # only for what is there
                 for i in left:
                     if asked[i] in places:
                         p = places[asked[i]]
@@ -380,11 +425,12 @@ def locate_quotes(quotes: DataFrame, sources: DataFrame, source_id: str, quote_i
     """
     asked = quotes.select(F.col(source_id).alias("_s"), F.col(quote_id).alias("_i"), F.col(quote).alias("_t")).distinct()
     most = MOST if most is None else most
-    pieces = lambda n: F.ceil(n / F.lit(most)).cast("long")
-    sized = with_group_size(asked, ["_s"], "_n")
-    lists = sized.withColumn("_k", F.pmod(F.xxhash64("_i", "_t"), pieces(F.col("_n")))).groupBy("_s", "_k").agg(F.collect_list(F.struct("_i", "_t")).alias("_l"))
-    counts = asked.groupBy("_s").agg(F.count("*").alias("_n"))
-    texts = sources.select(F.col(source_id).alias("_s"), F.col(text).alias("_x")).join(counts, "_s").select("_s", "_x", F.explode(F.sequence(F.lit(0), pieces(F.col("_n")) - 1)).alias("_k"))
+    pieces = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(most)).cast("long")
+    # the sources that have several lists, a row for more than ``most`` quotes each; all others have one
+    many = F.broadcast(asked.groupBy(F.col("_s").alias("_m")).agg(F.count("*").alias("_n")).where(F.col("_n") > most))
+    sized = lambda df: df.join(many, F.col("_s").eqNullSafe(F.col("_m")), "left").drop("_m")
+    lists = sized(asked).withColumn("_k", F.pmod(F.xxhash64("_i", "_t"), pieces)).groupBy("_s", "_k").agg(F.collect_list(F.struct("_i", "_t")).alias("_l"))
+    texts = sized(sources.select(F.col(source_id).alias("_s"), F.col(text).alias("_x"))).select("_s", "_x", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("_k"))
     rows = texts.join(lists, ["_s", "_k"]).select("_s", "_l", F.transform("_l", lambda x: x["_t"]).alias("_q"), "_x")
     found = scored(rows, "_q", "_x", "_f", True) if only_contained else all_located(rows, "_q", "_x", "_f")
     found = found.select("_s", F.explode(F.arrays_zip("_l", "_f")).alias("_r"))

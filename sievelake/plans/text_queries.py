@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievelake.functions import text as t
-from sievelake.operators import chunk, locate
+from sievelake.operators import chunk, locate, relational
 
 from .registry import query, table
 
@@ -107,7 +107,7 @@ def quote_tiers(spark, d):
     source = F.concat(F.lit("# Title\n\nThe **big** plant – in [Bern](http://x) – makes 5,000 gears.\nSecond line "), id, F.lit(" here"))
     k = F.col("event_id") % 5
     quote = F.when(k == 0, F.concat(F.lit("second  LINE "), id, F.lit("..."))).when(k == 1, "5000 gears").when(k == 2, "the big plant in bern makes").when(k == 3, "makes 5,000 small gears in the plant").otherwise("nothing of the kind was said")
-    rows = table(spark, d, "events").select("event_id", source.alias("source"), quote.alias("quote"))
+    rows = relational.spread(table(spark, d, "events").select("event_id")).select("event_id", source.alias("source"), quote.alias("quote"))
     return locate.located(rows, "quote", "source").select("event_id", "found.tier", "found.span")
 
 

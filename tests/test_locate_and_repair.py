@@ -1,7 +1,9 @@
 import json
+import random
 
 import pytest
 
+from sievelake.operators import locate as locate_module
 from sievelake.operators.json_repair import repair, repaired
 from sievelake.operators.locate import locate, located
 
@@ -56,3 +58,20 @@ def test_repair(text, want):
 def test_repair_of_rows(spark):
     df = spark.createDataFrame([(1, '{"a":1}'), (2, '{"a":[1'), (3, None), (4, "x{")], "id int, j string")
     assert {x["id"]: x["json"] for x in repair(df, "j").collect()} == {1: '{"a":1}', 2: '{"a": [1]}', 3: None, 4: None}
+
+
+def test_brief_texts_are_as_long_ones(monkeypatch):
+    """Patterns and arrays give the same, in all scripts; a text's places are made only where a quote was found."""
+    rng = random.Random(9)
+    parts = ["Ab", "ΑΣ", "σ", "İi", "ß", "–", "—", "−", " ", "\t", "\n\n", "\x1c", " ", "*", "**", "_", "`x`", "[a b](http://y)", "|", "é", "日本", "5,0", "²", "…", "́", "\U0001d400"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(400)]
+    asked = [[t[a : a + 9] for a in (0, 3, 11)] + ["ab – é", "nothing here"] for t in texts]
+    brief = [locate_module.Source(t).locate(q) for t, q in zip(texts, asked, strict=True)]
+    forms = [(locate_module.normal_text(t), locate_module.normal_text(t, True)) for t in texts]
+    monkeypatch.setattr(locate_module, "BRIEF", -1)
+    assert forms == [(locate_module.normal_text(t), locate_module.normal_text(t, True)) for t in texts]
+    assert brief == [locate_module.Source(t).locate(q) for t, q in zip(texts, asked, strict=True)]
+    monkeypatch.undo()
+    source = locate_module.Source("The **big** plant – in Bern")
+    assert source.locate(["nothing of it", "plant - in"])[1][4] == 1
+    assert "plain_places" in source.__dict__ and "bare_places" not in source.__dict__ and "plain" not in source.__dict__
