@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions import text as t
@@ -15,6 +15,13 @@ def page_blocks(pages: DataFrame, keys: list[str], page: str, content: str, sepa
     return pages.select(*keys, page, F.explode(t.blocks(F.col(content), separator, least)).alias("_b")).select(*keys, page, t.block_hash(F.col("_b")).alias("hash")).distinct()
 
 
+def block_places(content: Column, separator: str = "\n", least: int = 50) -> Column:
+    """The _pos and hash of a text's blocks, each hashed once, for page tables that are read again."""
+    parts = F.transform(F.split(content, separator), lambda b, i: F.struct(i.alias("_pos"), b.alias("_b")))
+    long = F.filter(parts, lambda p: F.length(t.strip(p["_b"])) >= least)
+    return F.transform(long, lambda p: F.struct(p["_pos"].alias("_pos"), t.block_hash(p["_b"]).alias("hash")))
+
+
 def boilerplate(pages: DataFrame, keys: list[str], page: str, content: str, separator: str = r"\n\s*\n", least: int = 50, share: float = 0.7, min_pages: int = 5, floor: int | None = None) -> DataFrame:
     """(keys, hash, pages): blocks on at least max(floor or min_pages, int(pages * share)) pages of a domain that has min_pages."""
     n = pages.where(F.col(content).isNotNull()).groupBy(*keys).agg(F.countDistinct(page).alias("_n")).where(F.col("_n") >= min_pages)
@@ -39,8 +46,8 @@ def section_boilerplate(pages: DataFrame, domain: str, url: str, page: str, cont
     return section.join(boilerplate(pages, [domain], page, content, **how).select(domain, "hash"), [domain, "hash"], "left_anti").select(domain, "prefix", "hash", "pages")
 
 
-def strip_boilerplate(pages: DataFrame, marks: DataFrame | list[tuple[DataFrame, list[str]]], keys: list[str], page: str, content: str, separator: str = "\n", least: int = 50) -> DataFrame:
-    """pages with the marked blocks cut from content, and chars_removed. marks: (keys, hash), or several such tables with their keys, as of domains and of sections; page is unique within keys.
+def strip_boilerplate(pages: DataFrame, marks: DataFrame | list[tuple[DataFrame, list[str]]], keys: list[str], page: str, content: str, separator: str = "\n", least: int = 50, places_of: str | None = None) -> DataFrame:
+    """pages with the marked blocks cut from content, and chars_removed. marks: (keys, hash), or several such tables with their keys, as of domains and of sections; page is unique within keys. ``places_of``: the column that has block_places(), if any, which goes.
 
     Only places of blocks meet the marks, not texts, and what comes back to a
     page is the list of its own marked places.
@@ -48,8 +55,12 @@ def strip_boilerplate(pages: DataFrame, marks: DataFrame | list[tuple[DataFrame,
     tables = [(marks, keys)] if isinstance(marks, DataFrame) else marks
     of = list(dict.fromkeys([*keys, *(k for _, ks in tables for k in ks)]))
     parts = F.split(F.col(content), separator)
-    each = pages.select(*of, F.col(page).alias("_page"), F.posexplode(parts).alias("_pos", "_b")).where(F.length(t.strip(F.col("_b"))) >= least)
-    each = each.select(*of, "_page", "_pos", t.block_hash(F.col("_b")).alias("hash"))
+    if places_of:
+        each = pages.select(*of, F.col(page).alias("_page"), F.inline(places_of))
+        pages = pages.drop(places_of)
+    else:
+        each = pages.select(*of, F.col(page).alias("_page"), F.posexplode(parts).alias("_pos", "_b")).where(F.length(t.strip(F.col("_b"))) >= least)
+        each = each.select(*of, "_page", "_pos", t.block_hash(F.col("_b")).alias("hash"))
     hits = reduce(DataFrame.union, [each.join(m.select(*ks, "hash"), [*ks, "hash"], "left_semi").select(*keys, "_page", "_pos") for m, ks in tables])
     places = hits.groupBy(*keys, "_page").agg(F.collect_set("_pos").alias("_cut")).withColumnsRenamed({k: f"_k_{k}" for k in keys})  # one page's blocks
     on = reduce(lambda a, b: a & b, [pages[k] == places[f"_k_{k}"] for k in keys], pages[page] == places["_page"])

@@ -1,7 +1,8 @@
 """Boilerplate that is kept up to date: mergeable counts of blocks, and only the domains that a batch touches are cut again.
 
 A store is a folder of three Parquet tables in partitions of a hash bucket of
-the domain and of the batch: ``pages`` as they came, ``counts`` of blocks as
+the domain and of the batch: ``pages`` as they came, with the hashes of their
+blocks, which are made once, when a page comes; ``counts`` of blocks as
 differences (what the batch's pages have, less what the versions that they
 replace had), and ``cleaned`` pages. A batch only writes its own partitions,
 from what earlier batches wrote, so one that is killed is run again with the
@@ -27,6 +28,8 @@ from . import dedup
 BUCKETS = 64
 #: In place of a block's hash: the row that counts a domain's pages.
 PAGES = ""
+#: The column of the places and hashes of a page's blocks.
+HASHED = "_blocks"
 
 
 class Store:
@@ -40,8 +43,8 @@ class Store:
     def _counts(self, pages: DataFrame, sign: int) -> DataFrame:
         """(keys, bucket, hash, pages): how many pages have each block, and how many there are."""
         some = pages.where(F.col(self.content).isNotNull())
-        blocks = dedup.page_blocks(some, [*self.keys, "bucket"], self.page, self.content, **self.blocks)
-        every = blocks.select(*self.keys, "bucket", "hash").unionByName(some.select(*self.keys, "bucket", F.lit(PAGES).alias("hash")))
+        hashes = F.array_distinct(F.transform(HASHED, lambda p: p["hash"]))
+        every = some.select(*self.keys, "bucket", F.explode(hashes).alias("hash")).unionByName(some.select(*self.keys, "bucket", F.lit(PAGES).alias("hash")))
         return every.groupBy(*self.keys, "bucket", "hash").agg((F.count("*") * sign).alias("pages"))
 
     def _merged(self, counts: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ class Store:
 
     def add(self, pages: DataFrame, batch: int) -> DataFrame:
         """Takes up a batch of pages, each once, and returns the domains that were cut again."""
-        new = cut(pages.withColumn("bucket", self.tables.bucket(self.keys)))
+        new = cut(pages.withColumns({"bucket": self.tables.bucket(self.keys), HASHED: dedup.block_places(F.col(self.content), **self.blocks)}))
         dirty = self.tables.touched(new)
         if not dirty:
             return new.select(*self.keys)
@@ -69,14 +72,14 @@ class Store:
         domains = new.select(*self.keys).distinct()
         rows = among(latest(self.tables.read("pages", dirty, batch), [*self.keys, self.page]), domains, self.keys)
         marks = self.marks(self._merged(self.tables.read("counts", dirty, batch)))
-        cleaned = dedup.strip_boilerplate(rows.drop("batch"), marks, self.keys, self.page, self.content, **self.blocks)
+        cleaned = dedup.strip_boilerplate(rows.drop("batch"), marks, self.keys, self.page, self.content, **self.blocks, places_of=HASHED)
         self.tables.write(cleaned, "cleaned", batch)
         return domains
 
     def current(self, name: str = "cleaned") -> DataFrame | None:
         """The last version of every page, cleaned or as it came (``pages``)."""
         found = self.tables.read(name)
-        return None if found is None else latest(found, [*self.keys, self.page]).drop("batch", "bucket")
+        return None if found is None else latest(found, [*self.keys, self.page]).drop("batch", "bucket", HASHED)
 
     def boilerplate(self) -> DataFrame:
         """(keys, hash, pages) of all domains."""

@@ -86,3 +86,16 @@ def test_an_empty_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "none"), ["domain"], "id", "text", **HOW)
     assert store.add(spark.createDataFrame([], SCHEMA), 1).count() == 0
     assert store.current() is None
+
+
+def test_blocks_are_hashed_when_a_page_comes(spark, tmp_path):
+    """Later batches of its domain read a page's hashes from the store."""
+    block = "a block that all pages of the domain have, " * 2
+    store = Store(spark, str(tmp_path), ["d"], "p", "c", buckets=2, least=50, min_pages=2, share=0.5)
+    rows = spark.createDataFrame([("x", k, f"{block}\nown {k}\n  {block}") for k in range(3)] + [("x", 3, None)], "d string, p long, c string")
+    store.add(rows, 1)
+    kept = store.tables.read("pages")
+    assert {(r.p, tuple(b._pos for b in r._blocks or ())) for r in kept.collect()} == {(0, (0, 2)), (1, (0, 2)), (2, (0, 2)), (3, ())}
+    store.add(spark.createDataFrame([("x", 4, "new\n" + block)], "d string, p long, c string"), 2)
+    assert {(r.p, r.c) for r in store.current().collect()} == {(0, "own 0"), (1, "own 1"), (2, "own 2"), (3, None), (4, "new")}
+    assert store.current("pages").columns == ["d", "p", "c"]
