@@ -75,3 +75,13 @@ def test_brief_texts_are_as_long_ones(monkeypatch):
     source = locate_module.Source("The **big** plant – in Bern")
     assert source.locate(["nothing of it", "plant - in"])[1][4] == 1
     assert "plain_places" in source.__dict__ and "bare_places" not in source.__dict__ and "plain" not in source.__dict__
+
+
+def test_quotes_are_read_once(spark):
+    """Asking for quotes runs nothing before the result is asked for, and a source with many quotes still has several lists."""
+    quotes = spark.createDataFrame([("a", i, f"word{i} x") for i in range(9)] + [("b", 0, "word5"), (None, 1, "x"), ("c", 0, "x")], "s string, i int, q string")
+    sources = spark.createDataFrame([("a", " ".join(f"word{i} x" for i in range(9))), ("b", "a word5")], "s string, t string")
+    spark.sparkContext.setJobGroup("quotes", "built only")
+    found = locate_module.locate_quotes(quotes, sources, "s", "i", "q", "t", most=2)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("quotes")
+    assert sorted((r.s, r.i, r.tier, r.start) for r in found.collect()) == [*(("a", i, 1, 8 * i) for i in range(9)), ("b", 0, 1, 2)]
