@@ -91,6 +91,49 @@ def test_stale_stream_equals_its_batch_after_a_restart_and_forgets(spark, tmp_pa
     assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
 
 
+def test_calls_and_timers_of_streams_are_by_buckets_not_by_keys(spark, tmp_path):
+    rows = [(k, f"job {k % 1500}", START + timedelta(seconds=k % 7), "run") for k in range(3000)]
+    many = {}
+    for name, make in (("stale", lambda s: limits.stale_stream(s, "who", "ts", "status", ["done"], 45)), ("limit", lambda s: limits.limited_stream(s, "who", "ts", "id", 45, 1))):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / name / "part0"))
+        q = ran(spark, make, tmp_path / name, tmp_path / f"{name} out", tmp_path / f"{name} state")
+        many[name] = sum(p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress)
+    assert all(0 < n <= 512 for n in many.values())
+    used = spark.read.parquet(str(tmp_path / "limit out")).groupBy("used").count().collect()
+    assert sorted(map(tuple, used)) == [(0, 1500), (1, 1500)]
+
+
+def test_a_job_whose_time_ends_at_the_watermark_is_stale(spark, tmp_path):
+    # the watermark is at 120 s; b's time ends a microsecond after it
+    at = lambda s, us=0: START + timedelta(seconds=s, microseconds=us)
+    rows = [(1, "a", at(75), "run"), (2, "b", at(75, 1), "run"), (3, "c", at(74, 999_999), None), (4, "d", at(180), "run")]
+    told = [("a", at(75), "run"), ("c", at(74, 999_999), None)]
+    for k, (part, want) in enumerate(((rows, told), ([(5, "d", at(190), "run")], [*told, ("b", at(75, 1), "run")]))):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+        # one bucket, whose timer has to go on after it fired
+        ran(spark, lambda s: limits.stale_stream(s, "who", "ts", "status", ["done"], 45, "1 minute", buckets=1), tmp_path / "in", tmp_path / "out", tmp_path / "state")
+        got = spark.read.parquet(str(tmp_path / "out")).select("who", "last_seen", "status").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "binary"])
+def test_keys_of_streams_keep_their_values(spark, tmp_path, kind):
+    """Nulls don't make large integers floats, and equal keys of any type are one."""
+    texts = {"long": ["9007199254740993", "9007199254740992", None], "double": ["0.0", "-0.0", "NaN", None], "binary": ["a\nb", "", None]}[kind]
+    big = 2**53 + 1
+    rows = [(None if k == 3 else big + k, texts[k % len(texts)], START + timedelta(seconds=k // 5), "run") for k in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("who", F.col("who").cast(kind))
+    df.coalesce(1).write.parquet(str(tmp_path / "in" / "part0"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "part*"))
+    for name, out in (("limit", limits.limited_stream(stream, "who", "ts", "id", 60, 4)), ("stale", limits.stale_stream(stream, "who", "ts", "status", ["done"], 1, "1 second"))):
+        out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name} state")).trigger(availableNow=True).start(str(tmp_path / name)).awaitTermination(120)
+    end = rows[-1][2] - timedelta(seconds=1)
+    for name, want in (("limit", limits.limited(df, "who", "ts", "id", 60, 4)), ("stale", limits.stale(df, "who", "ts", "status", ["done"], 1, F.lit(end)))):
+        got = spark.read.parquet(str(tmp_path / name))
+        text = lambda x: sorted(str(tuple(r)) for r in x.select([(F.col("who") + 0.0).alias("who") if kind == "double" and c == "who" else c for c in got.columns]).collect())
+        assert text(got) == text(want) and got.schema["who"].dataType == df.schema["who"].dataType
+
+
 def test_a_job_fails_over_once_and_may_start_anew(spark):
     at = lambda s: START + timedelta(seconds=s)
     rows = [(1, "j", at(0), "run"), (2, "j", at(10), "run"), (3, "j", at(100), "run"), (4, "j", at(100), "done"), (5, "k", at(0), "done"), (6, "m", at(50), None), (7, "n", None, "run")]
