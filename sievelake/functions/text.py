@@ -98,11 +98,11 @@ def without_junk(s: Column) -> Column:
     return strip(F.regexp_replace(s, r"\n{3,}", "\n\n"))
 
 
-def content_start(s: Column, run: int = 3, density: float = 0.4, least: int = 20, lines: int = 200) -> Column:
-    """Where the first ``run`` long lines in a row with few links begin, counted from 0; shorter lines don't break the row. 0 if there is no such place."""
+def content_start(s: Column, run: int = 3, density: float = 0.4, least: int = 20, lines: int | None = None) -> Column:
+    """Where the first ``run`` long lines in a row with few links begin, counted from 0; shorter lines don't break the row. 0 if there is no such place. Looked for in the whole text, or in its first ``lines`` lines."""
 
     def place(parts: Column) -> Column:
-        stripped = F.transform(F.slice(parts, 1, lines), lambda x, i: F.struct(i.alias("i"), strip(x).alias("t")))
+        stripped = F.transform(parts if lines is None else F.slice(parts, 1, lines), lambda x, i: F.struct(i.alias("i"), strip(x).alias("t")))
         long = F.transform(F.filter(stripped, lambda x: F.length(x["t"]) >= least), lambda x: F.struct(x["i"].alias("i"), (link_density(x["t"]) < density).alias("low")))
         at = lambda long: F.transform(long, lambda x, j: F.when(F.size(F.filter(F.slice(long, j + 1, run), lambda y: y["low"])) == run, x["i"]))
         starts = F.filter(once(long, at), lambda i: i.isNotNull())
@@ -112,9 +112,9 @@ def content_start(s: Column, run: int = 3, density: float = 0.4, least: int = 20
     return once(F.split(s, "\n"), place)
 
 
-def cleaned(s: Column) -> Column:
+def cleaned(s: Column, lines: int | None = None) -> Column:
     """Without junk, from the content's start on; for embeddings."""
-    return once(without_junk(s), lambda bare: strip(F.substring(bare, content_start(bare) + 1, F.length(bare))))
+    return once(without_junk(s), lambda bare: strip(F.substring(bare, content_start(bare, lines=lines) + 1, F.length(bare))))
 
 
 def cut_at_word(s: Column, most: int) -> Column:
@@ -124,9 +124,9 @@ def cut_at_word(s: Column, most: int) -> Column:
     return F.when(F.length(s) <= most, s).when((F.locate(" ", F.reverse(head)) > 0) & (blank > 0.8 * most), F.regexp_replace(F.left(head, blank), r"(?U)\s+$", "")).otherwise(head)
 
 
-def page_summary(url: Column, title: Column, content: Column, most: int = 2000) -> Column:
+def page_summary(url: Column, title: Column, content: Column, most: int = 2000, lines: int | None = None) -> Column:
     """Title, URL and the start of the cleaned content, as lines."""
-    return F.concat_ws("\n", F.when(F.length(title) > 0, F.concat(F.lit("Title: "), title)), F.concat(F.lit("URL: "), url), F.lit(""), once(cleaned(content), lambda x: cut_at_word(x, most)))
+    return F.concat_ws("\n", F.when(F.length(title) > 0, F.concat(F.lit("Title: "), title)), F.concat(F.lit("URL: "), url), F.lit(""), once(cleaned(content, lines), lambda x: cut_at_word(x, most)))
 
 
 def url_words(url: Column, title: Column, description: Column) -> Column:

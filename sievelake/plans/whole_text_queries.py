@@ -88,11 +88,14 @@ MARKDOWN = r"md as (select page_id, url, regexp_replace(regexp_replace(regexp_re
 JUNK = r"j as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '(?i)!\[\]\(https?://[^)]+\)\s*', '', 'g'), '(?im)^\[skip to [^\]]*\]\([^)]*\)\s*\n?', '', 'g'), '(?m)^[*-]\s+\[[^\]]{1,80}\]\([^)]*(?:\([^)]*\)[^)]*)*\)\s*$', '', 'g'), '(?m)^!\[[^\]]*\]\([^)]+\)\s*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as bare from md)"
 DENSITY = r"coalesce(list_sum(list_transform(list_concat(regexp_extract_all({0}, '\[[^\]]*\]\([^)]*\)'), regexp_extract_all({0}, '(?:^|[^(])(https?://\S+)', 1)), lambda z: length(z))), 0) / length({0})"
 START = f"""
-l as (select page_id, i, length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as n, {DENSITY.format("regexp_replace(x, '^\\s+|\\s+$', '', 'g')")} as dens from (select page_id, unnest(string_split(bare, chr(10))[1:200]) as x, generate_subscripts(string_split(bare, chr(10))[1:200], 1) as i from j)),
+l as (select page_id, i, length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as n, {DENSITY.format("regexp_replace(x, '^\\s+|\\s+$', '', 'g')")} as dens from (select page_id, unnest(string_split(bare, chr(10))) as x, generate_subscripts(string_split(bare, chr(10)), 1) as i from j)),
 q as (select page_id, i, dens < 0.4 as low, row_number() over (partition by page_id order by i) as r from l where n >= 20),
 a as (select q.page_id, min(q.i) as i from q join q y on q.page_id = y.page_id and y.r = q.r + 1 join q z on q.page_id = z.page_id and z.r = q.r + 2 where q.low and y.low and z.low group by 1),
 c as (select j.page_id, url, regexp_replace(array_to_string(string_split(bare, chr(10))[coalesce(i, 1):], chr(10)), '^\\s+|\\s+$', '', 'g') as cleaned from j left join a using (page_id))"""
 
+#: The same where content has to begin in the first 200 lines.
+START_EARLY = START.replace("string_split(bare, chr(10))) as x", "string_split(bare, chr(10))[1:200]) as x").replace("string_split(bare, chr(10)), 1)", "string_split(bare, chr(10))[1:200], 1)")
+
 
 def markdown(spark, d):
     links = F.regexp_replace("html", '<a href="([^"<>]*)">([^<>]*)</a>', "\n* [$2](http://x$1)\n")
@@ -111,10 +114,10 @@ def content_of_pages(spark, d):
     return markdown(spark, d).select("page_id", t.cleaned(F.col("md")).alias("cleaned"))
 
 
-@query(f"with {MARKDOWN}, {JUNK}, {START}, h as (select *, left(cleaned, 300) as head from c) select page_id, 'URL: ' || url || chr(10) || chr(10) || case when length(cleaned) <= 300 then cleaned when contains(head, ' ') and length(head) - strpos(reverse(head), ' ') > 240 then regexp_replace(left(head, (length(head) - strpos(reverse(head), ' '))::bigint), '\\s+$', '') else head end as summary from h")
+@query(f"with {MARKDOWN}, {JUNK}, {START_EARLY}, h as (select *, left(cleaned, 300) as head from c) select page_id, 'URL: ' || url || chr(10) || chr(10) || case when length(cleaned) <= 300 then cleaned when contains(head, ' ') and length(head) - strpos(reverse(head), ' ') > 240 then regexp_replace(left(head, (length(head) - strpos(reverse(head), ' '))::bigint), '\\s+$', '') else head end as summary from h")
 def summaries_of_pages(spark, d):
-    """Address and the start of the content, cut at a blank near the end."""
-    return markdown(spark, d).select("page_id", t.page_summary(F.col("url"), F.lit(None).cast("string"), F.col("md"), 300).alias("summary"))
+    """Address and the start of the content, which is looked for in the first 200 lines, cut at a blank near the end."""
+    return markdown(spark, d).select("page_id", t.page_summary(F.col("url"), F.lit(None).cast("string"), F.col("md"), 300, lines=200).alias("summary"))
 
 
 @query(f"with {MARKDOWN}, x as (select page_id, unnest(string_split(md, chr(10))) as x, generate_subscripts(string_split(md, chr(10)), 1) as pos from md) select page_id, pos::int as pos, case when length(x) = 0 then 0.0 else round({DENSITY.format('x')}, 6) end::double as density from x")

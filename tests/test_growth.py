@@ -77,6 +77,18 @@ def test_pages_are_cleaned_once(spark):
     assert [r[0] for r in rows[1:]] == [None, ""]
 
 
+def test_content_of_pages_begins_after_any_number_of_lines(spark, tmp_path):
+    """A page whose content begins after 300 lines of links is cut there; summaries look for it in the first 200 lines, as their SQL does."""
+    links = "".join(f"<p>see https://example.org/a/long/address/{i} now</p>" for i in range(300))
+    text = "".join(f"<p>a line of words that is long enough {i}</p>" for i in range(4))
+    pages = {"pages": spark.createDataFrame([(1, "u1", links + text), (2, "u2", text), (3, "u3", links)], "page_id long, url string, html string")}
+    got, want = against_sql(spark, tmp_path, "content_of_pages", pages)
+    assert got == want
+    assert got[0][1].startswith("a line of words that is long enough 0") and got[2][1].startswith("see https")
+    got, want = against_sql(spark, tmp_path, "summaries_of_pages", pages)
+    assert got == want
+
+
 def test_structured_records_are_flattened_by_one_parse(spark):
     data = '{"a": {"value": 1, "quote": "q"}, "b": {"items": [{"value": "x"}, {"fields": {"c": 2}}]}, "_m": {}}'
     found = spark.createDataFrame([(data,)], "j string").select(records.flattened(F.col("j")).alias("f"))
