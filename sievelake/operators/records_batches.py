@@ -3,16 +3,17 @@
 A store is a folder of tables (see sources.batches): ``places``, the group of
 each extraction, in buckets of its id; ``extractions`` in buckets of their
 group, with weights and values of their fields in place of their JSON; ``left``,
-extractions that a group has no more; and ``fields`` (values with metrics and
-sources) and ``records`` of groups. A batch of changed extractions finds where
-they were before, which makes both groups dirty; dirty groups' extractions are
-consolidated, and their fields and records are written as the batch's own.
-
-An extraction is parsed once, when it comes, and is read from the store from
-then on; it moves once for each consolidation of its group, to its earlier
-versions and its group's others at once. Extractions are written in order of
-their content, as neighbours that are alike take little room there and on
-the way.
+versions of extractions that count no more, with the batch they came in;
+``values``, what the extractions of a group that came in one batch say of each
+value (see value_parts); and ``fields`` (values with metrics and sources) and
+``records`` of groups. A batch of changed extractions finds where they were
+before, which makes both groups dirty.
+
+An extraction is parsed once, when it comes, moves once, to its group, and is
+counted once, into its batch's values. Only where a group has lost some of a
+batch's extractions, that batch's others are read and counted again. Dirty
+groups are consolidated from the values of all batches, and their fields and
+records are written as the batch's own.
 
 Results: after each batch ``records`` and ``fields`` give what one run over all
 extractions gives; a group without extractions has no record. An extraction
@@ -22,21 +23,20 @@ unique within a batch; rows without id are left out. Null group keys are a group
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelake.sources.batches import Batches, among, latest
 from sievelake.sources.shared import cut
 
-from . import records
+from . import records, value_parts
 from .relational import joined
+from .value_parts import EACH
 
 #: Extractions of a group that one task has, about.
 LARGE = 100_000
 #: Groups of a batch that go to every task, at most.
 FEW = 1_000_000
-#: The field that every extraction has; names that begin with _ are no fields of records.
-EACH = "_each"
 
 
 class Store:
@@ -45,13 +45,13 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], id: str, types: dict[str, str], modes: dict[str, str] | None = None, buckets: int = 64, source: str = "source_id", scores: str | None = "grounding_scores") -> None:
         self.tables, self.keys, self.id, self.types, self.modes, self.source, self.scores = Batches(spark, folder, buckets), keys, id, types, modes, source, scores
 
-    def _moved(self, new: DataFrame, batch: int) -> DataFrame | None:
-        """(id, keys): where the extractions were before, unless they are there still."""
+    def _lost(self, new: DataFrame, batch: int) -> DataFrame | None:
+        """(id, keys, origin): the versions of the extractions that counted before, with the batch they came in."""
         old = self.tables.read("places", self.tables.touched(new), batch, before=True)
         if old is None:
             return None
-        was = latest(old, [self.id]).where("not gone").select(self.id, *self.keys)
-        return among(among(was, new, [self.id]), new.where("not gone"), [self.id, *self.keys], "left_anti")
+        was = latest(among(old, new, [self.id]), [self.id]).where("not gone")
+        return was.select(self.id, *self.keys, F.col("batch").alias("origin"))
 
     def _written(self, df: DataFrame, name: str, batch: int, by: list[str], order: list[str] | None = None) -> DataFrame:
         """df as the store has it now, in a file in the order of some columns."""
@@ -62,40 +62,65 @@ class Store:
     def add(self, changed: DataFrame | None, batch: int, gone: DataFrame | None = None) -> DataFrame:
         """Takes up changed extractions, and ids of those that have gone; returns the groups that were consolidated again."""
         rows = changed.where(F.col(self.id).isNotNull())
-        entries = self._written(records.record_fields(rows, [*dict.fromkeys([*self.keys, self.id])], self.modes, self.source, scores=self.scores), "extractions", batch, self.keys, ["fields"])
+        parsed = records.record_fields(rows, [*dict.fromkeys([*self.keys, self.id])], self.modes, self.source, scores=self.scores)
+        # a rebalance deals a large group to several tasks
+        entries = self._written(parsed.hint("rebalance", *[F.col(k) for k in self.keys]), "extractions", batch, self.keys, self.keys)
         places = entries.select(self.id, *self.keys, F.lit(False).alias("gone"))
         if gone is not None:
             left = gone.where(F.col(self.id).isNotNull()).select(self.id, F.lit(True).alias("gone"))
             places = places.unionByName(left, allowMissingColumns=True)
-        moved = self._moved(self._written(places, "places", batch, [self.id]), batch)
+        lost = self._lost(self._written(places, "places", batch, [self.id]), batch)
         touched = entries.select("bucket", *self.keys)
-        if moved is not None:
-            touched = touched.unionByName(self._written(moved, "left", batch, self.keys).select("bucket", *self.keys))
+        if lost is not None:
+            lost = self._written(lost, "left", batch, self.keys)
+            touched = touched.unionByName(lost.select("bucket", *self.keys))
         groups = cut(touched.distinct())
         dirty = self.tables.touched(groups)
         groups = groups.drop("bucket")
         if dirty:
+            self._count(entries, lost, dirty, batch)
             self._consolidate(groups, dirty, batch)
         return groups
 
+    def _few(self, df: DataFrame) -> DataFrame:
+        """df for every task if it is small; else Spark would move the other side to find that out."""
+        return F.broadcast(df) if df.count() <= FEW else df
+
+    def _count(self, entries: DataFrame, lost: DataFrame | None, dirty: list[int], batch: int) -> None:
+        """Writes the values of the batch's extractions, and anew those of earlier batches in groups that lost some of theirs."""
+        of, came = {f: records.strategy_of(x) for f, x in self.types.items()}, [*self.keys, "origin"]
+        named = lambda name: [f for f, s in of.items() if s == name]
+        counted = lambda rows: value_parts.parts(rows, came, list(of), named("union_dedup"), named("longest_top_k"), records.TOP)
+        found = counted(entries.withColumn("origin", F.lit(batch)))
+        if lost is not None:
+            stale = cut(lost.select(*came).distinct())
+            if not stale.isEmpty():
+                stale = self._few(stale)
+                every = self.tables.read("extractions", dirty, batch, before=True).withColumnRenamed("batch", "origin").withColumn("gone", F.lit(False))
+                left = self.tables.read("left", dirty, batch).drop("batch").withColumn("gone", F.lit(True))
+                every = among(every.unionByName(left, allowMissingColumns=True).drop("bucket"), stale, came)
+                found = found.unionByName(counted(self._kept(every, came)))
+        self.tables.write(found.withColumn("bucket", self.tables.bucket(self.keys)), "values", batch)
+
+    def _kept(self, every: DataFrame, came: list[str]) -> DataFrame:
+        """The versions that nothing says are gone, those of a group and batch together."""
+        large = every.groupBy(*came).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE)
+        part = F.pmod(F.xxhash64(self.id), F.ceil(F.coalesce("_n", F.lit(1)) / LARGE).cast("long"))
+        dealt = joined(every, F.broadcast(large), came, "left").withColumn("_part", part).drop("_n")
+        by = Window.partitionBy(*came, "_part", self.id).orderBy(F.desc("gone"))
+        return dealt.repartition(*came, "_part").withColumn("_r", F.row_number().over(by)).where("_r = 1 and not gone")
+
     def _consolidate(self, groups: DataFrame, dirty: list[int], batch: int) -> None:
-        every = self.tables.read("extractions", dirty, batch).withColumn("gone", F.lit(False))
+        of, came = {f: records.strategy_of(x) for f, x in self.types.items()}, [*self.keys, "origin"]
+        every = among(self.tables.read("values", dirty, batch), self._few(groups), self.keys)
         left = self.tables.read("left", dirty, batch)
         if left is not None:
-            every = every.unionByName(left.withColumn("gone", F.lit(True)), allowMissingColumns=True)
-        known = F.broadcast(groups) if groups.count() <= FEW else groups  # else Spark would move the extractions to find that out
-        every = among(every.drop("bucket"), known, self.keys)
-        large = every.groupBy(*self.keys).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE)
-        part = F.pmod(F.xxhash64(self.id), F.ceil(F.coalesce("_n", F.lit(1)) / LARGE).cast("long"))
-        dealt = joined(every, F.broadcast(large), self.keys, "left").withColumn("_part", part).drop("_n")
-        # one move, to the earlier versions and to the group
-        rows = latest(dealt.repartition(*self.keys, "_part"), [*self.keys, "_part", self.id]).where("not gone")
-        # a field that every extraction has counts them, so that nothing else has to move for that
-        each = F.struct(F.lit(EACH).alias("field"), F.lit(0.0).alias("weight"), F.lit(False).alias("listed"), F.array(F.lit("")).alias("values"))
-        rows = rows.withColumn("fields", F.array_append(F.coalesce("fields", F.array().cast(rows.schema["fields"].dataType)), each))
-        every = cut(records.consolidated_fields(records.field_rows(rows, self.keys), self.keys, {**self.types, EACH: "enum"}))
+            again = cut(left.groupBy(*came).agg(F.max("batch").alias("_at")))
+            every = joined(every, self._few(again), came, "left").where("_at is null or batch >= _at")
+        every = cut(value_parts.consolidated(every, self.keys, of, records.TOP))
         fields = every.where(F.col("field") != EACH)
-        found = records.group_data(every.where(F.col("field") == EACH).select(*self.keys, "source_count"), fields, self.keys).withColumn("gone", F.lit(False))
+        n = every.where(F.col("field") == EACH).select(*self.keys, "source_count")
+        found = records.group_data(n, fields, self.keys).withColumn("gone", F.lit(False))
         none = among(groups, found, self.keys, "left_anti").withColumn("gone", F.lit(True))
         bucket = self.tables.bucket(self.keys)
         self.tables.write(fields.withColumn("bucket", bucket), "fields", batch)

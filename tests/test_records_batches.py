@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from sievelake.operators import records
+from sievelake.operators import records, value_parts
 from sievelake.operators.records_batches import Store
 from sievelake.sources.batches import Batches
 
@@ -131,3 +131,39 @@ def test_a_large_group_is_many_parts(spark, tmp_path, monkeypatch):
     new = {i: extraction(rng, i, ["a", "b"]) for i in range(0, 60, 4)}
     store.add(spark.createDataFrame(list(new.values()), SCHEMA), 2)
     agrees(spark, store, known | new)
+
+
+def test_earlier_extractions_are_read_again_only_where_a_group_lost_some(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    store, known = Store(spark, str(tmp_path), ["g"], "id", TYPES, buckets=2), {i: extraction(rng, i, ["a", "b"]) for i in range(12)}
+    store.add(spark.createDataFrame(list(known.values()), SCHEMA), 1)
+    asked, real = [], Batches.read
+
+    def read(self, name, buckets=None, batch=None, before=False, schema=None):
+        asked.append((name, before))
+        return real(self, name, buckets, batch, before, schema)
+
+    monkeypatch.setattr(Batches, "read", read)
+    new = {i: extraction(rng, i, ["a", "b"]) for i in range(12, 20)}
+    store.add(spark.createDataFrame(list(new.values()), SCHEMA), 2)
+    assert {name for name, before in asked if before} == {"places"}  # nothing of batch 1 but where its extractions are
+    assert spark.read.parquet(f"{tmp_path}/values").where("batch = 2 and origin = 1").isEmpty()
+    again = {3: extraction(rng, 3, ["c"]), 14: extraction(rng, 14, ["a"])}
+    store.add(spark.createDataFrame(list(again.values()), SCHEMA), 3)
+    assert ("extractions", True) in asked
+    agrees(spark, store, known | new | again)
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_parts_of_values_equal_fields_of_rows(spark, monkeypatch, size):
+    """Groups that parts cut through, null keys and sources, weights of 0, odd numbers, records without fields."""
+    monkeypatch.setattr(value_parts, "ROWS", size)
+    odd = ['{"name": " a", "count": "1,000", "power": "x", "on": "maybe", "tags": [], "about": null}', '{"name": "A ", "count": 5.0, "power": 1e3, "on": "yes", "tags": ["p", "P ", "p"], "other": 1}', '{"name": "b", "count": 5, "on": "no", "tags": "p", "kind": "k"}', "{}", "no json"]
+    rows = [(i, ["a", None, "b"][i % 3], 40 - i, [None, "s", "t"][i // 2 % 3], odd[i % 5], 1, [0.0, 0.5, 0.5, None][i % 4], None) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    of = {f: records.strategy_of(x) for f, x in TYPES.items()}
+    some = value_parts.parts(records.record_fields(df, ["g"], source="source_id", scores="grounding_scores").coalesce(1), ["g"], list(of), ["tags"], ["about"], records.TOP)
+    got = value_parts.consolidated(some, ["g"], of, records.TOP)
+    want = records.consolidated_fields(records.record_values(df, ["g"], source="source_id", scores="grounding_scores"), ["g"], TYPES)
+    assert shown(got.where(f"field <> '{value_parts.EACH}'")) == shown(want)
+    assert sorted((r["g"] or "", r["source_count"]) for r in got.where(f"field = '{value_parts.EACH}'").collect()) == [("", 13), ("a", 14), ("b", 13)]
