@@ -108,8 +108,7 @@ def record_fields(extractions: DataFrame, keep: list[str], modes: dict[str, str]
     """(keep, ord, source, fields): each record parsed once, with an array of the field, weight, listed and values of each of its fields that has a value."""
     said = F.col(source) if source else F.lit(None).cast("string")
     base = _parsed(extractions, [*[F.col(k) for k in keep], F.col(ord).alias("ord"), said.alias("source")], data, version, confidence, scores)
-    value = lambda k, w, c, listed, values: F.struct(k.alias("field"), F.least(w, c).alias("weight"), listed.alias("listed"), values.alias("values"))
-    none = F.lit(None).cast("double")
+    value = lambda k, w, c, listed, values: F.struct(k.alias("field"), (w if c is None else F.least(w, c)).alias("weight"), listed.alias("listed"), values.alias("values"))
 
     def of_items(k: Column, some: Column) -> Column:
         weight = lambda x: v.effective_weight(_number(x["confidence"], 0.5), _number(x["grounding"], 1.0), _mode_of(k, modes))
@@ -124,8 +123,8 @@ def record_fields(extractions: DataFrame, keep: list[str], modes: dict[str, str]
     def of_one(e: Column) -> Column:
         x, k = e["value"], e["key"]
         own = v.effective_weight(F.col("_c"), F.try_element_at("_g", k), _mode_of(k, modes))
-        one = F.when(x.isNotNull(), value(k, own, none, F.lit(False), F.array(x)))
-        many = lambda some: F.when(F.size(some) > 0, value(k, F.aggregate(some, F.lit(0.0), lambda a, _: a + own) / F.size(some), none, F.startswith(x, F.lit("[")), some))
+        one = F.when(x.isNotNull(), value(k, own, None, F.lit(False), F.array(x)))
+        many = lambda some: F.when(F.size(some) > 0, value(k, F.aggregate(some, F.lit(0.0), lambda a, _: a + own) / F.size(some), None, F.startswith(x, F.lit("[")), some))
         return F.when(F.startswith(F.trim(x), F.lit("[")), once(F.filter(v.to_list(x), lambda i: i.isNotNull()), many)).otherwise(one)
 
     fields = F.filter(F.coalesce(F.transform(_fields("_two"), of_two), F.transform(_fields("_one"), of_one)), lambda x: x.isNotNull())

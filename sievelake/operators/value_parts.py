@@ -183,20 +183,17 @@ def consolidated(some: DataFrame, keys: list[str], of: dict[str, str], top: int)
     values = values.withColumn("_k", F.when((text & (F.col("field") != EACH)) | F.col("_item"), F.lower(F.trim("value"))))
     values = values.withColumns({"_kn": F.sum("_n").over(over_k), "_kw": F.round(F.sum("_w").over(over_k), 6), "_ko": F.min("_o").over(over_k), "_r": F.row_number().over(spelled)})
 
-    # numbers, each once: the first at which half of the weight is reached, or the mean with the next (see consolidate.median_of)
+    # numbers: the first at which half of the weight is reached, or the mean with the next (as consolidate.median_of; equal ones, spelled in other ways, are next to each other, which gives the same)
     if "weighted_median" in of.values():
-        equal = Window.partitionBy(*every, "_x").orderBy("value")
-        over_x = equal.rowsBetween(*whole)
-        values = values.withColumn("_x", F.when(number, v.to_float(F.col("value"))))
-        values = values.withColumns({"_xw": F.sum("_w").over(over_x), "_xn": F.sum("_n").over(over_x), "_xr": F.row_number().over(equal)})
+        values = values.withColumn("_x", F.when(number, v.to_float(F.col("value")) + F.lit(0.0)))  # -0 is 0
         some_x = F.col("_x").isNotNull()
-        order = of_group.orderBy("_x", "_xr")
+        order = of_group.orderBy("_x", "value")
         over_o = order.rowsBetween(*whole)
         values = values.withColumns({"_all": F.sum(F.when(some_x, F.col("_w"))).over(over_o), "_whole": F.bool_and(F.col("value").rlike(r"^\s*-?\d+\s*$")).over(over_o)})
-        weight = F.when(F.col("_all") > 0, F.col("_xw")).otherwise(F.col("_xn").cast("double"))
-        values = values.withColumn("_y", F.when(some_x & (F.col("_xr") == 1) & (weight > 0), weight)).withColumn("_yx", F.when(F.col("_y").isNotNull(), F.col("_x")))
+        weight = F.when(F.col("_all") > 0, F.col("_w")).otherwise(F.col("_n").cast("double"))
+        values = values.withColumn("_y", F.when(some_x & (weight > 0), weight)).withColumn("_yx", F.when(F.col("_y").isNotNull(), F.col("_x")))
         by = ", ".join(f"`{c}`" for c in every)
-        values = values.withColumns({"_c": F.round(F.sum("_y").over(order.rowsBetween(Window.unboundedPreceding, 0)), 9), "_half": F.round(F.sum("_y").over(over_o) / 2, 9), "_next": F.expr(f"lead(_yx) ignore nulls over (partition by {by} order by _x, _xr)")})
+        values = values.withColumns({"_c": F.round(F.sum("_y").over(order.rowsBetween(Window.unboundedPreceding, 0)), 9), "_half": F.round(F.sum("_y").over(over_o) / 2, 9), "_next": F.expr(f"lead(_yx) ignore nulls over (partition by {by} order by _x, value)")})
         middle = F.when((F.col("_c") == F.col("_half")) & F.col("_next").isNotNull(), (F.col("_x") + F.col("_next")) / 2).otherwise(F.col("_x"))
         said = F.when(F.col("_whole"), F.bround(middle, 0).cast("long").cast("string")).otherwise(middle.cast("string"))
         median = F.min_by(said, F.when(F.col("_c") >= F.col("_half"), F.col("_yx"))).over(over_o)

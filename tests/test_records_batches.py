@@ -158,7 +158,7 @@ def test_earlier_extractions_are_read_again_only_where_a_group_lost_some(spark,
 def test_parts_of_values_equal_fields_of_rows(spark, monkeypatch, size):
     """Groups that parts cut through, null keys and sources, weights of 0, odd numbers, records without fields."""
     monkeypatch.setattr(value_parts, "ROWS", size)
-    odd = ['{"name": " a", "count": "1,000", "power": "x", "on": "maybe", "tags": [], "about": null}', '{"name": "A ", "count": 5.0, "power": 1e3, "on": "yes", "tags": ["p", "P ", "p"], "other": 1}', '{"name": "b", "count": 5, "on": "no", "tags": "p", "kind": "k"}', "{}", "no json"]
+    odd = ['{"name": " a", "count": "1,000", "power": "x", "on": "maybe", "tags": [], "about": null}', '{"name": "A ", "count": 5.0, "power": -0.0, "on": "yes", "tags": ["p", "P ", "p"], "other": 1}', '{"name": "b", "count": 5, "power": "1e3", "on": "no", "tags": "p", "kind": "k"}', "{}", "no json"]
     rows = [(i, ["a", None, "b"][i % 3], 40 - i, [None, "s", "t"][i // 2 % 3], odd[i % 5], 1, [0.0, 0.5, 0.5, None][i % 4], None) for i in range(40)]
     df = spark.createDataFrame(rows, SCHEMA)
     of = {f: records.strategy_of(x) for f, x in TYPES.items()}
